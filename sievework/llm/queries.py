@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, mix, shard, urls
+from sievework.llm import chat, decontaminate, mix, shard, simhash, urls
 from sievework.llm.common import table
 
 
@@ -32,9 +32,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op4_shard_bytes, op5_decontaminate, op9_url_rules)}
+    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op4_shard_bytes, op5_decontaminate, op7_simhash, op9_url_rules)}
