@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, mix, shard, simhash, urls
+from sievework.llm import chat, decontaminate, embed, mix, repeats, shard, simhash, urls
 from sievework.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op4_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,4 +49,4 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op4_shard_bytes, op5_decontaminate, op7_simhash, op9_url_rules)}
+    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate, op6_embedding_dedup, op7_simhash, op9_url_rules)}
