@@ -14,20 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut, kept in the folder that spark.checkpoint.dir names.
-
-    A folder of this machine serves only where that setting is missing, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine only where that is missing, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows with the lineage cut, kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, embed, mix, repeats, shard, simhash, toxicity, urls
+from sievework.llm import chat, decontaminate, embed, license, mix, repeats, shard, simhash, toxicity, urls
 from sievework.llm.common import table
 
 
@@ -52,5 +52,9 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_documents(table(spark, sf_dir, "documents"), license.template_table(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_url_rules)}
+    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_url_rules, op10_license_scan)}
