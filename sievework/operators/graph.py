@@ -107,7 +107,7 @@ def message_pass(nodes: DataFrame, edges: DataFrame, eps: float = 0.0) -> DataFr
 def pooled(nodes: DataFrame) -> DataFrame:
     """Mean, sum and largest value of every component over a package's nodes, in long form."""
     each = nodes.select("package_id", F.posexplode("h").alias("k", "x"))
-    return each.groupBy("package_id", "k").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 6).alias("most"))
+    return each.groupBy("package_id", "k").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.sum("x"), 9).alias("total"), F.round(F.max("x"), 9).alias("most"))
 
 
 def cap_nodes(files: DataFrame, most: int = 30_000) -> DataFrame:

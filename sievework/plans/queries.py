@@ -111,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_hits_by_severity": lambda s, d: hits(s, d).groupBy("severity", "origin").agg(F.count("*").alias("n")),
     "pkg_scores": lambda s, d: decide.rule_scores(hits(s, d)),
     "pkg_scores_replay": lambda s, d: decide.rule_scores(hits(s, d), REPLAY_WEIGHT, REPLAY_HARD),
-    "file_rule_hits": lambda s, d: rules.file_hits(view(s, d, "files")).select("package_id", "rule_id", "file_path", F.col("line_number").cast("long").alias("line_number")),
+    "file_rule_hits": lambda s, d: rules.file_hits(view(s, d, "files")).select("package_id", "rule_id", "file_path"),
     "package_facts": lambda s, d: rules.package_facts(view(s, d, "files"), view(s, d, "manifests")).select("package_id", "n_js", "n_lines", "reads", "sends"),
     "file_facts": file_facts,
     "typosquat_theta": lambda s, d: rules.typosquats(view(s, d, "manifests")),
@@ -168,8 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_type_index": lambda s, d: view(s, d, "statements").groupBy(graph.type_index(F.col("type")).alias("type_index")).agg(F.count("*").alias("n")),
     "merged_edges": lambda s, d: graph.merge_edges(one_package(s, d), inner_edges(s, d).select("package_id", "src", "dst", "edge_type")),
     "edge_hist": lambda s, d: graph.edge_histogram(view(s, d, "edges")),
-    "message_pass_1hop": lambda s, d: graph.message_pass(one_package(s, d), inner_edges(s, d)).select("node_id", F.posexplode("h").alias("k", "x")).select("node_id", F.col("k").cast("long").alias("k"), F.round("x", 4).alias("x")),
-    "graph_pooling": lambda s, d: graph.pooled(nodes(s, d)).select("package_id", F.col("k").cast("long").alias("k"), F.round("mean", 4).alias("mean"), F.round("total", 4).alias("total"), F.round("most", 4).alias("most")),
+    "message_pass_1hop": lambda s, d: graph.message_pass(one_package(s, d), inner_edges(s, d)).select("node_id", F.posexplode("h").alias("k", "x")).select("node_id", F.col("k").cast("long").alias("k"), (F.round("x", 4) + F.lit(0.0)).alias("x")),
+    "graph_pooling": lambda s, d: graph.pooled(nodes(s, d)).select("package_id", F.col("k").cast("long").alias("k"), *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("mean", "total", "most")]),
     "gnn_scores": lambda s, d: model.score_graphs(nodes(s, d), view(s, d, "edges").select("package_id", "src", "dst", "edge_type")),
     "node_cap": lambda s, d: graph.cap_nodes(view(s, d, "files").select("package_id", "path", T.lines(F.col("code")).cast("long").alias("nodes")), 40),
     "lockfile_audit": lambda s, d: serve.lockfile_audit(view(s, d, "dependencies"), view(s, d, "part_verdicts")),
