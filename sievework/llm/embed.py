@@ -31,7 +31,7 @@ def table_plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int,
     return k, math.ceil(math.log(miss) / math.log1p(-(near**k)))
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
+def unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -47,29 +47,49 @@ def buckets(x: np.ndarray, k: int, tables: int, seed: int = SEED) -> np.ndarray:
     return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def links(g: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def pairs_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs (first before second) inside consecutive groups of these sizes."""
+    begin = np.cumsum(sizes) - sizes
+    after = np.repeat(begin + sizes, sizes) - np.arange(sizes.sum()) - 1
+    u = np.repeat(np.arange(sizes.sum()), after)
+    return u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def links(g: dict[str, np.ndarray], cosine: float, small: int = 64) -> pd.DataFrame:
     """a, b, n: for each vector with links its number of new ones (b null), and links that span the components.
 
-    A pair that also meets in an earlier table is left to that table.
+    g holds whole groups, one after another, of vectors of one dimension. Small groups are compared all at once, pair by
+    pair, others as a product of matrices. A pair that also meets in an earlier table is left to that table.
     """
-    left = g[g["block"] == g["i"]]
-    right = g[g["block"] == g["j"]]
-    x, y = unit(left["embedding"]), unit(right["embedding"])
-    u, v = np.nonzero(x @ y.T >= cosine)
-    a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-    if g["i"].iat[0] == g["j"].iat[0]:
-        u, v = u[u < v], v[u < v]
-    first = np.stack(left["at"].to_list())[u] == np.stack(right["at"].to_list())[v]
-    new = first.argmax(1) == g["t"].iat[0]
-    u, v = u[new], v[new]
+    x, at = unit(g["embedding"]), np.stack(g["at"])
+    new = np.flatnonzero(np.concatenate([[True], g["group"][1:] != g["group"][:-1]]))
+    size = np.diff(np.append(new, len(x)))
+    short = (size <= small) & (g["i"][new] == g["j"][new])
+    rows = np.flatnonzero(np.repeat(short, size))
+    us, vs = [], []
+    u, v = pairs_in(size[short])
+    for k in range(0, len(u), 1 << 18):
+        p, q = rows[u[k : k + (1 << 18)]], rows[v[k : k + (1 << 18)]]
+        near = np.einsum("nd,nd->n", x[p], x[q]) >= cosine
+        us, vs = [*us, p[near]], [*vs, q[near]]
+    for s, m in zip(new[~short], size[~short]):
+        block, i, j = g["block"][s : s + m], g["i"][s], g["j"][s]
+        left, right = s + np.flatnonzero(block == i), s + np.flatnonzero(block == j)
+        p, q = np.nonzero(x[left] @ x[right].T >= cosine)
+        p, q = left[p], right[q]
+        us, vs = [*us, p[p < q] if i == j else p], [*vs, q[p < q] if i == j else q]
+    u, v = np.concatenate([np.zeros(0, int), *us]), np.concatenate([np.zeros(0, int), *vs])
+    mine = np.concatenate([np.zeros(0, bool), *((at[u[k : k + (1 << 18)]] == at[v[k : k + (1 << 18)]]).argmax(1) == g["t"][u[k : k + (1 << 18)]] for k in range(0, len(u), 1 << 18))])
+    u, v = u[mine], v[mine]
     if not len(u):
         return pd.DataFrame({"a": [], "b": [], "n": []})
-    ids, at = np.unique(np.concatenate([a[u], b[v]]), return_inverse=True)
+    ids, own = np.unique(g["rep"], return_inverse=True)
     found = np.zeros(len(ids), np.int64)
-    np.add.at(found, at[: len(u)], right["n"].to_numpy()[v])
-    np.add.at(found, at[len(u) :], left["n"].to_numpy()[u])
-    p, q = spanning(at[: len(u)], at[len(u) :], len(ids))
-    return pd.DataFrame({"a": np.concatenate([ids, ids[p]]), "b": pd.array([*[None] * len(ids), *ids[q].tolist()], "Int64"), "n": np.concatenate([found, np.zeros(len(p), np.int64)])})
+    np.add.at(found, own[u], g["n"][v])
+    np.add.at(found, own[v], g["n"][u])
+    p, q = spanning(own[u], own[v], len(ids))
+    some = np.flatnonzero(found)
+    return pd.DataFrame({"a": np.concatenate([ids[some], ids[p]]), "b": pd.array([*[None] * len(some), *ids[q].tolist()], "Int64"), "n": np.concatenate([found[some], np.zeros(len(p), np.int64)])})
 
 
 def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -99,12 +119,16 @@ def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            starts = np.flatnonzero((held[key] != held[key].shift()).any(axis=1).to_numpy())
-            out = [links(held.iloc[s:e], cosine) for s, e in zip(starts, starts[1:])]
-            held = held.iloc[starts[-1] :] if len(starts) else held
-            yield from (x for x in out if len(x))
+            group = np.cumsum((held[key] != held[key].shift()).any(axis=1).to_numpy())
+            last = int(np.searchsorted(group, group[-1])) if len(held) else 0
+            yield from whole(held.iloc[:last].assign(group=group[:last]))
+            held = held.iloc[last:]
         if held is not None and len(held):
-            yield links(held, cosine)
+            yield from whole(held.assign(group=0))
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, same in rows.groupby("d", sort=False):
+            yield links({c: same[c].to_numpy() for c in same.columns}, cosine)
 
     return met.select("rep", "embedding", "n", "at", "block", *key).mapInPandas(compare, "a long, b long, n long")
 
