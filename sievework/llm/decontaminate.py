@@ -85,14 +85,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the hit words taken out of their texts; what stands between words stays.
 
-    A span's words go with what separates them; texts without a hit stay as they are.
+    A word goes with what follows it up to the next word; texts without a hit stay as they are.
     """
     found = find_hits(docs, benchmark).where(F.size("hits") > 0).dropDuplicates(["doc_id", "th"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), hit_words(F.col("hits")).alias("__hit"))
-    text = docs["text"]
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), hit_words(F.col("hits")).alias("hit_at"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col("row.text")
     th = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (th == found["__th"]), "left")
+    both = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (th == F.col("hit_th")), "left")
     gaps = F.split(text, WORD)
-    kept = F.transform(tokens(text), lambda w, i: F.concat(F.when(F.array_contains("__hit", i), F.lit("")).otherwise(w), F.get(gaps, i + 1)))
+    kept = F.transform(tokens(text), lambda w, i: F.when(F.array_contains("hit_at", i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))
-    return both.withColumn("text", F.when(F.col("__hit").isNull(), text).otherwise(cut)).select(*docs.columns)
+    return both.select(F.when(F.col("hit_at").isNull(), F.col("row")).otherwise(F.col("row").withField("text", cut)).alias("row")).select("row.*")

@@ -71,13 +71,11 @@ def plan_mix(docs: DataFrame, trials: int = TRIALS) -> tuple[DataFrame, DataFram
     return sized, settle(rates(sized, trials=trials))
 
 
-def with_copies(rows: DataFrame, plan: DataFrame, name: str) -> DataFrame:
-    """rows (with doc_id and source) and the columns of plan as struct `name`, with copies in it."""
-    p = plan.select(F.col("source").alias("__mix_source"), F.struct("source_size", "target", "rate", "trial").alias("__mix_plan"))
-    joined = rows.join(p, rows["source"].eqNullSafe(p["__mix_source"])).drop("__mix_source")
-    plan_of = F.col("__mix_plan")
-    n = copies(F.col("doc_id"), plan_of["rate"], plan_of["trial"])
-    return joined.withColumn(name, F.struct(n.alias("copies"), plan_of["source_size"].alias("source_size"), plan_of["target"].alias("target"))).drop("__mix_plan")
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (doc_id, source and others) with copies, source_size and target."""
+    p = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "rate", "trial")
+    joined = rows.join(p, rows["source"].eqNullSafe(p["plan_source"]))
+    return joined.withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("trial"))).drop("plan_source", "rate", "trial")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -86,14 +84,11 @@ def mix(docs: DataFrame) -> DataFrame:
     floor(rate) copies, and one more where the id's draw is below the rate's fraction.
     """
     _, plan = plan_mix(docs)
-    mixed = with_copies(docs, plan, "__mix")
-    return mixed.withColumn("__mix", F.explode(F.array_repeat(F.lit(0), F.col("__mix.copies").cast("int")))).drop("__mix")
+    mixed = with_copies(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row")), plan)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs."""
     sized, plan = plan_mix(docs)
-    m = F.col("__mix")
-    return with_copies(sized, plan, "__mix").select(
-        "doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (F.col("size") * m["copies"]).cast("long").alias("taken")
-    )
+    return with_copies(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

@@ -138,7 +138,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with equal doc_id the first by text stays.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("__row", first).where("__row = 1").drop("__row")
+    return rows.withColumn("n", first).where("n = 1").select("row.*")

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, GRAMS, DIM = 1 << 14, 1 << 16, 8
@@ -322,8 +323,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if net is None:
         return docs
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([net.score(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)]).astype(float) if len(texts) else [], dtype=float)
 
-    return docs.withColumn("__toxic", rate("text")).where(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    return docs.where(rate("text") < THRESHOLD)
