@@ -22,9 +22,11 @@ WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, GRAMS, DIM = 1 << 14, 1 << 16, 8
 #: Embeddings that fewer sampled documents use stay at zero: what one document alone has is not evidence.
 LEAST_DOCS = 3
+#: Log odds from which a word is not swapped for a clean one while training.
+EVIDENCE = 2.0
 THRESHOLD = 0.7
 #: At most so many toxic and clean documents are trained on, and so many windows of each.
-SAMPLE, SAMPLE_WINDOWS = (1500, 4000), 16
+SAMPLE, SAMPLE_WINDOWS = (1500, 3000), 12
 STEPS, BATCH, RATE, SEED = 320, 256, 0.01, 42
 LEXICON, BLOCK = 300_000, 2048
 FIND = re.compile(r"\w+").findall
@@ -44,11 +46,14 @@ def grams(word: str) -> list[int]:
     return [crc32(b[i : i + n]) % GRAMS for n in (3, 4, 5) for i in range(max(1, len(b) - n + 1))]
 
 
-def features(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(new: list[str], part: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word rows, gram rows, number of grams) of words."""
-    each = [grams(w) for w in new]
-    size = np.array([len(g) for g in each], np.int64)
-    return np.array([crc32(w.encode()) % WORDS for w in new], np.int64), np.fromiter((x for g in each for x in g), np.int64, size.sum()), size
+    flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(new), part):
+        each = [grams(w) for w in new[i : i + part]]
+        flat.append(np.fromiter((x for g in each for x in g), np.int32))
+        size.append(np.array([len(g) for g in each], np.int64))
+    return np.array([crc32(w.encode()) % WORDS for w in new], np.int32), np.concatenate(flat), np.concatenate(size)
 
 
 def window_starts(n: int) -> range:
@@ -106,8 +111,8 @@ class Network:
         """The gates' inputs for all words met so far; number 0, the padding, leaves any state as it is."""
         if self.table is None:
             self.table = self.pad_inputs()
-        for i in range(0, len(self.lexicon.pending), 50_000):
-            vectors = self.vectors(*features(self.lexicon.pending[i : i + 50_000]))
+        for i in range(0, len(self.lexicon.pending), 10_000):
+            vectors = self.vectors(*features(self.lexicon.pending[i : i + 10_000]))
             self.table = np.concatenate([self.table, vectors @ self.p["w"] + self.p["b"]])
         self.lexicon.pending = []
         return self.table
@@ -159,8 +164,11 @@ class Network:
             out[i : i + 16 * BLOCK] = self.score_windows(flat[starts[i : i + 16 * BLOCK, None] + step])
         return np.maximum.reduceat(out, first)
 
-    def gradients(self, ids: np.ndarray, y: np.ndarray, rows: np.ndarray, flat: np.ndarray, size: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over rows of word numbers (0 padding); rows, flat and size as from features() of words 1, 2, ..."""
+    def gradients(self, ids: np.ndarray, y: np.ndarray, rows: np.ndarray, flat: np.ndarray, size: np.ndarray, mask: np.ndarray, word_mask: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over rows of word numbers (0 padding); rows, flat and size as from features() of words 1, 2, ...
+
+        mask leaves out words, word_mask their word embeddings only.
+        """
         p, h = self.p, HIDDEN
         x = ids.T
         real = x > 0
@@ -169,6 +177,7 @@ class Network:
         n = size[own]
         places = flat[np.repeat((np.cumsum(size) - size)[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         v = self.vectors(rows[own], places, n)[at] * (real & mask.T)[:, :, None]
+        v[:, :, :DIM] *= word_mask.T[:, :, None]
         g = v @ p["w"] + p["b"]
         g[~real] = self.pad_inputs()[0]
         s, kept = self.states(g, keep=True)
@@ -197,7 +206,9 @@ class Network:
         grad["b"] = dg.sum((0, 1))
         grad["w"] = np.einsum("tnd,tng->dg", v, dg, optimize=True)
         used = real & mask.T
-        dv = (dg @ p["w"].T)[used]
+        dv = dg @ p["w"].T
+        dv[:, :, :DIM] *= word_mask.T[:, :, None]
+        dv = dv[used]
         each = np.stack([np.bincount(at[used], dv[:, k], len(own)) for k in range(2 * DIM)], axis=1)
         part = np.repeat(each[:, DIM:] / n[:, None], n, axis=0)
         grad["word"] = np.stack([np.bincount(rows[own], each[:, k], WORDS) for k in range(DIM)], axis=1).astype(np.float32)
@@ -210,8 +221,9 @@ def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: f
 
     Only a document is labelled, so a toxic document stands with its worst window, and half of the clean windows are
     the worst of all. First the log odds of words and n-grams say which those are, then, again and again, the network.
-    Words are left out at random. At the end the bias is moved so that the best cut between the documents' scores lies
-    at the threshold.
+    Words, and more often their word embeddings alone, are left out at random, and in toxic windows half of the words
+    without evidence give way to clean ones, so that a window is not learned by heart. A fifth of the documents is not trained
+    on; at the end the bias is moved so that the best cut between these documents' scores lies at the threshold.
     """
     windows = windows.sort_values(["doc_id", "at"], kind="stable").reset_index(drop=True)
     toxic = windows["toxic"].to_numpy() == 1
@@ -219,13 +231,18 @@ def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: f
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
     look = Lexicon()
-    ids = np.zeros((len(windows), WINDOW), np.int64)
+    ids = np.zeros((len(windows), WINDOW), np.int32)
     for i, w in enumerate(windows["words"]):
-        ids[i, : len(w)] = [look[x] for x in w]
+        w = [look[x] for x in w.split()]
+        ids[i, : len(w)] = w
     vocabulary = look.pending
     rows, flat, size = features(vocabulary)
     of = np.cumsum(windows["doc_id"].ne(windows["doc_id"].shift()).to_numpy())
-    doc_word = np.unique(np.stack([np.repeat(of, WINDOW), ids.ravel() - 1])[:, ids.ravel() > 0], axis=1)
+    apart = of % 5 == 0
+    if not (toxic & ~apart).any() or not (toxic & apart).any():
+        apart = np.zeros(len(of), bool)
+    pair = np.unique((of[:, None] * np.int64(len(vocabulary) + 1) + ids)[(ids > 0) & ~apart[:, None]])
+    doc_word = np.stack(np.divmod(pair, len(vocabulary) + 1)) - [[0], [1]]
     begin, begins = np.cumsum(size) - size, np.flatnonzero(np.diff(of, prepend=0))
     use = {k: np.zeros((2, n), np.int64) for k, n in (("word", WORDS), ("gram", GRAMS))}
     for doc, w in zip(np.unique(doc_word[0]), np.split(doc_word[1], np.flatnonzero(np.diff(doc_word[0])) + 1)):
@@ -233,29 +250,31 @@ def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: f
         use["word"][y, np.unique(rows[w])] += 1
         use["gram"][y, np.unique(flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
     known = {k: x.sum(0) >= LEAST_DOCS for k, x in use.items()}
-    docs = np.bincount(toxic[begins].astype(int), minlength=2)
-    odds = {k: np.where(known[k], np.log((x[1] + 0.5) / (docs[1] + 1)) - np.log((x[0] + 0.5) / (docs[0] + 1)), -9) for k, x in use.items()}
-    of_word = odds["word"][rows] + np.maximum.reduceat(odds["gram"][flat], begin)
-    score = np.append(of_word, -99.0)[ids - 1].max(1)
+    docs = np.bincount(toxic[begins][~apart[begins]].astype(int), minlength=2)
+    odds = {k: np.where(known[k], np.log((x[1] + 1) / (docs[1] + 2)) - np.log((x[0] + 1) / (docs[0] + 2)), 0) for k, x in use.items()}
+    of_word = np.append(odds["word"][rows] + np.maximum.reduceat(odds["gram"][flat], begin), -99.0)
+    score = of_word[ids - 1].max(1)
     for k, some in known.items():
         net.p[k][~some] = 0
-    clean = np.flatnonzero(~toxic)
+    clean, learned = np.flatnonzero(~toxic & ~apart), toxic & ~apart
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
 
     def all_scores() -> np.ndarray:
-        net.table = np.concatenate([net.pad_inputs(), net.vectors(rows, flat, size) @ net.p["w"] + net.p["b"]])
+        cuts = [(k, k + 10_000, begin[k], (begin[k + 10_000 : k + 10_001].tolist() or [len(flat)])[0]) for k in range(0, len(rows), 10_000)]
+        net.table = np.concatenate([net.pad_inputs(), *(net.vectors(rows[k:e], flat[i:j], size[k:e]) @ net.p["w"] + net.p["b"] for k, e, i, j in cuts)])
         return net.score_windows(ids)
 
     for step in range(1, steps + 1):
         if step > steps // 8 and step % (steps // 6) == 1:
             score = all_scores()
         if step == 1 or step % (steps // 6) == 1:
-            bad = windows.assign(s=score, of=of)[toxic].groupby("of")["s"].idxmax().to_numpy()
+            bad = pd.DataFrame({"s": score, "of": of})[learned].groupby("of")["s"].idxmax().to_numpy()
             hard = clean[np.argsort(-score[clean])[: max(batch, len(clean) // 40)]]
         some = np.concatenate([rng.choice(bad, batch // 4), rng.choice(clean, batch * 3 // 8), rng.choice(hard, batch * 3 // 8)])
         x, y = ids[some], toxic[some].astype(np.float32)
-        mask = rng.random(x.shape) > 0.1
-        grad = net.gradients(x, y, rows, flat, size, mask)
+        other = ids[rng.choice(clean, batch)]
+        x = np.where(toxic[some, None] & (rng.random(x.shape) < 0.5) & (x > 0) & (other > 0) & (of_word[x - 1] < EVIDENCE), other, x)
+        grad = net.gradients(x, y, rows, flat, size, rng.random(x.shape) > 0.1, rng.random(x.shape) > 0.5)
         for k, seen in known.items():
             grad[k][~seen] = 0
         now = rate * (1 - 0.9 * step / steps)
@@ -265,7 +284,8 @@ def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: f
             net.p[k] -= now * (mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8) + (0.01 * net.p[k] if k in ("word", "gram") else 0))
     worst = np.maximum.reduceat(all_scores().astype(float), begins)
     logit = np.log(np.clip(worst, 1e-9, 1 - 1e-7) / (1 - np.clip(worst, 1e-9, 1 - 1e-7)))
-    net.p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - least_errors(logit, toxic[begins]))
+    judge = apart[begins] if apart.any() else np.ones(len(begins), bool)
+    net.p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - least_errors(logit[judge], toxic[begins][judge]))
     net.lexicon, net.table = Lexicon(), None
     return net
 
@@ -277,7 +297,7 @@ def least_errors(score: np.ndarray, toxic: np.ndarray) -> float:
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + toxic.sum())
     k = int(f1.argmax())
     low = s[k + 1] if k + 1 < len(s) else s[k] - 1
-    return float(low + (np.quantile(score[toxic], 0.1) - low) * 0.5)
+    return float(low + (np.quantile(score[toxic], 0.1) - low) * 0.65)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
@@ -293,10 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
                 starts = window_starts(len(w))
                 if len(starts) > sample_windows:
                     starts = sorted(np.random.default_rng(abs(int(i))).choice(starts, sample_windows, replace=False).tolist())
-                yield pd.DataFrame({"doc_id": i, "toxic": y, "at": list(starts), "words": [w[s : s + WINDOW] for s in starts]})
+                yield pd.DataFrame({"doc_id": i, "toxic": y, "at": list(starts), "words": [" ".join(w[s : s + WINDOW]) for s in starts]})
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # as many ids as the sample has
-    return train(chosen.select("doc_id", "toxic", "text").mapInPandas(cut, "doc_id long, toxic int, at int, words array<string>").toPandas())
+    return train(chosen.select("doc_id", "toxic", "text").mapInPandas(cut, "doc_id long, toxic int, at int, words string").toPandas())
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
