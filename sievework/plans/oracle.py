@@ -324,4 +324,23 @@ ORACLE_SQL: dict[str, str] = {
     "tarball_url": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '@scope/' ELSE '' END || replace(p_name, ' ', '-') AS name, replace(p_name, ' ', '-') AS plain, '1.' || CAST(p_size AS VARCHAR) || '.0' AS version FROM part)
         SELECT p_partkey, 'https://registry.example/' || replace(name, '/', '%2f') || '/-/' || plain || '-' || version || '.tgz' AS url, name, version, name AS spec_name, version AS spec_version FROM p""",
     "first_seen_versions": f"WITH {REQ} SELECT key, min(event_id) AS event_id, arg_min(verdict, event_id) AS verdict FROM req GROUP BY key",
+    "evidence_lines": pkg("SELECT text, count(*) AS n FROM t GROUP BY text", f"""dd AS ({live()}), t AS (SELECT 'verdict ' || verdict || ' ' || path AS text FROM dd
+        UNION ALL SELECT 'rule ' || rule_id || ' [' || severity || ']' || coalesce(' ' || file_path, '') FROM hits)"""),
+    "taint_flags": pkg("SELECT flag, detail, count(*) AS n FROM t GROUP BY ALL", f"""t AS (SELECT 'source' AS flag, CASE WHEN {rx("code", "taint_decode")} THEN 'Buffer.from with base64' WHEN {rx("code", "taint_atob")} THEN 'atob()' ELSE 'fs.readFileSync' END AS detail
+        FROM files WHERE {rx("code", "taint_decode")} OR {rx("code", "taint_atob")} OR {rx("code", "taint_read")} UNION ALL SELECT 'source', 'process.env access' FROM files WHERE {rx("code", "taint_env")} UNION ALL SELECT 'sink', 'sink call' FROM files WHERE {rx("code", "sink")})"""),
+    "focal_loss": rec(f"""SELECT round(avg(pow(1 - CASE WHEN y = 1 THEN p ELSE 1 - p END, 2) * -(t * ln(p) * w + (1 - t) * ln(1 - p))), 6) AS loss, round(any_value(w), 6) AS pos_weight FROM x""",
+        f"""x AS (SELECT true_label AS y, greatest({d(1e-7)}, least({d(1 - 1e-7)}, gnn_score)) AS p, true_label * (1 - {d(0.05)}) + {d(0.05)} / 2 AS t, (SELECT sum(1 - true_label) / sum(true_label) FROM rec WHERE gnn_score >= 0) AS w FROM rec WHERE gnn_score >= 0)"""),
+    "node_budget_batches": f"""WITH RECURSIVE i AS (SELECT CAST(floor(item_id / 500) AS BIGINT) AS shard, item_id AS graph_id, nodes, row_number() OVER (PARTITION BY CAST(floor(item_id / 500) AS BIGINT) ORDER BY item_id) AS n FROM ({cte("items")})),
+        r AS (SELECT shard, graph_id, nodes, n, 0 AS batch, nodes AS used FROM i WHERE n = 1
+        UNION ALL SELECT i.shard, i.graph_id, i.nodes, i.n, CASE WHEN r.used + i.nodes > 30000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + i.nodes > 30000 THEN i.nodes ELSE r.used + i.nodes END FROM r JOIN i ON i.shard = r.shard AND i.n = r.n + 1)
+        SELECT shard, graph_id, nodes, batch FROM r""",
+    "ttl_cache_hits": f"""WITH RECURSIVE {REQ}, q AS (SELECT key, event_id, verdict, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY key ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM req),
+        r AS (SELECT key, event_id, n, false AS cached, CASE WHEN verdict <> 'error' THEN t END AS since FROM q WHERE n = 1
+        UNION ALL SELECT q.key, q.event_id, q.n, coalesce(q.t - r.since <= 86400, false), CASE WHEN coalesce(q.t - r.since <= 86400, false) THEN r.since WHEN q.verdict <> 'error' THEN q.t ELSE r.since END FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1)
+        SELECT key, event_id, cached FROM r""",
+    "file_facts": pkg("""SELECT f.package_id, f.path, CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines, octet_length(encode(code)) AS n_bytes, net_line, credentials, requires, e.entropy FROM f JOIN e ON e.package_id = f.package_id AND e.path = f.path""",
+        f"""f AS (SELECT package_id, path, code, CASE WHEN {rx("code", "net_send")} THEN CAST(len(string_split(regexp_split_to_array(code, {q(PATTERN["net_send"])})[1], chr(10))) AS BIGINT) END AS net_line,
+        CAST(len(list_distinct(regexp_extract_all(code, {q(PATTERN["cred_env"])}, 1))) AS BIGINT) AS credentials, CAST(len(regexp_extract_all(code, {q(PATTERN["local_require"])}, 1)) AS BIGINT) AS requires FROM files),
+        ch AS (SELECT package_id, path, c, count(*) AS k FROM (SELECT package_id, path, unnest(string_split(left(code, 64), '')) AS c FROM files) GROUP BY ALL),
+        e AS (SELECT package_id, path, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM (SELECT package_id, path, CAST(k AS DOUBLE) AS k, CAST(sum(k) OVER (PARTITION BY package_id, path) AS DOUBLE) AS n FROM ch) GROUP BY ALL)"""),
 }
