@@ -49,7 +49,7 @@ def cached(stream: DataFrame, ttl: int = 86_400, late: str = "1 hour") -> DataFr
         for p in parts:
             p = p.sort_values(["ts", "event_id"])
             out = []
-            for e, ts, verdict in zip(p["event_id"], p["ts"].astype("int64") // 10**9, p["verdict"]):
+            for e, ts, verdict in zip(p["event_id"], (p["ts"] - pd.Timestamp(0)) // pd.Timedelta("1s"), p["verdict"]):
                 hit = since is not None and ts - since <= ttl
                 if not hit and verdict != "error":
                     since = int(ts)
@@ -59,7 +59,7 @@ def cached(stream: DataFrame, ttl: int = 86_400, late: str = "1 hour") -> DataFr
             state.update((since,))
             state.setTimeoutTimestamp(max((since + ttl) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = stream.withWatermark("ts", late).select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "verdict")
+    rows = stream.withWatermark("ts", late).select("key", "event_id", "ts", "verdict")
     return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, cached boolean", "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
