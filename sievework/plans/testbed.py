@@ -71,7 +71,7 @@ VIEWS = {
     "base": """
         SELECT concat('o', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS package_name,
                concat('o', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS short_name,
-               l_partkey * 100000 + l_suppkey AS seq, l_orderkey % 2 AS run,
+               CAST(round(l_extendedprice * 100) AS BIGINT) * 1000 + l_suppkey % 1000 AS seq, l_orderkey % 2 AS run,
                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS true_label,
                CASE WHEN l_linenumber = 7 THEN CAST(-1 AS DOUBLE) ELSE l_quantity / CAST(50 AS DOUBLE) END AS gnn_score,
                CASE WHEN l_linenumber = 7 THEN CASE WHEN l_partkey % 3 = 0 THEN 'parse_error' WHEN l_partkey % 3 = 1 THEN '' END END AS gnn_error_type,

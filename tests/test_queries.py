@@ -9,7 +9,6 @@ from sievework.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"policy_sweep_full"}
-#: Their SQL names vec_ids up to 500, of the larger sizes.
 SAME = sorted(set(QUERIES) & set(ORACLE_SQL) - SLOW)
 
 
