@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ascii_lower
+from sievework.llm.common import ascii_lower, settle
 
 #: Words before A-Z are put in lower case; lower-casing neither joins nor splits them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows up to this many (some 200 bytes each) are broadcast; beyond it Spark chooses the join by size.
+#: Windows (some 200 bytes each) that are broadcast at once; a larger benchmark takes several scans.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -39,19 +41,22 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
 
     hits has struct(start, len) of each occurrence of a window, in words from 0; items the ids of the items they come
     from. The scan meets the windows at their anchors in a hash join; the words around the anchor are then compared in
-    full. Windows are broadcast if a count shows that they are few. Rows equal in doc_id and text are counted, found
-    once and given back as often; a null text has no words. No rows, or no benchmark, give no hits.
+    full. Windows are counted first and broadcast in parts of at most about broadcast_windows, a scan for each, so no
+    broadcast grows with the benchmark. Rows equal in doc_id and text are counted, found once and given back as often; a
+    null text has no words. No rows, or no benchmark, give no hits.
     """
-    grams = benchmark_windows(benchmark, window).select(F.col("anchor").alias("word"), "item_id", "gram", "at", "len").cache()
-    few = grams.count() <= broadcast_windows
+    grams = settle(benchmark_windows(benchmark, window).select(F.col("anchor").alias("word"), "item_id", "gram", "at", "len"))
+    parts = max(1, -(-grams.count() // broadcast_windows))
     # the empty word stands at the end of each document and meets this row, so every document is kept
-    every = grams.unionByName(grams.sparkSession.range(1).select(F.lit("").alias("word")), allowMissingColumns=True)
+    end = grams.sparkSession.range(1).select(F.lit("").alias("word"))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("th"), tokens(F.col("text")).alias("w"))
     rows = rows.select("doc_id", "th", F.size("w").alias("n"), "w", F.posexplode(F.concat(F.transform("w", F.lower), F.array(F.lit("")))).alias("i", "word"))
     start = F.col("i") - F.col("at")
     here = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("len")), " ")) == F.col("gram")
-    found = rows.join(F.broadcast(every) if few else every, "word")
-    found = found.where((F.col("word") == "") | F.when((start >= 0) & (start + F.col("len") <= F.col("n")), here).otherwise(False))
+    right = (F.col("word") == "") | F.when((start >= 0) & (start + F.col("len") <= F.col("n")), here).otherwise(False)
+    some = [grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == p) for p in range(parts)]
+    some[0] = some[0].unionByName(end, allowMissingColumns=True)
+    found = reduce(DataFrame.unionByName, (rows.join(F.broadcast(x), "word").where(right) for x in some))
     mark = F.when(F.col("word") != "", F.struct(start.alias("start"), F.col("len").alias("len")))
     found = found.select("doc_id", "th", "n", (F.col("word") == "").cast("int").alias("row"), mark.alias("hit"), "item_id")
     both = found.groupBy("doc_id", "th").agg(

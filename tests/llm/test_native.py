@@ -137,12 +137,12 @@ ITEMS = [(1, " ".join(f"w{i}" for i in range(14))), (2, "Short ITEM here"), (3,
 PASSAGES = ["", None, "intro " + ITEMS[0][1].upper() + " outro", "a SHORT-item, here! short item here", "é one", "É One", " ".join(["x"] * 40), "w1 w2 w3", " ".join(f"w{i}" for i in range(3, 14)) + " tail", "word " * 30_000 + "short item here"]
 
 
-@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("few", [200_000, 4])
 def test_decontamination(spark, few):
     rows = [(i, t, "s") for i, t in enumerate(PASSAGES)] + [(2, PASSAGES[2], "s"), (0, "", "s")]
     bench = spark.createDataFrame([(*x, "extra") for x in ITEMS], "item_id long, text string, gram string")
     df = docs(spark, rows)
-    if few:
+    if few > 4:
         got = decontaminate.contamination(df, bench)
         assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == brute_hits(rows, ITEMS)
     found = decontaminate.find_hits(df, bench, broadcast_windows=few).select("doc_id", F.size(decontaminate.hit_words(F.col("hits"))).alias("n")).collect()
