@@ -305,7 +305,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_filter_summary": f"WITH {ITEMS} SELECT count(*) AS n, count(*) FILTER (WHERE nodes BETWEEN 2 AND 50000) AS kept, CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws(':', item_id, nodes, label)), 1, 12) AS BIGINT)) FILTER (WHERE nodes BETWEEN 2 AND 50000), 0) AS VARCHAR) AS fingerprint FROM items",
     "cfg_next": f"""WITH s AS ({cte("statements")}), n AS (SELECT *, lead(node_id) OVER (PARTITION BY package_id, parent_id ORDER BY node_id) AS dst FROM s WHERE type LIKE '%\\_statement' ESCAPE '\\' OR type LIKE '%\\_declaration' ESCAPE '\\')
         SELECT package_id, node_id AS src, dst FROM n WHERE dst IS NOT NULL AND type <> 'return_statement'""",
-    "def_use_asof": f"WITH c AS ({cte('calls')}) SELECT u.key, u.id AS use_id, max(d.id) AS def_id FROM c u LEFT JOIN c d ON d.key = u.key AND d.event_type = 'signup' AND d.at <= u.at WHERE u.event_type = 'view' GROUP BY ALL",
+    "def_use_asof": f"WITH c AS ({cte('calls')}) SELECT u.key, u.id AS use_id, coalesce(max(d.id), -1) AS def_id FROM c u LEFT JOIN c d ON d.key = u.key AND d.event_type = 'signup' AND d.at <= u.at WHERE u.event_type = 'view' GROUP BY ALL",
     "node_type_index": f"WITH s AS ({cte('statements')}) SELECT CAST(CASE WHEN list_position({NODE_TYPES}, type) > 0 THEN list_position({NODE_TYPES}, type) - 1 ELSE 22 END AS INT) AS type_index, count(*) AS n FROM s GROUP BY ALL",
     "merged_edges": f"WITH {EDGES}, num AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS n FROM nd) SELECT CAST(0 AS BIGINT) AS package_id, CAST(a.n AS INT) AS src, CAST(b.n AS INT) AS dst, edge_type FROM ed JOIN num a ON a.node_id = ed.src JOIN num b ON b.node_id = ed.dst",
     "edge_hist": f"WITH {EDGES} SELECT package_id, {', '.join(f'round(count(*) FILTER (WHERE edge_type = {k}) / greatest(count(*), 1), 6) AS e{k}' for k in range(4))} FROM ed GROUP BY package_id",
@@ -339,7 +339,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT q.key, q.event_id, q.n, coalesce(q.t - r.since <= 86400, false), CASE WHEN coalesce(q.t - r.since <= 86400, false) THEN r.since WHEN q.verdict <> 'error' THEN q.t ELSE r.since END FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1)
         SELECT key, event_id, cached FROM r""",
     "file_facts": pkg("""SELECT f.package_id, f.path, CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines, octet_length(encode(code)) AS n_bytes, net_line, credentials, requires, e.entropy FROM f JOIN e ON e.package_id = f.package_id AND e.path = f.path""",
-        f"""f AS (SELECT package_id, path, code, CASE WHEN {rx("code", "net_send")} THEN CAST(len(string_split(regexp_split_to_array(code, {q(PATTERN["net_send"])})[1], chr(10))) AS BIGINT) END AS net_line,
+        f"""f AS (SELECT package_id, path, code, CASE WHEN {rx("code", "net_send")} THEN CAST(len(string_split(regexp_split_to_array(code, {q(PATTERN["net_send"])})[1], chr(10))) AS BIGINT) ELSE 0 END AS net_line,
         CAST(len(list_distinct(regexp_extract_all(code, {q(PATTERN["cred_env"])}, 1))) AS BIGINT) AS credentials, CAST(len(regexp_extract_all(code, {q(PATTERN["local_require"])}, 1)) AS BIGINT) AS requires FROM files),
         ch AS (SELECT package_id, path, c, count(*) AS k FROM (SELECT package_id, path, unnest(string_split(left(code, 64), '')) AS c FROM files) GROUP BY ALL),
         e AS (SELECT package_id, path, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM (SELECT package_id, path, CAST(k AS DOUBLE) AS k, CAST(sum(k) OVER (PARTITION BY package_id, path) AS DOUBLE) AS n FROM ch) GROUP BY ALL)"""),

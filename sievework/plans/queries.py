@@ -73,7 +73,7 @@ def of_documents(spark: SparkSession, sf: str) -> DataFrame:
 def file_facts(spark: SparkSession, sf: str) -> DataFrame:
     code = F.col("code")
     return view(spark, sf, "files").select(
-        "package_id", "path", T.lines(code).cast("long").alias("n_lines"), F.octet_length(code).cast("long").alias("n_bytes"), T.line_of(code, "net_send").cast("long").alias("net_line"),
+        "package_id", "path", T.lines(code).cast("long").alias("n_lines"), F.octet_length(code).cast("long").alias("n_bytes"), F.coalesce(T.line_of(code, "net_send"), F.lit(0)).cast("long").alias("net_line"),
         F.size(rules.distinct_credentials(code)).cast("long").alias("credentials"), F.size(T.local_requires(code)).cast("long").alias("requires"), T.entropy(F.left(code, F.lit(64))).alias("entropy"),
     )
 
@@ -163,7 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_budget_batches": lambda s, d: dataset.budget_batches(view(s, d, "items").select(F.floor(F.col("item_id") / 500).alias("shard"), F.col("item_id").alias("graph_id"), "nodes")),
     "focal_loss": lambda s, d: dataset.focal_loss(records(s, d).where("gnn_score >= 0").select(F.col("gnn_score").alias("p"), F.col("true_label").alias("y"))),
     "cfg_next": lambda s, d: graph.sequential_flow(view(s, d, "statements")),
-    "def_use_asof": lambda s, d: graph.latest_before(view(s, d, "calls").where("event_type = 'signup'"), view(s, d, "calls").where("event_type = 'view'")),
+    "def_use_asof": lambda s, d: graph.latest_before(view(s, d, "calls").where("event_type = 'signup'"), view(s, d, "calls").where("event_type = 'view'")).fillna(-1, "def_id"),
     "taint_flags": lambda s, d: graph.taint_flags(view(s, d, "files").select("package_id", F.xxhash64("path").alias("node_id"), F.lit("call_expression").alias("type"), F.col("code").alias("text"))).groupBy("flag", "detail").agg(F.count("*").alias("n")),
     "node_type_index": lambda s, d: view(s, d, "statements").groupBy(graph.type_index(F.col("type")).alias("type_index")).agg(F.count("*").alias("n")),
     "merged_edges": lambda s, d: graph.merge_edges(one_package(s, d), inner_edges(s, d).select("package_id", "src", "dst", "edge_type")),
