@@ -21,6 +21,8 @@ TILE = 4096
 #: From this many fingerprints on, tiles go by the population counts of quarters, below by those of halves.
 QUARTERS_FROM = 2_000_000
 STEP = 65_536
+#: Stands for a null doc_id where rows are joined.
+NO_ID = -(1 << 63)
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> list[bytes]:
@@ -138,8 +140,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with equal doc_id the first by text stays.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    rows = docs.select(key, F.struct(*docs.columns).alias("row")).join(kept, "key", "left_semi")
+    first = F.row_number().over(W.partitionBy("key").orderBy("row.text"))
     return rows.withColumn("n", first).where("n = 1").select("row.*")
