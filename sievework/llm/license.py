@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ascii_lower, settle
+from sievework.llm.common import ascii_lower, settle, shared_folder
 
 #: Notices by SPDX identifier.
 TEMPLATES = [
@@ -28,41 +31,102 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def template_weights(files: DataFrame, templates: DataFrame) -> DataFrame:
-    """license, term, weight (unit length for each license) and idf of every template term; df counts all files.
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """term and df, the number of files that have it, for every term of all files."""
+    return files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def inverse(n: int, df: Column) -> Column:
+    return F.log((1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
+
+
+def template_weights(seen: DataFrame, n: int, templates: DataFrame) -> DataFrame:
+    """license, term, weight (unit length for each license) and idf of every template term; seen counts all n files.
 
     idf = ln((1 + files) / (1 + files with the term)) + 1.
     """
     words = templates.select("license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
     vocabulary = words.select("term").distinct()
-    seen = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
-    n = files.count()
-    idf = F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    weighed = words.join(F.broadcast(vocabulary.join(seen, "term", "left").select("term", idf.alias("idf"))), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    return weighed.select("license", "term", "idf", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("license")))).alias("weight"), F.lit(n).alias("files"))
+    df = F.broadcast(seen.join(F.broadcast(vocabulary), "term", "left_semi"))
+    weighed = words.join(df, "term", "left").select("license", "term", inverse(n, F.col("df")).alias("idf"), "tf").withColumn("x", F.col("tf") * F.col("idf"))
+    return weighed.select("license", "term", "idf", "tf", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("license")))).alias("weight"))
+
+
+def product(known: Column, of: list) -> Column:
+    """The product of a template with terms, given its rows of term, idf and weight."""
+    worth = F.create_map(*[F.lit(x) for r in of for x in (r["term"], r["idf"] * r["weight"])])
+    return F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.element_at(worth, x), F.lit(0.0)))
+
+
+def candidates(files: DataFrame, weights: list, similar: float) -> DataFrame:
+    """path, part and terms: what can reach `similar` of the lines of each file, of its runs of lines, and of whole license files.
+
+    Lines without words don't count. A run has no more lines than the longest notice has terms, so it holds a notice
+    however it is wrapped; it starts and ends with a template's term, as it would be nearer without other ends.
+    Left out is only what can't reach `similar`. By Cauchy-Schwarz a part needs a term of some template's heavier ones.
+    With d the sum of its terms' idf times their largest weight and o its other terms (none has an idf below 1), its
+    product with a template is at most d, and its square length at least that product's square plus o. What remains is
+    judged likewise for each template, the others' square length being at least their count squared by their number.
+    part is a hash of the text, so that no text goes with each of its terms.
+    """
+    heavy, most, up_to = set(), {}, {}
+    for r in sorted(weights, key=lambda r: (r["license"], r["weight"], r["term"])):
+        up_to[r["license"]] = up_to.get(r["license"], 0.0) + r["weight"] ** 2
+        most[r["term"]] = max(most.get(r["term"], 0.0), r["idf"] * r["weight"])
+        if up_to[r["license"]] >= similar * similar:
+            heavy.add(r["term"])
+    if not heavy:
+        return files.select("path", F.lit("").alias("part"), terms(F.col("text")).alias("terms")).where("false")
+    longest = max(sum(r["tf"] for r in weights if r["license"] == x) for x in up_to)
+    some = "(?i)(?<![0-9A-Za-z\\x80-\\x{10FFFF}])(?:" + "|".join(sorted(heavy)) + ")(?![0-9A-Za-z\\x80-\\x{10FFFF}])"
+    worth = F.create_map(*[F.lit(x) for kv in sorted(most.items()) for x in kv])
+
+    def stat(line: Column) -> Column:
+        known = F.filter(terms(line), lambda x: x.isin(*most))
+        d = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.element_at(worth, x))
+        return F.struct(d.alias("d"), (F.size(terms(line)) - F.size(known)).cast("double").alias("o"), line.rlike(some).alias("h"))
+
+    rows = files.where(F.col("text").rlike(some)).select("path", F.filter(F.split("text", r"\R"), lambda x: x.rlike(WORD)).alias("lines"))
+    rows = rows.select("path", "lines", F.transform("lines", stat).alias("stats"))
+    lines, stats, size = F.col("lines"), F.col("stats"), F.size("lines")
+
+    def total(run: Column, name: str) -> Column:
+        return F.aggregate(F.slice(stats, run["i"] + 1, run["n"]), F.lit(0.0), lambda acc, x: acc + x[name])
+
+    def near(run: Column) -> Column:
+        ends = (F.get(stats, run["i"])["d"] > 0) & (F.get(stats, run["i"] + run["n"] - 1)["d"] > 0)
+        able = total(run, "d") ** 2 * (1 - similar**2) + 1e-6 >= similar**2 * total(run, "o")
+        return (ends | (run["n"] == size)) & F.exists(F.slice(stats, run["i"] + 1, run["n"]), lambda x: x["h"]) & able
+
+    each = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(int(longest)), size - i)), lambda n: F.struct(i.alias("i"), n.alias("n")))))
+    whole = F.when(is_license_file(F.col("path")), F.array(F.struct(F.lit(0).alias("i"), size.alias("n")))).otherwise(F.slice(each, 1, 0))
+    parts = F.transform(F.filter(F.concat(each, whole), near), lambda r: F.array_join(F.slice(lines, r["i"] + 1, r["n"]), "\n"))
+    found = rows.where(size > 0).select("path", F.explode(F.array_distinct(parts)).alias("part"))
+    found = found.select("path", F.md5("part").alias("part"), terms(F.col("part")).alias("terms"))
+    found = found.select("path", "part", "terms", F.filter("terms", lambda x: x.isin(*most)).alias("known"), F.filter("terms", lambda x: ~x.isin(*most)).alias("other"))
+    o = F.coalesce(F.size("other") ** 2 / F.nullif(F.size(F.array_distinct("other")), F.lit(0)), F.lit(0.0))
+    able = [product(F.col("known"), [r for r in weights if r["license"] == x]) ** 2 * (1 - similar**2) + 1e-6 >= similar**2 * o for x in sorted(up_to)]
+    return found.where(reduce(Column.__or__, able)).select("path", "part", "terms").dropDuplicates(["path", "part"])
 
 
 def notices(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """path, license and score of the best notice of each file that has one, from path and text.
 
-    Every line of the whole text is compared. A line's terms that no template has weigh as if no file had them. Lines
-    that share only light terms with every template can't reach `similar` (by Cauchy-Schwarz), so only lines with one
-    of a template's heavier terms are weighed; this leaves nothing out. Equal scores go to the license first in order.
+    Compared are every line of the whole text, every run of lines that a wrapped notice can fill, and license files as
+    a whole. All terms weigh by the files that have them. Equal scores go to the license first in order.
     """
-    weights = settle(template_weights(files, templates))
-    light = F.sum(F.col("weight") ** 2).over(W.partitionBy("license").orderBy("weight", "term").rowsBetween(W.unboundedPreceding, 0))
-    heavy = [r["term"] for r in weights.withColumn("up_to", light).where(F.col("up_to") >= similar * similar).select("term").distinct().orderBy("term").collect()]
-    if not heavy:
-        return files.select("path", F.lit("").alias("license"), F.lit(0.0).alias("score")).where("false")
-    some = "(?i)(?<![0-9A-Za-z\\x80-\\x{10FFFF}])(?:" + "|".join(heavy) + ")(?![0-9A-Za-z\\x80-\\x{10FFFF}])"
-    lines = files.where(F.col("text").rlike(some)).select("path", F.explode(F.filter(F.array_distinct(F.split("text", r"\R")), lambda x: x.rlike(some))).alias("line")).distinct()
-    tf = lines.select("path", "line", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
-    rarest = F.log(F.lit(1.0) + F.coalesce(F.lit(weights.agg(F.max("files")).first()[0]), F.lit(0))) + 1.0
-    idf = weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("license", "weight")).alias("of"))
-    both = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", rarest))
-    length = F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("path", "line")))
-    dots = both.withColumn("length", length).where("of is not null").select("path", "line", "x", "length", F.explode("of").alias("o"))
-    dots = dots.groupBy("path", "line", "o.license").agg(F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9).alias("score")).where(F.col("score") >= similar)
+    n = files.count()
+    at = f"{shared_folder(files.sparkSession)}/terms-{uuid.uuid4()}"
+    document_frequencies(files).write.parquet(at)  # compressed, unlike a checkpoint
+    seen = files.sparkSession.read.parquet(at)
+    weights = settle(template_weights(seen, n, templates))
+    parts = candidates(files, weights.collect(), similar)
+    tf = parts.select("path", "part", F.explode("terms").alias("term")).groupBy("path", "part", "term").agg(F.count("*").alias("tf"))
+    of = weights.groupBy("term").agg(F.collect_list(F.struct("license", "weight")).alias("of"))
+    both = tf.join(seen, "term").withColumn("x", F.col("tf") * inverse(n, F.col("df"))).join(F.broadcast(of), "term", "left")
+    length = F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("path", "part")))
+    dots = both.withColumn("length", length).where("of is not null").select("path", "part", "x", "length", F.explode("of").alias("o"))
+    dots = dots.groupBy("path", "part", "o.license").agg(F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9).alias("score")).where(F.col("score") >= similar)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license")))
     return dots.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 

@@ -1,6 +1,7 @@
 """Operators in DataFrame functions only, against small models in Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -197,3 +198,39 @@ def test_license_scan(spark):
         ("a/x/COPYING", "CC-BY-NC-4.0", "header", None), ("a/x/y/z.txt", "CC-BY-NC-4.0", "inherited", "a/x/COPYING"), ("a/x/y/z.txt", "CC-BY-NC-4.0", "inherited", "a/x/COPYING"),
     ], key=str)
     assert license.scan(df.select("path", "text").where("false"), license.template_table(spark)).count() == 0
+
+
+def brute_notices(files, similar=0.6):
+    """Path to (license, score) by TF-IDF over all terms, of lines, runs of lines and whole license files."""
+    n, seen = len(files), Counter(t for _, x in files for t in set(low(x)))
+    idf = lambda t: math.log((1 + n) / (1 + seen[t])) + 1
+    vector = lambda x: {t: k * idf(t) for t, k in Counter(low(x)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    made = [(name, vector(notice)) for name, notice in license.TEMPLATES]
+    most, out = max(len(low(x)) for _, x in license.TEMPLATES), {}
+    for path, text in files:
+        lines = [x for x in (text or "").splitlines() if low(x)]
+        parts = ["\n".join(lines[i : i + k]) for i in range(len(lines)) for k in range(1, most + 1) if i + k <= len(lines)]
+        if re.fullmatch(r"(?i)(licen[cs]e|copying|notice)(\.\w+)?", (path or "").split("/")[-1]) and lines:
+            parts.append("\n".join(lines))
+        for v in map(vector, parts):
+            for name, w in made:
+                score = round(sum(x * v.get(t, 0) for t, x in w.items()) / norm(v) / norm(w), 9)
+                if score >= similar:
+                    out[path] = min(out.get(path, (0, "")), (-score, name))
+    return {p: (name, -s) for p, (s, name) in out.items()}
+
+
+def test_license_scores_equal_brute_force(spark):
+    common = ["for this file and all of it mit einem Wort", "Copyright 2020 the authors and others", "use of this work is subject to review by the others"]
+    files = [(f"p/{i}.txt", "\n".join(common[: i % 3 + 1]) + f"\nword{i} for and file") for i in range(120)]
+    for i, (_, notice) in enumerate(license.TEMPLATES):
+        w = notice.split()
+        files += [(f"n{i}/one.txt", f"{notice} for"), (f"n{i}/two.txt", f"x\n// {notice} and file"), (f"n{i}/rare.txt", f"{notice} unheard{i} of{i} here{i}"), (f"n{i}/half.txt", " ".join(w[len(w) // 2 :]))]
+        files += [(f"n{i}/wrapped.txt", "Copyright\n\n# " + " ".join(w[:4]) + "\r\n#\n# " + " ".join(w[4:]) + "\nend"), (f"n{i}/each.txt", "\n".join(w)), (f"n{i}/LICENSE", "\n".join(w + ["for", "and"] + w))]
+    want = brute_notices(files)
+    assert {"n1/one.txt", "n0/wrapped.txt", "n1/each.txt", "n2/LICENSE"} <= set(want) and not any(p.startswith("p/") for p in want)
+    got = {r["path"]: (r["license"], r["score"]) for r in license.notices(spark.createDataFrame(files, "path string, text string"), license.template_table(spark)).collect()}
+    assert set(got) == set(want)
+    for p, (name, score) in want.items():
+        assert got[p][1] == pytest.approx(score, abs=2e-9) and got[p][0] == name, p
