@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +117,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, quarters_
     return met.mapInPandas(meet, "a long, b long").where("a <> b")
 
 
+def fingerprint_components(fps: DataFrame, radius: int) -> DataFrame:
+    """fp and component (the smallest fp that links of at most `radius` bits reach) for every distinct fingerprint."""
+    linked = components(near_links(fps, radius))
+    return fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint and component_id for every row of docs; reads doc_id and text only.
 
@@ -138,10 +143,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near-duplicates, that with the smallest doc_id; columns as in docs.
 
-    Of rows with equal doc_id the first by text stays.
+    Groups are of rows, not of ids: rows with equal doc_id, or with none, stay if their texts are in different groups.
+    A null doc_id is larger than any other; of rows with equal doc_id in one group the first by the text's hash stays.
     """
-    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    rows = docs.select(key, F.struct(*docs.columns).alias("row")).join(kept, "key", "left_semi")
-    first = F.row_number().over(W.partitionBy("key").orderBy("row.text"))
-    return rows.withColumn("n", first).where("n = 1").select("row.*")
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("hash")]
+    rows = settle(docs.select(F.isnull("doc_id").alias("none"), *key, fingerprints("text").alias("fp")))
+    of = fingerprint_components(settle(rows.select("fp").distinct()), RADIUS)
+    first = F.min(F.struct("none", "key", "hash")).alias("f")
+    kept = rows.groupBy("fp").agg(first).join(of, "fp").groupBy("component").agg(F.min("f").alias("f")).select("f.key", "f.hash")
+    each = docs.select(*key, F.struct(*docs.columns).alias("row")).groupBy("key", "hash").agg(F.first("row").alias("row"))
+    return each.join(kept, ["key", "hash"], "left_semi").select("row.*")

@@ -216,3 +216,15 @@ def test_gradients_match_differences():
         down = loss()
         net.p[k][at] = old
         assert abs((up - down) / 2e-2 - grad[k][at]) < 2e-3 + 0.05 * abs(grad[k][at]), k
+
+
+def test_keep_one_goes_by_rows_and_not_by_ids(spark):
+    text = lambda *at: " ".join(f"w{i}" for i in range(*at))
+    rows = [(None, text(0, 90)), (None, text(100, 190)), (None, text(100, 190)), (7, text(200, 290)), (7, text(300, 390)), (3, text(300, 390)), (7, text(400, 490)), (7, text(400, 490)), (None, text(200, 290))]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, key string")
+    want = [(None, text(0, 90)), (None, text(100, 190)), (7, text(200, 290)), (3, text(300, 390)), (7, text(400, 490))]
+    for n in (1, 4):
+        kept = simhash.keep_one(df.repartition(n))
+        assert kept.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one(df.where("false")).count() == 0
