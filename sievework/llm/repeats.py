@@ -103,8 +103,7 @@ def first_digits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(key, kind="stable")
     k, d = key[order], doc[order]
     new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    last = np.append(new[1:], len(k))[: len(new)] - 1
-    return k[new], d[new] != d[last]
+    return k[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new) if len(k) else np.zeros(0, bool)
 
 
 class Chunk:

@@ -228,3 +228,12 @@ def test_keep_one_goes_by_rows_and_not_by_ids(spark):
         assert kept.columns == df.columns
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_repeats_in_every_order_of_ids(spark):
+    passage = "a passage of well over fifty bytes that several rows hold, whatever their ids"
+    for ids in ([1, 2, 1], [None, 5, None], [2, 1, 2], [5, None, 5], [1, 2, 1, 3], [None, None]):
+        rows = [(repeats.LAST if i is None else i, f"{k} {passage} {k}") for k, i in enumerate(ids)]
+        df = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows)], "doc_id long, text string").coalesce(1)
+        got = sorted((repeats.LAST if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect())
+        assert got == brute_repeats(rows), ids
