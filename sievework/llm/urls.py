@@ -12,7 +12,7 @@ from sievework.llm.common import ascii_lower, settle
 LISTED = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 BAD = "label=bad"
 #: A rule needs this share of the labelled pages and this many of them.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_ITEMS = 0.002, 20, 0.5, 4
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.5
 BROADCAST_RULES = 100_000
 
 
@@ -53,12 +53,12 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(hosts, steps, asked, rest))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules that point at bad pages: rule_id, items, confidence, support, n.
 
     Labels belong to the page whose page_id is their doc_id; a page is bad if it is toxic or of low quality, and equal
-    labels of one page count once. All labelled pages are mined. A rule that holds another rule of no less confidence
-    is pruned. Without labels there are no rules.
+    labels of one page count once. All labelled pages are mined. Rules may have any number of items; one that
+    holds a rule of one item less and no less confidence is pruned, which changes no verdict or confidence. Without labels there are no rules.
     """
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
@@ -70,12 +70,12 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
         return baskets.select(F.lit(0).alias("rule_id"), "items", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"), F.lit(0).alias("n"))
     least = min(1.0, max(min_support, min_count / n))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.get("consequent", F.lit(0)) == BAD) & (F.size("antecedent") <= max_items))
+    rules = model.associationRules.where(F.get("consequent", F.lit(0)) == BAD)
     rules = settle(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
     rules = rules.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support", F.size("items").alias("n"))
-    parts = rules.select("rule_id", "n", "confidence", F.explode("items").alias("item"))
-    shorter = parts.select(F.col("rule_id").alias("other"), F.col("n").alias("other_n"), F.col("confidence").alias("other_c"), "item")
-    held = parts.join(shorter, "item").where("other_n < n and other_c >= confidence").groupBy("rule_id", "other").agg(F.count("*").alias("k"), F.max("other_n").alias("m")).where("k = m")
+    shorter = rules.select("rule_id", "confidence", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
+    other = rules.select(F.col("items").alias("part"), F.col("confidence").alias("other_c"))
+    held = shorter.join(other, "part").where("other_c >= confidence").select("rule_id").distinct()
     return settle(rules.join(held, "rule_id", "left_anti"))
 
 

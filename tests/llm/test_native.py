@@ -186,6 +186,19 @@ def test_mined_url_rules(spark):
     assert got[900] == "block" and got[901] == "allow" and {got[i] for i, _ in good} == {"allow"}
 
 
+def test_mined_url_rules_of_many_items(spark):
+    """Five tokens mark a bad page; any four of them are on more good pages than bad ones."""
+    tokens, others = ["spam.net", "win", "now", "a=b", "c=d"], ["news.org", "x", "y", "e=f", "g=h"]
+    url = lambda t: f"https://{t[0]}/{t[1]}/{t[2]}?{t[3]}&{t[4]}"
+    bad = [(i, url(tokens)) for i in range(30)]
+    good = [(100 + 40 * k + i, url(tokens[:k] + [others[k]] + tokens[k + 1 :])) for k in range(5) for i in range(31)]
+    pages = spark.createDataFrame(bad + good + [(900, url(tokens)), (901, url(others))], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in urls.judge_urls(pages, labels).where("rule is null").collect()}
+    assert got[900] == ("block", 1.0) and {got[i] for i, _ in bad} == {("block", 1.0)}
+    assert all(got[i][0] == "allow" for i, _ in good if i in got)
+
+
 def test_license_scan(spark):
     files = [
         ("a/LICENSE", "Text\nReleased under the MIT License.\n"), ("a/b/c.txt", "nothing"), ("a/b/d.txt", "prose\n\n  licensed under the APACHE license, version 2.0\nmore"), ("ab/c.txt", "x"), ("top.txt", None), (None, "y"),
