@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Narrow rows (some 100 bytes each) up to which a counted side of a join is broadcast.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where that is missing, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of this machine where that is missing and Spark runs in this process alone.
+
+    On a cluster a missing setting is an error: executors would not see a folder of this machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -28,6 +40,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """small with a broadcast hint where a count shows that it has few narrow rows; else Spark shuffles it like any other."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; every other letter stays."""
     return F.translate(text, UPPER, LOWER)
@@ -56,3 +73,35 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")
         )
         star = settle(small.select("e.hi", "e.lo").where("hi <> lo").distinct())
+
+
+def in_groups(rows: DataFrame, key: str, block: int, compare: Callable[[dict[str, np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """compare() over whole groups of rows (node and others) with equal key.
+
+    A group of more than about `block` rows is cut into blocks by a hash, and each pair of blocks is a group of its own,
+    so no task gets a large group whole and no pair leaves its group. Only such large groups are counted out.
+    """
+    large = settle(rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > block).select(F.col(key).alias("large"), F.ceil(F.col("m") / block).alias("blocks")))
+    cut = rows.join(broadcast_if(large), F.col(key) == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    by = [key, "i", "j"]
+    cut = cut.repartition(*by).sortWithinPartitions(*by)
+
+    def whole(held: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        return compare({"group": group} | {c: held[c].to_numpy() for c in held.columns})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            group = np.cumsum((held[by] != held[by].shift()).any(axis=1).to_numpy())
+            last = int(np.searchsorted(group, group[-1])) if len(held) else 0
+            if last:
+                yield whole(held.iloc[:last], group[:last])
+                held = held.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield whole(held, np.cumsum((held[by] != held[by].shift()).any(axis=1).to_numpy()))
+
+    return cut.mapInPandas(run, schema)

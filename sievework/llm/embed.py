@@ -1,4 +1,13 @@
-"""Near-duplicate embeddings by Euclidean p-stable hashing with exact cosine checks."""
+"""Near-duplicate embeddings by Euclidean p-stable hashing with exact cosine checks.
+
+1. Equal vectors are one class. The unit vector of each class gets a bucket in every table, from quantised random
+   projections, and a sketch of 128 signs.
+2. Only numbers, buckets and sketches go to the buckets. Members whose sketches differ in no more bits than those of a
+   pair at the threshold are joined into groups of candidates; a bucket gives back at most one link for a member.
+3. Each vector goes to its group, and all pairs of the group are compared by exact cosines in double precision.
+
+So vectors travel once, however many tables there are, and every pair is counted once, in its group.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +18,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.llm.common import components, settle
+from sievework.llm.common import components, in_groups, settle
 from sievework.llm.simhash import spanning
 
 COSINE, WIDTH, SEED = 0.95, 2.0, 42
-#: Chance that a pair of just COSINE meets in no table, and rows of one bucket that are compared in one piece, about.
-MISS, BLOCK = 0.01, 512
+#: Chance that a pair of just COSINE meets in no table; chance that its sketches differ too much.
+MISS, SKETCH_MISS, SIGNS = 0.01, 1e-3, 128
+#: Unrelated vectors in a bucket, about: they cost one exclusive-or for each pair.
+CROWD = 128
+#: Members of one bucket and vectors of one group that are compared in one piece, about.
+BUCKET_BLOCK, BLOCK = 4096, 1024
 
 
 def meets(distance: float, width: float = WIDTH) -> float:
@@ -24,13 +38,23 @@ def meets(distance: float, width: float = WIDTH) -> float:
     return math.erf(c / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
 
 
-def table_plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """(projections in a table, tables): unrelated vectors meet about once in a table, close ones nearly always."""
+def table_plan(n: int, cosine: float = COSINE, miss: float = MISS, crowd: int = CROWD) -> tuple[int, int]:
+    """(projections in a table, tables): a bucket holds about `crowd` unrelated vectors, close ones meet nearly always."""
     near, far = meets(math.sqrt(2 - 2 * cosine)), meets(math.sqrt(2))
-    k = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    k = max(4, math.ceil(math.log(max(n / crowd, 2)) / -math.log(far)))
     return k, math.ceil(math.log(miss) / math.log1p(-(near**k)))
 
 
+def sketch_radius(cosine: float = COSINE, miss: float = SKETCH_MISS) -> int:
+    """The least number of bits that two sketches of such a cosine exceed with no more than this chance."""
+    p, upto = math.acos(cosine) / math.pi, 0.0
+    for r in range(SIGNS + 1):
+        upto += math.comb(SIGNS, r) * p**r * (1 - p) ** (SIGNS - r)
+        if upto >= 1 - miss:
+            return r
+    return SIGNS
+
+
 def unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x /= np.abs(x).max(1, keepdims=True)
@@ -38,13 +62,20 @@ def unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
 
 
 def buckets(x: np.ndarray, k: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """The bucket of every unit vector in every table, as int32; projections depend on seed and dimension alone."""
+    """A 64-bit name of the bucket of every unit vector in every table; depends on seed and dimension alone."""
     rng = np.random.default_rng([seed, x.shape[1]])
     h = np.floor((x @ rng.standard_normal((x.shape[1], k * tables)) + rng.uniform(0, WIDTH, k * tables)) / WIDTH).astype(np.int64)
-    mix = rng.integers(1, 1 << 62, k * tables) | 1
-    s = (h * mix).reshape(len(x), tables, k).sum(2).view(np.uint64)
-    s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    mix, salt = rng.integers(1, 1 << 62, k * tables) | 1, rng.integers(1, 1 << 62, tables)
+    s = ((h * mix).reshape(len(x), tables, k).sum(2) + salt).view(np.uint64)
+    for _ in range(2):
+        s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (s ^ (s >> np.uint64(32))).view(np.int64)
+
+
+def sketches(x: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The signs of random projections of every unit vector, as two numbers."""
+    at = np.random.default_rng([seed, x.shape[1], SIGNS]).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ at > 0, axis=1).view(np.int64)
 
 
 def pairs_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,82 +86,98 @@ def pairs_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
 
 
-def links(g: dict[str, np.ndarray], cosine: float, small: int = 64) -> pd.DataFrame:
-    """a, b, n: for each vector with links its number of new ones (b null), and links that span the components.
+def near_pairs(new: np.ndarray, g: dict[str, np.ndarray], some, product, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the near pairs of whole groups that begin at the places `new`.
 
-    g holds whole groups, one after another, of vectors of one dimension. Small groups are compared all at once, pair by
-    pair, others as a product of matrices. A pair that also meets in an earlier table is left to that table.
+    Small groups are compared all at once by some(u, v), the others by product(left, right); a group of two different
+    blocks holds the pairs of one block's rows with the other's.
     """
-    x, at = unit(g["embedding"]), np.stack(g["at"])
-    new = np.flatnonzero(np.concatenate([[True], g["group"][1:] != g["group"][:-1]]))
-    size = np.diff(np.append(new, len(x)))
+    size = np.diff(np.append(new, len(g["node"])))
     short = (size <= small) & (g["i"][new] == g["j"][new])
     rows = np.flatnonzero(np.repeat(short, size))
-    us, vs = [], []
-    u, v = pairs_in(size[short])
-    for k in range(0, len(u), 1 << 18):
-        p, q = rows[u[k : k + (1 << 18)]], rows[v[k : k + (1 << 18)]]
-        near = np.einsum("nd,nd->n", x[p], x[q]) >= cosine
-        us, vs = [*us, p[near]], [*vs, q[near]]
+    upto, begin = np.cumsum(size[short]), 0
+    while begin < short.sum():  # as many small groups at a time as have about a million pairs
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(size[short][begin:] ** 2), 1 << 20)) + begin)
+        u, v = pairs_in(size[short][begin:end])
+        first = upto[begin] - size[short][begin]
+        u, v = rows[u + first], rows[v + first]
+        near = some(u, v)
+        yield u[near], v[near]
+        begin = end
     for s, m in zip(new[~short], size[~short]):
         block, i, j = g["block"][s : s + m], g["i"][s], g["j"][s]
         left, right = s + np.flatnonzero(block == i), s + np.flatnonzero(block == j)
-        p, q = np.nonzero(x[left] @ x[right].T >= cosine)
-        p, q = left[p], right[q]
-        us, vs = [*us, p[p < q] if i == j else p], [*vs, q[p < q] if i == j else q]
-    u, v = np.concatenate([np.zeros(0, int), *us]), np.concatenate([np.zeros(0, int), *vs])
-    mine = np.concatenate([np.zeros(0, bool), *((at[u[k : k + (1 << 18)]] == at[v[k : k + (1 << 18)]]).argmax(1) == g["t"][u[k : k + (1 << 18)]] for k in range(0, len(u), 1 << 18))])
-    u, v = u[mine], v[mine]
-    if not len(u):
-        return pd.DataFrame({"a": [], "b": [], "n": []})
-    ids, own = np.unique(g["rep"], return_inverse=True)
-    found = np.zeros(len(ids), np.int64)
-    np.add.at(found, own[u], g["n"][v])
-    np.add.at(found, own[v], g["n"][u])
-    p, q = spanning(own[u], own[v], len(ids))
+        for k in range(0, len(left), 256):
+            p, q = np.nonzero(product(left[k : k + 256], right))
+            p, q = left[k : k + 256][p], right[q]
+            keep = p < q if i == j else np.ones(len(p), bool)
+            yield p[keep], q[keep]
+
+
+def starts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
+def candidate_links(g: dict[str, np.ndarray], radius: int) -> pd.DataFrame:
+    """a and b: links that span the components of the members whose sketches are near, at most one for a member."""
+    one, two, n = g["one"].view(np.uint64), g["two"].view(np.uint64), len(g["node"])
+    us, vs = np.zeros(0, int), np.zeros(0, int)
+
+    def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(one[u] ^ one[v]) + np.bitwise_count(two[u] ^ two[v]) <= radius
+
+    for u, v in near_pairs(starts(g["group"]), g, near, lambda p, q: near(p[:, None], q[None, :])):
+        us, vs = np.concatenate([us, u]), np.concatenate([vs, v])
+        if len(us) > 1 << 20:
+            us, vs = spanning(us, vs, n)
+    us, vs = spanning(us, vs, n)
+    return pd.DataFrame({"a": g["node"][us], "b": g["node"][vs]})
+
+
+def exact_links(g: dict[str, np.ndarray], cosine: float) -> pd.DataFrame:
+    """a, b, n: for each vector with links the number of vectors they lead to (b null), and links that span the components."""
+    x, n = unit(g["embedding"]), len(g["node"])
+    found, us, vs = np.zeros(n, np.int64), np.zeros(0, int), np.zeros(0, int)
+    pairs = near_pairs(starts(g["group"]), g, lambda u, v: np.einsum("nd,nd->n", x[u], x[v]) >= cosine, lambda p, q: x[p] @ x[q].T >= cosine)
+    for u, v in pairs:
+        np.add.at(found, u, g["n"][v])
+        np.add.at(found, v, g["n"][u])
+        us, vs = np.concatenate([us, u]), np.concatenate([vs, v])
+        if len(us) > 1 << 20:
+            us, vs = spanning(us, vs, n)
+    us, vs = spanning(us, vs, n)
     some = np.flatnonzero(found)
-    return pd.DataFrame({"a": np.concatenate([ids[some], ids[p]]), "b": pd.array([*[None] * len(some), *ids[q].tolist()], "Int64"), "n": np.concatenate([found[some], np.zeros(len(p), np.int64)])})
+    b = pd.array([*[None] * len(some), *g["node"][vs].tolist()], "Int64")
+    return pd.DataFrame({"a": g["node"][np.concatenate([some, us])], "b": b, "n": np.concatenate([found[some], np.zeros(len(us), np.int64)])})
 
 
-def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Columns a, b and n as from links(), over classes with rep, embedding and n.
-
-    Buckets of one vector fall away before vectors are sent anywhere. A large bucket is cut into blocks by a hash, and
-    each pair of blocks is a group of its own, so no task gets a large bucket whole and no pair leaves its group.
-    """
-    k, tables = table_plan(classes.count())
+def candidate_groups(classes: DataFrame, cosine: float, block: int = BUCKET_BLOCK) -> DataFrame:
+    """node and grp (the smallest node of its group) for the classes that have a candidate."""
+    k, tables = table_plan(classes.count(), cosine)
+    radius = sketch_radius(cosine)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, same in batch.groupby(batch["embedding"].map(len)):
-                yield same[["rep", "embedding", "n"]].assign(at=list(buckets(unit(same["embedding"]), k, tables)))
-
-    signed = settle(classes.mapInPandas(sign, "rep long, embedding array<float>, n long, at array<int>"))
-    met = signed.select("rep", F.size("embedding").alias("d"), F.posexplode("at").alias("t", "bucket"))
-    full = met.groupBy("d", "t", "bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block))
-    met = met.join(full, ["d", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = met.select("rep", "d", "t", "bucket", "block", other.alias("other"))
-    met = met.select("rep", "d", "t", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    key = ["d", "t", "bucket", "i", "j"]
-    met = met.join(signed, "rep").repartition(*key).sortWithinPartitions(*key)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            group = np.cumsum((held[key] != held[key].shift()).any(axis=1).to_numpy())
-            last = int(np.searchsorted(group, group[-1])) if len(held) else 0
-            yield from whole(held.iloc[:last].assign(group=group[:last]))
-            held = held.iloc[last:]
-        if held is not None and len(held):
-            yield from whole(held.assign(group=0))
+                x = unit(same["embedding"])
+                one, two = np.repeat(sketches(x), tables, axis=0).T
+                yield pd.DataFrame({"node": np.repeat(same["node"].to_numpy(), tables), "bucket": buckets(x, k, tables).ravel(), "one": one, "two": two})
 
-    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, same in rows.groupby("d", sort=False):
-            yield links({c: same[c].to_numpy() for c in same.columns}, cosine)
+    met = classes.select("node", "embedding").mapInPandas(sign, "node long, bucket long, one long, two long")
+    linked = components(in_groups(met, "bucket", block, lambda g: candidate_links(g, radius), "a long, b long"))
+    return linked.union(linked.select("component", "component").distinct()).select("node", F.col("component").alias("grp"))
 
-    return met.select("rep", "embedding", "n", "at", "block", *key).mapInPandas(compare, "a long, b long, n long")
+
+def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """Columns a, b and n as from exact_links(), over classes with node, embedding and n."""
+    groups = settle(candidate_groups(classes, cosine))
+    members = groups.join(classes.select("node", "embedding", "n"), "node").withColumn("d", F.size("embedding"))
+
+    def compare(g: dict[str, np.ndarray]) -> pd.DataFrame:
+        parts = [exact_links({c: x[g["d"] == d] for c, x in g.items()}, cosine) for d in np.unique(g["d"])]
+        return pd.concat(parts, ignore_index=True)
+
+    return in_groups(members, "grp", block, compare, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -138,16 +185,30 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty or zero, or hold a null or a component that is not finite, link with nothing, as do
     vectors of different dimensions. Equal vectors are one class and count as linked; the cosine of two classes is
-    taken in double precision. Repeated rows stay and count as vectors of their own; no rows give no rows.
+    taken in double precision of the components as given. A null vec_id is larger than any other: its row counts and
+    links like the rest, and is kept only where its whole component has none. Repeated rows stay and count as vectors of
+    their own; a vector of any length is hashed whole; no rows give no rows.
     """
+    if not isinstance(rows.schema["embedding"].dataType.elementType, (T.FloatType, T.DoubleType)):
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     fine = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.col("embedding").cast("array<float>")).alias("embedding"))
-    classes = settle(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    found = settle(near_links(classes.where("rep is not null"), cosine))
-    linked = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
-    classes = classes.join(counts, "rep", "left").join(linked, "rep", "left").select("embedding", "rep", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    component = F.coalesce("component", "vec_id")
-    return rows.join(classes, "embedding", "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
+    rows = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.col("embedding")).alias("embedding"))
+    key = [F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("h2")]  # 128 bits
+    classes = rows.where("embedding is not null").select(*key, "vec_id", "embedding").groupBy("h", "h2")
+    classes = classes.agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = settle(near_links(classes, cosine))
+    linked = components(found.where("b is not null").select("a", "b"))
+    linked = linked.union(linked.select("component", "component").distinct())
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
+    reps = classes.select("node", "rep", "h", "h2", "n")
+    least = linked.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    named = reps.join(counts, "node", "left").join(linked, "node", "left").select(
+        F.col("h").alias("class_h"), F.col("h2").alias("class_h2"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("least", "rep").alias("least"), F.lit(True).alias("found")
+    )
+    mine = rows.select("vec_id", *[F.when(F.col("embedding").isNotNull(), k).alias(f"my_{n}") for k, n in zip(key, ("h", "h2"))])
+    component = F.when(F.col("found"), F.col("least")).otherwise(F.col("vec_id"))
+    return mine.join(named, (F.col("my_h") == F.col("class_h")) & (F.col("my_h2") == F.col("class_h2")), "left").select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
