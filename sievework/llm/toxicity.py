@@ -2,8 +2,12 @@
 
 A word's input is an embedding of the word and the mean embedding of its character 3- to 5-grams, both hashed. Gated
 recurrent units read windows of 32 words forwards and backwards, attention pools their states, and a document's score
-is that of its worst window; windows overlap by half and cover the whole text. The network is trained here, in numpy,
-on a bounded sample of labelled documents.
+is that of its worst window; windows overlap by half and cover the whole text.
+
+The network is trained here, in numpy, on a bounded sample of labelled documents, of which Spark reads the whole texts:
+first to count which words and n-grams stand in toxic and in clean documents, then to find the windows with most
+evidence among all windows of each document, and, once trained, to score all windows of the documents that were set apart
+for the threshold.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm.common import settle
+
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, GRAMS, DIM = 1 << 14, 1 << 16, 8
 #: Embeddings that fewer sampled documents use stay at zero: what one document alone has is not evidence.
@@ -25,8 +31,8 @@ LEAST_DOCS = 3
 #: Log odds from which a word is not swapped for a clean one while training.
 EVIDENCE = 2.0
 THRESHOLD = 0.7
-#: At most so many toxic and clean documents are trained on, and so many windows of each.
-SAMPLE, SAMPLE_WINDOWS = (1500, 3000), 12
+#: At most so many toxic and clean documents are sampled; of the windows of each so many, chosen among all, are learned from.
+SAMPLE, LEARNED_WINDOWS = (1500, 3000), 12
 STEPS, BATCH, RATE, SEED = 320, 256, 0.01, 42
 LEXICON, BLOCK = 300_000, 2048
 FIND = re.compile(r"\w+").findall
@@ -216,47 +222,44 @@ class Network:
         return grad
 
 
-def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network | None:
-    """A network from rows of doc_id, toxic and words; None unless both labels occur.
+class Evidence:
+    """Log odds of hashed words and n-grams, from the numbers of toxic and clean documents that have them."""
+
+    def __init__(self, use: dict[str, np.ndarray], docs: np.ndarray) -> None:
+        self.known = {k: x.sum(0) >= LEAST_DOCS for k, x in use.items()}
+        odds = {k: np.log((x[1] + 1) / (docs[1] + 2)) - np.log((x[0] + 1) / (docs[0] + 2)) for k, x in use.items()}
+        self.odds = {k: np.where(self.known[k], x, 0) for k, x in odds.items()}
+
+    def of(self, rows: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each word, given features(): its own log odds and the largest of its n-grams'."""
+        if not len(rows):
+            return np.zeros(0)
+        return self.odds["word"][rows] + np.maximum.reduceat(self.odds["gram"][flat], np.cumsum(size) - size)
+
+
+def train(windows: pd.DataFrame, evidence: Evidence, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network:
+    """A network from rows of doc, toxic, at and words, which hold both labels.
 
     Only a document is labelled, so a toxic document stands with its worst window, and half of the clean windows are
-    the worst of all. First the log odds of words and n-grams say which those are, then, again and again, the network.
-    Words, and more often their word embeddings alone, are left out at random, and in toxic windows half of the words
-    without evidence give way to clean ones, so that a window is not learned by heart. A fifth of the documents is not trained
-    on; at the end the bias is moved so that the best cut between these documents' scores lies at the threshold.
+    the worst of all. First the evidence says which those are, then, again and again, the network. Words, and more often
+    their word embeddings alone, are left out at random, and in toxic windows half of the words without evidence give
+    way to clean ones, so that a window is not learned by heart.
     """
-    windows = windows.sort_values(["doc_id", "at"], kind="stable").reset_index(drop=True)
-    toxic = windows["toxic"].to_numpy() == 1
-    if not toxic.any() or toxic.all():
-        return None
+    windows = windows.sort_values(["doc", "at"], kind="stable").reset_index(drop=True)
+    toxic, of = windows["toxic"].to_numpy() == 1, windows["doc"].to_numpy()
     net, rng = Network(seed), np.random.default_rng(seed)
     look = Lexicon()
     ids = np.zeros((len(windows), WINDOW), np.int32)
     for i, w in enumerate(windows["words"]):
         w = [look[x] for x in w.split()]
         ids[i, : len(w)] = w
-    vocabulary = look.pending
-    rows, flat, size = features(vocabulary)
-    of = np.cumsum(windows["doc_id"].ne(windows["doc_id"].shift()).to_numpy())
-    apart = of % 5 == 0
-    if not (toxic & ~apart).any() or not (toxic & apart).any():
-        apart = np.zeros(len(of), bool)
-    pair = np.unique((of[:, None] * np.int64(len(vocabulary) + 1) + ids)[(ids > 0) & ~apart[:, None]])
-    doc_word = np.stack(np.divmod(pair, len(vocabulary) + 1)) - [[0], [1]]
-    begin, begins = np.cumsum(size) - size, np.flatnonzero(np.diff(of, prepend=0))
-    use = {k: np.zeros((2, n), np.int64) for k, n in (("word", WORDS), ("gram", GRAMS))}
-    for doc, w in zip(np.unique(doc_word[0]), np.split(doc_word[1], np.flatnonzero(np.diff(doc_word[0])) + 1)):
-        n, y = size[w], int(toxic[begins[doc - 1]])
-        use["word"][y, np.unique(rows[w])] += 1
-        use["gram"][y, np.unique(flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
-    known = {k: x.sum(0) >= LEAST_DOCS for k, x in use.items()}
-    docs = np.bincount(toxic[begins][~apart[begins]].astype(int), minlength=2)
-    odds = {k: np.where(known[k], np.log((x[1] + 1) / (docs[1] + 2)) - np.log((x[0] + 1) / (docs[0] + 2)), 0) for k, x in use.items()}
-    of_word = np.append(odds["word"][rows] + np.maximum.reduceat(odds["gram"][flat], begin), -99.0)
+    rows, flat, size = features(look.pending)
+    begin = np.cumsum(size) - size
+    of_word = np.append(evidence.of(rows, flat, size), -99.0)
     score = of_word[ids - 1].max(1)
-    for k, some in known.items():
+    for k, some in evidence.known.items():
         net.p[k][~some] = 0
-    clean, learned = np.flatnonzero(~toxic & ~apart), toxic & ~apart
+    clean = np.flatnonzero(~toxic)
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
 
     def all_scores() -> np.ndarray:
@@ -268,83 +271,138 @@ def train(windows: pd.DataFrame, steps: int = STEPS, batch: int = BATCH, rate: f
         if step > steps // 8 and step % (steps // 6) == 1:
             score = all_scores()
         if step == 1 or step % (steps // 6) == 1:
-            bad = pd.DataFrame({"s": score, "of": of})[learned].groupby("of")["s"].idxmax().to_numpy()
+            bad = pd.DataFrame({"s": score, "of": of})[toxic].groupby("of")["s"].idxmax().to_numpy()
             hard = clean[np.argsort(-score[clean])[: max(batch, len(clean) // 40)]]
         some = np.concatenate([rng.choice(bad, batch // 4), rng.choice(clean, batch * 3 // 8), rng.choice(hard, batch * 3 // 8)])
         x, y = ids[some], toxic[some].astype(np.float32)
         other = ids[rng.choice(clean, batch)]
         x = np.where(toxic[some, None] & (rng.random(x.shape) < 0.5) & (x > 0) & (other > 0) & (of_word[x - 1] < EVIDENCE), other, x)
         grad = net.gradients(x, y, rows, flat, size, rng.random(x.shape) > 0.1, rng.random(x.shape) > 0.5)
-        for k, seen in known.items():
+        for k, seen in evidence.known.items():
             grad[k][~seen] = 0
         now = rate * (1 - 0.9 * step / steps)
         for k, g in grad.items():
             mean[k] += 0.1 * (g - mean[k])
             square[k] += 0.001 * (g * g - square[k])
-            net.p[k] -= now * (mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8) + (0.01 * net.p[k] if k in ("word", "gram") else 0))
-    worst = np.maximum.reduceat(all_scores().astype(float), begins)
-    logit = np.log(np.clip(worst, 1e-9, 1 - 1e-7) / (1 - np.clip(worst, 1e-9, 1 - 1e-7)))
-    judge = apart[begins] if apart.any() else np.ones(len(begins), bool)
-    net.p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - least_errors(logit[judge], toxic[begins][judge]))
+            change = mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+            net.p[k] -= now * (change + (0.01 * net.p[k] if k in ("word", "gram") else 0))
     net.lexicon, net.table = Lexicon(), None
     return net
 
 
 def least_errors(score: np.ndarray, toxic: np.ndarray) -> float:
-    """A cut between the clean scores below the best F1's cut and the bulk of the toxic scores."""
+    """The cut with the best F1, half way to the next score below, or above that towards the bulk of the toxic scores."""
     order = np.argsort(-score, kind="stable")
     s, hit = score[order], np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + toxic.sum())
     k = int(f1.argmax())
     low = s[k + 1] if k + 1 < len(s) else s[k] - 1
-    return float(low + (np.quantile(score[toxic], 0.1) - low) * 0.65)
+    return float(max((s[k] + low) / 2, low + (np.quantile(score[toxic], 0.1) - low) * 0.65))
+
 
+def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """doc (a number from the id), toxic, apart and text of at most so many toxic and clean labelled documents.
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
-    """A network trained on windows of at most so many toxic and clean documents, those least by a hash of the id."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    They are those least by a hash of the id among ids that are not held out. An id with several labels is toxic if any
+    says so, and stands once, with the first of its texts. apart marks a fifth that is not trained on.
+    """
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in zip((1, 0), sample)]
-    some = some[0].union(some[1]).distinct()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")  # as many ids as the sample has
+    one = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return one.select(F.xxhash64("doc_id").alias("doc"), "toxic", (F.floor(number / 3) % 5 == 0).alias("apart"), "text")
+
+
+def count_evidence(chosen: DataFrame) -> Evidence:
+    """From the whole texts; what is collected has a row for each hashed word and n-gram at most."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use = {"word": np.zeros((2, WORDS), np.int64), "gram": np.zeros((2, GRAMS), np.int64), "doc": np.zeros((2, 1), np.int64)}
+        for batch in batches:
+            for y, text in zip(batch["toxic"], batch["text"]):
+                rows, flat, _ = features(list(set(words(text))))
+                use["word"][y, np.unique(rows)] += 1
+                use["gram"][y, np.unique(flat)] += 1
+                use["doc"][y, 0] += 1
+        for kind, x in use.items():
+            y, at = np.nonzero(x)
+            yield pd.DataFrame({"kind": kind, "toxic": y, "at": at, "n": x[y, at]})
+
+    counted = chosen.select("toxic", "text").mapInPandas(count, "kind string, toxic int, at int, n long").groupBy("kind", "toxic", "at").agg(F.sum("n").alias("n")).toPandas()
+    use = {k: np.zeros((2, n), np.int64) for k, n in (("word", WORDS), ("gram", GRAMS), ("doc", 1))}
+    for kind, x in counted.groupby("kind"):
+        use[kind][x["toxic"].to_numpy(), x["at"].to_numpy()] = x["n"].to_numpy()
+    docs = use.pop("doc")[:, 0]
+    return Evidence(use, docs)
+
+
+def suspicious_windows(chosen: DataFrame, evidence: Evidence, most: int = LEARNED_WINDOWS) -> pd.DataFrame:
+    """doc, toxic, at and words of up to `most` windows of each document, chosen among all its windows.
+
+    Of a toxic document these are the windows with most evidence; of a clean one half are, the others are any.
+    """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, y, text in zip(batch["doc_id"], batch["toxic"], batch["text"]):
+            for doc, y, text in zip(batch["doc"], batch["toxic"], batch["text"]):
                 w = words(text)
-                starts = window_starts(len(w))
-                if len(starts) > sample_windows:
-                    starts = sorted(np.random.default_rng(abs(int(i))).choice(starts, sample_windows, replace=False).tolist())
-                yield pd.DataFrame({"doc_id": i, "toxic": y, "at": list(starts), "words": [" ".join(w[s : s + WINDOW]) for s in starts]})
+                look = Lexicon()
+                ids = [look[x] for x in w]
+                weight = np.append(evidence.of(*features(look.pending)), -99.0)[np.array(ids + [0] * WINDOW, np.int64) - 1]
+                at = np.array(window_starts(len(w)))
+                order = np.argsort(-np.lib.stride_tricks.sliding_window_view(weight, WINDOW)[at].max(1), kind="stable")
+                first = most if y else most // 2
+                rest = np.random.default_rng(doc & 0xFFFFFFFF).permutation(order[first:])[: most - first]
+                at = np.sort(at[np.concatenate([order[:first], rest])])
+                yield pd.DataFrame({"doc": doc, "toxic": y, "at": at, "words": [" ".join(w[i : i + WINDOW]) for i in at]})
+
+    return chosen.select("doc", "toxic", "text").mapInPandas(pick, "doc long, toxic int, at int, words string").toPandas()
+
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # as many ids as the sample has
-    return train(chosen.select("doc_id", "toxic", "text").mapInPandas(cut, "doc_id long, toxic int, at int, words string").toPandas())
+def scorer(net: Network):
+    @F.pandas_udf(T.DoubleType())
+    def rate(texts: pd.Series) -> pd.Series:
+        parts = [net.score(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)]
+        return pd.Series(np.concatenate(parts).astype(float) if parts else [], dtype=float)
+
+    return rate
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Network | None:
+    """A network trained on the sample; None unless it has both labels.
+
+    The bias is moved at the end so that the best cut between the scores of the documents set apart, of all their
+    windows, lies at the threshold.
+    """
+    chosen = settle(sampled(docs, labels, sample))
+    there = {(r["apart"], r["toxic"]) for r in chosen.groupBy("apart", "toxic").count().collect()}
+    if len({y for _, y in there}) < 2:
+        return None
+    apart = {(True, 0), (True, 1), (False, 0), (False, 1)} <= there
+    learned, judged = (chosen.where("not apart"), chosen.where("apart")) if apart else (chosen, chosen)
+    evidence = count_evidence(learned)
+    net = train(suspicious_windows(learned, evidence), evidence)
+    found = judged.select("toxic", scorer(net)("text").alias("score")).toPandas()  # a number for each sampled document
+    score = np.clip(found["score"].to_numpy(float), 1e-9, 1 - 1e-7)
+    net.p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - least_errors(np.log(score / (1 - score)), found["toxic"].to_numpy() == 1))
+    return net
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs; reads doc_id and text only.
 
-    A null text is empty; texts without words get the network's score for no evidence. Without labels of both kinds
-    every score is 0. A null doc_id is not held out. Repeated rows stay; no rows give no rows.
+    A null text is empty; texts without words get the network's score for no evidence; texts are read whole, window by
+    window. Without labels of both kinds every score is 0. Only the text goes to Python, so ids of any size and null
+    ids stay as they are; a null doc_id is not held out. Repeated rows stay; no rows give no rows.
     """
     net = fit(docs, labels)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": net.score(part["text"].tolist()).astype(float) if net else 0.0})
-
-    scored = docs.select("doc_id", "text").mapInPandas(judge, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rated = docs.select("doc_id", (scorer(net)("text") if net else F.lit(0.0)).alias("score"))
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below the threshold, columns as in docs."""
+    """The rows of docs that score below the threshold, columns as in docs; nulls, empty and long texts as in score()."""
     net = fit(docs, labels)
-    if net is None:
-        return docs
-
-    @F.pandas_udf(T.DoubleType())
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([net.score(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)]).astype(float) if len(texts) else [], dtype=float)
-
-    return docs.where(rate("text") < THRESHOLD)
+    return docs if net is None else docs.where(scorer(net)("text") < THRESHOLD)
