@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.llm.common import settle
+from sievework.llm.common import broadcast_if, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 TRIALS = 32
@@ -29,7 +29,9 @@ def rates(sized: DataFrame, most: int = 3, trials: int = TRIALS) -> DataFrame:
     none is above `most` times its source's size: with caps sorted by cap over weight, a source is capped exactly if
     its cap is no more than its share of what the sources before it leave, which is where resharing the excess ends.
     rate is target over size. Of `trials` independent draws the one whose total is nearest the target is kept, the
-    lowest of equals.
+    lowest of equals. With it a document's chance of its last copy is not exactly the fraction: draws whose total is far
+    off are not used, so the copies of one source's documents depend on one another a little, the more the fewer they are.
+    Each of the draws has exactly that chance.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     every = W.partitionBy()
@@ -48,7 +50,7 @@ def rates(sized: DataFrame, most: int = 3, trials: int = TRIALS) -> DataFrame:
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(most))))
     goals = settle(filled.select("source", "source_size", target.alias("target")).withColumn("rate", rate))
 
-    tried = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).select(sized["source"], "doc_id", "size", "target", "rate")
+    tried = sized.join(broadcast_if(goals), sized["source"].eqNullSafe(goals["source"])).select(sized["source"], "doc_id", "size", "target", "rate")
     sums = [F.sum(F.col("size") * copies(F.col("doc_id"), F.col("rate"), F.lit(k))).alias(f"t{k}") for k in range(trials)]
     tried = tried.groupBy("source").agg(F.first("target").alias("target"), *sums)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("trial")) for k in range(trials)]))
@@ -64,24 +66,30 @@ def copies(doc_id: Column, rate: Column, trial: Column) -> Column:
 def plan_mix(docs: DataFrame, trials: int = TRIALS) -> tuple[DataFrame, DataFrame]:
     """(sized, plan): doc_id, source, size and copies of every row, and the rate of every source.
 
-    Reads doc_id, source and text once; only those sizes are kept. Rows with equal doc_id draw alike. A null text has
-    no words, a null source is a source of its own, no rows give no rows.
+    Reads doc_id, source and text once, whole texts; only their sizes are kept. Rows with equal doc_id, null among them,
+    draw alike. A null text has no words, a null source is a source of its own, a source without words is not taken; no
+    rows give no rows.
     """
     sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     return sized, settle(rates(sized, trials=trials))
 
 
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (doc_id, source and others) with copies, source_size and target."""
+    """rows (doc_id, source and others) with copies, source_size and target.
+
+    The plan has a row for each source. It is counted, and broadcast unless there are very many sources, so that texts
+    don't move to their source.
+    """
     p = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "rate", "trial")
-    joined = rows.join(p, rows["source"].eqNullSafe(p["plan_source"]))
+    joined = rows.join(broadcast_if(p), rows["source"].eqNullSafe(p["plan_source"]))
     return joined.withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("trial"))).drop("plan_source", "rate", "trial")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Every row of docs as often as its source's rate says; columns as in docs.
 
-    floor(rate) copies, and one more where the id's draw is below the rate's fraction.
+    floor(rate) copies, and one more where the id's draw is below the rate's fraction. Nulls, ties and repeated rows as in
+    plan_mix(); empty texts are copied like any others, long ones are counted whole; no rows give no rows.
     """
     _, plan = plan_mix(docs)
     mixed = with_copies(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row")), plan)
@@ -89,6 +97,6 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of docs."""
+    """doc_id, size, source_size, target and taken for every row of docs; nulls and the rest as in plan_mix()."""
     sized, plan = plan_mix(docs)
     return with_copies(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

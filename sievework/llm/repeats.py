@@ -17,6 +17,7 @@ bits, so no document is looked up one by one and a passage that all documents sh
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,10 +108,16 @@ def first_digits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Chunk:
-    """The runs of a chunk's text, and after narrow() its entries: the different runs whose first digit is repeated."""
+    """The runs of a chunk's text, and after narrow() its entries: the different runs whose first digit is repeated.
 
-    def __init__(self, row: dict, buckets: int) -> None:
-        self.text, self.ids, self.ends, self.buckets = unpack(row["text"]), unpack(row["ids"], np.int64), unpack(row["ends"], np.int64), buckets
+    For comparisons a null id is the largest number; `free` is a number that no document has, and ids above it move down
+    by one to make room, so that the largest id and null stay two.
+    """
+
+    def __init__(self, row: dict, buckets: int, free: int) -> None:
+        self.text, self.own_ids, self.none = unpack(row["text"]), unpack(row["ids"], np.int64), unpack(row["none"], bool)
+        self.ends, self.buckets = unpack(row["ends"], np.int64), buckets
+        self.ids = np.where(self.none, LAST, self.own_ids - (self.own_ids > free))
         self.low, self.high, self.doc, at, h = runs(self.text, self.ends)
         self.key, self.place = in_buckets(h, buckets), at - self.low
 
@@ -185,24 +192,39 @@ def windows_least(runs_of: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def into_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    texts, ids, held = [], [], 0
+    texts, ids, none, held = [], [], [], 0
 
     def row() -> pd.DataFrame:
-        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        return pd.DataFrame({"text": [pack(b"".join(texts))], "ids": [pack(np.array(ids, np.int64))], "ends": [pack(ends)], "size": [held]})
+        ends, of = np.cumsum([len(t) for t in texts], dtype=np.int64), np.array(ids, np.int64)
+        return pd.DataFrame({"text": [pack(b"".join(texts))], "ids": [pack(of)], "none": [pack(np.array(none, bool))], "ends": [pack(ends)], "size": [held], "last": [bool((of == LAST).any())]})
 
     for batch in batches:
-        for i, t in zip(batch["doc_id"], batch["text"]):
+        for i, n, t in zip(batch["doc_id"], batch["none"], batch["text"]):
             texts.append(t or b"")
             ids.append(i)
+            none.append(n)
             held += len(texts[-1])
             if held >= CHUNK:
                 yield row()
-                texts, ids, held = [], [], 0
+                texts, ids, none, held = [], [], [], 0
     if ids:
         yield row()
 
 
+def free_id(chunks: DataFrame) -> int:
+    """A number that no document has: the smallest, or the first of a fixed sequence."""
+
+    def has(i: int) -> bool:
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"has": [bool((unpack(x, np.int64) == i).any()) for x in batch["ids"]]})
+
+        return bool(chunks.select("ids").mapInPandas(look, "has boolean").agg(F.max("has")).first()[0])
+
+    rng = np.random.default_rng(0)
+    return next(i for i in itertools.chain([-LAST - 1], (int(x) for x in iter(lambda: rng.integers(-LAST, LAST), None))) if not has(i))
+
+
 def repeated_digits(g: pd.DataFrame) -> pd.DataFrame:
     """For one bucket: a bit for each digit of each chunk, whether another document has it."""
     parts = [np.frombuffer(x, np.uint32) for x in g["keys"]]
@@ -249,17 +271,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Reads doc_id and text, whole. Each byte goes that a 50-byte string covers which also starts in a document with a
     smaller doc_id; strings are judged on the input. A null text is empty. Rows with equal doc_id do not count against
-    one another, and a null doc_id is larger than any other. No rows give no rows.
+    one another, and a null doc_id is larger than any other. A document is never cut, so a task needs some 12 bytes of
+    memory for each byte of the longest one. No rows give no rows.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    chunks = rows.mapInPandas(into_chunks, "text binary, ids binary, ends binary, size long")
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("none"), F.col("text").cast("binary").alias("text"))
+    chunks = rows.mapInPandas(into_chunks, "text binary, ids binary, none binary, ends binary, size long, last boolean")
     chunks = settle(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    total = chunks.agg(F.sum("size")).first()[0] or 0
+    total, last = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("last"), F.lit(False))).first()
     buckets = max(1, -(-total // BUCKET))
+    free = free_id(chunks) if last else LAST
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in rows_of(batches):
-            key, many = Chunk(row, buckets).first()
+            key, many = Chunk(row, buckets, free).first()
             cuts = by_bucket(key, buckets)
             own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             cut = [slice(cuts[b], cuts[b + 1]) for b in own]
@@ -270,7 +294,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in rows_of(batches):
-            c = Chunk(row, buckets)
+            c = Chunk(row, buckets, free)
             bits = {x["bucket"]: x["bits"] for x in row["found"]}
             c.narrow(bits)
             cut = {b: slice(c.cuts[b], c.cuts[b + 1]) for b in bits}
@@ -282,17 +306,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     def third(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in rows_of(batches):
-            c = Chunk(row, buckets)
+            c = Chunk(row, buckets, free)
             found = row["found"] if row["found"] is not None else []
             c.narrow({x["bucket"]: x["bits"] for x in found})
             gone = c.removed({x["bucket"]: unpack(x["masks"], np.uint32) for x in found})
             out = []
-            for i, s, e in zip(c.ids, np.concatenate([[0], c.ends[:-1]]), c.ends):
+            for i, none, s, e in zip(c.own_ids.tolist(), c.none, np.concatenate([[0], c.ends[:-1]]), c.ends):
                 g = gone[s:e]
                 kept = c.text[s:e][~g].tobytes()
-                out.append((i, e - s, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((None if none else i, e - s, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            found = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield found.assign(doc_id=pd.array([x[0] for x in out], "Int64"))
 
     back = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "masks")).alias("found"))
-    done = chunks.join(back, "chunk", "left").mapInPandas(third, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    return chunks.join(back, "chunk", "left").mapInPandas(third, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
