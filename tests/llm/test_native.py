@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievework.llm import chat, decontaminate, license, mix, shard, urls
@@ -91,6 +92,28 @@ def test_mix_emits_rows_as_often(spark):
     assert mix.mix(df.where("false")).count() == 0
 
 
+def brute_shards(rows, cell_rows, shards=8):
+    """The shard of every document: prefix sums over one global order, cut where a group's or a row's middle byte lies."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda b: signed(xxhash.xxh64_intdigest(b, 42))
+    text, size = [t or "" for _, t, _ in rows], [len((t or "").encode()) + 1 for _, t, _ in rows]
+    th, total = [h(t.encode()) for t in text], sum(size)
+    often, held = Counter(th), Counter()
+    for x, s in zip(th, size):
+        held[x] += s
+    cells = max(shard.LEAST_CELLS, math.ceil(len(rows) / cell_rows))
+    large = {x: math.ceil(often[x] / cell_rows) for x in often if often[x] > 1 and held[x] > shard.TOLERANCE * total / shards}
+    cell = lambda x: math.floor((x / 2.0**64 + 0.5) * cells)
+    order = sorted(range(len(rows)), key=lambda k: (cell(th[k]), th[k] in large, th[k] if th[k] in large else 0, h(rows[k][0].to_bytes(8, "little", signed=True)) % large.get(th[k], 1), th[k], rows[k][0]))
+    upto, out, k = 0, {}, 0
+    while k < len(order):
+        n = 1 if th[order[k]] in large else sum(th[j] == th[order[k]] for j in order[k : k + often[th[order[k]]]])
+        part = sum(size[j] for j in order[k : k + n])
+        out |= {rows[j][0]: min(shards - 1, (2 * upto + part) * shards // (2 * total)) for j in order[k : k + n]}
+        upto, k = upto + part, k + n
+    return out
+
+
 def test_shards(spark):
     rows = [(i, f"t{i % 900}" * (i % 7 + 1), "s") for i in range(4000)] + [(i, "hot copy " * 20, "s") for i in range(4000, 6000)] + [(9000, None, "s"), (9001, "", "s"), (9001, "", "s")]
     out = shard.shard_by_bytes(docs(spark, rows), cell_rows=300).collect()
@@ -104,6 +127,7 @@ def test_shards(spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert set(sums) == set(range(8)) and max(sums.values()) - min(sums.values()) < 0.05 * sum(sums.values()) / 8
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r["doc_id"]: r["shard"] for r in out} == brute_shards(rows, 300)
     small = {}
     for r in out:
         if r["doc_id"] < 4000:
@@ -131,7 +155,7 @@ def brute_hits(rows, items):
                     hit |= set(range(k, k + n))
                     ids |= grams[tuple(w[k : k + n])]
         out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(map(str, ids)))), bool(hit)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 ITEMS = [(1, " ".join(f"w{i}" for i in range(14))), (2, "Short ITEM here"), (3, None), (4, " .,! "), (10, "short item here"), (11, "É one"), (12, "x x x x x x x x x x x")]
@@ -140,17 +164,25 @@ PASSAGES = ["", None, "intro " + ITEMS[0][1].upper() + " outro", "a SHORT-item,
 
 @pytest.mark.parametrize("few", [200_000, 4])
 def test_decontamination(spark, few):
-    rows = [(i, t, "s") for i, t in enumerate(PASSAGES)] + [(2, PASSAGES[2], "s"), (0, "", "s")]
+    rows = [(i, t, "s") for i, t in enumerate(PASSAGES)] + [(2, PASSAGES[2], "s"), (0, "", "s"), (None, PASSAGES[3], "s"), (None, "w1 w2 w3", None), (None, None, "s")]
     bench = spark.createDataFrame([(*x, "extra") for x in ITEMS], "item_id long, text string, gram string")
-    df = docs(spark, rows)
+    df, key = docs(spark, rows), lambda x: str(x[0])
     if few > 4:
         got = decontaminate.contamination(df, bench)
-        assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == brute_hits(rows, ITEMS)
-    found = decontaminate.find_hits(df, bench, broadcast_windows=few).select("doc_id", F.size(decontaminate.hit_words(F.col("hits"))).alias("n")).collect()
-    assert sorted(map(tuple, found)) == sorted((x[0], x[2]) for x in brute_hits(rows, ITEMS))
+        got = sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str)
+        assert got == sorted(brute_hits(rows, ITEMS), key=str)
+    found = decontaminate.find_hits(df, bench, broadcast_windows=few).where("hits is not null")
+    found = {(r["doc_id"], r["n"], r["rows"]) for r in found.select("doc_id", "rows", F.size(decontaminate.hit_words(F.col("hits"))).alias("n")).collect()}
+    assert found == {(x[0], x[2], 2 if x[0] == 2 else 1) for x in brute_hits(rows, ITEMS) if x[5]}
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(x[0] for x in brute_hits(rows, ITEMS) if not x[5])
+    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([x[0] for x in brute_hits(rows, ITEMS) if not x[5]], key=str)
+
+
+def test_decontamination_of_a_million_words(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, [(1, "word Other " * 500_000 + ITEMS[0][1], "s")]), bench).collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got] == [(1_000_014, 14, 1)]
 
 
 def test_decontamination_of_nothing(spark):
@@ -159,6 +191,8 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.contamination(df.where("false"), bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.contamination(df, bench.where("false")).collect()} == {0}
     assert {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(df, bench).collect()} == {1: "and more", 2: "none"}
+    more = docs(spark, [(None, "Short item, here! a short (item) here", "s"), (3, None, "s"), (4, "", "s"), (4, "x", "s"), (4, "x", "s")])
+    assert sorted([(r["doc_id"], r["text"]) for r in decontaminate.cut_spans(more, bench).collect()], key=str) == sorted([(None, "a "), (3, None), (4, ""), (4, "x"), (4, "x")], key=str)
 
 
 URLS = [
