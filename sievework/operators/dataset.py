@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.functions import text as T
+
 
 def share_split(rank: Column, n: Column) -> Column:
     """train, val or test of the rank-th (from 1) of n by 70, 15 and 15 %, whole numbers down, the rest to test."""
@@ -39,6 +41,18 @@ def split_stats(splits: DataFrame) -> DataFrame:
     return counted.select("*", F.round(ratio, 6).alias("ratio"), (ratio > 3).alias("imbalanced"))
 
 
+def split_shape(splits: DataFrame, graphs: DataFrame) -> DataFrame:
+    """split, n and the mean nodes and edges of its graphs (item_id, nodes, edges)."""
+    both = splits.select("item_id", "split").join(graphs.select("item_id", "nodes", "edges"), "item_id")
+    return both.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("nodes"), 6).alias("nodes"), F.round(F.avg("edges"), 6).alias("edges"))
+
+
+def failure_taxonomy(failed: DataFrame) -> DataFrame:
+    """error_class, step and n of failed builds (error_message, frames), most frequent first by n."""
+    rows = failed.select(T.build_error(F.col("error_message")).alias("error_class"), T.failed_step(F.col("frames")).alias("step"))
+    return rows.groupBy("error_class", "step").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_class", "step")
+
+
 def leaks(splits: DataFrame) -> DataFrame:
     """Campaigns of malicious items in more than one split."""
     return splits.where("label = 1").groupBy("campaign").agg(F.count_distinct("split").alias("splits")).where("splits > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.catalog import HARD, LIVE, LIVE_WEIGHT, REPLAY, REPLAY_HARD, REPLAY_WEIGHT, UNKNOWN_WEIGHT
+from sievework.operators.catalog import DECISION_LABELS, HARD, LIVE, LIVE_WEIGHT, REPLAY, REPLAY_HARD, REPLAY_WEIGHT, UNKNOWN_WEIGHT
 
 
 def weight_dim(spark, weights: dict[str, float] = LIVE_WEIGHT, hard: list[str] = HARD) -> DataFrame:
@@ -92,3 +92,37 @@ def evidence(hits: DataFrame, decided: DataFrame) -> DataFrame:
     """package_id, line and text: the model's line, then one for each hit; numbers stay unrendered."""
     lines = hits.select("package_id", F.concat_ws(" ", F.lit("rule"), "rule_id", F.concat(F.lit("["), "severity", F.lit("]")), "file_path").alias("text"))
     return decided.select("package_id", F.concat_ws(" ", F.lit("verdict"), "verdict", "path").alias("text")).unionByName(lines)
+
+
+def decision_label(verdict: Column, path: Column) -> Column:
+    """The reporting label of a verdict and the text of its decision path."""
+    low, out = F.lower(F.coalesce(path, F.lit(""))), F.lit(None).cast("string")
+    for said, words, label in reversed(DECISION_LABELS):
+        mine = verdict == said if said else ~verdict.isin("clean", "malicious") | verdict.isNull()
+        out = F.when(mine & F.contains(low, F.lit(words)), label).otherwise(out)
+    return out
+
+
+def phase_label(verdict: Column, path: Column, gnn: Column, clean: float = LIVE["clean"]) -> Column:
+    """The older labels of the recall diagnosis."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    says = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    passed = (gnn >= 0) & (gnn < clean)
+    blocked = F.when(says("critical behavioral rule"), "critical_override").when(says("very high confidence"), "auto_block").when(says("confirming rules", "moderate malicious"), "uncertain_rules_block").otherwise("auto_block")
+    review = F.when(says("review-only critical", "critical rule matched"), "critical_override_review").when(passed, "auto_pass_review").otherwise("uncertain_suspicious")
+    return F.when(verdict == "malicious", blocked).when(verdict == "clean", F.when(passed, "auto_pass").otherwise("uncertain_clean")).otherwise(review)
+
+
+def replayed(records: DataFrame) -> DataFrame:
+    """records (gnn_score, weighted, hard_score) with the replay policy's verdict, confidence, bucket, path and scores in place of theirs."""
+    g, w, h = F.col("gnn_score"), F.col("weighted"), F.col("hard_score")
+    bucket = replay_path(g, w, h)
+    mid = clamp(g, 0.50, 0.75)
+    sure = (
+        F.when(bucket == "v2_gnn_direct_block", clamp(g, 0.90, 0.97)).when(bucket == "v2_gnn_weighted_rules_block", clamp(g + 0.10, 0.80, 0.95)).when(bucket == "v2_hard_rules_block", clamp(g + 0.08, 0.82, 0.95))
+        .when(bucket == "clean_pass", F.least(F.lit(0.95), 1 - g)).when(bucket == "v2_low_gnn_review", F.lit(0.65)).otherwise(mid)
+    )
+    return records.withColumns({
+        "hybrid_verdict": replay_verdict(g, w, h), "confidence": F.round(sure, 6), "decision_path": F.regexp_replace(F.regexp_replace(bucket, "^v2_", ""), "_", " "), "decision_bucket": bucket,
+        "v2_weighted_rule_score": w, "v2_hard_rule_score": h,
+    })

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.functions import text as T
 from sievework.functions.text import score_band
-from sievework.operators.catalog import NOISY, RELIABLE
+from sievework.operators.catalog import IDEAS, LIVE, NOISY, RELIABLE
+from sievework.operators.decide import phase_label
 
 
 def predicted(verdict: Column) -> Column:
@@ -110,13 +112,13 @@ def error_category(kind: Column, score: Column, rules: Column, bucket: Column) -
     return F.when(kind == "fp", fp).otherwise(fn)
 
 
-def errors(records: DataFrame) -> DataFrame:
-    """False positives and negatives of the hybrid verdict with category, band and profile."""
+def errors(records: DataFrame, *more: str) -> DataFrame:
+    """False positives and negatives of the hybrid verdict with category, band and profile, and further columns of records."""
     guess = predicted(F.col("hybrid_verdict"))
     kind = F.when((F.col("true_label") == 0) & (guess == 1), "fp").when((F.col("true_label") == 1) & (guess == 0), "fn")
     score, rules = F.col("gnn_score"), F.col("rules_matched")
     wrong = records.withColumn("kind", kind).where("kind is not null")
-    return wrong.select("package_name", "kind", "gnn_score", "rules_matched", error_category(F.col("kind"), score, rules, F.col("decision_bucket")).alias("category"), score_band(score).alias("band"), profile(rules).alias("profile"))
+    return wrong.select("package_name", "kind", "gnn_score", "rules_matched", error_category(F.col("kind"), score, rules, F.col("decision_bucket")).alias("category"), score_band(score).alias("band"), profile(rules).alias("profile"), *more)
 
 
 def error_summary(records: DataFrame) -> DataFrame:
@@ -132,16 +134,58 @@ def top_rules(records: DataFrame, k: int = 20) -> DataFrame:
     return counted.withColumn("place", place).where(F.col("place") <= k)
 
 
-def improvement_candidates(records: DataFrame, ideas: list[tuple[str, str]]) -> DataFrame:
-    """Ideas (category, action) whose category occurs, with its count."""
+def improvement_candidates(records: DataFrame, ideas: list[tuple[str, str, list[str]]] = IDEAS) -> DataFrame:
+    """idea, area and n: the ideas one of whose error categories occurs, with how many such errors there are."""
+    each = [(idea, area, c) for idea, area, cats in ideas for c in cats]
+    dim = records.sparkSession.createDataFrame(each, "idea string, area string, category string")
     found = errors(records).groupBy("category").agg(F.count("*").alias("n"))
-    return records.sparkSession.createDataFrame(ideas, "category string, action string").join(found, "category")
+    return dim.join(found, "category").groupBy("idea", "area").agg(F.sum("n").alias("n"))
+
+
+def manifest_shape(rows: DataFrame) -> DataFrame:
+    """rows with what the manifest in raw (null: there is none) says, also of those that can't be parsed."""
+    raw = F.col("raw")
+    fine = F.try_parse_json(raw).isNotNull()
+    text = lambda k: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit(""))
+    keys = T.json_keys(raw, "$.scripts")
+    hooks = F.filter(F.array(*map(F.lit, ["preinstall", "install", "postinstall", "prepare"])), lambda h: F.array_contains(keys, h))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "has_package_json": raw.isNotNull(), "package_json_error": raw.isNotNull() & ~F.coalesce(fine, F.lit(False)), "script_hooks": F.when(fine, hooks).otherwise(none),
+        "dependency_count": F.when(fine, F.size(T.json_keys(raw, "$.dependencies"))).otherwise(0), "has_repository": F.coalesce(fine & ~text("repository").isin("", "{}"), F.lit(False)),
+        "has_license": F.coalesce(fine & (text("license") != ""), F.lit(False)), "description_length": F.when(fine, F.length(text("description"))).otherwise(0),
+    })
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """section, name and value: counts, metrics of the three systems, coverage, buckets, rule effects and score buckets in one long table."""
+    row = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    long = lambda df, *parts: df.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    total = records.agg(F.count("*").alias("total"), F.coalesce(F.sum("true_label"), F.lit(0)).alias("malicious"))
+    counts = long(total, row("counts", F.lit("total_packages"), F.col("total")), row("counts", F.lit("malicious_packages"), F.col("malicious")), row("counts", F.lit("benign_packages"), F.col("total") - F.col("malicious")))
+    metrics = long(confusion(records), *[row("metrics", F.concat_ws(".", "system", F.lit(m)), F.col(m)) for m in ("precision", "recall", "f1", "tp", "fp", "fn", "tn")])
+    covered = long(coverage(records), row("coverage", F.concat_ws(".", "kind", "value"), F.col("n")))
+    buckets = long(bucket_counts(records), row("decision_buckets", F.col("decision_bucket"), F.col("n")))
+    effects = long(rule_effects(records), row("saved", F.col("rule_id"), F.col("saved")), row("hurt", F.col("rule_id"), F.col("hurt")))
+    scores = long(calibration(records), row("score_buckets.total", F.col("bucket").cast("string"), F.col("total")), row("score_buckets.malicious", F.col("bucket").cast("string"), F.col("malicious")), row("score_buckets.rate", F.col("bucket").cast("string"), F.col("rate")))
+    return counts.unionByName(metrics).unionByName(covered).unionByName(buckets).unionByName(effects).unionByName(scores)
+
+
+def report(records: DataFrame) -> DataFrame:
+    """section, name and line of a Markdown report: a table row for each system, a list item for each count."""
+    n = lambda c: F.format_string("%.4f", c)
+    systems_ = confusion(records).select(F.lit("metrics").alias("section"), F.col("system").alias("name"), F.concat(F.lit("| "), F.array_join(F.array("system", n("precision"), n("recall"), n("f1"), *[F.col(c).cast("string") for c in ("tp", "fp", "fn", "tn")]), " | "), F.lit(" |")).alias("line"))
+    item = lambda section, name, value: [F.lit(section).alias("section"), name.alias("name"), F.concat(F.lit("- "), name, F.lit(": "), value.cast("string")).alias("line")]
+    covered = coverage(records).select(*item("coverage", F.concat_ws(" ", "kind", "value"), F.col("n")))
+    buckets = bucket_counts(records).select(*item("decision_buckets", F.col("decision_bucket"), F.col("n")))
+    effects = rule_effects(records).select(F.lit("rules").alias("section"), F.col("rule_id").alias("name"), F.concat(F.lit("| "), F.array_join(F.array("rule_id", F.col("saved").cast("string"), F.col("hurt").cast("string")), " | "), F.lit(" |")).alias("line"))
+    return systems_.unionByName(covered).unionByName(buckets).unionByName(effects)
 
 
 def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Every metric of every system in two runs, and their difference."""
-    names = ["tp", "fp", "fn", "tn", "precision", "recall", "f1"]
-    long = lambda df, n: confusion(df).select("system", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("m")).select("system", "m.metric", F.col("m.v").alias(n))
+    """Every metric of every system in two runs (flagged: how many it calls malicious), and their difference."""
+    names = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "flagged"]
+    long = lambda df, n: confusion(df).withColumn("flagged", F.col("tp") + F.col("fp")).select("system", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("m")).select("system", "m.metric", F.col("m.v").alias(n))
     return long(before, "before").join(long(after, "after"), ["system", "metric"]).select("*", F.round(F.col("after") - F.col("before"), 6).alias("delta"))
 
 
@@ -185,3 +229,44 @@ def class_bins(records: DataFrame) -> DataFrame:
 def histogram(records: DataFrame, bins: int = 50) -> DataFrame:
     s = F.col("gnn_score")
     return records.where(s >= 0).groupBy("true_label", F.least(F.floor(s * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def missed_rules(records: DataFrame, k: int = 5) -> DataFrame:
+    """The k rules seen most among missed malicious packages that are suspicious, ties by name."""
+    missed = records.where((F.col("true_label") == 1) & (F.col("hybrid_verdict") == "suspicious"))
+    return missed.select(F.explode("rules_matched").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id").limit(k)
+
+
+def separation(records: DataFrame, block: float = LIVE["direct"]) -> DataFrame:
+    """One row: means and deviations of both classes' scores (deviation 0 for one score, mean null for none), the distance
+    of the means, and how many packages of each class reach the threshold."""
+    s, y = F.col("gnn_score"), F.col("true_label")
+    of = lambda c: F.when((s >= 0) & (y == c), s)
+    found = records.agg(
+        *[F.round(F.avg(of(c)), 6).alias(f"{n}_mean") for c, n in ((1, "malicious"), (0, "benign"))],
+        *[F.round(F.coalesce(F.stddev_pop(of(c)), F.lit(0.0)), 6).alias(f"{n}_deviation") for c, n in ((1, "malicious"), (0, "benign"))],
+        F.round(F.avg(of(1)) - F.avg(of(0)), 6).alias("distance"),
+        *[F.count_if(of(c) >= block).alias(f"{n}_above") for c, n in ((1, "malicious"), (0, "benign"))],
+        *[F.count_if(y == c).alias(n) for c, n in ((1, "malicious"), (0, "benign"))],
+    )
+    return found
+
+
+def diagnostic_records(records: DataFrame) -> DataFrame:
+    """The columns that a diagnosis keeps, with the older label of the decision; records need decision_path."""
+    phase = phase_label(F.col("hybrid_verdict"), F.col("decision_path"), F.col("gnn_score"))
+    keep = ["package_name", "true_label", "gnn_score", "rules_score", "rules_matched", "hybrid_verdict", "decision_bucket", "decision_path"]
+    return records.select(*keep, phase.alias("phase_label"))
+
+
+def unite_targets(sources: list[DataFrame], seed: int = 42, most: int = 0) -> DataFrame:
+    """Targets (path, label, kind) of several lists, each once, from the first list that has it, with their place in a seeded
+    shuffle; at most `most` of each label, if that is above 0."""
+    every = None
+    for i, df in enumerate(sources):
+        one = df.select("path", "label", "kind", F.lit(i).alias("source"))
+        every = one if every is None else every.unionByName(one)
+    first = every.groupBy("path", "label", "kind").agg(F.min("source").alias("source"))
+    mixed = F.md5(F.concat_ws(":", "path", F.col("label").cast("string"), "kind", F.lit(str(seed))).cast("binary"))
+    placed = first.withColumn("shuffle", mixed).withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("shuffle")))
+    return placed.where(F.col("place") <= most) if most > 0 else placed

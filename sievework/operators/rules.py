@@ -57,26 +57,44 @@ def hidden_payloads(code: Column) -> Column:
 
 
 def encoded_window(code: Column, back: int = 10, ahead: int = 9) -> Column:
-    """struct(i, w): the first line whose window holds a payload, a decoder and a sink; null without one."""
+    """struct(i, w): the first line whose window holds a payload, a decoder and a sink; null without one.
+
+    Lines are looked through once; a window's text is put together only where marked lines of all three kinds are in
+    reach, or where a match can run over lines (a payload has no newline, a call's bracket may follow one).
+    """
     rows = F.split(code, "\n")
     window = lambda i: F.array_join(F.slice(rows, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back)) + ahead + 1), "\n")
     chain = lambda w: (T.has(w, "b64_40") | T.has(w, "hex10")) & T.has(w, "decode") & T.has(w, "exec_sink")
-    found = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), window(i).alias("w"))), lambda x: chain(x["w"]))
-    return F.when(chain(code), F.get(found, F.lit(0)))
+    marked = F.array_compact(F.transform(rows, lambda x, i: F.when(T.has(x, "b64_40") | T.has(x, "hex10"), i)))
+    near = F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(i - ahead, F.lit(0)), F.least(i + back, F.size(rows) - 1)))))
+    tried = F.transform(F.array_sort(near), lambda i: F.struct(i.alias("i"), window(i).alias("w")))
+    return F.get(F.filter(tried, lambda x: chain(x["w"])), F.lit(0))
 
 
 def file_hits(files: DataFrame) -> DataFrame:
-    """Hits of rules that look at one file, for each package and rule the first file by path."""
+    """Hits of rules that look at one file, for each package and rule the first file by path.
+
+    Each pattern is looked for once in a file; lines, snippets, payloads and windows only where patterns are found. (No
+    filter stands on the flags: Spark would derive constraints from all combinations of them.)
+    """
     code = F.col("code")
-    simple = [hit(rule, reduce(lambda a, b: a & b, (T.has(code, n) for n in names)), T.line_of(code, names[-1]), T.snippet(code, names[-1])) for rule, names in FILE_RULES]
-    window, payload = encoded_window(code), F.get(hidden_payloads(code), F.lit(0))
+    names = sorted({n for _, ns in FILE_RULES for n in ns} | {"cred_env", "rs_socket", "rs_shell", "b64_long", "b64_40", "hex10", "exec_sink"})
+    rows = files.select("package_id", "path", "code", F.lower("code").alias("low"))
+    rows = rows.select("package_id", "path", "code", *[T.has(code, n, F.col("low")).alias(f"has_{n}") for n in names])
+    f = {n: F.col(f"has_{n}") for n in names}
+    every = lambda ns: reduce(Column.__and__, (f[n] for n in ns))
+    chain = (f["b64_40"] | f["hex10"]) & f["decode"] & f["exec_sink"]
+    simple = [hit(rule, every(ns), T.line_of(code, ns[-1]), T.snippet(code, ns[-1])) for rule, ns in FILE_RULES]
+    payload = F.when(f["b64_long"], F.get(hidden_payloads(code), F.lit(0)))
+    window = F.when(chain, encoded_window(code))
+    rows = rows.select("package_id", "path", "code", payload.alias("payload"), window.alias("window"), *f.values())
     more = [
-        hit("CRIT_EXFIL_CREDENTIALS", T.has(code, "net_send") & (F.size(distinct_credentials(code)) >= 2), T.line_of(code, "net_send"), T.snippet(code, "net_send")),
-        hit("CRIT_REVERSE_SHELL", reverse_shell(code), T.line_of(code, "rs_socket"), T.snippet(code, "rs_socket")),
-        hit("HIGH_STEGANOGRAPHIC_PAYLOAD", payload.isNotNull(), None, F.left(payload, F.lit(200))),
-        hit("HIGH_ENCODED_PAYLOAD_CHAIN", window.isNotNull(), window["i"] + 1, F.left(window["w"], F.lit(200))),
+        hit("CRIT_EXFIL_CREDENTIALS", f["net_send"] & f["cred_env"] & (F.size(distinct_credentials(code)) >= 2), T.line_of(code, "net_send"), T.snippet(code, "net_send")),
+        hit("CRIT_REVERSE_SHELL", f["rs_socket"] & f["rs_shell"] & reverse_shell(code), T.line_of(code, "rs_socket"), T.snippet(code, "rs_socket")),
+        hit("HIGH_STEGANOGRAPHIC_PAYLOAD", F.col("payload").isNotNull(), None, F.left("payload", F.lit(200))),
+        hit("HIGH_ENCODED_PAYLOAD_CHAIN", F.col("window").isNotNull(), F.col("window.i") + 1, F.left("window.w", F.lit(200))),
     ]
-    found = files.select("package_id", "path", F.explode(F.array_compact(F.array(*simple, *more)).cast(HIT)).alias("h"))
+    found = rows.select("package_id", "path", F.explode(F.array_compact(F.array(*simple, *more)).cast(HIT)).alias("h"))
     first = F.min_by(F.struct("path", "h.line_number", "h.snippet"), F.split("path", "/"))
     return found.groupBy("package_id", "h.rule_id").agg(first.alias("f")).select("package_id", "rule_id", F.col("f.path").alias("file_path"), "f.line_number", "f.snippet")
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.operators.catalog import LOG_LEVELS
+
 
 def lockfile_audit(dependencies: DataFrame, verdicts: DataFrame) -> DataFrame:
     """lockfile_id, counts of the four verdicts, flagged and the gates at each level; unknown packages are errors."""
     v = F.coalesce("verdict", F.lit("error"))
     counted = dependencies.select("lockfile_id", "name", "version").distinct().join(verdicts.select("name", "verdict"), "name", "left").groupBy("lockfile_id")
     rows = counted.agg(*[F.count_if(v == x).alias(x) for x in ("clean", "suspicious", "malicious", "error")])
-    return rows.select("*", (F.col("suspicious") + F.col("malicious")).alias("flagged"), (F.col("malicious") > 0).alias("fail_high"), (F.col("malicious") + F.col("suspicious") > 0).alias("fail_medium"))
+    return rows.select("*", (F.col("suspicious") + F.col("malicious")).alias("flagged"), (F.col("malicious") > 0).alias("fail_high"), (F.col("malicious") + F.col("suspicious") > 0).alias("fail_medium"), (F.col("suspicious") + F.col("malicious") > 0).alias("fail_any"))
 
 
 def action(kind: Column, verdict: Column, size: Column, limit: int, closed: bool = False) -> Column:
@@ -27,16 +33,74 @@ def cache_hits(requests: DataFrame, ttl: int = 86_400) -> DataFrame:
     """requests (key, event_id, ts, verdict) with cached: whether a real verdict of the key is at most ttl seconds old.
 
     A request that finds none scans and stores, if its verdict is not an error; a stored verdict lasts from its scan.
-    Scans follow one another by the ttl, so the state runs along each key's requests in time order.
+    Scans follow one another by the ttl, so each key's requests are read once in time order, batch by batch, with the time
+    of the last scan as the only state; from one scan the next is found by a search and not request by request.
+    """
+    rows = requests.select("key", "event_id", F.unix_timestamp("ts").alias("t"), (F.col("verdict") == "error").alias("bad"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "t", "event_id")
+
+    def one_key(t: np.ndarray, bad: np.ndarray, since: int | None) -> tuple[np.ndarray, int | None]:
+        out, good, j = np.zeros(len(t), bool), np.flatnonzero(~bad), 0
+        while j < len(t):
+            if since is not None:
+                end = int(np.searchsorted(t, since + ttl, "right"))
+                out[j:end] = True
+                j = max(j, end)
+            k = int(np.searchsorted(good, j))
+            if k == len(good):
+                break
+            since, j = int(t[good[k]]), int(good[k]) + 1
+        return out, since
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since = None, None
+        for batch in batches:
+            name = batch["key"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else []
+            cached = np.zeros(len(name), bool)
+            for i, j in zip(cuts, [*cuts[1:], len(name)]):
+                since = since if name[i] == key else None
+                key = name[i]
+                cached[i:j], since = one_key(batch["t"].to_numpy()[i:j], batch["bad"].to_numpy()[i:j], since)
+            yield pd.DataFrame({"key": name, "event_id": batch["event_id"], "cached": cached})
+
+    return rows.mapInPandas(run, "key string, event_id long, cached boolean")
+
+
+def scan_payload(decided: DataFrame) -> DataFrame:
+    """The body of an answer for each package (package_id, verdict, path, confidence, gnn and error, null unless the scan failed).
+
+    A failed scan is a row with the verdict error and no confidence; without a model's score the rules alone decided.
+    """
+    failed = F.col("error").isNotNull()
+    gnn = F.when(failed, F.lit(-1.0)).otherwise(F.coalesce("gnn", F.lit(-1.0)))
+    return decided.select(
+        "package_id", F.when(failed, "error").otherwise(F.col("verdict")).alias("verdict"), F.when(failed, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), gnn.alias("gnn_score"),
+        F.when(failed, "error").otherwise(F.col("path")).alias("decision_path"), F.when(~failed & (gnn < 0), "rules_only").alias("fallback"), F.col("error").alias("error_msg"),
+    )
+
+
+def block_body(blocked: DataFrame) -> DataFrame:
+    """package, verdict, confidence, evidence, decision and note of each blocked package (name, version, confidence, evidence, path)."""
+    package = F.concat("name", F.lit("@"), "version")
+    why = F.when(F.size("evidence") > 0, F.array_join("evidence", "; ")).otherwise("none recorded")
+    note = F.concat(package, F.lit(" was blocked with confidence "), F.coalesce(F.format_string("%.2f", "confidence"), F.lit("n/a")), F.lit(": "), why, F.lit(" ("), F.col("path"), F.lit(")"))
+    return blocked.select(package.alias("package"), F.lit("malicious").alias("verdict"), "confidence", "evidence", F.col("path").alias("decision"), note.alias("note"))
+
+
+def log_events(log: DataFrame, least: str = "info") -> DataFrame:
+    """event, level and others of the lines that a proxy writes for requests (key, verdict, action, cached), from a level on.
+
+    A forwarded or blocked tarball was scanned; each block, each failure that is let through or not, and each skipped scan
+    has a line of its own. Malicious scans and everything that was not plain forwarding are warnings.
     """
-    step = lambda s, x: F.when(
-        (s["since"].isNotNull()) & (x["t"] - s["since"] <= ttl),
-        F.struct(s["since"].alias("since"), F.array_append(s["out"], F.struct(x["event_id"], F.lit(True).alias("cached"))).alias("out")),
-    ).otherwise(F.struct(F.when(x["verdict"] != "error", x["t"]).otherwise(s["since"]).alias("since"), F.array_append(s["out"], F.struct(x["event_id"], F.lit(False).alias("cached"))).alias("out")))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<event_id:bigint,cached:boolean>>").alias("out"))
-    rows = requests.select("key", F.struct(F.unix_timestamp("ts").alias("t"), "event_id", "verdict").alias("r"))
-    each = rows.groupBy("key").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return each.select("key", F.explode(F.aggregate("r", start, step)["out"]).alias("o")).select("key", "o.event_id", "o.cached")
+    done = F.struct(F.lit("scan_complete").alias("event"), F.when(F.col("verdict") == "malicious", "warn").otherwise("info").alias("level"))
+    own = lambda action, event, level: F.when(F.col("action") == action, F.struct(F.lit(event).alias("event"), F.lit(level).alias("level")))
+    each = F.array_compact(F.array(
+        F.when(F.col("action").isin("forward", "block", "fail_open", "fail_closed"), done), own("block", "block", "warn"), own("fail_open", "fail_open", "warn"), own("fail_closed", "fail_closed", "warn"), own("skip_scan", "scan_skipped", "warn"),
+    ))
+    ranks = F.create_map(*[F.lit(x) for kv in LOG_LEVELS.items() for x in kv])
+    return log.select("key", "verdict", F.explode(each).alias("e")).select("key", "verdict", "e.*").where(F.element_at(ranks, F.col("level")) >= LOG_LEVELS[least])
 
 
 def dashboard(log: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators.catalog import BUILD_TERMS, NETWORK_TERMS, OBFUSCATION_TERMS, SECRET_TERMS, SHELL_TERMS
+from sievework.operators.catalog import BUILD_TERMS, NETWORK_TERMS, NOISY, OBFUSCATION_TERMS, RELIABLE, SECRET_TERMS, SHELL_TERMS
 from sievework.operators.evaluate import cells, predicted, profile, rates
 
 HOOKS = ["install", "postinstall", "preinstall", "prepare"]
@@ -27,6 +28,27 @@ def manifest_context(manifests: DataFrame) -> DataFrame:
     )
 
 
+def package_context(records: DataFrame) -> DataFrame:
+    """The 28 traits of a record and its manifest (raw; null: there is none), which context signals choose from."""
+    raw, rules = F.col("raw"), F.coalesce("rules_matched", F.array().cast("array<string>"))
+    text = lambda k: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit(""))
+    keys = T.json_keys(raw, "$.scripts")
+    hooks = F.filter(F.array(*map(F.lit, HOOKS)), lambda h: F.array_contains(keys, h))
+    name = F.coalesce(F.nullif(text("name"), F.lit("")), F.col("package_name"))
+    count = lambda names: F.size(F.filter(rules, lambda r: r.isin(names)))
+    noisy, good, n = count(NOISY), count(RELIABLE), F.size(rules)
+    traits = {
+        "has_package_json": F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False)), "scoped": F.startswith(name, F.lit("@")), "has_repository": ~text("repository").isin("", "{}"), "has_license": text("license") != "",
+        "has_description": F.trim(text("description")) != "", "description_length": F.length(text("description")), "scripts_count": F.size(keys), "lifecycle_hooks": hooks, "has_lifecycle_hook": F.size(hooks) > 0,
+        "dependency_count": F.size(T.json_keys(raw, "$.dependencies")), "dev_dependency_count": F.size(T.json_keys(raw, "$.devDependencies")),
+        "gnn_score": F.coalesce("gnn_score", F.lit(-1.0)), "metadata_risk": F.coalesce("metadata_risk", F.lit(0.0)), "num_js_files": F.coalesce("num_js_files", F.lit(0)), "num_nodes": F.coalesce("num_nodes", F.lit(0)), "num_edges": F.coalesce("num_edges", F.lit(0)),
+        "rule_ids": rules, "rules_count": n, "has_rules": n > 0, "noisy_rule_count": noisy, "high_reliability_rule_count": good, "rules_noisy_only": (n > 0) & (noisy == n) & (good == 0), "rules_none": n == 0,
+        "has_med_install_hook_rule": F.array_contains(rules, "MED_INSTALL_HOOK_EXISTS"), "has_structural_rule": F.array_contains(rules, "MED_SUSPICIOUS_PACKAGE_STRUCTURE"),
+        "has_manifest_hook_only_rule": F.array_contains(rules, "MED_MANIFEST_INSTALL_HOOK_ONLY"), "has_critical_rule": F.exists(rules, lambda r: F.startswith(r, F.lit("CRIT_"))),
+    }
+    return records.select(F.col("package_name").alias("record"), name.alias("package_name"), *[c.alias(k) for k, c in traits.items()])
+
+
 def lifecycle_context(files: DataFrame, manifests: DataFrame, most: int = 5, cut: int = 131_072) -> DataFrame:
     """package_id, targets, found, five traits of hook commands and their files, and risk_score (0 to 4).
 
@@ -126,8 +148,22 @@ def hard_examples(records: DataFrame, k: int = 50) -> DataFrame:
     """The k worst false positives (highest score) and false negatives (lowest), ties by name."""
     guess = predicted(F.col("hybrid_verdict"))
     kind = F.when((F.col("true_label") == 0) & (guess == 1), "fp").when((F.col("true_label") == 1) & (guess == 0), "fn")
-    from pyspark.sql import Window as W
-
     order = F.when(F.col("kind") == "fp", -F.col("gnn_score")).otherwise(F.col("gnn_score"))
     ranked = records.withColumn("kind", kind).where("kind is not null").withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(order, "package_name")))
     return ranked.where(F.col("place") <= k).select("kind", "place", "package_name", "gnn_score")
+
+
+def mid_slice_errors(records: DataFrame, k: int = 50) -> DataFrame:
+    """The first k (by name) missed and rightly passed packages of the slice of mid_slice()."""
+    rows = records.where("gnn_score >= 0.35 and gnn_score < 0.80 and hook").where(F.col("hybrid_verdict") != "malicious")
+    kind = F.when(F.col("true_label") == 1, "fn").otherwise("tn")
+    ranked = rows.select(kind.alias("kind"), "package_name", "gnn_score").withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("package_name")))
+    return ranked.where(F.col("place") <= k)
+
+
+def verdict_on_signals(records: DataFrame, signals: list[tuple[str, str, Column]], precision: float = 0.96, recall: float = 0.88) -> DataFrame:
+    """Whether the harmless signals together reach the goal, improve both metrics, or are not enough."""
+    base = rates(records.agg(*cells(F.col("true_label"), predicted(F.col("hybrid_verdict"))))).select(F.col("precision").alias("p"), F.col("recall").alias("r"))
+    both = combined(records, signals).crossJoin(F.broadcast(base))  # one row each
+    said = F.when((F.col("precision") >= precision) & (F.col("recall") >= recall), "goal_reached").when((F.col("recall") > F.col("r")) & (F.col("precision") >= F.col("p")), "improved").otherwise("not_enough")
+    return both.select("precision", "recall", F.col("p").alias("base_precision"), F.col("r").alias("base_recall"), said.alias("outcome"))

@@ -1,7 +1,8 @@
 """Policy and threshold sweeps.
 
-Only a score, two rule scores and the label matter to the replay policy, so records are first counted by these; the
-grid of policies (a fixed number of rows) then meets the distinct combinations, and one aggregation ranks it.
+A policy blocks where the score reaches one threshold, or the score and a rule score reach two. So records are counted
+by the places of their values among the grid's thresholds, these counts are summed up to cumulative ones (some thousand
+numbers, whatever the number of records), and each policy is a sum of seven of them by inclusion and exclusion.
 """
 
 from __future__ import annotations
@@ -26,19 +27,41 @@ def grid(spark, axes: dict[str, list[float]] = SWEEP) -> DataFrame:
     return arrays.select(at.cast("int").alias("config_id"), *axes)
 
 
-def combinations(records: DataFrame) -> DataFrame:
-    return records.groupBy("gnn_score", "weighted", "hard_score", "true_label").agg(F.count("*").alias("n"))
+def place(value: Column, cuts: list[float]) -> Column:
+    """How many of the cuts the value reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value >= c))
 
 
-def sweep(records: DataFrame, axes: dict[str, list[float]] = SWEEP, clean: float = 0.35) -> DataFrame:
+def cumulative(records: DataFrame, scores: list[float], weights: list[float], hards: list[float]) -> DataFrame:
+    """x, y, z, pos, neg: malicious and other records that reach at least the x-th score, y-th weight and z-th hard score.
+
+    Place 0 of the rule scores asks for nothing; every record counts at all places up to its own.
+    """
+    at = [place(F.col("gnn_score"), scores).alias("x"), place(F.col("weighted"), weights).alias("y"), place(F.col("hard_score"), hards).alias("z")]
+    cells = records.select(*at, "true_label").groupBy("x", "y", "z").agg(F.count_if(F.col("true_label") == 1).alias("pos"), F.count_if(F.col("true_label") == 0).alias("neg"))
+    upto = cells.where("x > 0")
+    for k, first in (("x", 1), ("y", 0), ("z", 0)):
+        upto = upto.withColumn(k, F.explode(F.sequence(F.lit(first), F.col(k))))
+    return upto.groupBy("x", "y", "z").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def sweep(records: DataFrame, axes: dict[str, list[float]] = SWEEP) -> DataFrame:
     """config_id, the axes and the metrics of each policy over records (gnn_score, weighted, hard_score, true_label)."""
-    configs = grid(records.sparkSession, axes).select("config_id", *[F.col(k).alias(f"at_{k}") for k in axes])
-    t = {k: F.col(f"at_{k}") for k in axes} | {"clean": F.lit(clean)}
-    guess = (replay_verdict(F.col("gnn_score"), F.col("weighted"), F.col("hard_score"), t) == "malicious").cast("int")
-    met = combinations(records).crossJoin(F.broadcast(configs))  # a stated grid against all combinations
-    cell = lambda y, g: F.coalesce(F.sum(F.when((F.col("true_label") == y) & (guess == g), F.col("n"))), F.lit(0)).cast("long")
-    counted = met.groupBy("config_id", *[F.col(f"at_{k}").alias(f"{k}_from") for k in axes]).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))
-    return rates(counted)
+    scores = sorted({*axes["direct"], *axes["confirm"], *axes["hard_min_gnn"]})
+    configs = grid(records.sparkSession, axes).select("config_id", *[F.col(k).alias(f"{k}_from") for k in axes])
+    d, c, m = (place(F.col(f"{k}_from"), scores) for k in ("direct", "confirm", "hard_min_gnn"))
+    w, h = place(F.col("weighted_from"), sorted(axes["weighted"])), place(F.col("hard_from"), sorted(axes["hard"]))
+    none = F.lit(0)
+    parts = [(d, none, none, 1), (c, w, none, 1), (m, none, h, 1), (F.greatest(d, c), w, none, -1), (F.greatest(d, m), none, h, -1), (F.greatest(c, m), w, h, -1), (F.greatest(d, c, m), w, h, 1)]
+    each = F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.lit(sign).alias("sign")) for x, y, z, sign in parts])).alias("p")
+    counts = F.broadcast(cumulative(records, scores, sorted(axes["weighted"]), sorted(axes["hard"])))  # no more rows than the grid has places
+    keys = ["config_id", *[f"{k}_from" for k in axes]]
+    met = configs.select(*keys, each).select(*keys, "p.*").join(counts, ["x", "y", "z"], "left")
+    reached = lambda n: F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).cast("long")
+    blocked = met.groupBy(*keys).agg(reached("pos").alias("tp"), reached("neg").alias("fp"))
+    total = records.agg(F.count_if(F.col("true_label") == 1).alias("all_pos"), F.count_if(F.col("true_label") == 0).alias("all_neg"))
+    every = blocked.crossJoin(F.broadcast(total))  # one row
+    return rates(every.select(*keys, "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn")))
 
 
 def best(swept: DataFrame, goal: str, floors: list[float], order: list[Column], k: int = 10) -> DataFrame:
@@ -84,21 +107,78 @@ def best_threshold(swept: DataFrame, min_precision: float = 0.0) -> DataFrame:
     return found.select(F.lit(min_precision).alias("min_precision"), F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
 
 
-def curve(records: DataFrame) -> DataFrame:
-    """Cumulative tp and fp at each distinct score, from high to low, over records with a score."""
-    by_score = records.where("gnn_score >= 0").groupBy("gnn_score").agg(F.sum("true_label").alias("p"), F.count_if(F.col("true_label") == 0).alias("q"))
-    down = W.partitionBy().orderBy(F.desc("gnn_score")).rowsBetween(W.unboundedPreceding, 0)  # a row for each distinct score
-    return by_score.select("gnn_score", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"))
+def curve(records: DataFrame, cells: int = 1024) -> DataFrame:
+    """Cumulative tp and fp at each distinct score, from high to low, over records with a score.
+
+    Scores are dealt into cells; the cells' totals are summed up once, and a window inside each cell does the rest, so
+    that no task gets all distinct scores.
+    """
+    rows = records.where("gnn_score >= 0").select("gnn_score", "true_label")
+    by_score = rows.groupBy("gnn_score").agg(F.sum("true_label").alias("p"), F.count_if(F.col("true_label") == 0).alias("q"))
+    by_score = by_score.withColumn("cell", F.least(F.floor(F.col("gnn_score") * cells), F.lit(cells)))
+    above = W.partitionBy().orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)  # a row for each cell
+    totals = by_score.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("q").alias("cq"))
+    zero = F.lit(0)
+    totals = totals.select("cell", F.coalesce(F.sum("cp").over(above), zero).alias("up"), F.coalesce(F.sum("cq").over(above), zero).alias("uq"))
+    down = W.partitionBy("cell").orderBy(F.desc("gnn_score")).rowsBetween(W.unboundedPreceding, 0)
+    tp, fp = F.col("up") + F.sum("p").over(down), F.col("uq") + F.sum("q").over(down)
+    return by_score.join(F.broadcast(totals), "cell").select("gnn_score", "p", "q", tp.alias("tp"), fp.alias("fp"))
 
 
 def ranking_metrics(records: DataFrame) -> DataFrame:
-    """roc_auc, average_precision, false positive rate at 95 % recall and recall at 99 % precision in one row."""
-    all_of = W.partitionBy()
-    c = curve(records).select("*", F.sum("p").over(all_of).alias("np"), F.sum("q").over(all_of).alias("nq"))
+    """One row: roc_auc, average_precision, false positive rate at 95 % recall, recall where false positives reach 1 %, recall
+    at 99 and 99.9 % precision, and the score of the last (1 if no score is that precise)."""
+    total = records.where("gnn_score >= 0").agg(F.sum("true_label").alias("np"), F.count_if(F.col("true_label") == 0).alias("nq"))
+    c = curve(records).crossJoin(F.broadcast(total))  # one row
+    recall, precision, wrong = F.col("tp") / F.col("np"), F.col("tp") / (F.col("tp") + F.col("fp")), F.col("fp") / F.col("nq")
+    best = lambda at, x: F.round(F.coalesce(F.max(F.when(at, x)), F.lit(0.0)), 6)
     area = F.col("q") * (F.col("tp") - F.col("p") + F.col("p") / 2)
-    return c.agg(
+    found = c.agg(
         F.round(F.sum(area) / F.first(F.col("np") * F.col("nq")), 6).alias("roc_auc"),
-        F.round(F.sum(F.col("p") / F.col("np") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("average_precision"),
-        F.round(F.coalesce(F.min(F.when(F.col("tp") / F.col("np") >= 0.95, F.col("fp") / F.col("nq"))), F.lit(1.0)), 6).alias("fpr_at_95r"),
-        F.round(F.coalesce(F.max(F.when(F.col("tp") / (F.col("tp") + F.col("fp")) >= 0.99, F.col("tp") / F.col("np"))), F.lit(0.0)), 6).alias("recall_at_99p"),
+        F.round(F.sum(F.col("p") / F.col("np") * precision), 6).alias("average_precision"),
+        F.round(F.coalesce(F.min(F.when(recall >= 0.95, wrong)), F.lit(1.0)), 6).alias("fpr_at_95r"),
+        F.round(F.coalesce(recall_at_rate(0.01), F.lit(1.0)), 6).alias("recall_at_1fpr"),
+        best(precision >= 0.99, recall).alias("recall_at_99p"),
+        best(precision >= 0.999, recall).alias("recall_at_999p"),
+        F.coalesce(F.min(F.when(precision >= 0.999, F.col("gnn_score"))), F.lit(1.0)).alias("threshold_at_999p"),
     )
+    return found.fillna(0.0)
+
+
+def recall_at_rate(rate: float) -> Column:
+    """Of a curve: the recall at the first score, from high to low, where false positives reach this rate."""
+    return F.min(F.when(F.col("fp") / F.col("nq") >= rate, F.col("tp") / F.col("np")))
+
+
+#: Strategy: what is ranked, what must reach which floor, and whether the grid is the fine one.
+STRATEGIES = {"f1": ("f1", "f1", 0.0, False), "recall95": ("precision", "recall", 0.95, False), "precision99": ("recall", "precision", 0.99, True), "precision999": ("recall", "precision", 0.999, True)}
+
+
+def find_thresholds(records: DataFrame) -> DataFrame:
+    """strategy and threshold for all strategies: the best on a grid of hundredths below 0.95, or thousandths below 1, among
+    those that reach the floor; the lowest of equals, 0.5 if there is none."""
+    coarse, fine = threshold_sweep(records, 10, 94, 1), threshold_sweep(records, 100, 999, 1, 1000.0)
+    every = coarse.withColumn("fine", F.lit(False)).unionByName(fine.withColumn("fine", F.lit(True)))
+    best = [
+        F.coalesce(F.max_by("threshold", F.when((F.col("fine") == grid) & (F.col(floor) >= least), F.struct(F.col(rank), -F.col("threshold")))), F.lit(0.5)).alias(name)
+        for name, (rank, floor, least, grid) in STRATEGIES.items()
+    ]
+    found = every.agg(*best)
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("threshold")) for n in STRATEGIES])).alias("s")).select("s.*")
+
+
+def best_config(swept: DataFrame, precision: float) -> DataFrame:
+    """The first configuration of best_recall() for one precision; an error if none reaches it."""
+    found = best_recall(swept, [precision]).where("place = 1")
+    if found.isEmpty():
+        raise ValueError(f"no policy reaches a precision of {precision}")
+    return found
+
+
+def compact(records: DataFrame, policy: dict[str, float], k: int = 25) -> DataFrame:
+    """kind, place, package_name and gnn_score of a policy's first k false positives and negatives by name."""
+    t = {n: F.lit(v) for n, v in policy.items()} | {"clean": F.lit(0.35)}
+    said = replay_verdict(F.col("gnn_score"), F.col("weighted"), F.col("hard_score"), t) == "malicious"
+    kind = F.when((F.col("true_label") == 0) & said, "fp").when((F.col("true_label") == 1) & ~said, "fn")
+    wrong = records.select(kind.alias("kind"), "package_name", "gnn_score").where("kind is not null")
+    return wrong.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("package_name"))).where(F.col("place") <= k)

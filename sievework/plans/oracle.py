@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.operators.catalog import BUILD_TERMS, HARD, LIVE_WEIGHT, NETWORK_TERMS, NODE_TYPES, OBFUSCATION_TERMS, PATTERN, REPLAY_HARD, REPLAY_WEIGHT, SECRET_TERMS, SHELL_TERMS, SWEEP, TOP_NAMES, TWIN, UNKNOWN_WEIGHT, score, severity
-from sievework.plans.queries import IDEAS, SMALL_GRID
+from sievework.operators.catalog import BUILD_ERRORS, BUILD_TERMS, DECISION_LABELS, FAILED_STEPS, HARD, HOOK_NETWORK_WORDS, IDEAS, LIVE_WEIGHT, NETWORK_TERMS, NODE_TYPES, OBFUSCATION_TERMS, PATTERN, REPLAY_HARD, REPLAY_WEIGHT, SECRET_TERMS, SHELL_TERMS, SWEEP, TOP_NAMES, TWIN, UNKNOWN_WEIGHT, score, severity
+from sievework.plans.queries import GOALS, MESSAGES, PHRASES, PRECISIONS, RECALLS, STACKS
 from sievework.plans.testbed import RULES, cte
 
 
@@ -88,7 +88,7 @@ def sweep_cte(axes: dict[str, list[float]]) -> str:
 
 
 def best(goal: str, floors: list[float], order: str) -> str:
-    return rec("SELECT * FROM placed WHERE place <= 10", f"""{sweep_cte(SMALL_GRID)}, placed AS (SELECT swept.*, floor, CAST(row_number() OVER (PARTITION BY floor ORDER BY {order}, config_id) AS INT) AS place
+    return rec("SELECT * FROM placed WHERE place <= 10", f"""{sweep_cte(SWEEP)}, placed AS (SELECT swept.*, floor, CAST(row_number() OVER (PARTITION BY floor ORDER BY {order}, config_id) AS INT) AS place
       FROM swept, (SELECT CAST(unnest({floors}) AS DOUBLE) AS floor) WHERE {goal} >= floor)""")
 
 
@@ -266,20 +266,22 @@ ORACLE_SQL: dict[str, str] = {
     "error_summary": rec("SELECT kind, 'category' AS dimension, category AS value, count(*) AS n FROM errs GROUP BY ALL UNION ALL SELECT kind, 'band', band, count(*) FROM errs GROUP BY ALL UNION ALL SELECT kind, 'profile', profile, count(*) FROM errs GROUP BY ALL"),
     "top_rules": rec("SELECT kind, rule_id, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, rule_id) AS INT) AS place FROM c QUALIFY place <= 20",
         "le AS (SELECT CASE WHEN true_label = 0 AND guess = 1 THEN 'fp' WHEN true_label = 1 AND guess = 0 THEN 'fn' END AS kind, rule_id FROM long_rules), c AS (SELECT kind, rule_id, count(*) AS n FROM le WHERE kind IS NOT NULL GROUP BY ALL)"),
-    "improvement_candidates": rec("SELECT i.category, action, count(*) AS n FROM errs JOIN i USING (category) GROUP BY ALL", f"i AS (SELECT * FROM {rows(IDEAS)} AS t(category, action))"),
-    "policy_sweep": rec("SELECT * FROM swept", sweep_cte(SMALL_GRID)),
+    "improvement_candidates": rec("SELECT idea, area, count(*) AS n FROM errs JOIN i USING (category) GROUP BY ALL", f"i AS (SELECT * FROM {rows([(i, a, c) for i, a, cs in IDEAS for c in cs])} AS t(idea, area, category))"),
+    "policy_sweep": rec("SELECT * FROM swept", sweep_cte(SWEEP)),
     "policy_sweep_full": rec("SELECT config_id, tp, fp, fn, tn FROM cnt", sweep_cte(SWEEP)),
-    "best_recall_at_precision": best('"precision"', [0.25, 0.30, 0.33], 'recall DESC, f1 DESC, "precision" DESC, fp'),
-    "best_precision_at_recall": best("recall", [0.2, 0.4, 0.6], '"precision" DESC, f1 DESC, fp'),
-    "best_f1": rec('SELECT * FROM swept ORDER BY f1 DESC, "precision" DESC, config_id LIMIT 10', sweep_cte(SMALL_GRID)),
-    "reachable_goals": rec('SELECT p AS min_precision, r AS min_recall, bool_or("precision" >= p AND recall >= r) AS reached FROM swept, g GROUP BY ALL', sweep_cte(SMALL_GRID) + ", g AS (SELECT CAST(p AS DOUBLE) AS p, CAST(r AS DOUBLE) AS r FROM (VALUES (0.3, 0.2), (0.34, 0.2), (0.9, 0.9)) AS t(p, r))"),
+    "best_recall_at_precision": best('"precision"', PRECISIONS, 'recall DESC, f1 DESC, "precision" DESC, fp'),
+    "best_precision_at_recall": best("recall", RECALLS, '"precision" DESC, f1 DESC, fp'),
+    "best_f1": rec('SELECT * FROM swept ORDER BY f1 DESC, "precision" DESC, config_id LIMIT 10', sweep_cte(SWEEP)),
+    "reachable_goals": rec('SELECT p AS min_precision, r AS min_recall, bool_or("precision" >= p AND recall >= r) AS reached FROM swept, g GROUP BY ALL', sweep_cte(SWEEP) + ", g AS (SELECT CAST(p AS DOUBLE) AS p, CAST(r AS DOUBLE) AS r FROM " + rows(GOALS) + " AS t(p, r))"),
     "threshold_sweep": rec("SELECT * FROM thr", thresholds(30, 95, 5)),
     "pr_curve_86": rec('SELECT threshold, "precision", recall FROM thr', thresholds(10, 95, 1)),
     "best_threshold": rec('SELECT m AS min_precision, coalesce((SELECT threshold FROM thr WHERE "precision" >= m ORDER BY recall DESC, f1 DESC, threshold LIMIT 1), 0.5) AS threshold FROM (SELECT CAST(unnest([0.3, 0.99]) AS DOUBLE) AS m)', thresholds(10, 95, 1)),
     "score_curve": rec("SELECT gnn_score, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp FROM s WINDOW w AS (ORDER BY gnn_score DESC)", "s AS (SELECT gnn_score, sum(true_label) AS p, sum(1 - true_label) AS n FROM rec WHERE gnn_score >= 0 GROUP BY ALL)"),
     "ranking_metrics": rec("""SELECT round((SELECT sum(a.p * b.n * CASE WHEN a.gnn_score > b.gnn_score THEN 1 WHEN a.gnn_score = b.gnn_score THEN 0.5 ELSE 0 END) FROM s a, s b) / (np * nn), 6) AS roc_auc,
-        (SELECT round(sum(p / np * tp / (tp + fp)), 6) FROM c) AS average_precision, (SELECT round(coalesce(min(fp / nn), 1), 6) FROM c WHERE tp / np >= 0.95) AS fpr_at_95r, (SELECT round(coalesce(max(tp / np), 0), 6) FROM c WHERE tp / (tp + fp) >= 0.99) AS recall_at_99p
-        FROM (SELECT CAST(sum(p) AS DOUBLE) AS np, CAST(sum(n) AS DOUBLE) AS nn FROM s)""", "s AS (SELECT gnn_score, CAST(sum(true_label) AS DOUBLE) AS p, CAST(sum(1 - true_label) AS DOUBLE) AS n FROM rec WHERE gnn_score >= 0 GROUP BY ALL), c AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM s WINDOW w AS (ORDER BY gnn_score DESC))"),
+        (SELECT round(sum(p / np * tp / (tp + fp)), 6) FROM c) AS average_precision, (SELECT round(coalesce(min(fp / nn), 1), 6) FROM c WHERE tp / np >= 0.95) AS fpr_at_95r, (SELECT round(coalesce(max(tp / np), 0), 6) FROM c WHERE tp / (tp + fp) >= 0.99) AS recall_at_99p,
+        (SELECT round(coalesce(max(tp / np), 0), 6) FROM c WHERE tp / (tp + fp) >= 0.999) AS recall_at_999p, (SELECT coalesce(min(gnn_score), 1) FROM c WHERE tp / (tp + fp) >= 0.999) AS threshold_at_999p,
+        (SELECT round(coalesce(min(tp / np), 1), 6) FROM c WHERE fp / nn >= 0.01) AS recall_at_1fpr
+        FROM (SELECT CAST(sum(p) AS DOUBLE) AS np, CAST(sum(n) AS DOUBLE) AS nn FROM s)""", "s AS (SELECT gnn_score, CAST(sum(true_label) AS DOUBLE) AS p, CAST(sum(1 - true_label) AS DOUBLE) AS n FROM rec WHERE gnn_score >= 0 GROUP BY ALL), c AS (SELECT gnn_score, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM s WINDOW w AS (ORDER BY gnn_score DESC))"),
     "score_histogram": rec("SELECT true_label, CAST(least(floor(gnn_score * 50), 49) AS INT) AS bin, count(*) AS n FROM rec WHERE gnn_score >= 0 GROUP BY ALL"),
     "class_bins": rec("SELECT true_label, CAST(CASE WHEN gnn_score < 0 THEN -1 ELSE least(floor(gnn_score * 10), 9) END AS INT) AS bin, count(*) AS n FROM rec GROUP BY ALL"),
     "class_score_stats": rec("SELECT true_label, count(*) AS n, round(avg(gnn_score), 6) AS mean, round(stddev_pop(gnn_score), 6) AS deviation, count(*) FILTER (WHERE gnn_score >= 0.5) AS above FROM rec WHERE gnn_score >= 0 GROUP BY ALL"),
@@ -293,7 +295,7 @@ ORACLE_SQL: dict[str, str] = {
     "mid_gnn_hook_slice": rec(f"SELECT *, {RATES} FROM c", f"c AS (SELECT {CELLS} FROM rec WHERE {MID} AND hook)"),
     "hard_examples": rec("SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'fp' THEN -gnn_score ELSE gnn_score END, package_name) AS INT) AS place, package_name, gnn_score FROM errs QUALIFY place <= 50"),
     "run_diff_metrics": rec("SELECT a.system, a.metric, a.v AS before, b.v AS after, round(b.v - a.v, 6) AS delta FROM l a JOIN l b ON a.system = b.system AND a.metric = b.metric WHERE a.run = 0 AND b.run = 1",
-        f"{SYSTEMS}, c AS (SELECT run, system, {CELLS} FROM sys GROUP BY ALL), r AS (SELECT *, {RATES} FROM c), l AS ({' UNION ALL '.join(f'SELECT run, system, {q(m)} AS metric, CAST({chr(34)}{m}{chr(34)} AS DOUBLE) AS v FROM r' for m in ('tp', 'fp', 'fn', 'tn', 'precision', 'recall', 'f1'))})"),
+        f"{SYSTEMS}, c AS (SELECT run, system, {CELLS} FROM sys GROUP BY ALL), r AS (SELECT *, {RATES} FROM c), l AS ({' UNION ALL '.join(f'SELECT run, system, {q(m)} AS metric, CAST({chr(34)}{m}{chr(34)} AS DOUBLE) AS v FROM r' for m in ('tp', 'fp', 'fn', 'tn', 'precision', 'recall', 'f1'))} UNION ALL SELECT run, system, 'flagged', CAST(tp + fp AS DOUBLE) FROM r)"),
     "run_diff_buckets": rec("SELECT decision_bucket, count(*) FILTER (WHERE run = 0) AS before, count(*) FILTER (WHERE run = 1) AS after, count(*) FILTER (WHERE run = 1) - count(*) FILTER (WHERE run = 0) AS delta, abs(count(*) FILTER (WHERE run = 1) - count(*) FILTER (WHERE run = 0)) > 5 AS notable FROM rec GROUP BY ALL"),
     "verdict_changes": rec("SELECT before, after, change, count(*) AS n FROM ch GROUP BY ALL", f"""two AS (SELECT *, {verdict("CASE WHEN gnn_score >= 0 THEN gnn_score * 0.5 ELSE gnn_score END")} AS again FROM rec),
         lst AS (SELECT short_name, arg_max(hybrid_verdict, seq) AS before, arg_max(again, seq) AS after, arg_max(true_label, seq) AS y FROM two GROUP BY ALL),
@@ -314,7 +316,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_pooling": f"WITH {EDGES}, e AS (SELECT package_id, generate_subscripts(h, 1) - 1 AS k, unnest(h) AS x FROM nd) SELECT package_id, CAST(k AS BIGINT) AS k, round(avg(x), 9) + 0.0 AS mean, round(sum(x), 9) + 0.0 AS total, round(max(x), 9) + 0.0 AS most FROM e GROUP BY ALL",
     "node_cap": f"WITH {PKG}, c AS (SELECT package_id, path, CAST(len(string_split(code, chr(10))) AS BIGINT) AS nodes FROM files), s AS (SELECT *, CAST(coalesce(sum(nodes) OVER (PARTITION BY package_id ORDER BY string_split(path, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM c) SELECT * FROM s WHERE before < 40",
     "lockfile_audit": f"""WITH dp AS ({cte("dependencies")}), pv AS ({cte("part_verdicts")}), c AS (SELECT lockfile_id, {", ".join(f"count(*) FILTER (WHERE coalesce(verdict, 'error') = '{v}') AS {v}" for v in ("clean", "suspicious", "malicious", "error"))} FROM dp LEFT JOIN pv USING (name) GROUP BY lockfile_id)
-        SELECT *, suspicious + malicious AS flagged, malicious > 0 AS fail_high, malicious + suspicious > 0 AS fail_medium FROM c""",
+        SELECT *, suspicious + malicious AS flagged, malicious > 0 AS fail_high, malicious + suspicious > 0 AS fail_medium, suspicious + malicious > 0 AS fail_any FROM c""",
     "lockfile_dependencies": "SELECT DISTINCT o_custkey AS lockfile_id, 'pkg' || CAST(o_orderkey % 50 AS VARCHAR) AS name, '1.0' AS version FROM orders",
     "proxy_actions": f"WITH {REQ} SELECT kind, action, count(*) AS n FROM act GROUP BY ALL",
     "dashboard_counts": f"WITH {REQ} SELECT count(*) FILTER (WHERE action IN ('block', 'forward')) AS scanned, count(*) FILTER (WHERE verdict = 'clean') AS clean, count(*) FILTER (WHERE verdict = 'malicious') AS malicious, count(*) FILTER (WHERE action = 'block') AS blocked FROM act",
@@ -341,6 +343,117 @@ ORACLE_SQL: dict[str, str] = {
     "file_facts": pkg("""SELECT f.package_id, f.path, CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines, octet_length(encode(code)) AS n_bytes, net_line, credentials, requires, e.entropy FROM f JOIN e ON e.package_id = f.package_id AND e.path = f.path""",
         f"""f AS (SELECT package_id, path, code, CASE WHEN {rx("code", "net_send")} THEN CAST(len(string_split(regexp_split_to_array(code, {q(PATTERN["net_send"])})[1], chr(10))) AS BIGINT) ELSE 0 END AS net_line,
         CAST(len(list_distinct(regexp_extract_all(code, {q(PATTERN["cred_env"])}, 1))) AS BIGINT) AS credentials, CAST(len(regexp_extract_all(code, {q(PATTERN["local_require"])}, 1)) AS BIGINT) AS requires FROM files),
-        ch AS (SELECT package_id, path, c, count(*) AS k FROM (SELECT package_id, path, unnest(string_split(left(code, 64), '')) AS c FROM files) GROUP BY ALL),
+        ch AS (SELECT package_id, path, c, count(*) AS k FROM (SELECT package_id, path, unnest(string_split(code, '')) AS c FROM files) GROUP BY ALL),
         e AS (SELECT package_id, path, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM (SELECT package_id, path, CAST(k AS DOUBLE) AS k, CAST(sum(k) OVER (PARTITION BY package_id, path) AS DOUBLE) AS n FROM ch) GROUP BY ALL)"""),
 }
+
+
+# ------------------------------------------------------------------------------------------------ records with manifests, builds and answers
+def dealt(texts: list[str]) -> str:
+    return f"[{', '.join(map(q, texts))}][CAST(seq % {len(texts)} AS INT) + 1]"
+
+
+JS = lambda k: f"coalesce(json_extract_string(raw, '$.{k}'), '')"
+COUNT = lambda k: f"CAST(coalesce(len(json_keys(raw, '$.{k}')), 0) AS INT)"
+IN_SCRIPTS = lambda hooks: f"array_to_string(list_filter([{', '.join(map(q, hooks))}], lambda h: list_contains(coalesce(json_keys(raw, '$.scripts'), []), h)), ',')"
+MANIFEST = f"""man AS ({cte("manifests")}), wm0 AS (SELECT rec.*, CASE WHEN seq % 17 = 0 THEN left(m.raw, 12) ELSE m.raw END AS given, {dealt(PHRASES)} AS decision_path FROM rec LEFT JOIN man m ON m.package_id = seq % 2111),
+wm AS (SELECT *, CASE WHEN json_valid(given) THEN given END AS raw FROM wm0)"""
+NOISY_BITS, GOOD_BITS = "(CAST(b2 AS INT) + CAST(b3 AS INT) + CAST(b5 AS INT))", "(CAST(b1 AS INT) + CAST(b4 AS INT))"
+N_RULES = "(" + " + ".join(f"CAST(b{i} AS INT)" for i in range(6)) + ")"
+RULE_LIST = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN b{i} THEN {q(r)} END" for i, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL), ',')"
+LABELS = f"lab AS (SELECT * FROM {rows([(i, *x) for i, x in enumerate(DECISION_LABELS)])} AS t(pos, said, words, label))"
+PHASE = f"""CASE WHEN hybrid_verdict = 'malicious' THEN CASE WHEN contains(lower(decision_path), 'critical behavioral rule') THEN 'critical_override' WHEN contains(lower(decision_path), 'very high confidence') THEN 'auto_block'
+  WHEN contains(lower(decision_path), 'confirming rules') OR contains(lower(decision_path), 'moderate malicious') THEN 'uncertain_rules_block' ELSE 'auto_block' END
+  WHEN hybrid_verdict = 'clean' THEN CASE WHEN gnn_score >= 0 AND gnn_score < {d(0.35)} THEN 'auto_pass' ELSE 'uncertain_clean' END
+  WHEN contains(lower(decision_path), 'review-only critical') OR contains(lower(decision_path), 'critical rule matched') THEN 'critical_override_review'
+  WHEN gnn_score >= 0 AND gnn_score < {d(0.35)} THEN 'auto_pass_review' ELSE 'uncertain_suspicious' END"""
+BUILDS = f"bl AS (SELECT package_name AS package_path, cpg_status AS status, coalesce(gnn_error_type, '') AS error_type, {dealt(MESSAGES)} AS error_message, {dealt(STACKS)} AS frames, num_js_files FROM rec)"
+FIT = lambda text, table, other: "CASE " + " ".join(f"WHEN contains({text}, {q(w)}) THEN {q(n)}" for w, n in table) + f" ELSE {q(other)} END"
+LIST7 = lambda source, parts: " UNION ALL ".join(f"SELECT {section} AS section, {name} AS name, CAST({value} AS DOUBLE) AS value FROM {source}" for section, name, value in parts)
+CONF = f"{SYSTEMS}, cf AS (SELECT system, {CELLS} FROM sys GROUP BY system), cfr AS (SELECT *, {RATES} FROM cf)"
+COVER = """cov AS (SELECT 'gnn' AS kind, CASE WHEN gnn_score >= 0 THEN 'available' ELSE 'unavailable' END AS value, count(*) AS n FROM rec GROUP BY ALL
+  UNION ALL SELECT 'error', CASE WHEN coalesce(gnn_error_type, '') = '' THEN 'UNKNOWN' ELSE gnn_error_type END, count(*) FROM rec WHERE gnn_score < 0 GROUP BY ALL UNION ALL SELECT 'cpg', cpg_status, count(*) FROM rec GROUP BY ALL),
+eff AS (SELECT rule_id, count(*) FILTER (WHERE true_label = 1) AS saved, count(*) FILTER (WHERE true_label = 0) AS hurt FROM long_rules WHERE gnn_score < 0.5 AND guess = 1 GROUP BY rule_id),
+bkt AS (SELECT decision_bucket, count(*) AS n FROM rec GROUP BY ALL)"""
+SCORES10 = """b10 AS (SELECT CAST(i AS INT) AS bucket, i / CAST(10 AS DOUBLE) AS low, (i + 1) / CAST(10 AS DOUBLE) AS high FROM (SELECT unnest(range(10)) AS i)),
+cal AS (SELECT CAST(bucket AS VARCHAR) AS bucket, count(gnn_score) AS total, coalesce(sum(true_label), 0) AS malicious, round(coalesce(sum(true_label) / count(gnn_score), 0), 6) AS rate FROM b10 LEFT JOIN rec ON gnn_score >= low AND (gnn_score < high OR (bucket = 9 AND gnn_score <= high)) GROUP BY ALL)"""
+LINE = lambda x: f"printf('%.4f', {x})"
+LOOKED = {r: names[-1] for r, names in SIMPLE.items()} | {"CRIT_EXFIL_CREDENTIALS": "net_send", "CRIT_REVERSE_SHELL": "rs_socket"}
+
+
+def located(rule: str, name: str) -> str:
+    """Line and snippet of a pattern's first match in the file of a rule's hit."""
+    before = f"regexp_split_to_array(code, {q(TWIN.get(name, PATTERN[name]))})[1]"
+    match = f"length(regexp_extract(code, {q(PATTERN[name])}))" if name not in TWIN else f"length(regexp_extract(substr(code, length({before}) + 1), '^require\\s*\\('))"
+    return f"""SELECT package_id, rule_id, file_path, CAST(len(string_split(b, chr(10))) AS BIGINT) AS line_number,
+      left(replace(substr(code, greatest(length(b) - 30, 0) + 1, length(b) - greatest(length(b) - 30, 0) + m + 30), chr(10), '\\n'), 200) AS snippet
+      FROM (SELECT h.*, f.code, {before} AS b, {match} AS m FROM file_hits h JOIN files f ON f.package_id = h.package_id AND f.path = h.file_path WHERE rule_id = {q(rule)})"""
+
+
+CL2 = lambda x, lo, hi: f"greatest({d(lo)}, least({d(hi)}, {x}))"
+ORACLE_SQL |= {
+    "rule_lines": pkg(" UNION ALL ".join(located(r, n) for r, n in LOOKED.items()) + """
+      UNION ALL SELECT h.package_id, h.rule_id, h.file_path, 0, arg_min(left(e.p, 200), instr(f.code, e.p)) FROM file_hits h JOIN files f ON f.package_id = h.package_id AND f.path = h.file_path JOIN ent e ON e.package_id = h.package_id AND e.path = h.file_path
+        WHERE h.rule_id = 'HIGH_STEGANOGRAPHIC_PAYLOAD' AND e.e > 4.5 GROUP BY ALL
+      UNION ALL SELECT h.package_id, h.rule_id, h.file_path, CAST(min(w.i) AS BIGINT), arg_min(left(w.w, 200), w.i) FROM file_hits h JOIN win w ON w.package_id = h.package_id AND w.path = h.file_path WHERE h.rule_id = 'HIGH_ENCODED_PAYLOAD_CHAIN'
+        AND (""" + f"{rx('w.w', 'b64_40')} OR {rx('w.w', 'hex10')}) AND {rx('w.w', 'decode')} AND {rx('w.w', 'exec_sink')} GROUP BY ALL"),
+    "decision_labels": rec("SELECT label, count(*) AS n FROM l GROUP BY label", f"""{MANIFEST}, {LABELS}, r AS (SELECT *, row_number() OVER () AS rid FROM wm), l AS (SELECT rid, arg_min(label, pos) AS label FROM r JOIN lab ON contains(lower(decision_path), words)
+        AND (said = hybrid_verdict OR (said = '' AND hybrid_verdict NOT IN ('clean', 'malicious'))) GROUP BY rid)"""),
+    "phase_labels": rec(f"SELECT true_label, {PHASE} AS phase_label, count(*) AS n FROM wm GROUP BY ALL", MANIFEST),
+    "diagnostic_records": rec(f"SELECT package_name, true_label, gnn_score, rules_score, {RULE_LIST} AS rules_matched, hybrid_verdict, decision_bucket, decision_path, {PHASE} AS phase_label FROM wm", MANIFEST),
+    "replayed_records": rec(f"""SELECT package_name, hybrid_verdict, round(CASE decision_bucket WHEN 'v2_gnn_direct_block' THEN {CL2("gnn_score", 0.9, 0.97)} WHEN 'v2_gnn_weighted_rules_block' THEN {CL2(f"gnn_score + {d(0.1)}", 0.8, 0.95)}
+        WHEN 'v2_hard_rules_block' THEN {CL2(f"gnn_score + {d(0.08)}", 0.82, 0.95)} WHEN 'clean_pass' THEN least({d(0.95)}, 1 - gnn_score) WHEN 'v2_low_gnn_review' THEN {d(0.65)} ELSE {CL2("gnn_score", 0.5, 0.75)} END, 6) AS confidence,
+        decision_bucket, replace(replace(decision_bucket, 'v2_', ''), '_', ' ') AS decision_path, weighted AS v2_weighted_rule_score, hard_score AS v2_hard_rule_score FROM rec"""),
+    "package_context": rec(f"""SELECT package_name AS record, CASE WHEN {JS("name")} <> '' THEN {JS("name")} ELSE package_name END AS package_name, coalesce(len(json_keys(raw)), 0) > 0 AS has_package_json,
+        (CASE WHEN {JS("name")} <> '' THEN {JS("name")} ELSE package_name END) LIKE '@%' AS scoped, {JS("repository")} NOT IN ('', '{{}}') AS has_repository, {JS("license")} <> '' AS has_license, trim({JS("description")}) <> '' AS has_description,
+        CAST(length({JS("description")}) AS INT) AS description_length, {COUNT("scripts")} AS scripts_count, {IN_SCRIPTS(HOOKS4)} AS lifecycle_hooks, {IN_SCRIPTS(HOOKS4)} <> '' AS has_lifecycle_hook, {COUNT("dependencies")} AS dependency_count,
+        {COUNT("devDependencies")} AS dev_dependency_count, gnn_score, metadata_risk, num_js_files, num_nodes, num_nodes * 2 AS num_edges, {RULE_LIST} AS rule_ids, {N_RULES} AS rules_count, {N_RULES} > 0 AS has_rules,
+        {NOISY_BITS} AS noisy_rule_count, {GOOD_BITS} AS high_reliability_rule_count, {N_RULES} > 0 AND {NOISY_BITS} = {N_RULES} AND {GOOD_BITS} = 0 AS rules_noisy_only, bare AS rules_none, b0 AS has_med_install_hook_rule,
+        false AS has_structural_rule, false AS has_manifest_hook_only_rule, b2 OR b4 AS has_critical_rule FROM wm""", MANIFEST),
+    "error_shapes": rec(f"""SELECT package_name, CASE WHEN true_label = 0 THEN 'fp' ELSE 'fn' END AS kind, given IS NOT NULL AS has_package_json, given IS NOT NULL AND raw IS NULL AS package_json_error, {IN_SCRIPTS(["preinstall", "install", "postinstall", "prepare"])} AS script_hooks,
+        {COUNT("dependencies")} AS dependency_count, {JS("repository")} NOT IN ('', '{{}}') AS has_repository, {JS("license")} <> '' AS has_license, CAST(length({JS("description")}) AS INT) AS description_length FROM wm WHERE true_label <> guess""", MANIFEST),
+    "evaluation_summary": rec("SELECT * FROM a", f"""{CONF}, {COVER}, {SCORES10}, tt AS (SELECT count(*) AS t, sum(true_label) AS m FROM rec),
+        a AS ({LIST7("tt", [("'counts'", "'total_packages'", "t"), ("'counts'", "'malicious_packages'", "m"), ("'counts'", "'benign_packages'", "t - m")])}
+        UNION ALL {LIST7("cfr", [("'metrics'", f"system || '.{m}'", chr(34) + m + chr(34)) for m in ("precision", "recall", "f1", "tp", "fp", "fn", "tn")])}
+        UNION ALL {LIST7("cov", [("'coverage'", "kind || '.' || value", "n")])} UNION ALL {LIST7("bkt", [("'decision_buckets'", "decision_bucket", "n")])}
+        UNION ALL {LIST7("eff", [("'saved'", "rule_id", "saved"), ("'hurt'", "rule_id", "hurt")])}
+        UNION ALL {LIST7("cal", [("'score_buckets.total'", "bucket", "total"), ("'score_buckets.malicious'", "bucket", "malicious"), ("'score_buckets.rate'", "bucket", "rate")])})"""),
+    "evaluation_report": rec(f"""SELECT 'metrics' AS section, system AS name, '| ' || concat_ws(' | ', system, {LINE('"precision"')}, {LINE("recall")}, {LINE("f1")}, tp, fp, fn, tn) || ' |' AS line FROM cfr
+        UNION ALL SELECT 'coverage', kind || ' ' || value, '- ' || kind || ' ' || value || ': ' || n FROM cov UNION ALL SELECT 'decision_buckets', decision_bucket, '- ' || decision_bucket || ': ' || n FROM bkt
+        UNION ALL SELECT 'rules', rule_id, '| ' || concat_ws(' | ', rule_id, saved, hurt) || ' |' FROM eff""", f"{CONF}, {COVER}"),
+    "evaluation_targets": """WITH l AS (SELECT 't' || s_suppkey AS path, CAST(s_suppkey % 2 AS INT) AS label, 'dir' AS kind, 0 AS source FROM supplier UNION ALL SELECT 't' || c_custkey, CAST(c_custkey % 2 AS INT), 'tarball', 1 FROM customer
+        UNION ALL SELECT 't' || p_partkey, CAST(p_partkey % 2 AS INT), 'dir', 2 FROM part UNION ALL SELECT 't' || p_partkey, CAST(p_partkey % 3 AS INT), 'dir', 3 FROM part WHERE p_partkey % 3 < 2),
+        f AS (SELECT path, label, kind, CAST(min(source) AS BIGINT) AS source FROM l GROUP BY ALL)
+        SELECT path, label, kind, source, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', path, label, kind, 42))) AS place FROM f QUALIFY place <= 300""",
+    "missed_rules": rec("SELECT rule_id, count(*) AS n FROM long_rules WHERE true_label = 1 AND hybrid_verdict = 'suspicious' GROUP BY ALL ORDER BY n DESC, rule_id LIMIT 5"),
+    "class_separation": rec(f"""SELECT round(avg(s) FILTER (WHERE true_label = 1), 6) AS malicious_mean, round(avg(s) FILTER (WHERE true_label = 0), 6) AS benign_mean, round(coalesce(stddev_pop(s) FILTER (WHERE true_label = 1), 0), 6) AS malicious_deviation,
+        round(coalesce(stddev_pop(s) FILTER (WHERE true_label = 0), 0), 6) AS benign_deviation, round(avg(s) FILTER (WHERE true_label = 1) - avg(s) FILTER (WHERE true_label = 0), 6) AS distance, count(*) FILTER (WHERE true_label = 1 AND s >= {d(0.8)}) AS malicious_above,
+        count(*) FILTER (WHERE true_label = 0 AND s >= {d(0.8)}) AS benign_above, count(*) FILTER (WHERE true_label = 1) AS malicious, count(*) FILTER (WHERE true_label = 0) AS benign FROM (SELECT true_label, CASE WHEN gnn_score >= 0 THEN gnn_score END AS s FROM rec)"""),
+    "optimal_thresholds": rec("""SELECT 'f1' AS strategy, coalesce((SELECT threshold FROM thr ORDER BY f1 DESC, threshold LIMIT 1), 0.5) AS threshold UNION ALL SELECT 'recall95', coalesce((SELECT threshold FROM thr WHERE recall >= 0.95 ORDER BY "precision" DESC, threshold LIMIT 1), 0.5)
+        UNION ALL SELECT 'precision99', coalesce((SELECT threshold FROM fr WHERE "precision" >= 0.99 ORDER BY recall DESC, threshold LIMIT 1), 0.5) UNION ALL SELECT 'precision999', coalesce((SELECT threshold FROM fr WHERE "precision" >= 0.999 ORDER BY recall DESC, threshold LIMIT 1), 0.5)""",
+        thresholds(10, 94, 1) + f", ft AS (SELECT k / CAST(1000 AS DOUBLE) AS threshold, count(*) FILTER (WHERE y = 1 AND g) AS tp, count(*) FILTER (WHERE y = 0 AND g) AS fp, count(*) FILTER (WHERE y = 1 AND NOT g) AS fn FROM (SELECT k, true_label AS y, gnn_score >= 0 AND gnn_score >= k / CAST(1000 AS DOUBLE) AS g FROM rec, (SELECT unnest(range(100, 1000)) AS k)) GROUP BY k), fr AS (SELECT *, {RATES} FROM ft)"),
+    "best_config": rec('SELECT swept.*, CAST(0.33 AS DOUBLE) AS floor, CAST(1 AS INT) AS place FROM swept WHERE "precision" >= CAST(0.33 AS DOUBLE) ORDER BY recall DESC, f1 DESC, "precision" DESC, fp, config_id LIMIT 1', sweep_cte(SWEEP)),
+    "compact_errors": rec("SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY package_name) AS INT) AS place, package_name, gnn_score FROM x WHERE kind IS NOT NULL QUALIFY place <= 25",
+        f"x AS (SELECT package_name, gnn_score, CASE WHEN true_label = 0 AND v = 'malicious' THEN 'fp' WHEN true_label = 1 AND v <> 'malicious' THEN 'fn' END AS kind FROM (SELECT *, {verdict('gnn_score', '0.9', '0.5', '2.0', '0.35', '5.0')} AS v FROM rec))"),
+    "mid_slice_errors": rec(f"SELECT CASE WHEN true_label = 1 THEN 'fn' ELSE 'tn' END AS kind, package_name, gnn_score, CAST(row_number() OVER (PARTITION BY true_label ORDER BY package_name) AS INT) AS place FROM rec WHERE {MID} AND hook AND guess = 0 QUALIFY place <= 50"),
+    "signal_outcome": rec("""SELECT a."precision", a.recall, b."precision" AS base_precision, b.recall AS base_recall, CASE WHEN a."precision" >= 0.96 AND a.recall >= 0.88 THEN 'goal_reached' WHEN a.recall > b.recall AND a."precision" >= b."precision" THEN 'improved' ELSE 'not_enough' END AS outcome FROM a, b""",
+        signal_cte(CONTEXT + LIFE) + f""", fl AS (SELECT package_name, arg_max(CASE WHEN kind = 'suppressor' THEN 0 ELSE 1 END, pos) AS v FROM fired WHERE signal IN (SELECT signal FROM good) AND ((kind = 'suppressor' AND guess = 1) OR (kind = 'confirmer' AND guess = 0)) GROUP BY ALL),
+        nw AS (SELECT true_label, coalesce(v, guess) AS guess FROM rec LEFT JOIN fl USING (package_name)), ca AS (SELECT {CELLS} FROM nw), a AS (SELECT *, {RATES} FROM ca), cb AS (SELECT {CELLS} FROM rec), b AS (SELECT *, {RATES} FROM cb)"""),
+    "scan_payloads": pkg("""SELECT package_id, CASE WHEN bad THEN 'error' ELSE verdict END AS verdict, CASE WHEN bad THEN 0 ELSE confidence END AS confidence, CASE WHEN bad THEN -1 ELSE coalesce(gnn, -1) END AS gnn_score,
+        CASE WHEN bad THEN 'error' ELSE path END AS decision_path, CASE WHEN NOT bad AND gnn IS NULL THEN 'rules_only' END AS fallback, CASE WHEN bad THEN 'timeout' END AS error_msg FROM (SELECT dd.*, dec.gnn, dd.package_id % 13 = 0 AS bad FROM dd JOIN dec USING (package_id))""", f"dd AS ({live()})"),
+    "block_bodies": pkg("""SELECT n || '@' || v AS package, 'malicious' AS verdict, confidence, e AS evidence, path AS decision, n || '@' || v || ' was blocked with confidence ' || printf('%.2f', confidence) || ': ' || CASE WHEN e <> '' THEN replace(e, ';', '; ') ELSE 'none recorded' END || ' (' || path || ')' AS note
+        FROM (SELECT dd.*, json_extract_string(raw, '$.name') AS n, json_extract_string(raw, '$.version') AS v, coalesce(e, '') AS e FROM dd JOIN manifests USING (package_id) LEFT JOIN (SELECT package_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS e FROM hits GROUP BY package_id) USING (package_id) WHERE verdict = 'malicious')""", f"dd AS ({live()})"),
+    "log_events": f"""WITH {REQ}, e AS (SELECT 'scan_complete' AS event, CASE WHEN verdict = 'malicious' THEN 'warn' ELSE 'info' END AS level FROM act WHERE action IN ('forward', 'block', 'fail_open')
+        UNION ALL SELECT CASE action WHEN 'skip_scan' THEN 'scan_skipped' ELSE action END, 'warn' FROM act WHERE action IN ('block', 'fail_open', 'skip_scan')) SELECT event, level, count(*) AS n FROM e GROUP BY ALL""",
+    "failure_taxonomy": rec(f"SELECT {FIT('lower(error_message)', BUILD_ERRORS, 'other')} AS error_class, {FIT('frames', FAILED_STEPS, 'unknown')} AS step, count(*) AS n FROM bl WHERE status = 'failure' GROUP BY ALL", BUILDS),
+    "build_failures": rec("SELECT package_path, error_type, error_message, num_js_files FROM bl WHERE status = 'failure'", BUILDS),
+    "split_shape": f"WITH {ITEMS} SELECT split, count(*) AS n, round(avg(nodes), 6) AS nodes, round(avg(floor(nodes * 1.5)), 6) AS edges FROM split JOIN items USING (item_id) GROUP BY split",
+    "hook_network": pkg("SELECT package_id, " + " OR ".join(f"contains(lower(coalesce({SCRIPT(h)}, '')), {q(w)})" for h in ("preinstall", "install", "postinstall") for w in HOOK_NETWORK_WORDS) + " AS network FROM manifests"),
+    "rule_titles": pkg("SELECT array_to_string(list_transform(string_split(lower(rule_id), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS title, count(*) AS n FROM hits GROUP BY rule_id"),
+    "archive_samples": r"""WITH a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'pypi' ELSE 'npm' END AS eco, CASE WHEN p_partkey % 5 = 0 THEN '@a:' ELSE '' END || replace(p_name, ' ', '?') || CASE WHEN p_partkey % 7 = 0 THEN '. ' ELSE '' END AS plain, p_size FROM part)
+        SELECT DISTINCT eco || '/mal/' || plain || '/1.' || p_size || '/x.zip' AS path, rtrim(replace(replace(plain, ':', '_'), '?', '_'), '. ') AS name, '1.' || p_size AS version FROM a WHERE eco = 'npm' AND k % 11 <> 0""",
+    "found_packages": """WITH f AS (SELECT 'pkg' || (o_custkey % 997) AS name, min(o_orderkey) AS seen FROM orders GROUP BY ALL) SELECT name, row_number() OVER (ORDER BY seen, name) AS place FROM f WHERE name NOT IN (SELECT 'pkg' || (s_suppkey * 3) FROM supplier) QUALIFY place <= 200""",
+    "popular_names": "SELECT p_name AS name, min(p_partkey) AS position FROM part GROUP BY p_name",
+    "build_queue": "WITH r AS (SELECT 'p' || p_partkey AS path, CAST(p_partkey % 2 AS INT) AS label FROM part WHERE length('p' || p_partkey) > 2 AND p_partkey % 3 <> 0) SELECT path, label FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY path) <= 5",
+    "packages_with_code": pkg("SELECT DISTINCT package_id FROM files WHERE path <> 'index.js' AND package_id IN (SELECT package_id FROM manifests)"),
+}

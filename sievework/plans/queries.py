@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -13,8 +13,17 @@ from sievework.operators.catalog import LIVE_WEIGHT, REPLAY_HARD, REPLAY_WEIGHT
 from sievework.plans.testbed import records, view
 from sievework.sources import packages
 
-SMALL_GRID = {"direct": [0.80, 0.90, 0.98], "confirm": [0.45, 0.65], "weighted": [1.0, 6.0], "hard_min_gnn": [0.0, 0.45], "hard": [5.0, 10.0]}
-IDEAS = [("fp_noisy_rule_confirmation", "lower the weight of noisy rules"), ("fn_mid_gnn_weak_rules", "confirm at a lower score"), ("fp_other", "look at samples")]
+#: Floors that policies over the given tables reach, beside those of production.
+PRECISIONS, RECALLS = [0.25, 0.30, 0.33, 0.96, 0.97, 0.98, 0.99], [0.2, 0.4, 0.6, 0.88, 0.89, 0.90, 0.92]
+GOALS = [(0.3, 0.2), (0.34, 0.2), (0.96, 0.88), (0.97, 0.88), (0.98, 0.88), (0.99, 0.88)]
+#: Texts of decision paths, dealt to records by number.
+PHRASES = [
+    "GNN unavailable; rules clean", "Confident clean", "v2 install-hook recall block", "V2 direct GNN block", "v2 GNN + weighted rules block", "v2 high-reliability rules block", "critical behavioral rule matched", "very high confidence",
+    "confirming rules", "without strong static confirmation", "v2 review: low GNN", "v2 review: evidence below block thresholds", "v2 review: GNN-only uncertainty", "review-only critical", "Static evidence", "one rule", "nothing of the kind",
+]
+#: Messages and stacks of failed builds, dealt to records by number.
+MESSAGES = ["No JS files", "Syntax error near {", "tree_sitter gave up", "0 nodes left", "Empty", "disk full", "no javascript and a parse error"]
+STACKS = ["main extract_ast", "main _walk_tree", "build extract_cfg", "build extract_dfg x", "get_node_features", "_build_metadata_tensor", "_build_cpg_impl", "main"]
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +40,7 @@ def static_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def swept(spark: SparkSession, sf: str) -> DataFrame:
-    return sweep.sweep(records(spark, sf), SMALL_GRID)
+    return sweep.sweep(records(spark, sf))
 
 
 def runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +83,7 @@ def file_facts(spark: SparkSession, sf: str) -> DataFrame:
     code = F.col("code")
     return view(spark, sf, "files").select(
         "package_id", "path", T.lines(code).cast("long").alias("n_lines"), F.octet_length(code).cast("long").alias("n_bytes"), F.coalesce(T.line_of(code, "net_send"), F.lit(0)).cast("long").alias("net_line"),
-        F.size(rules.distinct_credentials(code)).cast("long").alias("credentials"), F.size(T.local_requires(code)).cast("long").alias("requires"), T.entropy(F.left(code, F.lit(64))).alias("entropy"),
+        F.size(rules.distinct_credentials(code)).cast("long").alias("credentials"), F.size(T.local_requires(code)).cast("long").alias("requires"), T.entropy(code).alias("entropy"),
     )
 
 
@@ -88,10 +97,81 @@ def spec_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names within two edits of another name, among distinct names (some hundred)."""
+    """Part names within two edits of another name, among distinct names.
+
+    Two such names are equal after at most two deletions from each, so names meet at what deletions leave of them.
+    """
     names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")).distinct()
-    other = names.withColumnRenamed("name", "other")
-    return names.join(F.broadcast(other), (F.length("name") - F.length("other")).between(-2, 2) & T.distance_within(F.col("name"), F.col("other")).between(1, 2))
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    less = F.when(F.length("name") > 0, one(F.col("name"))).otherwise(F.array().cast("array<string>"))
+    least = F.flatten(F.transform(less, lambda x: F.when(F.length(x) > 0, one(x)).otherwise(F.array(x))))
+    cut = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), less, least))).alias("cut"))
+    pairs = cut.join(cut.select(F.col("name").alias("other"), "cut"), "cut").where("name <> other").select("name", "other").distinct()
+    return pairs.where(T.distance_within(F.col("name"), F.col("other")).between(1, 2))
+
+
+def dealt(text: list[str], by: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, text)), (F.pmod(F.col(by), F.lit(len(text))) + 1).cast("int"))
+
+
+def with_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with the manifest of a package, some without, some cut off, and with the text of a decision path."""
+    raw = view(spark, sf, "manifests").select(F.col("package_id").alias("m"), "raw")
+    rows = records(spark, sf).join(raw, F.pmod("seq", F.lit(2111)) == F.col("m"), "left")
+    cut = F.when(F.col("seq") % 17 == 0, F.left("raw", F.lit(12))).otherwise(F.col("raw"))
+    return rows.withColumns({"raw": cut, "decision_path": dealt(PHRASES, "seq"), "num_edges": F.col("num_nodes") * 2})
+
+
+def builds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = records(spark, sf)
+    return rows.select(F.col("package_name").alias("package_path"), F.col("cpg_status").alias("status"), F.coalesce("gnn_error_type", F.lit("")).alias("error_type"), dealt(MESSAGES, "seq").alias("error_message"), dealt(STACKS, "seq").alias("frames"), "num_js_files")
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    error = F.when(F.col("package_id") % 13 == 0, "timeout")
+    return serve.scan_payload(decided(spark, sf).join(view(spark, sf, "scores"), "package_id").withColumn("error", error))
+
+
+def blocked(spark: SparkSession, sf: str) -> DataFrame:
+    raw = view(spark, sf, "manifests").select("package_id", F.get_json_object("raw", "$.name").alias("name"), F.get_json_object("raw", "$.version").alias("version"))
+    why = hits(spark, sf).groupBy("package_id").agg(F.array_sort(F.collect_set("rule_id")).alias("evidence"))
+    rows = decided(spark, sf).where("verdict = 'malicious'").join(raw, "package_id").join(why, "package_id", "left")
+    body = serve.block_body(rows.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))))
+    return body.withColumn("evidence", F.array_join("evidence", ";"))
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Four lists of labelled targets that overlap."""
+    read = lambda t, key, label, kind: spark.read.parquet(f"{sf}/{t}.parquet").select(F.concat(F.lit("t"), F.col(key).cast("string")).alias("path"), (F.col(key) % label).cast("int").alias("label"), F.lit(kind).alias("kind"))
+    lists = [read("supplier", "s_suppkey", 2, "dir"), read("customer", "c_custkey", 2, "tarball"), read("part", "p_partkey", 2, "dir"), read("part", "p_partkey", 3, "dir").where("label < 2")]
+    return dataset_targets(lists)
+
+
+def dataset_targets(lists: list[DataFrame]) -> DataFrame:
+    return evaluate.unite_targets(lists, most=300).select("path", "label", "kind", F.col("source").cast("long").alias("source"), F.col("place").cast("long").alias("place"))
+
+
+def archive_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Sample paths made of parts, of several ecosystems and depths."""
+    k = F.col("p_partkey")
+    eco = F.when(k % 4 == 0, "pypi").otherwise("npm")
+    plain = F.concat(F.when(k % 5 == 0, "@a:").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("?")), F.when(k % 7 == 0, ". ").otherwise(""))
+    path = F.when(k % 11 == 0, F.concat_ws("/", eco, F.lit("mal"), plain)).otherwise(F.concat_ws("/", eco, F.lit("mal"), plain, F.concat(F.lit("1."), F.col("p_size").cast("string")), F.lit("x.zip")))
+    return packages.malware_samples(spark.read.parquet(f"{sf}/part.parquet").select(path.alias("path"), "p_partkey")).distinct()
+
+
+def found_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Names on pages of orders, without those of known parts."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("pkg"), (F.col("o_custkey") % 997).cast("string")).alias("name"), F.floor(F.col("o_orderkey") / 250).alias("page"), (F.col("o_orderkey") % 250).alias("position"))
+    known = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("pkg"), (F.col("s_suppkey") * 3).cast("string")).alias("name"))
+    return packages.search_results(o, known, 200).withColumn("place", F.col("place").cast("long"))
+
+
+def queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled parts that exist, without those already built, the first five of each label."""
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), (F.col("p_partkey") % 2).cast("int").alias("label"))
+    there, done = rows.where("length(path) > 2"), rows.where("cast(substr(path, 2) as bigint) % 3 = 0")
+    return packages.build_queue(packages.existing(rows, there), done, 5)
 
 
 def lockfiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,13 +211,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_records": lambda s, d: evaluate.errors(records(s, d)).select("package_name", "kind", "category", "band", "profile"),
     "error_summary": lambda s, d: evaluate.error_summary(records(s, d)),
     "top_rules": lambda s, d: evaluate.top_rules(records(s, d)),
-    "improvement_candidates": lambda s, d: evaluate.improvement_candidates(records(s, d), IDEAS),
+    "improvement_candidates": lambda s, d: evaluate.improvement_candidates(records(s, d)),
     "policy_sweep": swept,
     "policy_sweep_full": lambda s, d: sweep.sweep(records(s, d)).select("config_id", "tp", "fp", "fn", "tn"),
-    "best_recall_at_precision": lambda s, d: sweep.best_recall(swept(s, d), [0.25, 0.30, 0.33]),
-    "best_precision_at_recall": lambda s, d: sweep.best_precision(swept(s, d), [0.2, 0.4, 0.6]),
+    "best_recall_at_precision": lambda s, d: sweep.best_recall(swept(s, d), PRECISIONS),
+    "best_precision_at_recall": lambda s, d: sweep.best_precision(swept(s, d), RECALLS),
     "best_f1": lambda s, d: sweep.best_f1(swept(s, d)),
-    "reachable_goals": lambda s, d: sweep.reachable(swept(s, d), [(0.3, 0.2), (0.34, 0.2), (0.9, 0.9)]),
+    "reachable_goals": lambda s, d: sweep.reachable(swept(s, d), GOALS),
     "threshold_sweep": lambda s, d: sweep.threshold_sweep(records(s, d)),
     "pr_curve_86": lambda s, d: sweep.threshold_sweep(records(s, d), 10, 95, 1).select("threshold", "precision", "recall"),
     "best_threshold": lambda s, d: sweep.best_threshold(sweep.threshold_sweep(records(s, d), 10, 95, 1), 0.3).unionByName(sweep.best_threshold(sweep.threshold_sweep(records(s, d), 10, 95, 1), 0.99)),
@@ -181,4 +261,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "client_sessions": lambda s, d: serve.sessions(view(s, d, "requests")),
     "tarball_url": spec_table,
     "first_seen_versions": lambda s, d: packages.first_of_each(view(s, d, "requests").select("key", "event_id", "verdict"), ["key"], ["event_id"]),
+    "rule_lines": lambda s, d: rules.file_hits(view(s, d, "files")).select("package_id", "rule_id", "file_path", F.coalesce("line_number", F.lit(0)).cast("long").alias("line_number"), "snippet"),
+    "decision_labels": lambda s, d: with_manifest(s, d).groupBy(decide.decision_label(F.col("hybrid_verdict"), F.col("decision_path")).alias("label")).agg(F.count("*").alias("n")),
+    "phase_labels": lambda s, d: evaluate.diagnostic_records(with_manifest(s, d)).groupBy("true_label", "phase_label").agg(F.count("*").alias("n")),
+    "diagnostic_records": lambda s, d: evaluate.diagnostic_records(with_manifest(s, d)).withColumn("rules_matched", F.array_join("rules_matched", ",")),
+    "replayed_records": lambda s, d: decide.replayed(records(s, d)).select("package_name", "hybrid_verdict", "confidence", "decision_bucket", "decision_path", "v2_weighted_rule_score", "v2_hard_rule_score"),
+    "package_context": lambda s, d: signals.package_context(with_manifest(s, d)).withColumns({"lifecycle_hooks": F.array_join("lifecycle_hooks", ","), "rule_ids": F.array_join("rule_ids", ",")}),
+    "error_shapes": lambda s, d: evaluate.manifest_shape(evaluate.errors(with_manifest(s, d), "raw")).select("package_name", "kind", "has_package_json", "package_json_error", F.array_join("script_hooks", ",").alias("script_hooks"), "dependency_count", "has_repository", "has_license", "description_length"),
+    "evaluation_summary": lambda s, d: evaluate.summary(records(s, d)),
+    "evaluation_report": lambda s, d: evaluate.report(records(s, d)),
+    "evaluation_targets": targets,
+    "missed_rules": lambda s, d: evaluate.missed_rules(records(s, d)),
+    "class_separation": lambda s, d: evaluate.separation(records(s, d)),
+    "optimal_thresholds": lambda s, d: sweep.find_thresholds(records(s, d)),
+    "best_config": lambda s, d: sweep.best_config(swept(s, d), 0.33),
+    "compact_errors": lambda s, d: sweep.compact(records(s, d), {"direct": 0.9, "confirm": 0.5, "weighted": 2.0, "hard_min_gnn": 0.35, "hard": 5.0}),
+    "mid_slice_errors": lambda s, d: signals.mid_slice_errors(records(s, d)),
+    "signal_outcome": lambda s, d: signals.verdict_on_signals(records(s, d), signals.context_signals() + signals.lifecycle_signals()),
+    "scan_payloads": answers,
+    "block_bodies": blocked,
+    "log_events": lambda s, d: serve.log_events(proxy_log(s, d), "warn").groupBy("event", "level").agg(F.count("*").alias("n")).unionByName(serve.log_events(proxy_log(s, d)).where("level = 'info'").groupBy("event", "level").agg(F.count("*").alias("n"))),
+    "failure_taxonomy": lambda s, d: dataset.failure_taxonomy(builds(s, d).where("status = 'failure'")),
+    "build_failures": lambda s, d: packages.failures(builds(s, d)),
+    "split_shape": lambda s, d: dataset.split_shape(dataset.campaign_split(view(s, d, "items")), view(s, d, "items").withColumn("edges", F.floor(F.col("nodes") * 1.5))),
+    "hook_network": lambda s, d: view(s, d, "manifests").select("package_id", T.network_in_hook(F.col("raw")).alias("network")),
+    "rule_titles": lambda s, d: hits(s, d).groupBy("rule_id").agg(F.count("*").alias("n")).select(T.rule_title(F.col("rule_id")).alias("title"), "n"),
+    "archive_samples": archive_samples,
+    "found_packages": found_packages,
+    "popular_names": lambda s, d: packages.popular_names(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("position"))),
+    "build_queue": queue,
+    "packages_with_code": lambda s, d: packages.with_code(view(s, d, "manifests").select("package_id"), view(s, d, "files").where("path <> 'index.js'")),
 }

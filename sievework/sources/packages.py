@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import text as T
+
 ARCHIVE = "package_id string, path string, size_bytes long, content binary, status string"
 LOG = "timestamp timestamp, level string, message string, event string, package string, verdict string, gnn_score double, rules array<string>, decision string, scan_ms double, cached boolean, evidence array<string>, reason string, size long, limit long"
 
@@ -79,6 +81,61 @@ def read_corpus(spark: SparkSession, path: str, label: int) -> DataFrame:
     return spark.read.option("header", True).schema("package_name string, version string, path string").csv(path).withColumn("label", F.lit(label))
 
 
+def existing(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """rows whose path is among the folders (path)."""
+    return rows.join(folders.select("path").distinct(), "path", "left_semi")
+
+
+def build_queue(rows: DataFrame, done: DataFrame, trial: int = 0) -> DataFrame:
+    """Labelled rows (path, label) whose output is not among `done` (path) yet; a trial run takes the first `trial` of each label."""
+    from pyspark.sql import Window as W
+
+    left = rows.join(done.select("path").distinct(), "path", "left_anti")
+    if not trial:
+        return left
+    return left.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("path"))).where(F.col("n") <= trial).drop("n")
+
+
+def with_code(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """packages that have a .js file."""
+    return packages.join(files.where(F.endswith("path", F.lit(".js"))).select("package_id").distinct(), "package_id", "left_semi")
+
+
+def malware_samples(archives: DataFrame) -> DataFrame:
+    """path, name and version of the npm samples among archive paths {ecosystem}/{category}/{name}/{version}/file."""
+    parsed = archives.select("path", T.sample_path(F.col("path")).alias("p"))
+    return parsed.where("p.ecosystem = 'npm'").select("path", "p.name", "p.version")
+
+
+def search_results(pages: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """name and place of found packages (name, page, position), each once where it came first, without known ones, up to `most`."""
+    from pyspark.sql import Window as W
+
+    first = pages.groupBy("name").agg(F.min(F.struct("page", "position")).alias("at"))
+    new = first.join(known.select("name").distinct(), "name", "left_anti").orderBy("at", "name").limit(most)
+    return new.withColumn("place", F.row_number().over(W.partitionBy().orderBy("at", "name"))).select("name", "place")  # `most` rows
+
+
+def popular_names(listed: DataFrame) -> DataFrame:
+    """name and its first position in a list (name, position), each name once, in the list's order; no list gives no rows."""
+    return listed.groupBy("name").agg(F.min("position").alias("position"))
+
+
+def failures(built: DataFrame) -> DataFrame:
+    """package_path, error_type, error_message and num_js_files of the builds that failed."""
+    return built.where("status = 'failure'").select("package_path", "error_type", "error_message", "num_js_files")
+
+
+def write_failures(built: DataFrame, path: str) -> None:
+    """Adds the failed builds to a folder of CSV with a header."""
+    failures(built).write.mode("append").option("header", True).csv(path)
+
+
+def write_splits(graphs: DataFrame, path: str) -> None:
+    """Graphs as Parquet, one folder for each split."""
+    graphs.repartition("split", F.pmod(F.xxhash64(*graphs.columns[:1]), F.lit(16))).write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def labelled_path(text: Column) -> Column:
     """struct(path, label) of PATH:LABEL."""
     return F.struct(F.regexp_extract(text, "(?s)^(.*):([01])$", 1).alias("path"), F.regexp_extract(text, "(?s)^(.*):([01])$", 2).cast("int").alias("label"))

@@ -8,8 +8,7 @@ from sievework.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"policy_sweep_full"}
-SAME = sorted(set(QUERIES) & set(ORACLE_SQL) - SLOW)
+SAME = sorted(set(QUERIES) & set(ORACLE_SQL))
 
 
 @pytest.fixture(scope="module")
