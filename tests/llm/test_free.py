@@ -1,6 +1,7 @@
 """Operators with numpy inside tasks, against brute force."""
 
 import hashlib
+from zlib import crc32
 
 import numpy as np
 import xxhash
@@ -111,8 +112,6 @@ def test_simhash(spark):
         label = [min(y for y, g in zip(label, fp) if bin(f ^ g).count("1") <= 2) for f in fp]
     got = sorted(tuple(r) for r in simhash.near_duplicates(df).collect())
     assert got == sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fp, label))
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
@@ -157,9 +156,33 @@ def test_embedding_blocks_count_each_pair_once(spark):
     rng = np.random.default_rng(8)
     v = rng.standard_normal(16)
     rows = [(i, (v + rng.standard_normal(16) * 0.02).astype(np.float32).tolist()) for i in range(150)]
-    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "rep long, embedding array<float>, n long")
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "node long, embedding array<float>, n long")
     n = sum(r["n"] for r in embed.near_links(df, block=20).where("b is null").collect())
     assert n == sum(x[1] for x in brute_links(rows))
+    cut = embed.candidate_groups(df, embed.COSINE, block=20).collect()
+    assert {r["grp"] for r in cut} == {0} and len(cut) == 150
+
+
+def test_embeddings_in_double_precision_and_with_any_id(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [1.0, 0.0]), (low, [0.0, 1.0]), (high, [0.0, 1.0]), (high - 1, [0.0, 3.0]), (None, [0.0, 2.0]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0]), (None, None), (9, [1.0, 1.0]), (9, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, n_links int")
+    got = sorted((tuple(r) for r in embed.near_duplicates(df).collect()), key=str)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (low, 3, low, True), (high, 3, low, False), (high - 1, 3, low, False), (None, 3, low, False)]
+    want += [(None, 1, None, True)] * 2 + [(None, 0, None, True)] + [(9, 1, 9, True)] * 2
+    assert got == sorted(want, key=str)
+
+
+def test_embedding_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(18)
+    base = rng.standard_normal((1500, 64))
+    x = np.concatenate([base, base[:700] + rng.standard_normal((700, 64)) * rng.uniform(0.1, 0.33, (700, 1))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cos = x.astype(float) @ x.astype(float).T
+    pairs = int(((cos >= embed.COSINE).sum() - len(x)) / 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = sum(r["n_links"] for r in embed.near_duplicates(df).collect()) / 2
+    assert pairs > 300 and 0.97 * pairs <= found <= pairs
 
 
 def test_toxicity_learns_words_and_stems(spark):
@@ -187,6 +210,13 @@ def test_toxicity_learns_words_and_stems(spark):
     assert got[1003]["predicted"] == 1 and [got[i]["predicted"] for i in (1000, 1001, 1002)] == [0, 0, 0]
     kept = toxicity.drop_toxic(df, lab)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if not got[i]["predicted"]}
+    big = 1152921504606846977
+    odd = spark.createDataFrame([(big, rows[0][1], 1), (big + 2, None, 1), (None, rows[0][1], 1), (-(1 << 63), "x", 1)], "doc_id long, text string, score int").coalesce(1)
+    seen = {r["doc_id"]: r["held_out"] for r in toxicity.score(df.select("doc_id", "text").unionByName(odd.select("doc_id", "text")), lab).collect()}
+    assert all(seen[i] == (crc32(str(i).encode()) % 3 == 1) for i in (big, big + 2, -(1 << 63))) and seen[None] is False
+    copies = lab.where("toxic = 1").crossJoin(spark.range(20)).drop("id").unionByName(lab)
+    some = toxicity.sampled(df.unionByName(df), copies, (50, 60)).collect()
+    assert sorted(r["toxic"] for r in some) == [0] * 60 + [1] * 50 and len({r["doc"] for r in some}) == 110
     none = toxicity.score(df, lab.where("false")).collect()
     assert {r["score"] for r in none} == {0.0} and toxicity.score(df.where("false"), lab).count() == 0
 
@@ -218,11 +248,55 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-2 - grad[k][at]) < 2e-3 + 0.05 * abs(grad[k][at]), k
 
 
+def brute_kept(rows, similar=0.8):
+    """The rows that stay: one for each component of exact similarities of five-word shingle sets."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if words[a] == words[b] or len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]) > 0]
+    for _ in range(len(rows)):
+        new = list(label)
+        for a, b in near:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[label[k]] = min(best.get(label[k], (True, 0)), (i is None, i or 0))
+    return sorted(best.values())
+
+
+def test_keep_one(spark):
+    rng = np.random.default_rng(25)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for k in range(60):
+        t = text(int(rng.integers(3, 400)))
+        rows.append((5000 - k, " ".join(t)))
+        for c in range(k % 4):
+            u = list(t)
+            for at in rng.integers(0, len(t), 1 + len(t) * c // 150):
+                u[at] = "changed"
+            rows.append((100 * k + c, "\n".join(u).upper() if c else " ".join(u)))
+    rows += [(None, rows[3][1]), (None, " ".join(text(50))), (9000, ""), (9001, None), (9002, " \n"), (9003, "one"), (9004, "ONE"), (9005, "one two three four"), (9006, " ".join(text(30_000)))]
+    rows += [(9007, rows[-1][1] + " more"), (9007, rows[-1][1] + " more")]
+    df = spark.createDataFrame([(i, t, "extra", 1) for i, t in rows], "doc_id long, text string, th string, n int").repartition(5)
+    want = brute_kept(rows)
+    for tile, block in ((4096, 256), (7, 3)):
+        kept = simhash.keep_one(df, tile, block)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
+
+
 def test_keep_one_goes_by_rows_and_not_by_ids(spark):
     text = lambda *at: " ".join(f"w{i}" for i in range(*at))
+    low = -(1 << 63)
     rows = [(None, text(0, 90)), (None, text(100, 190)), (None, text(100, 190)), (7, text(200, 290)), (7, text(300, 390)), (3, text(300, 390)), (7, text(400, 490)), (7, text(400, 490)), (None, text(200, 290))]
+    rows += [(low, text(500, 590)), (None, text(500, 590)), (None, text(600, 690)), (low, text(700, 790)), ((1 << 60) + 1, text(800, 890)), ((1 << 60) + 3, text(800, 890))]
     df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, key string")
     want = [(None, text(0, 90)), (None, text(100, 190)), (7, text(200, 290)), (3, text(300, 390)), (7, text(400, 490))]
+    want += [(low, text(500, 590)), (None, text(600, 690)), (low, text(700, 790)), ((1 << 60) + 1, text(800, 890))]
     for n in (1, 4):
         kept = simhash.keep_one(df.repartition(n))
         assert kept.columns == df.columns
@@ -232,8 +306,10 @@ def test_keep_one_goes_by_rows_and_not_by_ids(spark):
 
 def test_repeats_in_every_order_of_ids(spark):
     passage = "a passage of well over fifty bytes that several rows hold, whatever their ids"
-    for ids in ([1, 2, 1], [None, 5, None], [2, 1, 2], [5, None, 5], [1, 2, 1, 3], [None, None]):
-        rows = [(repeats.LAST if i is None else i, f"{k} {passage} {k}") for k, i in enumerate(ids)]
+    top, big = repeats.LAST, (1 << 60) + 1
+    none = top + 1  # for brute force: larger than any id
+    for ids in ([1, 2, 1], [None, 5, None], [2, 1, 2], [5, None, 5], [1, 2, 1, 3], [None, None], [top, None], [None, top, -top - 1, top - 1], [top, top], [big, big + 2, None]):
+        rows = [(none if i is None else i, f"{k} {passage} {k}") for k, i in enumerate(ids)]
         df = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows)], "doc_id long, text string").coalesce(1)
-        got = sorted((repeats.LAST if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect())
+        got = sorted((none if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect())
         assert got == brute_repeats(rows), ids
