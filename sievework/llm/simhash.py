@@ -311,7 +311,7 @@ def keep_one(docs: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame
     each = docs.select(F.struct(*docs.columns).alias("row"))
     mine = dict(zip(key[1:], [F.col("row.doc_id"), *text_key(F.col("row.text"))]))
     same = reduce(Column.__and__, (mine[k].eqNullSafe(F.col(f"gone_{k}")) for k in mine))
-    stay = docs.join(broadcast_if(gone.drop("back")), reduce(Column.__and__, (x.eqNullSafe(F.col(f"gone_{k}")) for k, x in zip(key[1:], [docs["doc_id"], *text_key(docs["text"])]))), "left_anti")
+    stay = each.join(broadcast_if(gone.drop("back")), same, "left_anti").select("row.*")
     back = gone.where("back")
     if back.isEmpty():
         return stay
