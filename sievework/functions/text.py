@@ -78,7 +78,7 @@ def entropy(text: Column) -> Column:
     The characters are sorted, so that equal ones are runs, and the runs' lengths are the counts.
     """
     n = F.length(text).cast("double")
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
     share = F.transform(runs, lambda r: F.length(r) / n)
     return F.when(F.length(text) < 2, 0.0).otherwise(F.round(F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p)), 6))
 
@@ -93,12 +93,21 @@ def line_of(text: Column, name: str) -> Column:
     return F.when(has(text, name), F.size(F.split(before(text, name), "\n")))
 
 
-def snippet(text: Column, name: str) -> Column:
-    """The first match with 30 characters on each side, newlines escaped, cut to 200."""
-    start = F.length(before(text, name))
-    length = F.length(F.regexp_extract(text, pattern(name), 0))
+def first_match(text: Column, name: str) -> Column:
+    """struct(before, length): what stands before the first match and how long that is. Meant for a column of its own, as
+    line and snippet come from it without looking for the pattern again."""
+    return F.struct(before(text, name).alias("before"), F.length(F.regexp_extract(text, pattern(name), 0)).alias("length"))
+
+
+def line_at(found: Column) -> Column:
+    return F.size(F.split(found["before"], "\n"))
+
+
+def snippet_at(text: Column, found: Column) -> Column:
+    """A match with 30 characters on each side, newlines escaped, cut to 200."""
+    start = F.length(found["before"])
     low = F.greatest(start - 30, F.lit(0))
-    return F.when(has(text, name), F.left(F.replace(F.substr(text, low + 1, start - low + length + 30), F.lit("\n"), F.lit("\\n")), F.lit(200)))
+    return F.left(F.replace(F.substr(text, low + 1, start - low + found["length"] + 30), F.lit("\n"), F.lit("\\n")), F.lit(200))
 
 
 def lines(text: Column) -> Column:

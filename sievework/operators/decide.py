@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.local import fixed_table
 from sievework.operators.catalog import DECISION_LABELS, HARD, LIVE, LIVE_WEIGHT, REPLAY, REPLAY_HARD, REPLAY_WEIGHT, UNKNOWN_WEIGHT
 
 
 def weight_dim(spark, weights: dict[str, float] = LIVE_WEIGHT, hard: list[str] = HARD) -> DataFrame:
-    return spark.createDataFrame([(r, weights.get(r), r in hard) for r in sorted({*weights, *hard})], "rule_id string, weight double, hard boolean")
+    return fixed_table(spark, [(r, weights.get(r), r in hard) for r in sorted({*weights, *hard})], "rule_id string, weight double, hard boolean")
 
 
 def rule_scores(hits: DataFrame, weights: dict[str, float] = LIVE_WEIGHT, hard: list[str] = HARD) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.local import fixed_table
 from sievework.functions.text import score_band
 from sievework.operators.catalog import IDEAS, LIVE, NOISY, RELIABLE
 from sievework.operators.decide import phase_label
@@ -78,7 +79,7 @@ def rule_effects(records: DataFrame) -> DataFrame:
 
 
 def bounds(spark) -> DataFrame:
-    return spark.createDataFrame([(i, i / 10, (i + 1) / 10) for i in range(10)], "bucket int, low double, high double")
+    return fixed_table(spark, [(i, i / 10, (i + 1) / 10) for i in range(10)], "bucket int, low double, high double")
 
 
 def calibration(records: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def top_rules(records: DataFrame, k: int = 20) -> DataFrame:
 def improvement_candidates(records: DataFrame, ideas: list[tuple[str, str, list[str]]] = IDEAS) -> DataFrame:
     """idea, area and n: the ideas one of whose error categories occurs, with how many such errors there are."""
     each = [(idea, area, c) for idea, area, cats in ideas for c in cats]
-    dim = records.sparkSession.createDataFrame(each, "idea string, area string, category string")
+    dim = fixed_table(records.sparkSession, each, "idea string, area string, category string")
     found = errors(records).groupBy("category").agg(F.count("*").alias("n"))
     return dim.join(found, "category").groupBy("idea", "area").agg(F.sum("n").alias("n"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.local import fixed_table
 from sievework.operators.catalog import LIFECYCLE, TOP_NAMES, score, severity
 
 #: rule, patterns that one file must all have; the last gives line and snippet.
@@ -84,17 +85,22 @@ def file_hits(files: DataFrame) -> DataFrame:
     f = {n: F.col(f"has_{n}") for n in names}
     every = lambda ns: reduce(Column.__and__, (f[n] for n in ns))
     chain = (f["b64_40"] | f["hex10"]) & f["decode"] & f["exec_sink"]
-    simple = [hit(rule, every(ns), T.line_of(code, ns[-1]), T.snippet(code, ns[-1])) for rule, ns in FILE_RULES]
+    uses = [(ns[-1], every(ns)) for _, ns in FILE_RULES] + [("net_send", f["net_send"] & f["cred_env"]), ("rs_socket", f["rs_socket"] & f["rs_shell"])]
+    shown = {n: reduce(Column.__or__, (when for m, when in uses if m == n)) for n, _ in uses}
     payload = F.when(f["b64_long"], F.get(hidden_payloads(code), F.lit(0)))
     window = F.when(chain, encoded_window(code))
-    rows = rows.select("package_id", "path", "code", payload.alias("payload"), window.alias("window"), *f.values())
+    at = {n: F.when(when, T.first_match(code, n)).alias(f"at_{n}") for n, when in shown.items()}
+    rows = rows.select("package_id", "path", "code", payload.alias("payload"), window.alias("window"), *f.values(), *at.values())
+    line, snippet = (lambda n: T.line_at(F.col(f"at_{n}"))), (lambda n: T.snippet_at(code, F.col(f"at_{n}")))
+    simple = [hit(rule, every(ns), line(ns[-1]), snippet(ns[-1])) for rule, ns in FILE_RULES]
     more = [
-        hit("CRIT_EXFIL_CREDENTIALS", f["net_send"] & f["cred_env"] & (F.size(distinct_credentials(code)) >= 2), T.line_of(code, "net_send"), T.snippet(code, "net_send")),
-        hit("CRIT_REVERSE_SHELL", f["rs_socket"] & f["rs_shell"] & reverse_shell(code), T.line_of(code, "rs_socket"), T.snippet(code, "rs_socket")),
+        hit("CRIT_EXFIL_CREDENTIALS", f["net_send"] & f["cred_env"] & (F.size(distinct_credentials(code)) >= 2), line("net_send"), snippet("net_send")),
+        hit("CRIT_REVERSE_SHELL", f["rs_socket"] & f["rs_shell"] & reverse_shell(code), line("rs_socket"), snippet("rs_socket")),
         hit("HIGH_STEGANOGRAPHIC_PAYLOAD", F.col("payload").isNotNull(), None, F.left("payload", F.lit(200))),
         hit("HIGH_ENCODED_PAYLOAD_CHAIN", F.col("window").isNotNull(), F.col("window.i") + 1, F.left("window.w", F.lit(200))),
     ]
-    found = rows.select("package_id", "path", F.explode(F.array_compact(F.array(*simple, *more)).cast(HIT)).alias("h"))
+    # outer, as for an inner explode Spark would work out all hits twice, once to filter by their number
+    found = rows.select("package_id", "path", F.explode_outer(F.array_compact(F.array(*simple, *more)).cast(HIT)).alias("h")).where("h is not null")
     first = F.min_by(F.struct("path", "h.line_number", "h.snippet"), F.split("path", "/"))
     return found.groupBy("package_id", "h.rule_id").agg(first.alias("f")).select("package_id", "rule_id", F.col("f.path").alias("file_path"), "f.line_number", "f.snippet")
 
@@ -126,7 +132,7 @@ def hook_hits(hooks: DataFrame) -> DataFrame:
         hit("HIGH_OBFUSCATED_INSTALL", F.exists(src, obfuscated)),
         hit("MED_EVAL_USAGE", F.exists(src, lambda s: T.has(s, "eval") & ~T.has(s, "b64_decode"))),
     ]
-    return hooks.select("package_id", F.explode(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).select("package_id", "h.rule_id", F.lit(None).cast("string").alias("file_path"), "h.line_number", "h.snippet")
+    return hooks.select("package_id", F.explode_outer(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).where("h is not null").select("package_id", "h.rule_id", F.lit(None).cast("string").alias("file_path"), "h.line_number", "h.snippet")
 
 
 def package_facts(files: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -135,10 +141,14 @@ def package_facts(files: DataFrame, manifests: DataFrame) -> DataFrame:
     tests = F.exists(F.split("path", "/"), lambda p: p.isin("test", "tests"))
     readme = F.col("path").isin("README.md", "readme.md", "README", "README.txt")
     js = F.endswith("path", F.lit(".js"))
-    whole = F.max(F.when(js, F.struct(F.col("path").alias("path"), T.lines(code).alias("n"), F.octet_length(code).alias("b"))))
-    facts = files.groupBy("package_id").agg(
-        F.count_if(js).alias("n_js"), F.sum(F.when(js, T.lines(code))).alias("n_lines"), F.bool_or(js & T.has(code, "file_read")).alias("reads"), F.bool_or(js & T.has(code, "net_send")).alias("sends"),
-        F.bool_or(tests).alias("tests"), F.max(F.when(readme, F.length(code))).alias("readme"), whole.alias("only"),
+    rows = files.select("package_id", "path", "code", F.when(js, F.lower("code")).alias("low"), js.alias("js"), tests.alias("test"), F.when(readme, F.length(code)).alias("readme"))
+    rows = rows.select(
+        "package_id", "path", "js", "test", "readme", F.when(F.col("js"), T.lines(code)).alias("n"), F.octet_length(code).alias("b"),
+        *[(F.col("js") & T.has(code, n, F.col("low"))).alias(f"has_{n}") for n in ("file_read", "net_send")],
+    )
+    facts = rows.groupBy("package_id").agg(
+        F.count_if("js").alias("n_js"), F.sum("n").alias("n_lines"), F.bool_or("has_file_read").alias("reads"), F.bool_or("has_net_send").alias("sends"),
+        F.bool_or("test").alias("tests"), F.max("readme").alias("readme"), F.max(F.when(F.col("js"), F.struct("path", "n", "b"))).alias("only"),
     )
     return facts.join(manifests.select("package_id", "raw"), "package_id", "full_outer")
 
@@ -163,7 +173,7 @@ def package_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:
         hit("MED_SUSPICIOUS_PACKAGE_STRUCTURE", some(*LIFECYCLE) & F.col("n_js").between(1, 2) & (F.col("n_lines") < 50) & ~F.col("tests") & (F.coalesce("readme", F.lit(0)) <= 100)),
     ]
     facts = package_facts(files, manifests)
-    facts = facts.select("package_id", F.explode(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).select("package_id", "h.rule_id", F.lit(None).cast("string").alias("file_path"), "h.line_number", "h.snippet")
+    facts = facts.select("package_id", F.explode_outer(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).where("h is not null").select("package_id", "h.rule_id", F.lit(None).cast("string").alias("file_path"), "h.line_number", "h.snippet")
     squats = typosquats(manifests).select("package_id", F.lit("HIGH_TYPOSQUAT_SIGNAL").alias("rule_id"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_number"), F.col("close_to").alias("snippet"))
     return facts.unionByName(squats)
 
@@ -193,7 +203,7 @@ def manifest_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:
         hit("HIGH_MANIFEST_ENCODED_PAYLOAD", T.has(cmd, "m_decode") & F.exists(tokens, T.is_base64), None, cut),
         hit("HIGH_MANIFEST_SUSPICIOUS_URL", outside.isNotNull(), None, outside),
     ]
-    by_hook = hooks.select("package_id", "hook", F.explode(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).select("package_id", "h.rule_id", F.col("hook").alias("file_path"), "h.line_number", "h.snippet")
+    by_hook = hooks.select("package_id", "hook", F.explode_outer(F.array_compact(F.array(*found)).cast(HIT)).alias("h")).where("h is not null").select("package_id", "h.rule_id", F.col("hook").alias("file_path"), "h.line_number", "h.snippet")
     sized = files.groupBy("package_id").agg(
         F.sum(F.when(F.col("path").rlike(r"\.[cm]?js$"), T.lines(F.col("code")))).alias("n"),
         F.bool_or(F.exists(F.split("path", "/"), lambda p: p.isin("test", "tests", "__tests__"))).alias("tests"),
@@ -210,7 +220,7 @@ def rule_dim(spark) -> DataFrame:
     from sievework.operators.catalog import LIVE_WEIGHT
 
     ids = sorted({*LIVE_WEIGHT, "CRIT_DNS_EXFIL", "HIGH_MANIFEST_ENCODED_PAYLOAD"})
-    return spark.createDataFrame([(r, severity(r), score(r)) for r in ids], "rule_id string, severity string, score double")
+    return fixed_table(spark, [(r, severity(r), score(r)) for r in ids], "rule_id string, severity string, score double")
 
 
 def rule_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:

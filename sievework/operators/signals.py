@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.local import fixed_table
 from sievework.operators.catalog import BUILD_TERMS, NETWORK_TERMS, NOISY, OBFUSCATION_TERMS, RELIABLE, SECRET_TERMS, SHELL_TERMS
 from sievework.operators.evaluate import cells, predicted, profile, rates
 
@@ -107,7 +108,7 @@ def fired(records: DataFrame, signals: list[tuple[str, str, Column]]) -> DataFra
 def impact(records: DataFrame, signals: list[tuple[str, str, Column]]) -> DataFrame:
     """For each signal the cells that it matches, and the metrics after it flips them; signals without a match too."""
     spark = records.sparkSession
-    names = spark.createDataFrame([(n, k) for n, k, _ in signals], "signal string, kind string")
+    names = fixed_table(spark, [(n, k) for n, k, _ in signals], "signal string, kind string")
     matched = fired(records, signals).groupBy("signal").agg(*[c.alias(f"m_{n}") for n, c in zip(("tp", "fp", "fn", "tn"), cells(F.col("true_label"), F.col("guess")))])
     base = records.agg(*cells(F.col("true_label"), predicted(F.col("hybrid_verdict"))))
     rows = names.join(matched, "signal", "left").fillna(0).crossJoin(F.broadcast(base))  # one row

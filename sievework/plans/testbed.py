@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.local import fixed_table
 from sievework.operators.decide import replay_path, replay_verdict, rules_only_verdict
 
 B64 = "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODkrLw"
@@ -111,7 +112,7 @@ DIMS = {"snippets": SNIPPETS, "names": NAMES, "bodies": MANIFESTS}
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name].replace("KEY_OF_PROPS", PROPS["spark"])
-    used = {t: spark.createDataFrame(list(enumerate(DIMS[t])), "n long, body string") if t in DIMS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)}
+    used = {t: fixed_table(spark, list(enumerate(DIMS[t])), "n long, body string") if t in DIMS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)}
     return spark.sql(sql, **used)
 
 
