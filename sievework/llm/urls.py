@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from sievework.llm.common import ascii_lower, settle
 #: Fixed rules: verdict, host, start of the path.
 LISTED = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 BAD = "label=bad"
-#: A rule needs this share of the labelled pages and this many of them.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.5
+#: A rule's bad pages are this share of the labelled pages at least, its confidence is at least this and this many times the
+#: share of bad pages, and its distance from that share this many standard errors.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_DEVIATIONS = 0.001, 0.5, 1.5, 4.0
 BROADCAST_RULES = 100_000
 
 
@@ -53,25 +56,40 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(hosts, steps, asked, rest))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def pruning(base: float, n: int, min_support: float = MIN_SUPPORT, lift: float = MIN_LIFT) -> tuple[float, float]:
+    """(least support, least confidence) of rules among n pages of which the share `base` is bad.
+
+    More than half of a rule's pages must be bad, lest it blocks more good pages than bad ones; where bad pages are common,
+    `lift` times their share must be, or half way from it to 1 if that is less. Of pages that are all bad a rule needs so many that chance alone is MIN_DEVIATIONS standard errors away; with fewer no rule can pass, so they
+    are left out while mining already, whatever the table's size.
+    """
+    least = MIN_DEVIATIONS**2 * base / (1 - base)
+    return min(1.0, max(min_support, math.ceil(least) / n)), max(MIN_CONFIDENCE, min(base * lift, (1 + base) / 2))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, lift: float = MIN_LIFT) -> DataFrame:
     """Rules that point at bad pages: rule_id, items, confidence, support, n.
 
     Labels belong to the page whose page_id is their doc_id; a page is bad if it is toxic or of low quality, and equal
-    labels of one page count once. All labelled pages are mined. Rules may have any number of items; one that
-    holds a rule of one item less and no less confidence is pruned, which changes no verdict or confidence. Without labels there are no rules.
+    labels of one page count once. All labelled pages are mined, and their tokens may be any number. Rules are pruned by
+    support and by confidence against the share of bad pages (see pruning()); one that holds a rule of one item less
+    and no less confidence is pruned as well, which changes no verdict or confidence. Without labels of both kinds
+    there are no rules; a repeated page counts as often as it is there.
     """
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    baskets = pages.select("page_id", url_tokens(F.col("url")).alias("t")).join(known, F.col("page_id") == F.col("doc_id"))
+    baskets = settle(pages.select("page_id", url_tokens(F.col("url")).alias("t")).join(known, F.col("page_id") == F.col("doc_id")).select("t", "bad"))
+    n, n_bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if not 0 < n_bad < n:
+        return baskets.select(F.lit(0).alias("rule_id"), F.col("t").alias("items"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"), F.lit(0).alias("n")).where("false")
+    base = n_bad / n
+    support, confidence = pruning(base, n, min_support, lift)
     items = F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = settle(baskets.select(items.alias("items")))
-    n = baskets.count()
-    if not n:
-        return baskets.select(F.lit(0).alias("rule_id"), "items", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"), F.lit(0).alias("n"))
-    least = min(1.0, max(min_support, min_count / n))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.select(items.alias("items")))
     rules = model.associationRules.where(F.get("consequent", F.lit(0)) == BAD)
-    rules = settle(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
+    pages_of = F.round(F.col("support") * n / F.col("confidence"))
+    apart = (F.col("confidence") - base) / F.sqrt(F.lit(base * (1 - base)) / pages_of) >= MIN_DEVIATIONS
+    rules = settle(rules.where(apart).select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
     rules = rules.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support", F.size("items").alias("n"))
     shorter = rules.select("rule_id", "confidence", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
     other = rules.select(F.col("items").alias("part"), F.col("confidence").alias("other_c"))
@@ -97,7 +115,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, listed: list[tuple[str, str,
 
     A listed rule decides where one fits (longest first); else a page that a mined rule fits is blocked, and the others
     allowed. Null urls and urls without :// have an empty host and path, fit no listed rule and are allowed unless a
-    mined rule fits. Repeated rows stay. Only page_id and url are read.
+    mined rule fits; a page that is not labelled, or has no page_id, is judged like any other. Repeated rows stay, urls of any
+    length are read whole, no rows give no rows. Only page_id and url are read.
     """
     h, p = host(F.col("url")), path(F.col("url"))
     rows = pages.select("page_id", "url", h.alias("host"), p.alias("path"))
