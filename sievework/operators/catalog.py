@@ -1,6 +1,6 @@
 """Patterns, term sets, rule scores, weights and thresholds that results depend on.
 
-Patterns are in the dialect that Java and RE2 share, but for two that need a lookahead in Java; those have a twin that
+Patterns are in the dialect that Java and RE2 share, but for three that need a lookahead in Java; those have a twin that
 matches the same texts without one (TWIN).
 """
 
@@ -54,8 +54,20 @@ PATTERN = {
     "taint_read": r"\breadFileSync\s*\(",
     "taint_env": r"process\.env\b",
     "sink": r"(?:\beval\s*\(|\bFunction\s*\(|\b(?:exec|execSync)\s*\(|\b(?:spawn|spawnSync)\s*\(|\bhttps?\s*\.\s*(?:request|get)\s*\(|\bfetch\s*\(|\bwriteFileSync\s*\(|\bSocket\s*\(|\bdns\s*\.\s*lookup\s*\()",
+    # of the text of one node
+    "n_eval": r"\b(eval|Function)\s*\(",
+    "n_exec": r"\b(exec|execSync|spawn|spawnSync)\s*\(",
+    "n_network": r"\bhttps?\s*\.\s*(?:get|post|request)\s*\(|\bfetch\s*\(|\baxios\s*\.\s*(?:get|post|request|put|delete)\s*\(|\bSocket\s*\(|\bdns\s*\.\s*lookup\s*\(",
+    "n_file": r"\b(?:readFileSync|writeFileSync|readFile|writeFile|createReadStream|createWriteStream)\s*\(",
+    "n_import": r"\brequire\s*\(\s*[\"'](?:http|https|child_process|net|dns|fs|os)['\"]\s*\)",
+    "n_dynamic": r"\brequire\s*\(\s*(?![\"'][^\"']*[\"']\s*\))",
+    "n_crypto": r"\b(?:createHash|createCipher|createDecipher(?:iv)?|createSign|createVerify|createHmac|publicEncrypt|privateDecrypt|randomBytes|scrypt|pbkdf2)\s*\(",
+    "n_timer": r"\b(?:setTimeout|setInterval|setImmediate)\s*\(",
+    "n_string": r"\b(?:String\.fromCharCode|charCodeAt|Buffer\.from|atob|btoa|decodeURIComponent|unescape)\s*\(",
+    "n_base64": r"^[A-Za-z0-9+/=]+$",
 }
 TWIN = {
+    "n_dynamic": r"\brequire\s*\((?:\s|[^\s\"']|\z|[\"'][^\"']*(?:\z|[\"']\s*(?:[^\s)]|\z)))",
     "node_e_loader": r"(?i)node\s+-[ep]\b.*(?:Buffer\.from|atob|eval|Function|http|https|curl|wget|base64)",
     "dyn_require": r"\brequire\s*\(\s*(?:[^\s'\"]|\z)",
 }

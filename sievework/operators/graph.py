@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.functions.text import has
+from sievework.functions.text import entropy, failed_step, has, json_keys, network_in_hook
 from sievework.operators.catalog import NODE_TYPES
 
 TERMINAL = ["return_statement", "throw_statement", "break_statement", "continue_statement"]
@@ -69,6 +69,62 @@ def taint_flags(nodes: DataFrame) -> DataFrame:
     return nodes.select("package_id", "node_id", F.explode(flags).alias("f")).where("f.detail is not null").select("package_id", "node_id", "f.*")
 
 
+def obfuscated(kind: Column, text: Column, one_line: Column) -> Column:
+    """A long string, an escape, a long line, or a name of more than eight characters with more than 3.5 bits each."""
+    long = F.length(text) >= 200
+    name = (kind == "identifier") & (F.length(text) > 8) & (F.when(kind == "identifier", entropy(text)) > 3.5)
+    return ((kind == "string") & long) | has(text, "hex_esc") | has(text, "uni_esc") | (one_line & long) | F.coalesce(name, F.lit(False))
+
+
+def node_flags(nodes: DataFrame) -> DataFrame:
+    """package_id, node_id and twelve flags of each node (type, text, start_line, end_line)."""
+    kind, text = F.col("type"), F.coalesce("text", F.lit(""))
+    call = kind == "call_expression"
+    inner = F.regexp_replace(text, "^[\"'`]+|[\"'`]+$", "")
+    base64 = F.contains(text, F.lit("base64")) | ((kind == "string") & (F.length(inner) > 40) & has(inner, "n_base64"))
+    flags = {
+        "eval_call": call & has(text, "n_eval"), "exec_call": call & has(text, "n_exec"), "network_call": call & has(text, "n_network"), "file_op": call & has(text, "n_file"), "base64": base64,
+        "obfuscated": obfuscated(kind, text, F.col("start_line") == F.col("end_line")), "env_access": F.contains(text, F.lit("process.env")), "dangerous_import": call & has(text, "n_import"),
+        "dynamic_require": call & has(text, "n_dynamic"), "crypto_call": call & has(text, "n_crypto"), "timer_callback": call & has(text, "n_timer"), "string_manip": has(text, "n_string"),
+    }
+    return nodes.select("package_id", "node_id", *[c.alias(n) for n, c in flags.items()])
+
+
+def package_vector(files: DataFrame, manifests: DataFrame, flags: DataFrame) -> DataFrame:
+    """package_id and the eight numbers that a model gets of a package, of every package with a manifest.
+
+    Hooks, files and lines of .js and .mjs outside node_modules, a network word in a hook, taint sources and sinks (flags as
+    from taint_flags()), and whether both are there.
+    """
+    code = files.where(F.col("path").rlike(r"\.m?js$") & ~F.array_contains(F.split("path", "/"), "node_modules"))
+    sizes = code.groupBy("package_id").agg(F.count("*").alias("n"), F.sum(F.size(F.split("code", "\n")) - 1).alias("lines"))
+    taint = flags.groupBy("package_id").agg(F.count_if(F.col("flag") == "source").alias("sources"), F.count_if(F.col("flag") == "sink").alias("sinks"))
+    rows = manifests.select("package_id", "raw").join(sizes, "package_id", "left").join(taint, "package_id", "left").fillna(0, ["n", "lines", "sources", "sinks"])
+    keys, one = json_keys(F.col("raw"), "$.scripts"), lambda c: c.cast("double")
+    return rows.select(
+        "package_id", one(F.array_contains(keys, "preinstall")).alias("preinstall"), one(F.array_contains(keys, "postinstall")).alias("postinstall"), (F.col("n") / 100).alias("files"), (F.col("lines") / 10_000).alias("lines"),
+        one(F.coalesce(network_in_hook(F.col("raw")), F.lit(False))).alias("network_hook"), (F.col("sources") / 10).alias("sources"), (F.col("sinks") / 10).alias("sinks"), one((F.col("sources") > 0) & (F.col("sinks") > 0)).alias("both"),
+    )
+
+
+def graph_status(packages: DataFrame, nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
+    """package_id, status, error_type, num_nodes and num_edges of every package (package_id, raw: its manifest or null).
+
+    A package that failed (failed: package_id, frames, error) is a row with the step and the kind of its error; one without nodes is a
+    graph of one node without features if it has a manifest, else it has no graph.
+    """
+    n = nodes.groupBy("package_id").agg(F.count("*").alias("n"))
+    m = edges.groupBy("package_id").agg(F.count("*").alias("m"))
+    rows = packages.join(n, "package_id", "left").join(m, "package_id", "left").join(failed.select("package_id", F.concat(failed_step(F.col("frames")), F.lit(":"), "error").alias("why")), "package_id", "left")
+    dummy = F.col("n").isNull() & F.col("raw").isNotNull()
+    status = F.when(F.col("why").isNotNull(), "failure").when(F.col("n").isNull() & ~dummy, "cpg_none").otherwise("success")
+    fine = status == "success"
+    return rows.select(
+        "package_id", status.alias("status"), F.when(status == "cpg_none", "CPG_NONE").otherwise(F.coalesce("why", F.lit(""))).alias("error_type"),
+        F.when(fine, F.coalesce("n", F.lit(1))).otherwise(0).cast("long").alias("num_nodes"), F.when(fine & ~dummy, F.coalesce("m", F.lit(0))).otherwise(0).cast("long").alias("num_edges"),
+    )
+
+
 def type_index(kind: Column) -> Column:
     """Place of a node type among the 22 known ones from 0; 22 for all others."""
     kind = F.when(kind == "template_string", "template_literal").otherwise(kind)

@@ -457,3 +457,23 @@ ORACLE_SQL |= {
     "build_queue": "WITH r AS (SELECT 'p' || p_partkey AS path, CAST(p_partkey % 2 AS INT) AS label FROM part WHERE length('p' || p_partkey) > 2 AND p_partkey % 3 <> 0) SELECT path, label FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY path) <= 5",
     "packages_with_code": pkg("SELECT DISTINCT package_id FROM files WHERE path <> 'index.js' AND package_id IN (SELECT package_id FROM manifests)"),
 }
+
+CALL = lambda name: f"(type = 'call_expression' AND {rx('text', name)})"
+ORACLE_SQL |= {
+    "node_flags": pkg(f"""SELECT n.package_id, n.node_id, {CALL("n_eval")} AS eval_call, {CALL("n_exec")} AS exec_call, {CALL("n_network")} AS network_call, {CALL("n_file")} AS file_op,
+        contains(text, 'base64') OR (type = 'string' AND length(trim(text, '"''`')) > 40 AND {rx("trim(text, chr(34) || chr(39) || chr(96))", "n_base64")}) AS base64,
+        (type = 'string' AND length(text) >= 200) OR {rx("text", "hex_esc")} OR {rx("text", "uni_esc")} OR (i % 2 = 0 AND length(text) >= 200) OR coalesce(bits > 3.5 AND length(text) > 8, false) AS obfuscated,
+        contains(text, 'process.env') AS env_access, {CALL("n_import")} AS dangerous_import, {CALL("n_dynamic")} AS dynamic_require, {CALL("n_crypto")} AS crypto_call, {CALL("n_timer")} AS timer_callback, {rx("text", "n_string")} AS string_manip
+        FROM n LEFT JOIN e USING (node_id, package_id)""", """n AS (SELECT package_id, path || ':' || (i - 1) AS node_id, i - 1 AS i, ['call_expression', 'string', 'identifier'][CAST((i - 1) % 3 AS INT) + 1] AS type, l AS text FROM ln),
+        e AS (SELECT package_id, node_id, -sum(k / CAST(t AS DOUBLE) * log2(k / CAST(t AS DOUBLE))) AS bits FROM (SELECT package_id, node_id, c, count(*) AS k, any_value(t) AS t FROM (SELECT package_id, node_id, length(text) AS t, unnest(string_split(text, '')) AS c FROM n WHERE type = 'identifier') GROUP BY package_id, node_id, c) GROUP BY ALL)"""),
+    "package_vectors": pkg(f"""SELECT package_id, CAST({KEY("preinstall")} AS DOUBLE) AS preinstall, CAST({KEY("postinstall")} AS DOUBLE) AS postinstall, f.n / 100 AS files, f.lines / 10000 AS lines,
+        CAST({" OR ".join(f"contains(lower(coalesce({SCRIPT(h)}, '')), {q(w)})" for h in ("preinstall", "install", "postinstall") for w in HOOK_NETWORK_WORDS)} AS DOUBLE) AS network_hook, f.sources / 10 AS sources, f.sinks / 10 AS sinks, CAST(f.sources > 0 AND f.sinks > 0 AS DOUBLE) AS both
+        FROM (SELECT package_id, coalesce(json_extract(raw, '$.scripts') IS NOT NULL, false) AS x, CASE WHEN json_extract(raw, '$.scripts') IS NULL THEN '{{"scripts":{{}}}}' ELSE raw END AS raw FROM manifests) JOIN f USING (package_id)""",
+        f"""f AS (SELECT package_id, count(*) AS n, sum(len(string_split(code, chr(10))) - 1) AS lines, count(*) FILTER (WHERE {rx("code", "taint_decode")} OR {rx("code", "taint_atob")} OR {rx("code", "taint_read")}) + count(*) FILTER (WHERE {rx("code", "taint_env")}) AS sources, count(*) FILTER (WHERE {rx("code", "sink")}) AS sinks FROM files GROUP BY package_id)"""),
+    "graph_states": f"""WITH s AS ({cte("statements")}), p AS (SELECT DISTINCT package_id FROM s), k AS (SELECT * FROM s WHERE package_id % 4 <> 0), n AS (SELECT package_id, count(*) AS n FROM k GROUP BY ALL),
+        f AS (SELECT package_id, type, lead(node_id) OVER (PARTITION BY package_id, parent_id ORDER BY node_id) AS dst FROM k WHERE type LIKE '%\\_statement' ESCAPE '\\' OR type LIKE '%\\_declaration' ESCAPE '\\'),
+        m AS (SELECT package_id, count(*) AS m FROM f WHERE dst IS NOT NULL AND type <> 'return_statement' GROUP BY ALL),
+        c AS (SELECT p.package_id, n, m, CASE WHEN p.package_id % 7 = 0 THEN 'failure' WHEN n IS NULL AND p.package_id % 5 = 0 THEN 'cpg_none' ELSE 'success' END AS status, {dealt(STACKS).replace("seq", "p.package_id")} AS frames FROM p LEFT JOIN n USING (package_id) LEFT JOIN m USING (package_id))
+        SELECT package_id, status, CASE status WHEN 'failure' THEN {FIT('frames', FAILED_STEPS, 'unknown')} || ':ValueError' WHEN 'cpg_none' THEN 'CPG_NONE' ELSE '' END AS error_type,
+        CAST(CASE WHEN status = 'success' THEN coalesce(n, 1) ELSE 0 END AS BIGINT) AS num_nodes, CAST(CASE WHEN status = 'success' AND n IS NOT NULL THEN coalesce(m, 0) ELSE 0 END AS BIGINT) AS num_edges FROM c""",
+}

@@ -151,6 +151,27 @@ def dataset_targets(lists: list[DataFrame]) -> DataFrame:
     return evaluate.unite_targets(lists, most=300).select("path", "label", "kind", F.col("source").cast("long").alias("source"), F.col("place").cast("long").alias("place"))
 
 
+def code_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A node for each line of a file, of three types by its number."""
+    lines = view(spark, sf, "files").select("package_id", "path", F.posexplode(F.split("code", "\n")).alias("n", "text"))
+    kind = F.element_at(F.array(*map(F.lit, ["call_expression", "string", "identifier"])), (F.col("n") % 3 + 1).cast("int"))
+    return lines.select("package_id", F.concat_ws(":", "path", F.col("n").cast("string")).alias("node_id"), kind.alias("type"), "text", F.col("n").alias("start_line"), (F.col("n") + F.when(F.col("n") % 2 == 0, 0).otherwise(1)).alias("end_line"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    calls = view(spark, sf, "files").select("package_id", F.xxhash64("path").alias("node_id"), F.lit("call_expression").alias("type"), F.col("code").alias("text"))
+    return graph.package_vector(view(spark, sf, "files"), view(spark, sf, "manifests"), graph.taint_flags(calls))
+
+
+def graph_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as packages: statements are their nodes, some fail, some have nodes of one role only, some no manifest."""
+    s = view(spark, sf, "statements")
+    packages_ = s.select("package_id").distinct().withColumn("raw", F.when(F.col("package_id") % 5 != 0, "{}"))
+    kept = s.where("package_id % 4 <> 0")
+    failed = packages_.where("package_id % 7 = 0").select("package_id", dealt(STACKS, "package_id").alias("frames"), F.lit("ValueError").alias("error"))
+    return graph.graph_status(packages_, kept, graph.sequential_flow(kept), failed)
+
+
 def archive_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Sample paths made of parts, of several ecosystems and depths."""
     k = F.col("p_partkey")
@@ -291,4 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_names": lambda s, d: packages.popular_names(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("position"))),
     "build_queue": queue,
     "packages_with_code": lambda s, d: packages.with_code(view(s, d, "manifests").select("package_id"), view(s, d, "files").where("path <> 'index.js'")),
+    "node_flags": lambda s, d: graph.node_flags(code_nodes(s, d)),
+    "package_vectors": vectors,
+    "graph_states": graph_states,
 }
