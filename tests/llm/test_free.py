@@ -289,6 +289,22 @@ def test_keep_one(spark):
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
 
 
+def test_pairs_of_just_the_least_similarity_are_candidates():
+    rng = np.random.default_rng(26)
+
+    def prints(s):
+        other = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return np.array([[simhash.majority(s), simhash.majority(other ^ (other >> np.uint64(32))), len(s), 0]])
+
+    found = 0
+    for k in range(200):
+        both = rng.integers(0, 1 << 62, 2 * 300 - 267).astype(np.uint64)  # 267 of 333 are shared: 0.80
+        a, b = prints(both[:300].copy()), prints(both[33:].copy())
+        b[0, 3] = 1
+        found += len(simhash.compare_prints(a, b)[0])
+    assert found >= 190
+
+
 def test_keep_one_goes_by_rows_and_not_by_ids(spark):
     text = lambda *at: " ".join(f"w{i}" for i in range(*at))
     low = -(1 << 63)

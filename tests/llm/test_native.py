@@ -1,7 +1,9 @@
 """Operators in DataFrame functions only, against small models in Python."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -233,6 +235,43 @@ def test_mined_url_rules_of_many_items(spark):
     assert all(got[i][0] == "allow" for i, _ in good if i in got)
 
 
+def brute_rules(baskets):
+    """Items to confidence of every rule that passes, by counting all sets of tokens."""
+    n, base = len(baskets), sum(b for _, b in baskets) / len(baskets)
+    support, confidence = urls.pruning(base, n)
+    seen, bad = Counter(), Counter()
+    for t, b in baskets:
+        for k in range(1, len(t) + 1):
+            for x in itertools.combinations(sorted(t), k):
+                seen[x] += 1
+                bad[x] += b
+    apart = lambda x: (bad[x] / seen[x] - base) / math.sqrt(base * (1 - base) / seen[x]) >= urls.MIN_DEVIATIONS
+    kept = {x: bad[x] / seen[x] for x in seen if bad[x] / n >= support - 1e-12 and bad[x] / seen[x] >= confidence and apart(x)}
+    return {x: c for x, c in kept.items() if not any(kept.get(x[:i] + x[i + 1 :], -1) >= c for i in range(len(x)))}
+
+
+def test_mined_url_rules_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        host, lang, ref = rng.choice(["a.one.net", "b.one.net", "two.net", "pills.three.com"]), rng.choice(["en", "de", "fr"]), rng.choice(["?x=1", "?y=2", "", "#top"])
+        chance = 0.9 if host.startswith("pills") and lang != "fr" else 0.75 if (host, ref) == ("two.net", "?x=1") else 0.2
+        rows.append((i, f"https://{host}/{lang}/{rng.randrange(50)}{ref}", rng.random() < chance))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(5000, "https://x.pills.three.com/de/1?x=1"), (5001, "https://two.net/fr/9?y=2"), (None, "https://two.net/fr/9?x=3")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
+    tokens = {r["url"]: r["t"] for r in pages.select("url", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    want = brute_rules([(tokens[u], b) for _, u, b in rows])
+    mined = urls.mine_rules(pages, labels)
+    got = {tuple(r["items"]): r["confidence"] for r in mined.collect()}
+    assert set(got) == set(want) and len(got) > 2 and all(got[x] == pytest.approx(want[x]) for x in want)
+    hits = {r["url"]: r["confidence"] for r in urls.match_rules(pages.select("url").distinct(), mined).collect()}
+    for u, t in tokens.items():
+        fits = [c for x, c in want.items() if set(x) <= set(t)]
+        assert hits.get(u) == (pytest.approx(max(fits)) if fits else None)
+    said = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, labels).collect()}
+    assert said[5001] == "allow" and said[None] == "block"
+
+
 def test_license_scan(spark):
     files = [
         ("a/LICENSE", "Text\nReleased under the MIT License.\n"), ("a/b/c.txt", "nothing"), ("a/b/d.txt", "prose\n\n  licensed under the APACHE license, version 2.0\nmore"), ("ab/c.txt", "x"), ("top.txt", None), (None, "y"),
@@ -255,6 +294,9 @@ def brute_notices(files, similar=0.6):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     made = [(name, vector(notice)) for name, notice in license.TEMPLATES]
     most, out = max(len(low(x)) for _, x in license.TEMPLATES), {}
+    for path, text in files:
+        if tag := re.search(r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+)", text or ""):
+            out[path] = (-1.0, tag[1])
     for path, text in files:
         lines = [x for x in (text or "").splitlines() if low(x)]
         parts = ["\n".join(lines[i : i + k]) for i in range(len(lines)) for k in range(1, most + 1) if i + k <= len(lines)]
@@ -276,7 +318,11 @@ def test_license_scores_equal_brute_force(spark):
         files += [(f"n{i}/one.txt", f"{notice} for"), (f"n{i}/two.txt", f"x\n// {notice} and file"), (f"n{i}/rare.txt", f"{notice} unheard{i} of{i} here{i}"), (f"n{i}/half.txt", " ".join(w[len(w) // 2 :]))]
         files += [(f"n{i}/wrapped.txt", "Copyright\n\n# " + " ".join(w[:4]) + "\r\n#\n# " + " ".join(w[4:]) + "\nend"), (f"n{i}/each.txt", "\n".join(w)), (f"n{i}/LICENSE", "\n".join(w + ["for", "and"] + w))]
     want = brute_notices(files)
-    assert {"n1/one.txt", "n0/wrapped.txt", "n1/each.txt", "n2/LICENSE"} <= set(want) and not any(p.startswith("p/") for p in want)
+    files += [("spdx/a.c", "/* SPDX-License-Identifier: Zlib */\nReleased under the BSD License, more or less"), ("spdx/b.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)")]
+    files.append(("long/LICENSE", "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including\nwithout limitation the rights"))
+    want = brute_notices(files)
+    assert want["spdx/a.c"] == ("Zlib", 1.0) and want["spdx/b.c"][0] == "MIT" and want["long/LICENSE"][0] == "MIT"
+    assert {"n1/one.txt", "n0/wrapped.txt", "n2/LICENSE"} <= set(want) and not any(p.startswith("p/") for p in want)
     got = {r["path"]: (r["license"], r["score"]) for r in license.notices(spark.createDataFrame(files, "path string, text string"), license.template_table(spark)).collect()}
     assert set(got) == set(want)
     for p, (name, score) in want.items():
