@@ -476,4 +476,5 @@ ORACLE_SQL |= {
         c AS (SELECT p.package_id, n, m, CASE WHEN p.package_id % 7 = 0 THEN 'failure' WHEN n IS NULL AND p.package_id % 5 = 0 THEN 'cpg_none' ELSE 'success' END AS status, {dealt(STACKS).replace("seq", "p.package_id")} AS frames FROM p LEFT JOIN n USING (package_id) LEFT JOIN m USING (package_id))
         SELECT package_id, status, CASE status WHEN 'failure' THEN {FIT('frames', FAILED_STEPS, 'unknown')} || ':ValueError' WHEN 'cpg_none' THEN 'CPG_NONE' ELSE '' END AS error_type,
         CAST(CASE WHEN status = 'success' THEN coalesce(n, 1) ELSE 0 END AS BIGINT) AS num_nodes, CAST(CASE WHEN status = 'success' AND n IS NOT NULL THEN coalesce(m, 0) ELSE 0 END AS BIGINT) AS num_edges FROM c""",
+    "payload_json": pkg("SELECT package_id, CAST(to_json({'package_id': package_id, 'verdict': verdict, 'path': path, 'confidence': confidence}) AS VARCHAR) AS body FROM dd", f"dd AS ({live()})"),
 }
