@@ -11,24 +11,36 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import ascii_lower, settle, shared_folder
 
-#: Notices by SPDX identifier.
+#: Notices, headers and sentences of license texts, by SPDX identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose"),
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 SIMILAR = 0.6
+GAP = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
+#: A file that states its license by identifier.
+TAG = r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+)"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda x: x != ""), F.lower)
 
 
 def document_frequencies(files: DataFrame) -> DataFrame:
@@ -41,15 +53,15 @@ def inverse(n: int, df: Column) -> Column:
 
 
 def template_weights(seen: DataFrame, n: int, templates: DataFrame) -> DataFrame:
-    """license, term, weight (unit length for each license) and idf of every template term; seen counts all n files.
+    """template, term, tf, weight (unit length for each template) and idf of every template term; seen counts all n files.
 
     idf = ln((1 + files) / (1 + files with the term)) + 1.
     """
-    words = templates.select("license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+    words = templates.select("template", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     vocabulary = words.select("term").distinct()
     df = F.broadcast(seen.join(F.broadcast(vocabulary), "term", "left_semi"))
-    weighed = words.join(df, "term", "left").select("license", "term", inverse(n, F.col("df")).alias("idf"), "tf").withColumn("x", F.col("tf") * F.col("idf"))
-    return weighed.select("license", "term", "idf", "tf", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("license")))).alias("weight"))
+    weighed = words.join(df, "term", "left").select("template", "term", inverse(n, F.col("df")).alias("idf"), "tf").withColumn("x", F.col("tf") * F.col("idf"))
+    return weighed.select("template", "term", "idf", "tf", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("template")))).alias("weight"))
 
 
 def product(known: Column, of: list) -> Column:
@@ -58,29 +70,41 @@ def product(known: Column, of: list) -> Column:
     return F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.element_at(worth, x), F.lit(0.0)))
 
 
+def weight_in(known: Column, weight: Column) -> Column:
+    """The sum of a map's values at these keys."""
+    return F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at(weight, x), F.lit(0.0)))
+
+
 def candidates(files: DataFrame, weights: list, similar: float) -> DataFrame:
     """path, part and terms: what can reach `similar` of the lines of each file, of its runs of lines, and of whole license files.
 
     Lines without words don't count. A run has no more lines than the longest notice has terms, so it holds a notice
     however it is wrapped; it starts and ends with a template's term, as it would be nearer without other ends.
-    Left out is only what can't reach `similar`. By Cauchy-Schwarz a part needs a term of some template's heavier ones.
+    Left out is only what can't reach `similar`. By Cauchy-Schwarz the terms that a part shares with a
+    template must hold `similar` squared of the template's length, so a part needs a term of some template's heavier ones.
     With d the sum of its terms' idf times their largest weight and o its other terms (none has an idf below 1), its
     product with a template is at most d, and its square length at least that product's square plus o. What remains is
     judged likewise for each template, the others' square length being at least their count squared by their number.
     part is a hash of the text, so that no text goes with each of its terms.
     """
     heavy, most, up_to = set(), {}, {}
-    for r in sorted(weights, key=lambda r: (r["license"], r["weight"], r["term"])):
-        up_to[r["license"]] = up_to.get(r["license"], 0.0) + r["weight"] ** 2
+    for r in sorted(weights, key=lambda r: (r["template"], r["weight"], r["term"])):
+        up_to[r["template"]] = up_to.get(r["template"], 0.0) + r["weight"] ** 2
         most[r["term"]] = max(most.get(r["term"], 0.0), r["idf"] * r["weight"])
-        if up_to[r["license"]] >= similar * similar:
+        if up_to[r["template"]] >= similar * similar:
             heavy.add(r["term"])
     if not heavy:
         return files.select("path", F.lit("").alias("part"), terms(F.col("text")).alias("terms")).where("false")
-    longest = max(sum(r["tf"] for r in weights if r["license"] == x) for x in up_to)
+    longest = max(sum(r["tf"] for r in weights if r["template"] == x) for x in up_to)
     some = "(?i)(?<![0-9A-Za-z\\x80-\\x{10FFFF}])(?:" + "|".join(sorted(heavy)) + ")(?![0-9A-Za-z\\x80-\\x{10FFFF}])"
     worth = F.create_map(*[F.lit(x) for kv in sorted(most.items()) for x in kv])
 
+    def reachable(known: Column) -> Column:
+        """Whether the template terms among these distinct ones can make up `similar` of some template."""
+        shares = [F.create_map(*[F.lit(x) for r in weights if r["template"] == t for x in (r["term"], r["weight"] ** 2)]) for t in sorted(up_to)]
+        held = [weight_in(known, m) for m in shares]
+        return reduce(Column.__or__, (h + 1e-6 >= similar * similar for h in held))
+
     def stat(line: Column) -> Column:
         known = F.filter(terms(line), lambda x: x.isin(*most))
         d = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.element_at(worth, x))
@@ -105,7 +129,8 @@ def candidates(files: DataFrame, weights: list, similar: float) -> DataFrame:
     found = found.select("path", F.md5("part").alias("part"), terms(F.col("part")).alias("terms"))
     found = found.select("path", "part", "terms", F.filter("terms", lambda x: x.isin(*most)).alias("known"), F.filter("terms", lambda x: ~x.isin(*most)).alias("other"))
     o = F.coalesce(F.size("other") ** 2 / F.nullif(F.size(F.array_distinct("other")), F.lit(0)), F.lit(0.0))
-    able = [product(F.col("known"), [r for r in weights if r["license"] == x]) ** 2 * (1 - similar**2) + 1e-6 >= similar**2 * o for x in sorted(up_to)]
+    found = found.where(reachable(F.array_distinct("known")))
+    able = [product(F.col("known"), [r for r in weights if r["template"] == x]) ** 2 * (1 - similar**2) + 1e-6 >= similar**2 * o for x in sorted(up_to)]
     return found.where(reduce(Column.__or__, able)).select("path", "part", "terms").dropDuplicates(["path", "part"])
 
 
@@ -113,7 +138,9 @@ def notices(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) ->
     """path, license and score of the best notice of each file that has one, from path and text.
 
     Compared are every line of the whole text, every run of lines that a wrapped notice can fill, and license files as
-    a whole. All terms weigh by the files that have them. Equal scores go to the license first in order.
+    a whole. All terms weigh by the files that have them. Equal scores go to the license first in order. A file that
+    states an SPDX identifier has that license, with score 1; of several the first stated. A license's whole text is found
+    by its sentences, which are templates of their own.
     """
     n = files.count()
     at = f"{shared_folder(files.sparkSession)}/terms-{uuid.uuid4()}"
@@ -122,13 +149,16 @@ def notices(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) ->
     weights = settle(template_weights(seen, n, templates))
     parts = candidates(files, weights.collect(), similar)
     tf = parts.select("path", "part", F.explode("terms").alias("term")).groupBy("path", "part", "term").agg(F.count("*").alias("tf"))
-    of = weights.groupBy("term").agg(F.collect_list(F.struct("license", "weight")).alias("of"))
+    of = weights.groupBy("term").agg(F.collect_list(F.struct("template", "weight")).alias("of"))
     both = tf.join(seen, "term").withColumn("x", F.col("tf") * inverse(n, F.col("df"))).join(F.broadcast(of), "term", "left")
     length = F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("path", "part")))
     dots = both.withColumn("length", length).where("of is not null").select("path", "part", "x", "length", F.explode("of").alias("o"))
-    dots = dots.groupBy("path", "part", "o.license").agg(F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9).alias("score")).where(F.col("score") >= similar)
+    dots = dots.groupBy("path", "part", "o.template").agg(F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9).alias("score")).where(F.col("score") >= similar)
+    named = dots.join(F.broadcast(templates.select("template", "license")), "template").select("path", "license", "score")  # a row for each template
+    tag = F.regexp_extract("text", TAG, 1)
+    stated = files.select("path", tag.alias("license"), F.lit(1.0).alias("score")).where("license <> ''")
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license")))
-    return dots.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    return named.unionByName(stated).groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -146,7 +176,8 @@ def scan(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> Da
     A file's own notice comes first (how = header); else the notice of the license file in the nearest directory above
     it (how = inherited, license_from its path, the first by path of several); else all are null and how = none.
     Inheritance is settled once for each directory, so a directory that holds a third of all files costs no more than
-    another. Null paths are in no directory, null texts have no notice; rows with equal path share what is found.
+    another. Null paths are in no directory, null and empty texts have no notice; rows with equal path share what is found.
+    Whole texts are read, at a cost linear in their lines.
     """
     found = settle(notices(files, templates, similar))
     licensed = found.where(is_license_file(F.col("path"))).groupBy(folder(F.col("path")).alias("up")).agg(F.min(F.struct("path", "license", "score")).alias("own"))
@@ -171,21 +202,27 @@ def scan(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> Da
 def as_files(docs: DataFrame) -> DataFrame:
     """Documents as a tree of files: source, thousands of the id, and for the second half of each hundred its hundreds.
 
-    The first document of a directory by id, if there, is its LICENSE file.
+    The first document of a directory by id, if there, is its LICENSE file. Without an id a document's name and place are
+    those of a hash of its text.
     """
-    i = F.col("doc_id")
-    name = F.when((i % 1000 == 0) | (i % 100 == 50), "LICENSE").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")))
+    i = F.coalesce("doc_id", F.xxhash64("text"))
+    name = F.when(F.isnull("doc_id"), F.concat(F.lit("x"), F.hex(i), F.lit(".txt"))).when((i % 1000 == 0) | (i % 100 == 50), "LICENSE").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")))
     parts = [F.coalesce("source", F.lit("none")), F.floor(i / 1000).cast("string"), F.when(i % 100 >= 50, F.floor(i % 1000 / 100).cast("string"))]
     return docs.select("doc_id", F.concat_ws("/", *parts, name).alias("path"), "text")
 
 
 def scan_documents(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id and what scan() finds, each document a file of the tree of as_files()."""
+    """doc_id and what scan() finds, each document a file of the tree of as_files().
+
+    Nulls, empty and repeated rows as in scan(); rows with equal source and id are one path and share what is found in
+    any of their texts. A null doc_id has a path by its text, so such rows are files of their own.
+    """
     files = as_files(docs.select("doc_id", "source", "text"))
     found = scan(files.select("path", "text"), templates).dropDuplicates(["path"])
     return files.select("doc_id", F.col("path").alias("p")).join(found, F.col("p") == F.col("path")).select("doc_id", "path", "license", "score", "how", "license_from")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    each = [F.struct(F.lit(n).alias("license"), F.lit(x).alias("notice")) for n, x in templates]
+    """template (a number), license and notice."""
+    each = [F.struct(F.lit(k).alias("template"), F.lit(n).alias("license"), F.lit(x).alias("notice")) for k, (n, x) in enumerate(templates)]
     return spark.range(1).select(F.explode(F.array(*each)).alias("t")).select("t.*")
