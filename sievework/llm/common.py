@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,3 +112,16 @@ def in_groups(rows: DataFrame, key: str, block: int, compare: Callable[[dict[str
             yield whole(held, np.cumsum((held[by] != held[by].shift()).any(axis=1).to_numpy()))
 
     return cut.mapInPandas(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table written once to the shared folder: nothing above it is computed twice."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def turn_digest(role: Column, text: Column) -> Column:
+    """The first 16 bytes of the SHA-256 of role and text, told apart by the role's length: equal for equal turns only."""
+    said = F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)
+    return F.substring(F.unhex(F.sha2(said.cast("binary"), 256)), 1, 16)

@@ -70,4 +70,80 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN i ON d.r = i.r
 """
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op2_mix_sources": OP2, "op5_decontaminate": OP5}
+#: CRC-32 of a string bit by bit, least bit first; DuckDB has no function for it.
+CRC32 = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen({0})), lambda i: CAST(ord({0}[CAST(i // 8 + 1 AS INTEGER)]) >> CAST(i % 8 AS INTEGER) AS BIGINT) & 1)),
+  lambda crc, bit: xor(crc >> 1, xor(crc, bit) % 2 * 3988292384)), 4294967295)"""
+
+OP11 = (
+    r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS at, role, text FROM t
+), c AS (SELECT conv_id, conv_id - conv_id % 20 AS top, CRC % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)
+), r AS (
+  SELECT c.conv_id, n.at, n.role, n.text FROM c JOIN n ON n.conv_id = c.top AND n.at <= c.h
+  UNION ALL SELECT c.conv_id, n.at, n.role, n.text FROM c JOIN n ON n.conv_id = c.conv_id AND n.at > c.h
+), l AS (SELECT c.conv_id, coalesce(list(sha256(strlen(r.role) || ':' || r.role || r.text) ORDER BY r.at) FILTER (WHERE r.at IS NOT NULL), []) AS said,
+                coalesce(list(len(regexp_extract_all(r.text, '[^ 	-]+')) ORDER BY r.at) FILTER (WHERE r.at IS NOT NULL), []) AS words FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+), p AS (SELECT conv_id, depth, len(said) AS n, said[:depth] AS key, coalesce(words[depth], 0) AS words FROM (SELECT *, unnest(range(len(said) + 1)) AS depth FROM l)
+), g AS (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM p GROUP BY key
+), k AS (SELECT key[:depth - 1] AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1
+), f AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k USING (key)
+), s AS (
+  SELECT key[:above] AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS above FROM f) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (key) LEFT JOIN g u ON f.depth > 0 AND u.key = f.key[:f.depth - 1]
+"""
+).replace("CRC", CRC32.format("s"))
+
+OP12 = (
+    r"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations
+), f AS (SELECT conv_id, turn, role, text, CRC % 20 AS fault FROM d
+), t AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM t
+), m AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS letter FROM n
+), x AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+         lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM m
+), st AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE last IS NOT NULL AND last || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id
+), ins(p, j, m, said) AS (
+  VALUES (0, 0, 0, []), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+         (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])
+), keep(letter, m, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+), way AS (
+  SELECT x.conv_id, x.i, ins.p, ins.m AS q, 3 + 2 * j AS c, repeat('I', j) || 'D' AS e, said AS o FROM x, ins
+  UNION ALL SELECT x.conv_id, x.i, p, keep.q, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END + 2 * j, repeat('I', j) || 'K', list_append(said, role || ':' || text)
+            FROM x JOIN keep USING (letter) JOIN ins USING (m) WHERE fault IN ('fine', 'truncated')
+  UNION ALL SELECT x.conv_id, x.i, p, CASE m WHEN 2 THEN 3 ELSE 2 END, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END + 2 + 2 * j, repeat('I', j) || 'R', list_append(said, CASE m WHEN 2 THEN 'assistant:' ELSE 'user:' END || text)
+            FROM x, ins WHERE fault IN ('fine', 'truncated')
+), best AS (
+  SELECT conv_id, 0 AS i, 0 AS q, 0 AS c, '' AS e, CAST([] AS VARCHAR[]) AS o FROM st
+  UNION ALL
+  SELECT conv_id, i, q, c, e, o FROM (
+    SELECT b.conv_id, w.i, w.q, b.c + w.c AS c, b.e || w.e AS e, list_concat(b.o, w.o) AS o, row_number() OVER (PARTITION BY b.conv_id, w.q ORDER BY b.c + w.c, b.e || w.e) AS place
+    FROM best b JOIN way w ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = b.i + 1 AND w.p = b.q) z WHERE place = 1
+), done AS (
+  SELECT b.conv_id, b.c + 2 * j AS cost, b.e || repeat('I', j) AS audit, list_concat(b.o, said) AS o, row_number() OVER (PARTITION BY b.conv_id ORDER BY b.c + 2 * j, b.e || repeat('I', j)) AS place
+  FROM best b JOIN st ON b.conv_id IS NOT DISTINCT FROM st.conv_id AND b.i = st.n JOIN ins ON ins.p = b.q AND ins.m IN (0, 3)
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN st ON ids.conv_id IS NOT DISTINCT FROM st.conv_id
+LEFT JOIN (SELECT * FROM done WHERE place = 1) done ON ids.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+).replace("CRC", CRC32.format("s"))
+
+ORACLE_SQL = {"op1_chat_format": OP1, "op2_mix_sources": OP2, "op5_decontaminate": OP5, "op11_prefix_trie": OP11, "op12_structure_repair": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, embed, license, mix, repeats, shard, simhash, toxicity, urls
+from sievework.llm import chat, decontaminate, embed, license, mix, repair, repeats, shard, simhash, toxicity, trie, urls
 from sievework.llm.common import table
 
 
@@ -56,5 +56,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_documents(table(spark, sf_dir, "documents"), license.template_table(spark))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(trie.with_shared_heads(trie.narrow_turns(turns)), turns.select("conv_id"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(turns), turns.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_url_rules, op10_license_scan)}
+    dealt = (
+        op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate,
+        op6_embedding_dedup, op7_simhash, op8_toxicity, op9_url_rules, op10_license_scan,
+        op11_prefix_trie, op12_structure_repair,
+    )
+    return {f.__name__: f for f in dealt}
