@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, embed, license, mix, repair, repeats, shard, simhash, toxicity, trie, urls
+from sievework.llm import chat, decontaminate, embed, license, lm, mix, repair, repeats, shard, simhash, toxicity, trie, urls
 from sievework.llm.common import table
 
 
@@ -66,10 +66,14 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damage(turns), turns.select("conv_id"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     dealt = (
         op1_chat_format, op2_mix_sources, op3_repeated_passages, op4_shard_bytes, op5_decontaminate,
         op6_embedding_dedup, op7_simhash, op8_toxicity, op9_url_rules, op10_license_scan,
-        op11_prefix_trie, op12_structure_repair,
+        op11_prefix_trie, op12_structure_repair, op13_lm_score,
     )
     return {f.__name__: f for f in dealt}

@@ -93,14 +93,16 @@ def cells(keys: list[bytes], bits: int) -> np.ndarray:
 def sketch(prefixes: DataFrame, bits: int) -> np.ndarray:
     """The merged counters (0, 1, 2 for more) of all keys: each task counts, blocks of counters are merged by block."""
 
+    size = min(BLOCK, 4 << bits)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(4 << bits, dtype=np.uint8)
         for batch in batches:
             if len(batch):
                 at, n = np.unique(cells(list(batch["key"]), bits), return_counts=True)
                 table[at] = np.minimum(2, table[at] + n)
-        for block in np.flatnonzero(table.reshape(-1, BLOCK).any(axis=1)):
-            yield pd.DataFrame({"block": [int(block)], "counters": [zlib.compress(table[block * BLOCK : (block + 1) * BLOCK].tobytes(), 1)]})
+        for block in np.flatnonzero(table.reshape(-1, size).any(axis=1)):
+            yield pd.DataFrame({"block": [int(block)], "counters": [zlib.compress(table[block * size : (block + 1) * size].tobytes(), 1)]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         merged: dict[int, np.ndarray] = {}
@@ -114,7 +116,7 @@ def sketch(prefixes: DataFrame, bits: int) -> np.ndarray:
     kind = "block int, counters binary"
     table = np.zeros(4 << bits, dtype=np.uint8)
     for row in prefixes.where("depth > 0").select("key").mapInPandas(count, kind).repartition("block").mapInPandas(merge, kind).collect():
-        table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint8)
+        table[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint8)
     return table
 
 
