@@ -33,12 +33,17 @@ CLASSES = FREQUENT + ENDINGS
 #: Share of the corpus' class shares in every state's emissions, and of other states in the first transitions.
 BACKGROUND, LEAVING = 0.05, 0.1
 SEED = 7
-RUN, RUNS = 64, 8_192
+RUN, RUNS = 128, 2_048
 END = b" "
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 400_000
 
 
+def shared_out(columns: np.ndarray) -> np.ndarray:
+    """Columns scaled to the sum 1."""
+    return columns / columns.sum(axis=0)
+
+
 class Model(NamedTuple):
     """first: of the first state; move: of the next state by state; emit: of a class by state (classes x states)."""
 
@@ -79,6 +84,13 @@ def ending(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-3:]) % ENDINGS
 
 
+class Places(dict):
+    """The classes of frequent words; those of others are reckoned when they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        return ending(word)
+
+
 class Classes(NamedTuple):
     """Frequent words with their counts, in order, the counts of all classes, and the numbers of tokens and distinct words."""
 
@@ -117,7 +129,7 @@ def encoded(docs: DataFrame, held: Column, known: Classes) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, tokens, distinct = shared.value
-        own = {word: k for k, word in enumerate(frequent)}
+        place = Places(zip(frequent, range(len(frequent)), strict=True))
         base = np.log10((counts + 1) / (tokens + distinct + 1))
         inner = -np.log10(np.maximum(counts, 0) + 1.0)
         names = [x.split()[0] for x in ENCODED.split(", ")]
@@ -126,14 +138,10 @@ def encoded(docs: DataFrame, held: Column, known: Classes) -> DataFrame:
             out: list[tuple] = []
             for row, doc_id, text, held in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "held_out")), strict=True):
                 said = words(text)
-                at = np.fromiter((own.get(w, -1) for w in said), dtype=np.int64, count=len(said))
-                where = np.flatnonzero(at < 0)
-                others = [said[i] for i in where]
-                rare = Counter(others)
-                place = {w: ending(w) for w in rare}
-                at[where] = [place[w] for w in others]
-                mine = at[at < FREQUENT]
-                within = sum(n * inner[place[w]] for w, n in rare.items())
+                at = np.fromiter(map(place.__getitem__, said), dtype=np.int64, count=len(said))
+                others = np.flatnonzero(at >= FREQUENT)
+                rare = Counter([said[i] for i in others])
+                mine, within = at[at < FREQUENT], inner[at[others]].sum()
                 packed = zlib.compress(at.astype("<u2").tobytes(), 1)
                 out.append((row, doc_id, held, len(said), len(mine), base[mine].sum(), within, packed, list(rare.keys()), list(rare.values())))
             columns = list(zip(*out, strict=True)) or [()] * len(names)
@@ -148,7 +156,7 @@ def unpacked(column: pa.Array) -> list[np.ndarray]:
 
 
 class Runs:
-    """The runs of several texts with the exact vectors at their borders.
+    """The runs of several texts with the exact vectors at their borders. A row of an array is a state, a column a run or a token.
 
     pred: probabilities of the state before a run's first token is seen; rest: how likely what follows the run is, by the state
     that would come next (up to a factor).
@@ -156,7 +164,9 @@ class Runs:
 
     def __init__(self, texts: list[np.ndarray], model: Model, backward: bool) -> None:
         lengths = np.array([len(x) for x in texts])
-        self.x, self.model = np.concatenate(texts), model
+        self.x, self.model, self.forth = np.concatenate(texts), model, np.ascontiguousarray(model.move.T)
+        self.emit = np.ascontiguousarray(model.emit.T)
+        self.even = (self.emit / np.maximum(self.emit.mean(axis=0), 1e-300)).astype(np.float32)
         n = -(-lengths // RUN)
         first = np.cumsum(n) - n
         self.text = np.repeat(np.arange(len(texts)), n)
@@ -165,42 +175,41 @@ class Runs:
         self.size = np.minimum(RUN, lengths[self.text] - inside * RUN)
         self.opens, self.ends = inside == 0, inside == n[self.text] - 1
         k = len(model.first)
-        self.pred, self.rest = np.tile(model.first, (len(self.text), 1)), np.ones((len(self.text), k))
+        self.pred, self.rest = np.tile(model.first[:, None], len(self.text)), np.ones((k, len(self.text)))
         several = np.flatnonzero(~(self.opens & self.ends))
         if not len(several):
             return
-        matrix = np.zeros((len(self.text), k, k))
+        matrix = np.zeros((k, k, len(self.text)))
         for at in range(0, len(several), RUNS):
-            matrix[several[at : at + RUNS]] = self.effect(several[at : at + RUNS])
+            matrix[:, :, several[at : at + RUNS]] = self.effect(several[at : at + RUNS])
         order = np.argsort(-n, kind="stable")
         first, n = first[order], n[order]
         for j in range(1, n[0]):
             here = first[: np.searchsorted(-n, -j)] + j
-            p = np.einsum("nk,nkl->nl", self.pred[here - 1], matrix[here - 1])
-            self.pred[here] = p / p.sum(axis=1, keepdims=True)
+            self.pred[:, here] = shared_out(np.einsum("kn,kln->ln", self.pred[:, here - 1], matrix[:, :, here - 1]))
         for j in range(n[0] - 1, 0, -1) if backward else ():
             here = first[: np.searchsorted(-n, -j)] + j
-            r = np.einsum("nkl,nl->nk", matrix[here], self.rest[here])
-            self.rest[here - 1] = r / r.sum(axis=1, keepdims=True)
+            self.rest[:, here - 1] = shared_out(np.einsum("kln,ln->kn", matrix[:, :, here], self.rest[:, here]))
 
     def steps(self, runs: np.ndarray) -> Iterator[np.ndarray]:
-        """The places of the runs' tokens, one after another; runs go from the longest to the shortest."""
+        """The classes of the runs' first tokens, of their second ones, and so on; runs go from the longest to the shortest."""
         for t in range(int(self.size[runs[0]])):
-            yield self.start[runs[: np.searchsorted(-self.size[runs], -t)]] + t
+            yield self.x[self.start[runs[: np.searchsorted(-self.size[runs], -t)]] + t]
 
     def effect(self, runs: np.ndarray) -> np.ndarray:
-        """For each run the matrix from the state before its first token to the one after its last, up to a factor."""
+        """For each run the matrix from the state before its first token to the one after its last, up to a factor.
+
+        Emissions are divided by their class' mean here, so that eight steps stay far from what single precision can hold.
+        """
         order = np.argsort(-self.size[runs], kind="stable")
-        k = len(self.model.first)
-        m = np.tile(np.eye(k), (len(runs), 1, 1))
-        for t, at in enumerate(self.steps(runs[order])):
-            e = self.model.emit[self.x[at]]
-            m[: len(at)] = ((m[: len(at)] * e[:, None, :]).reshape(-1, k) @ self.model.move).reshape(-1, k, k)
+        k, forth = len(self.model.first), self.forth.astype(np.float32)
+        m = np.tile(np.eye(k, dtype=np.float32)[:, :, None], len(runs))
+        for t, x in enumerate(self.steps(runs[order])):
+            m[:, :, : len(x)] = forth @ (m[:, :, : len(x)] * self.even[:, x])
             if t % 8 == 7:
-                m[: len(at)] /= m[: len(at)].sum(axis=(1, 2), keepdims=True)
-        m /= m.sum(axis=(1, 2), keepdims=True)
-        back = np.empty_like(m)
-        back[order] = m
+                m[:, :, : len(x)] /= m[:, :, : len(x)].sum(axis=(0, 1))
+        back = np.empty(m.shape)
+        back[:, :, order] = m
         return back
 
     def slices(self) -> Iterator[np.ndarray]:
@@ -212,12 +221,12 @@ class Runs:
         """The logarithm of each text's probability: the scaled forward recursion's factors."""
         out = np.zeros(self.text[-1] + 1)
         for runs in self.slices():
-            p, logs = self.pred[runs], np.zeros(len(runs))
-            for at in self.steps(runs):
-                f = p[: len(at)] * self.model.emit[self.x[at]]
-                s = f.sum(axis=1)
-                logs[: len(at)] += np.log10(s)
-                p = (f / s[:, None]) @ self.model.move
+            p, logs = self.pred[:, runs], np.zeros(len(runs))
+            for x in self.steps(runs):
+                f = p[:, : len(x)] * self.emit[:, x]
+                s = f.sum(axis=0)
+                logs[: len(x)] += np.log10(s)
+                p = self.forth @ (f / s)
             np.add.at(out, self.text[runs], logs)
         return out
 
@@ -226,28 +235,26 @@ class Runs:
         k = len(self.model.first)
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(self.model.emit.shape)
         for runs in self.slices():
-            p, held = self.pred[runs], []
-            for at in self.steps(runs):
-                e, p = self.model.emit[self.x[at]], p[: len(at)]
-                f = p * e
-                f /= f.sum(axis=1, keepdims=True)
-                held.append((at, e, p, f))
-                p = f @ self.model.move
-            rest, size, ends, seen = self.rest[runs], self.size[runs], self.ends[runs], []
+            p, held = self.pred[:, runs], []
+            for x in self.steps(runs):
+                e = self.emit[:, x]
+                f = shared_out(p[:, : len(x)] * e)
+                held.append((x, e, f))
+                p = self.forth @ f
+            rest, size, ends, seen = self.rest[:, runs], self.size[runs], self.ends[runs], []
             for t in range(len(held) - 1, -1, -1):
-                at, e, p, f = held[t]
-                n, after = len(at), rest[: len(at)]
-                weight = 1 / ((f @ self.model.move) * after).sum(axis=1)
-                weight[(size[:n] == t + 1) & ends[:n]] = 0
-                move += (f * weight[:, None]).T @ after
-                r = e * (after @ self.model.move.T)
-                rest[:n] = r / r.sum(axis=1, keepdims=True)
-                state = p * rest[:n]
-                seen.append((at, state / state.sum(axis=1, keepdims=True)))
-            first += seen[-1][1][self.opens[runs]].sum(axis=0)
-            at, states = self.x[np.concatenate([s[0] for s in seen])], np.concatenate([s[1] for s in seen])
+                x, e, f = held.pop()
+                n, after = len(x), rest[:, : len(x)]
+                back = self.model.move @ after
+                state = f * back
+                weight = 1 / state.sum(axis=0)
+                seen.append((x, state * weight))
+                move += (f * (weight * ((size[:n] > t + 1) | ~ends[:n]))) @ after.T
+                rest[:, :n] = shared_out(e * back)
+            first += seen[-1][1][:, self.opens[runs]].sum(axis=1)
+            x, states = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen], axis=1)
             for j in range(k):
-                emit[:, j] += np.bincount(at, states[:, j], minlength=len(emit))
+                emit[:, j] += np.bincount(x, states[j], minlength=len(emit))
         return first, move * self.model.move, emit
 
 
