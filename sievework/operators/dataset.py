@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.cluster import WIDTH, last_before, lookup, ranked, settle
 
 
 def share_split(rank: Column, n: Column) -> Column:
@@ -66,21 +67,28 @@ def graph_filter(graphs: DataFrame, least: int = 2, most: int = 50_000) -> DataF
 
 
 def budget_batches(graphs: DataFrame, budget: int = 30_000) -> DataFrame:
-    """shard, graph_id, nodes and batch: graphs in order fill a batch until the next would exceed the budget.
+    """graph_id, nodes and batch: graphs in order of graph_id fill a batch until the next would exceed the budget; one above it is alone.
 
-    The running sum with resets is taken inside each shard, a bounded run of consecutive graphs, so shards are packed
-    side by side; a graph above the budget is alone.
+    This is the sequential packing, without a sequential pass. From the running sums each graph looks up where the batch that began with it would
+    end (a search among sums, spread over many tasks); these pointers are doubled, and in round k the first 2**k batches are known to begin where
+    the pointers lead to. nodes are 0 or more, null counts as 0; graphs with equal ids go in any order.
     """
-    step = F.aggregate(
-        "g",
-        F.struct(F.lit(-1).alias("batch"), F.lit(budget + 1).cast("long").alias("used"), F.array().cast("array<struct<graph_id:bigint,nodes:bigint,batch:int>>").alias("out")),
-        lambda s, x: F.when(
-            s["used"] + x["nodes"] > budget,
-            F.struct((s["batch"] + 1).alias("batch"), x["nodes"].alias("used"), F.array_append(s["out"], F.struct(x["graph_id"], x["nodes"], (s["batch"] + 1).alias("batch"))).alias("out")),
-        ).otherwise(F.struct(s["batch"].alias("batch"), (s["used"] + x["nodes"]).alias("used"), F.array_append(s["out"], F.struct(x["graph_id"], x["nodes"], s["batch"].alias("batch"))).alias("out"))),
-    )["out"]
-    each = graphs.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("graph_id", "nodes"))).alias("g"))
-    return each.select("shard", F.explode(step).alias("b")).select("shard", "b.graph_id", "b.nodes", "b.batch")
+    rows = settle(ranked(graphs.select("graph_id", "nodes"), [], ["graph_id", "nodes"], "i", "nodes"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.max("i_sum"), F.lit(0))).first()
+    size = F.coalesce("nodes", F.lit(0))
+    sums = rows.select("i", (-F.col("i_sum")).alias("at"), F.lit(1).alias("kind"), (-F.col("i")).alias("tie"))
+    limits = rows.select("i", (size - F.col("i_sum") - budget).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"))
+    met = last_before(sums.unionByName(limits), [], "at", ["kind", "tie"], F.when(F.col("kind") == 1, F.col("i")), "over", max(1, total * WIDTH // max(n, 1)))
+    jumps = settle(met.where("kind = 0 and over is not null").select("i", F.greatest("over", F.col("i") + 1).alias("jump")).where(F.col("jump") < n))
+    starts, step = rows.where("i = 0").select("i", F.lit(0).cast("long").alias("batch")), 1
+    while True:
+        more = settle(starts.join(jumps, "i").select(F.col("jump").alias("i"), (F.col("batch") + step).alias("batch")))
+        if more.isEmpty():
+            break
+        starts, step = settle(starts.unionByName(more)), step * 2
+        jumps = settle(lookup(jumps, jumps.select(F.col("i").alias("jump"), F.col("jump").alias("next")), ["jump"], n).select("i", F.col("next").alias("jump")))
+    known = last_before(rows.join(starts, "i", "left"), [], "i", [], F.col("batch"), "before")
+    return known.select("graph_id", "nodes", F.coalesce("batch", "before").alias("batch"))
 
 
 def focal_loss(rows: DataFrame, gamma: float = 2.0, smoothing: float = 0.05) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.cluster import ranked
 from sievework.functions.local import fixed_table
 from sievework.functions.text import score_band
 from sievework.operators.catalog import IDEAS, LIVE, NOISY, RELIABLE
@@ -269,5 +270,5 @@ def unite_targets(sources: list[DataFrame], seed: int = 42, most: int = 0) -> Da
         every = one if every is None else every.unionByName(one)
     first = every.groupBy("path", "label", "kind").agg(F.min("source").alias("source"))
     mixed = F.md5(F.concat_ws(":", "path", F.col("label").cast("string"), "kind", F.lit(str(seed))).cast("binary"))
-    placed = first.withColumn("shuffle", mixed).withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("shuffle")))
+    placed = ranked(first.withColumn("shuffle", mixed), ["label"], ["shuffle"], "place").withColumn("place", F.col("place") + 1)
     return placed.where(F.col("place") <= most) if most > 0 else placed

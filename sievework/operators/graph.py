@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.functions.cluster import lookup, ranked, settle
 from sievework.functions.text import entropy, failed_step, has, json_keys, network_in_hook
 from sievework.operators.catalog import NODE_TYPES
 
@@ -133,13 +134,15 @@ def type_index(kind: Column) -> Column:
 
 
 def merge_edges(nodes: DataFrame, *edges: DataFrame) -> DataFrame:
-    """All edges whose ends are nodes, with ends renumbered from 0 inside a package."""
-    number = nodes.select("package_id", "node_id", (F.row_number().over(W.partitionBy("package_id").orderBy("node_id")) - 1).alias("n"))
+    """All edges whose ends are nodes, with ends renumbered from 0 inside a package; neither a huge package nor a node with many edges is one task's."""
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
-    src, dst = (number.select("package_id", F.col("node_id").alias(c), F.col("n").alias(f"{c}_n")) for c in ("src", "dst"))
-    return every.join(src, ["package_id", "src"]).join(dst, ["package_id", "dst"]).select("package_id", F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), "edge_type")
+    number = settle(ranked(nodes.select("package_id", "node_id"), ["package_id"], ["node_id"], "n"))
+    m = every.count()
+    for c in ("src", "dst"):
+        every = lookup(every, number.select("package_id", F.col("node_id").alias(c), F.col("n").alias(f"{c}_n")), ["package_id", c], m)
+    return every.select("package_id", F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), "edge_type")
 
 
 def edge_histogram(edges: DataFrame, kinds: int = 4) -> DataFrame:

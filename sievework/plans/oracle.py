@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievework.operators.catalog import BUILD_ERRORS, BUILD_TERMS, DECISION_LABELS, FAILED_STEPS, HARD, HOOK_NETWORK_WORDS, IDEAS, LIVE_WEIGHT, NETWORK_TERMS, NODE_TYPES, OBFUSCATION_TERMS, PATTERN, REPLAY_HARD, REPLAY_WEIGHT, SECRET_TERMS, SHELL_TERMS, SWEEP, TOP_NAMES, TWIN, UNKNOWN_WEIGHT, score, severity
+from sievework.plans.flow_oracle import FLOW_SQL
 from sievework.plans.queries import GOALS, MESSAGES, PHRASES, PRECISIONS, RECALLS, STACKS
 from sievework.plans.testbed import RULES, cte
 
@@ -309,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT package_id, node_id AS src, dst FROM n WHERE dst IS NOT NULL AND type <> 'return_statement'""",
     "def_use_asof": f"WITH c AS ({cte('calls')}) SELECT u.key, u.id AS use_id, coalesce(max(d.id), -1) AS def_id FROM c u LEFT JOIN c d ON d.key = u.key AND d.event_type = 'signup' AND d.at <= u.at WHERE u.event_type = 'view' GROUP BY ALL",
     "node_type_index": f"WITH s AS ({cte('statements')}) SELECT CAST(CASE WHEN list_position({NODE_TYPES}, type) > 0 THEN list_position({NODE_TYPES}, type) - 1 ELSE 22 END AS INT) AS type_index, count(*) AS n FROM s GROUP BY ALL",
-    "merged_edges": f"WITH {EDGES}, num AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS n FROM nd) SELECT CAST(0 AS BIGINT) AS package_id, CAST(a.n AS INT) AS src, CAST(b.n AS INT) AS dst, edge_type FROM ed JOIN num a ON a.node_id = ed.src JOIN num b ON b.node_id = ed.dst",
+    "merged_edges": f"WITH {EDGES}, num AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS n FROM nd) SELECT CAST(0 AS BIGINT) AS package_id, a.n AS src, b.n AS dst, edge_type FROM ed JOIN num a ON a.node_id = ed.src JOIN num b ON b.node_id = ed.dst",
     "edge_hist": f"WITH {EDGES} SELECT package_id, {', '.join(f'round(count(*) FILTER (WHERE edge_type = {k}) / greatest(count(*), 1), 6) AS e{k}' for k in range(4))} FROM ed GROUP BY package_id",
     "message_pass_1hop": f"""WITH {EDGES}, m AS (SELECT dst AS node_id, k, greatest(x + bias, 0) AS x FROM (SELECT dst, bias, generate_subscripts(h, 1) - 1 AS k, unnest(h) AS x FROM ed JOIN nd ON nd.node_id = ed.src WHERE dst IN (SELECT node_id FROM nd))
         UNION ALL SELECT node_id, generate_subscripts(h, 1) - 1, unnest(h) FROM nd) SELECT node_id, CAST(k AS BIGINT) AS k, round(sum(x), 4) + 0.0 AS x FROM m GROUP BY ALL""",
@@ -332,10 +333,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM files WHERE {rx("code", "taint_decode")} OR {rx("code", "taint_atob")} OR {rx("code", "taint_read")} UNION ALL SELECT 'source', 'process.env access' FROM files WHERE {rx("code", "taint_env")} UNION ALL SELECT 'sink', 'sink call' FROM files WHERE {rx("code", "sink")})"""),
     "focal_loss": rec(f"""SELECT round(avg(pow(1 - CASE WHEN y = 1 THEN p ELSE 1 - p END, 2) * -(t * ln(p) * w + (1 - t) * ln(1 - p))), 6) AS loss, round(any_value(w), 6) AS pos_weight FROM x""",
         f"""x AS (SELECT true_label AS y, greatest({d(1e-7)}, least({d(1 - 1e-7)}, gnn_score)) AS p, true_label * (1 - {d(0.05)}) + {d(0.05)} / 2 AS t, (SELECT sum(1 - true_label) / sum(true_label) FROM rec WHERE gnn_score >= 0) AS w FROM rec WHERE gnn_score >= 0)"""),
-    "node_budget_batches": f"""WITH RECURSIVE i AS (SELECT CAST(floor(item_id / 500) AS BIGINT) AS shard, item_id AS graph_id, nodes, row_number() OVER (PARTITION BY CAST(floor(item_id / 500) AS BIGINT) ORDER BY item_id) AS n FROM ({cte("items")})),
-        r AS (SELECT shard, graph_id, nodes, n, 0 AS batch, nodes AS used FROM i WHERE n = 1
-        UNION ALL SELECT i.shard, i.graph_id, i.nodes, i.n, CASE WHEN r.used + i.nodes > 30000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + i.nodes > 30000 THEN i.nodes ELSE r.used + i.nodes END FROM r JOIN i ON i.shard = r.shard AND i.n = r.n + 1)
-        SELECT shard, graph_id, nodes, batch FROM r""",
+    "node_budget_batches": f"""WITH i AS (SELECT item_id, nodes FROM ({cte("items")})), l AS (SELECT list({{used: nodes, batch: 0::BIGINT, ids: [item_id], out: [0::BIGINT]}} ORDER BY item_id) AS g, list(nodes ORDER BY item_id) AS nodes FROM i),
+        r AS (SELECT list_reduce(g, lambda a, x: {{used: CASE WHEN a.used + x.used > 30000 THEN x.used ELSE a.used + x.used END, batch: CASE WHEN a.used + x.used > 30000 THEN a.batch + 1 ELSE a.batch END,
+            ids: list_concat(a.ids, x.ids), out: list_append(a.out, CASE WHEN a.used + x.used > 30000 THEN a.batch + 1 ELSE a.batch END)}}) AS a, nodes FROM l)
+        SELECT unnest(a.ids) AS graph_id, unnest(nodes) AS nodes, unnest(a.out) AS batch FROM r""",
     "ttl_cache_hits": f"""WITH RECURSIVE {REQ}, q AS (SELECT key, event_id, verdict, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY key ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM req),
         r AS (SELECT key, event_id, n, false AS cached, CASE WHEN verdict <> 'error' THEN t END AS since FROM q WHERE n = 1
         UNION ALL SELECT q.key, q.event_id, q.n, coalesce(q.t - r.since <= 86400, false), CASE WHEN coalesce(q.t - r.since <= 86400, false) THEN r.since WHEN q.verdict <> 'error' THEN q.t ELSE r.since END FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1)
@@ -478,3 +479,4 @@ ORACLE_SQL |= {
         CAST(CASE WHEN status = 'success' THEN coalesce(n, 1) ELSE 0 END AS BIGINT) AS num_nodes, CAST(CASE WHEN status = 'success' AND n IS NOT NULL THEN coalesce(m, 0) ELSE 0 END AS BIGINT) AS num_edges FROM c""",
     "payload_json": pkg("SELECT package_id, CAST(to_json({'package_id': package_id, 'verdict': verdict, 'path': path, 'confidence': confidence}) AS VARCHAR) AS body FROM dd", f"dd AS ({live()})"),
 }
+ORACLE_SQL |= FLOW_SQL

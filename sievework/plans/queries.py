@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import dataset, decide, evaluate, graph, model, rules, serve, signals, sweep
+from sievework.operators import dataset, decide, evaluate, flow, graph, model, rules, serve, signals, sweep
 from sievework.operators.catalog import LIVE_WEIGHT, REPLAY_HARD, REPLAY_WEIGHT
 from sievework.plans.testbed import records, view
 from sievework.sources import packages
@@ -261,11 +261,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_stats": lambda s, d: dataset.split_stats(dataset.campaign_split(view(s, d, "items"))),
     "split_leaks": lambda s, d: dataset.leaks(dataset.campaign_split(view(s, d, "items"))),
     "graph_filter_summary": lambda s, d: dataset.graph_filter(view(s, d, "items").select(F.col("item_id").alias("graph_id"), "nodes", "label")),
-    "node_budget_batches": lambda s, d: dataset.budget_batches(view(s, d, "items").select(F.floor(F.col("item_id") / 500).alias("shard"), F.col("item_id").alias("graph_id"), "nodes")),
+    "node_budget_batches": lambda s, d: dataset.budget_batches(view(s, d, "items").select(F.col("item_id").alias("graph_id"), "nodes")),
     "focal_loss": lambda s, d: dataset.focal_loss(records(s, d).where("gnn_score >= 0").select(F.col("gnn_score").alias("p"), F.col("true_label").alias("y"))),
     "cfg_next": lambda s, d: graph.sequential_flow(view(s, d, "statements")),
     "def_use_asof": lambda s, d: graph.latest_before(view(s, d, "calls").where("event_type = 'signup'"), view(s, d, "calls").where("event_type = 'view'")).fillna(-1, "def_id"),
     "taint_flags": lambda s, d: graph.taint_flags(view(s, d, "files").select("package_id", F.xxhash64("path").alias("node_id"), F.lit("call_expression").alias("type"), F.col("code").alias("text"))).groupBy("flag", "detail").agg(F.count("*").alias("n")),
+    "subtree_ends": lambda s, d: flow.subtree_ends(view(s, d, "tree")),
+    "def_use_scopes": lambda s, d: flow.def_use_scopes(view(s, d, "tree")),
+    "cfg_edges": lambda s, d: flow.cfg_edges(view(s, d, "tree")).groupBy("package_id", "src", "dst", "edge_type").agg(F.count("*").alias("n")),
+    "cfg_exits": lambda s, d: flow.exits(view(s, d, "tree")),
     "node_type_index": lambda s, d: view(s, d, "statements").groupBy(graph.type_index(F.col("type")).alias("type_index")).agg(F.count("*").alias("n")),
     "merged_edges": lambda s, d: graph.merge_edges(one_package(s, d), inner_edges(s, d).select("package_id", "src", "dst", "edge_type")),
     "edge_hist": lambda s, d: graph.edge_histogram(view(s, d, "edges")),

@@ -53,6 +53,21 @@ MANIFESTS = [
     '"version":"1.0.9","scripts":{"postinstall":"echo ' + B64 + " | base64 -d | node\"}",
 ]
 NAMES = ["lodahs", "expresss", "plain-name", "@scope/lodash", "react", "chalks", "some-tool", "requst", "vue-thing", "jset", "left-pad"]
+#: Pieces of code as small trees: offset, parent's offset (-1: whatever is around) and type, name after a colon; a * marks the block that the next line's piece may go into.
+PIECES = [
+    "0 -1 lexical_declaration|1 0 variable_declarator|2 1 identifier:a|3 1 identifier:b",
+    "0 -1 expression_statement|1 0 identifier:a|2 0 identifier:b",
+    "0 -1 if_statement|1 0 parenthesized_expression|2 1 identifier:a|3 0 statement_block|4 3 expression_statement|5 4 identifier:c|6 0 else_clause|7 6 statement_block*|8 7 lexical_declaration|9 8 variable_declarator|10 9 identifier:a",
+    "0 -1 for_statement|1 0 statement_block*|2 1 expression_statement|3 2 identifier:b",
+    "0 -1 try_statement|1 0 statement_block|2 1 expression_statement|3 2 identifier:c|4 1 throw_statement|5 0 catch_clause|6 5 statement_block*|7 6 expression_statement",
+    "0 -1 function_declaration|1 0 identifier:f|2 0 formal_parameters|3 2 identifier:a|4 2 identifier:b|5 0 statement_block*|6 5 expression_statement|7 6 identifier:a",
+    "0 -1 while_statement|1 0 expression_statement|2 1 identifier:f",
+    "0 -1 if_statement|1 0 parenthesized_expression|2 0 expression_statement|3 0 else|4 0 statement_block*",
+    "0 -1 return_statement|1 0 identifier:f",
+    "0 -1 lexical_declaration|1 0 variable_declarator|2 1 identifier:g|3 1 arrow_function|4 3 formal_parameters|5 4 identifier:b|6 3 statement_block*|7 6 expression_statement|8 7 identifier:g",
+    "0 -1 if_statement|1 0 statement_block*|2 1 variable_declaration|3 2 variable_declarator|4 3 identifier:c",
+    "0 -1 comment",
+]
 RULES = ["MED_INSTALL_HOOK_EXISTS", "HIGH_OBFUSCATED_INSTALL", "CRIT_DYNAMIC_REQUIRE_EXEC", "MED_NETWORK_PLUS_FS", "CRIT_EXFIL_CREDENTIALS", "HIGH_WEBHOOK_EXFIL"]
 
 VIEWS = {
@@ -90,11 +105,16 @@ VIEWS = {
                CAST(floor(value * 1000) AS BIGINT) AS size
         FROM (SELECT event_id, ts, user_id, event_type, value, KEY_OF_PROPS AS key FROM {events}) e""",
     "edges": """
-        SELECT CAST(label AS BIGINT) AS package_id, vec_id AS src, (vec_id * 7 + 1) % 500 AS dst, label % 4 AS edge_type, (label % 3 - 1) / CAST(10 AS DOUBLE) AS bias FROM {embeddings}""",
+        SELECT CAST(label AS BIGINT) AS package_id, vec_id AS src, (vec_id * 7 + 1) % (SELECT count(*) FROM {embeddings}) AS dst, label % 4 AS edge_type, (label % 3 - 1) / CAST(10 AS DOUBLE) AS bias FROM {embeddings}""",
     "statements": """
         SELECT conv_id AS package_id, conv_id * 1000 AS parent_id, conv_id * 1000 + turn + 1 AS node_id,
                CASE WHEN turn % 5 = 4 THEN 'return_statement' WHEN role = 'user' THEN 'expression_statement' WHEN role = 'assistant' THEN 'lexical_declaration' ELSE 'comment' END AS type, text
         FROM {conversations}""",
+    "tree": f"""
+        SELECT l.package_id, 1 + l.t * 16 + p.o AS node_id,
+               CASE WHEN p.up >= 0 THEN 1 + l.t * 16 + p.up WHEN l.size % 30 >= 10 AND q.o IS NOT NULL THEN 1 + (l.t - 1) * 16 + q.o ELSE 0 END AS parent_id, p.type, p.text
+        FROM (LINES_OF_TEXTS) l JOIN {{pieces}} p ON l.size % {len(PIECES)} = p.n LEFT JOIN (SELECT n, o FROM {{pieces}} WHERE slot = 1) q ON l.before % {len(PIECES)} = q.n
+        UNION ALL SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 'program', '' FROM {{documents}}""",
     "dependencies": """
         SELECT DISTINCT l_orderkey AS lockfile_id, concat('pkg', CAST(l_partkey AS STRING)) AS name, '1.0.0' AS version FROM {lineitem}""",
     "part_verdicts": """
@@ -106,13 +126,24 @@ VIEWS = {
     "calls": """
         SELECT concat('u', CAST(user_id AS STRING)) AS key, event_id AS id, event_id AS at, event_type FROM {events} WHERE event_type IN ('signup', 'view')""",
 }
+LINES = {
+    "spark": r"SELECT doc_id AS package_id, CAST(t AS BIGINT) AS t, length(line) AS size, length(get(lines, t - 1)) AS before FROM (SELECT doc_id, split(coalesce(text, ''), '\\n') AS lines FROM {documents}) LATERAL VIEW posexplode(lines) AS t, line",
+    "duckdb": "SELECT doc_id AS package_id, t, length(lines[t + 1]) AS size, CASE WHEN t > 0 THEN length(lines[t]) END AS before FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {documents}) a) b",
+}
 PROPS = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_string(props, '$.k')"}
 DIMS = {"snippets": SNIPPETS, "names": NAMES, "bodies": MANIFESTS}
 
 
+def piece_rows() -> list[tuple]:
+    """n, o, up, type, text and slot of each node of PIECES."""
+    parts = [(n, *x.split(" ")) for n, piece in enumerate(PIECES) for x in piece.split("|")]
+    return [(n, int(o), int(up), kind.rstrip("*").split(":")[0], kind.partition(":")[2], int(kind.endswith("*"))) for n, o, up, kind in parts]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].replace("KEY_OF_PROPS", PROPS["spark"])
-    used = {t: fixed_table(spark, list(enumerate(DIMS[t])), "n long, body string") if t in DIMS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)}
+    sql = VIEWS[name].replace("KEY_OF_PROPS", PROPS["spark"]).replace("LINES_OF_TEXTS", LINES["spark"])
+    pieces = lambda: fixed_table(spark, piece_rows(), "n long, o long, up long, type string, text string, slot long")
+    used = {t: pieces() if t == "pieces" else fixed_table(spark, list(enumerate(DIMS[t])), "n long, body string") if t in DIMS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)}
     return spark.sql(sql, **used)
 
 
@@ -120,7 +151,8 @@ def cte(name: str) -> str:
     """The same view as DuckDB SQL."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     dims = {k: "(VALUES " + ", ".join(f"({i}, {quote(x)})" for i, x in enumerate(v)) + f") AS _{k}(n, body)" for k, v in DIMS.items()}
-    sql = VIEWS[name].replace("KEY_OF_PROPS", PROPS["duckdb"])
+    dims["pieces"] = "(VALUES " + ", ".join(str(r) for r in piece_rows()) + ") AS _pieces(n, o, up, type, text, slot)"
+    sql = VIEWS[name].replace("KEY_OF_PROPS", PROPS["duckdb"]).replace("LINES_OF_TEXTS", LINES["duckdb"])
     for k in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql):
         sql = sql.replace("{" + k + "}", f"(SELECT * FROM {dims[k]})" if k in dims else k)
     return sql.replace("{{", "{").replace("}}", "}")
