@@ -236,3 +236,28 @@ def sample_path(path: Column) -> Column:
     parts = F.split(path, "/")
     name = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(2)), r'[<>:"/\\|?*]', "_"), r"[. ]+$", "")
     return F.when(F.size(parts) >= 4, F.struct(F.get(parts, F.lit(0)).alias("ecosystem"), name.alias("name"), F.get(parts, F.lit(3)).alias("version")))
+
+
+def typed(raw: Column, path: str) -> Column:
+    """The JSON value at a path as a variant; null where there is none or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(raw), path, "variant")
+
+
+def kind_of(raw: Column, path: str) -> Column:
+    """STRING, BOOLEAN, VOID (a null), a number's type, or what begins with ARRAY or OBJECT; null where there is no value."""
+    return F.schema_of_variant(typed(raw, path))
+
+
+def truthy(raw: Column, path: str) -> Column:
+    """Whether there is a value that is not null, false, zero, an empty text, an empty array or an empty object.
+
+    A text that JSON allows but variants don't, such as an object with a key twice, is judged by its value's text alone.
+    """
+    value, kind = typed(raw, path), kind_of(raw, path)
+    text = F.to_json(value)
+    known = (
+        F.when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != '""').when(F.startswith(kind, F.lit("ARRAY")), text != "[]").when(F.startswith(kind, F.lit("OBJECT")), text != "{}")
+        .otherwise(F.try_variant_get(F.try_parse_json(raw), path, "double") != 0)
+    )
+    plain = ~F.coalesce(F.get_json_object(raw, path), F.lit("")).isin("", "{}", "[]", "false", "0")
+    return F.coalesce(F.when(F.try_parse_json(raw).isNull(), plain).otherwise(known), F.lit(False))

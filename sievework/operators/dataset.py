@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,9 +71,10 @@ def graph_filter(graphs: DataFrame, least: int = 2, most: int = 50_000) -> DataF
 def budget_batches(graphs: DataFrame, budget: int = 30_000) -> DataFrame:
     """graph_id, nodes and batch: graphs in order of graph_id fill a batch until the next would exceed the budget; one above it is alone.
 
-    This is the sequential packing, without a sequential pass. From the running sums each graph looks up where the batch that began with it would
-    end (a search among sums, spread over many tasks); these pointers are doubled, and in round k the first 2**k batches are known to begin where
-    the pointers lead to. nodes are 0 or more, null counts as 0; graphs with equal ids go in any order.
+    This is the sequential packing, without a sequential pass over all. From the running sums each graph looks up where the batch that began with
+    it would end (a search among sums, spread over many tasks). These pointers are followed to the end of each block of WIDTH graphs, block by block
+    at once; from block to block they are doubled, so the starts that the first graph leads to are known in few rounds. nodes are 0 or more, null
+    counts as 0; graphs with equal ids go by nodes.
     """
     rows = settle(ranked(graphs.select("graph_id", "nodes"), [], ["graph_id", "nodes"], "i", "nodes"))
     n, total = rows.agg(F.count("*"), F.coalesce(F.max("i_sum"), F.lit(0))).first()
@@ -79,18 +82,48 @@ def budget_batches(graphs: DataFrame, budget: int = 30_000) -> DataFrame:
     sums = rows.select("i", (-F.col("i_sum")).alias("at"), F.lit(1).alias("kind"), (-F.col("i")).alias("tie"))
     limits = rows.select("i", (size - F.col("i_sum") - budget).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"))
     met = last_before(sums.unionByName(limits), [], "at", ["kind", "tie"], F.when(F.col("kind") == 1, F.col("i")), "over", max(1, total * WIDTH // max(n, 1)))
-    jumps = settle(met.where("kind = 0 and over is not null").select("i", F.greatest("over", F.col("i") + 1).alias("jump")).where(F.col("jump") < n))
-    starts, step = rows.where("i = 0").select("i", F.lit(0).cast("long").alias("batch")), 1
+    jump = F.greatest("over", F.col("i") + 1)
+    block = F.floor(F.col("i") / WIDTH).alias("block")
+    jumps = settle(met.where("kind = 0").select("i", F.when(F.col("over").isNotNull() & (jump < n), jump).otherwise(-1).cast("long").alias("jump"), block))
+    leaps = settle(jumps.groupBy("block").applyInPandas(block_exits, "i long, jump long, hops long").where("jump >= 0"))
+    entries = rows.where("i = 0").select("i", F.lit(0).cast("long").alias("batch"))
     while True:
-        more = settle(starts.join(jumps, "i").select(F.col("jump").alias("i"), (F.col("batch") + step).alias("batch")))
+        more = settle(entries.join(leaps, "i").select(F.col("jump").alias("i"), (F.col("batch") + F.col("hops")).alias("batch")))
         if more.isEmpty():
             break
-        starts, step = settle(starts.unionByName(more)), step * 2
-        jumps = settle(lookup(jumps, jumps.select(F.col("i").alias("jump"), F.col("jump").alias("next")), ["jump"], n).select("i", F.col("next").alias("jump")))
+        entries = settle(entries.unionByName(more))
+        farther = leaps.select(F.col("i").alias("jump"), F.col("jump").alias("next"), F.col("hops").alias("then"))
+        leaps = settle(lookup(leaps, farther, ["jump"], n).select("i", F.col("next").alias("jump"), (F.col("hops") + F.col("then")).alias("hops")))
+    starts = jumps.join(entries, "i", "left").groupBy("block").applyInPandas(block_starts, "i long, batch long")
     known = last_before(rows.join(starts, "i", "left"), [], "i", [], F.col("batch"), "before")
     return known.select("graph_id", "nodes", F.coalesce("batch", "before").alias("batch"))
 
 
+def block_exits(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each row of a block the first place outside that its pointers lead to (-1: none), and after how many hops."""
+    rows = rows.sort_values("i")
+    i, jump = rows["i"].to_numpy(), rows["jump"].to_numpy().copy()
+    hops = np.ones(len(i), dtype=np.int64)
+    for k in range(len(i) - 1, -1, -1):
+        if 0 <= jump[k] <= i[-1]:
+            there = jump[k] - i[0]
+            jump[k], hops[k] = jump[there], hops[there] + 1
+    return pd.DataFrame({"i": i, "jump": jump, "hops": hops})
+
+
+def block_starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """The starts of batches in a block: those that the pointers lead to from its entry, the one row that knows its batch."""
+    rows = rows.sort_values("i")
+    i, jump, known = rows["i"].to_numpy(), rows["jump"].to_numpy(), np.flatnonzero(rows["batch"].notna())
+    found = []
+    if len(known):
+        at, batch = int(i[known[0]]), int(rows["batch"].iloc[known[0]])
+        while 0 <= at <= i[-1]:
+            found.append((at, batch))
+            at, batch = int(jump[at - i[0]]), batch + 1
+    return pd.DataFrame(found, columns=["i", "batch"], dtype="int64")
+
+
 def focal_loss(rows: DataFrame, gamma: float = 2.0, smoothing: float = 0.05) -> DataFrame:
     """Mean focal loss of probabilities p against labels y, with smoothed labels and the positives' weight n0 / n1."""
     counts = rows.agg(F.sum(F.lit(1) - F.col("y")).alias("n0"), F.sum("y").alias("n1"))

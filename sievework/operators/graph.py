@@ -24,33 +24,6 @@ def sequential_flow(nodes: DataFrame) -> DataFrame:
     return rows.where(F.col("dst").isNotNull() & ~F.col("type").isin(TERMINAL)).select("package_id", F.col("node_id").alias("src"), "dst")
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """Edges cfg_branch from an if, loop or try to the first statement of each body below it, and cfg_next from a body's last statement to what follows.
-
-    A body is a child of type statement_block, else_clause or catch_clause; loops lead back to themselves.
-    """
-    opener = nodes.where(F.col("type").isin("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "try_statement"))
-    following = sequential_flow(nodes).select("package_id", F.col("src").alias("open"), F.col("dst").alias("after"))
-    bodies = nodes.where(F.col("type").isin("statement_block", "else_clause", "catch_clause")).select("package_id", F.col("node_id").alias("body"), F.col("parent_id").alias("open"), F.col("type").alias("body_type"))
-    inner = nodes.where(is_statement(F.col("type"))).select("package_id", F.col("parent_id").alias("body"), "node_id", F.col("type").alias("inner"))
-    ends = inner.groupBy("package_id", "body").agg(F.min("node_id").alias("first"), F.max_by(F.struct("node_id", "inner"), "node_id").alias("last"))
-    rows = opener.select("package_id", F.col("node_id").alias("open"), "type").join(bodies, ["package_id", "open"]).join(ends, ["package_id", "body"]).join(following, ["package_id", "open"], "left")
-    loop = F.col("type").isin("for_statement", "for_in_statement", "while_statement", "do_statement")
-    enters = F.when((F.col("type") != "try_statement") | (F.col("body_type") == "catch_clause"), F.struct(F.col("open").alias("src"), F.col("first").alias("dst"), F.lit("cfg_branch").alias("edge_type")))
-    leaves = F.when(~F.col("last.inner").isin(TERMINAL), F.struct(F.col("last.node_id").alias("src"), F.when(loop, F.col("open")).otherwise(F.col("after")).alias("dst"), F.lit("cfg_next").alias("edge_type")))
-    return rows.select("package_id", F.explode(F.array_compact(F.array(enters, leaves))).alias("e")).where("e.dst is not null").select("package_id", "e.*")
-
-
-def def_use(defs: DataFrame, uses: DataFrame) -> DataFrame:
-    """For each use the latest definition before it in the innermost scope around it.
-
-    defs has package_id, name, def_id, at, low and high (its scope as node ids); uses package_id, name, use_id and at.
-    The equal keys make this a hash join; order and scope are a residual condition.
-    """
-    met = uses.join(defs.withColumnRenamed("at", "def_at"), ["package_id", "name"]).where("def_at <= at and low <= use_id and use_id <= high")
-    return met.groupBy("package_id", "use_id").agg(F.max_by("def_id", F.struct("low", "def_at", "def_id")).alias("def_id"))
-
-
 def latest_before(defs: DataFrame, uses: DataFrame) -> DataFrame:
     """The latest definition (key, id, at) at or before each use (key, id, at) by one window over both, for flat scopes."""
     both = uses.select("key", "id", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("d")).unionByName(defs.select("key", "id", "at", F.lit(0).alias("kind"), F.col("id").cast("long").alias("d")))

@@ -161,6 +161,17 @@ def typosquats(manifests: DataFrame, top: list[str] = TOP_NAMES) -> DataFrame:
     return manifests.select("package_id", name.alias("name")).where(~F.startswith("name", F.lit("@"))).withColumn("close_to", close).where("close_to is not null")
 
 
+def install_hook(raw: Column) -> Column:
+    """Whether the first of preinstall and postinstall that a manifest has is a text or an array; the rule fails on a null, a number, a boolean or an object.
+
+    Where the text is no variant (a key twice), any such hook counts.
+    """
+    first = F.coalesce(*[T.kind_of(raw, f"$.scripts.{h}") for h in ("preinstall", "postinstall")])
+    keys = T.json_keys(raw, "$.scripts")
+    any_hook = F.arrays_overlap(keys, F.array(F.lit("preinstall"), F.lit("postinstall")))
+    return F.coalesce(F.when(F.try_parse_json(raw).isNull(), any_hook).otherwise((first == "STRING") | F.startswith(first, F.lit("ARRAY"))), F.lit(False))
+
+
 def package_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:
     raw = F.col("raw")
     keys = T.json_keys(raw, "$.scripts")
@@ -169,7 +180,7 @@ def package_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:
     found = [
         hit("MED_NETWORK_PLUS_FS", F.col("reads") & F.col("sends")),
         hit("MED_MINIFIED_SINGLE_FILE", (F.col("n_js") == 1) & (((n < 5) & (b > 10000)) | ((b / n > 200) & (n < 20)))),
-        hit("MED_INSTALL_HOOK_EXISTS", some("preinstall", "postinstall")),
+        hit("MED_INSTALL_HOOK_EXISTS", install_hook(raw)),
         hit("MED_SUSPICIOUS_PACKAGE_STRUCTURE", some(*LIFECYCLE) & F.col("n_js").between(1, 2) & (F.col("n_lines") < 50) & ~F.col("tests") & (F.coalesce("readme", F.lit(0)) <= 100)),
     ]
     facts = package_facts(files, manifests)
@@ -231,17 +242,24 @@ def rule_hits(files: DataFrame, manifests: DataFrame) -> DataFrame:
     return every.join(F.broadcast(rule_dim(files.sparkSession)), "rule_id").select("package_id", "rule_id", "severity", "score", "file_path", "line_number", "snippet", "origin")
 
 
+def described(raw: Column) -> Column:
+    """Whether the description has 20 parts at least: characters of a text, elements of an array, keys of an object; numbers and booleans have none."""
+    path, kind = "$.description", T.kind_of(raw, "$.description")
+    text = F.get_json_object(raw, path)
+    parts = F.when(kind == "STRING", F.length(text)).when(F.startswith(kind, F.lit("ARRAY")), F.json_array_length(text)).when(F.startswith(kind, F.lit("OBJECT")), F.size(F.json_object_keys(text))).when(kind.isNotNull(), 0)
+    return F.coalesce(parts, F.length(F.when(F.try_parse_json(raw).isNull(), text)), F.lit(0)) >= 20
+
+
 def metadata_risk(manifests: DataFrame, popular: list[str] = ()) -> DataFrame:
     """package_id and risk in [0, 1], summed in decimals."""
     raw = F.col("raw")
     part = lambda when, x: F.when(F.coalesce(when, F.lit(False)), F.lit(x).cast("decimal(4,2)")).otherwise(F.lit(0).cast("decimal(4,2)"))
-    text = lambda path: F.nullif(F.nullif(F.get_json_object(raw, path), F.lit("")), F.lit("{}"))
     name, keys = F.get_json_object(raw, "$.name"), T.json_keys(raw, "$.scripts")
     some = lambda *h: F.arrays_overlap(keys, F.array(*map(F.lit, h)))
     known = F.array(*map(F.lit, popular)) if popular else F.array().cast("array<string>")
     squat = ~F.startswith(name, F.lit("@")) & ~F.array_contains(known, name) & F.exists(known, lambda p: T.distance_within(name, p) >= 0)
     total = (
-        part(squat, "0.30") + part(text("$.repository").isNull(), "0.10") + part(text("$.license").isNull(), "0.05") + part(F.length(F.coalesce(text("$.description"), F.lit(""))) < 20, "0.05")
+        part(squat, "0.30") + part(~T.truthy(raw, "$.repository"), "0.10") + part(~T.truthy(raw, "$.license"), "0.05") + part(~described(raw), "0.05")
         + part(some(*LIFECYCLE), "0.20") + part((F.size(T.json_keys(raw, "$.dependencies")) == 0) & some("preinstall", "postinstall"), "0.15")
     )
     return manifests.select("package_id", F.least(total.cast("double"), F.lit(1.0)).alias("risk"))

@@ -21,9 +21,9 @@ def manifest_context(manifests: DataFrame) -> DataFrame:
     return manifests.select(
         "package_id",
         F.filter(F.array(*map(F.lit, HOOKS)), lambda h: F.array_contains(T.json_keys(raw, "$.scripts"), h)).alias("hooks"),
-        (text("license") != "").alias("has_license"),
-        (~text("repository").isin("", "{}")).alias("has_repository"),
-        F.length(text("description")).alias("description_length"),
+        T.truthy(raw, "$.license").alias("has_license"),
+        T.truthy(raw, "$.repository").alias("has_repository"),
+        F.length(F.when(T.truthy(raw, "$.description"), text("description")).otherwise("")).alias("description_length"),
         T.dependency_count(raw).alias("dependencies"),
         F.size(T.json_keys(raw, "$.scripts")).alias("scripts"),
     )
@@ -33,14 +33,14 @@ def package_context(records: DataFrame) -> DataFrame:
     """The 28 traits of a record and its manifest (raw; null: there is none), which context signals choose from."""
     raw, rules = F.col("raw"), F.coalesce("rules_matched", F.array().cast("array<string>"))
     text = lambda k: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit(""))
-    keys = T.json_keys(raw, "$.scripts")
+    keys, said = T.json_keys(raw, "$.scripts"), F.when(T.truthy(raw, "$.description"), text("description")).otherwise("")
     hooks = F.filter(F.array(*map(F.lit, HOOKS)), lambda h: F.array_contains(keys, h))
     name = F.coalesce(F.nullif(text("name"), F.lit("")), F.col("package_name"))
     count = lambda names: F.size(F.filter(rules, lambda r: r.isin(names)))
     noisy, good, n = count(NOISY), count(RELIABLE), F.size(rules)
     traits = {
-        "has_package_json": F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False)), "scoped": F.startswith(name, F.lit("@")), "has_repository": ~text("repository").isin("", "{}"), "has_license": text("license") != "",
-        "has_description": F.trim(text("description")) != "", "description_length": F.length(text("description")), "scripts_count": F.size(keys), "lifecycle_hooks": hooks, "has_lifecycle_hook": F.size(hooks) > 0,
+        "has_package_json": F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False)), "scoped": F.startswith(name, F.lit("@")), "has_repository": T.truthy(raw, "$.repository"), "has_license": T.truthy(raw, "$.license"),
+        "has_description": F.trim(said) != "", "description_length": F.length(said), "scripts_count": F.size(keys), "lifecycle_hooks": hooks, "has_lifecycle_hook": F.size(hooks) > 0,
         "dependency_count": F.size(T.json_keys(raw, "$.dependencies")), "dev_dependency_count": F.size(T.json_keys(raw, "$.devDependencies")),
         "gnn_score": F.coalesce("gnn_score", F.lit(-1.0)), "metadata_risk": F.coalesce("metadata_risk", F.lit(0.0)), "num_js_files": F.coalesce("num_js_files", F.lit(0)), "num_nodes": F.coalesce("num_nodes", F.lit(0)), "num_edges": F.coalesce("num_edges", F.lit(0)),
         "rule_ids": rules, "rules_count": n, "has_rules": n > 0, "noisy_rule_count": noisy, "high_reliability_rule_count": good, "rules_noisy_only": (n > 0) & (noisy == n) & (good == 0), "rules_none": n == 0,

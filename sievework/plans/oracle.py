@@ -480,3 +480,10 @@ ORACLE_SQL |= {
     "payload_json": pkg("SELECT package_id, CAST(to_json({'package_id': package_id, 'verdict': verdict, 'path': path, 'confidence': confidence}) AS VARCHAR) AS body FROM dd", f"dd AS ({live()})"),
 }
 ORACLE_SQL |= FLOW_SQL
+
+TRUE = "coalesce(CASE json_type(j, '{0}') WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN j->>'{0}' = 'true' WHEN 'VARCHAR' THEN j->>'{0}' <> '' WHEN 'ARRAY' THEN json_array_length(j, '{0}') > 0 WHEN 'OBJECT' THEN len(json_keys(j, '{0}')) > 0 ELSE CAST(j->>'{0}' AS DOUBLE) <> 0 END, false)"
+ORACLE_SQL["odd_manifests"] = f"""WITH m AS (SELECT package_id, CAST(raw AS JSON) AS j FROM ({cte("odd_manifests")})), t AS (
+    SELECT package_id, {TRUE.format("$.license")} AS has_license, {TRUE.format("$.repository")} AS has_repository, {TRUE.format("$.description")} AS has_description, json_type(j, '$.description') AS kind, j->>'$.description' AS said,
+           coalesce(json_type(j, '$.scripts.preinstall'), json_type(j, '$.scripts.postinstall')) IN ('VARCHAR', 'ARRAY') AS install_hook FROM m)
+    SELECT package_id, has_license, has_repository, CASE WHEN has_description THEN length(said) ELSE 0 END AS description_length, install_hook,
+           CAST(CAST(0.35 AS DECIMAL(4, 2)) + CASE WHEN has_repository THEN 0 ELSE 0.10 END + CASE WHEN has_license THEN 0 ELSE 0.05 END + CASE WHEN kind = 'VARCHAR' AND length(said) >= 20 THEN 0 ELSE 0.05 END AS DOUBLE) AS risk FROM t"""

@@ -195,6 +195,14 @@ def queue(spark: SparkSession, sf: str) -> DataFrame:
     return packages.build_queue(packages.existing(rows, there), done, 5)
 
 
+def odd_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """What manifests with values of unexpected types say to context, rules and risk."""
+    raw = view(spark, sf, "odd_manifests")
+    seen = signals.manifest_context(raw).select("package_id", "has_license", "has_repository", F.col("description_length").cast("long").alias("description_length"))
+    hook = raw.select("package_id", rules.install_hook(F.col("raw")).alias("install_hook"))
+    return seen.join(hook, "package_id").join(rules.metadata_risk(raw), "package_id")
+
+
 def lockfiles(spark: SparkSession, sf: str) -> DataFrame:
     """Lockfiles of version 1 or 2 as JSON, one for each of the orders' customers, read back."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", F.concat(F.lit("pkg"), (F.col("o_orderkey") % 50).cast("string")).alias("k")).distinct()
@@ -266,6 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cfg_next": lambda s, d: graph.sequential_flow(view(s, d, "statements")),
     "def_use_asof": lambda s, d: graph.latest_before(view(s, d, "calls").where("event_type = 'signup'"), view(s, d, "calls").where("event_type = 'view'")).fillna(-1, "def_id"),
     "taint_flags": lambda s, d: graph.taint_flags(view(s, d, "files").select("package_id", F.xxhash64("path").alias("node_id"), F.lit("call_expression").alias("type"), F.col("code").alias("text"))).groupBy("flag", "detail").agg(F.count("*").alias("n")),
+    "odd_manifests": odd_manifests,
     "subtree_ends": lambda s, d: flow.subtree_ends(view(s, d, "tree")),
     "def_use_scopes": lambda s, d: flow.def_use_scopes(view(s, d, "tree")),
     "cfg_edges": lambda s, d: flow.cfg_edges(view(s, d, "tree")).groupBy("package_id", "src", "dst", "edge_type").agg(F.count("*").alias("n")),

@@ -68,6 +68,8 @@ PIECES = [
     "0 -1 if_statement|1 0 statement_block*|2 1 variable_declaration|3 2 variable_declarator|4 3 identifier:c",
     "0 -1 comment",
 ]
+#: JSON values that manifests hold in place of what is expected there.
+ODD_VALUES = ["null", "false", "true", "0", "0.0", "-3", '""', '"0"', '"a text of twenty characters"', "[]", "[0]", "{}", '{"url":"x"}', "1e2"]
 RULES = ["MED_INSTALL_HOOK_EXISTS", "HIGH_OBFUSCATED_INSTALL", "CRIT_DYNAMIC_REQUIRE_EXEC", "MED_NETWORK_PLUS_FS", "CRIT_EXFIL_CREDENTIALS", "HIGH_WEBHOOK_EXFIL"]
 
 VIEWS = {
@@ -80,6 +82,10 @@ VIEWS = {
         SELECT p.package_id, concat('{{"name":"', n.body, '",', m.body, '}}') AS raw
         FROM (SELECT DISTINCT CAST(floor(doc_id / 5.0) AS BIGINT) AS package_id FROM {documents}) p
         JOIN {names} n ON p.package_id % 11 = n.n JOIN {bodies} m ON p.package_id % 10 = m.n""",
+    "odd_manifests": """
+        SELECT p.package_id, concat('{{"name":"odd","license":', a.body, ',"repository":', b.body, ',"description":', c.body, ',"scripts":{{', CASE WHEN p.package_id % 3 > 0 THEN concat('"preinstall":', d.body, ',') ELSE '' END, '"postinstall":', a.body, '}}}}') AS raw
+        FROM (SELECT DISTINCT doc_id AS package_id FROM {documents}) p JOIN {odd} a ON p.package_id % 14 = a.n JOIN {odd} b ON CAST(floor(p.package_id / 14.0) AS BIGINT) % 14 = b.n
+        JOIN {odd} c ON p.package_id * 3 % 14 = c.n JOIN {odd} d ON p.package_id * 5 % 14 = d.n""",
     "scores": """
         SELECT DISTINCT CAST(floor(doc_id / 5.0) AS BIGINT) AS package_id,
                CASE WHEN CAST(floor(doc_id / 5.0) AS BIGINT) % 7 = 0 THEN NULL ELSE (CAST(floor(doc_id / 5.0) AS BIGINT) % 101) / CAST(100 AS DOUBLE) END AS gnn
@@ -131,7 +137,7 @@ LINES = {
     "duckdb": "SELECT doc_id AS package_id, t, length(lines[t + 1]) AS size, CASE WHEN t > 0 THEN length(lines[t]) END AS before FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {documents}) a) b",
 }
 PROPS = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_string(props, '$.k')"}
-DIMS = {"snippets": SNIPPETS, "names": NAMES, "bodies": MANIFESTS}
+DIMS = {"snippets": SNIPPETS, "names": NAMES, "bodies": MANIFESTS, "odd": ODD_VALUES}
 
 
 def piece_rows() -> list[tuple]:
