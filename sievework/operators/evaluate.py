@@ -6,7 +6,7 @@ decision_bucket, rules_matched (array), cpg_status, gnn_error_type and metadata_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,14 +38,14 @@ def rates(df: DataFrame, *more: str) -> DataFrame:
     return df.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.greatest(p + r, F.lit(1e-9)), 6).alias("f1"))
 
 
-def systems(records: DataFrame) -> DataFrame:
-    """A row for each record and system: gnn (score at least 0.5), rules, hybrid."""
+def systems(records: DataFrame, *more: str) -> DataFrame:
+    """A row for each record and system: gnn (score at least 0.5), rules, hybrid; with further columns of the record."""
     each = F.array(
         F.struct(F.lit("gnn").alias("system"), (F.col("gnn_score") >= 0.5).cast("int").alias("guess")),
         F.struct(F.lit("rules").alias("system"), predicted(F.col("rules_verdict")).alias("guess")),
         F.struct(F.lit("hybrid").alias("system"), predicted(F.col("hybrid_verdict")).alias("guess")),
     )
-    return records.select("true_label", F.explode(each).alias("s")).select("true_label", "s.system", "s.guess")
+    return records.select(*more, "true_label", F.explode(each).alias("s")).select(*more, "true_label", "s.system", "s.guess")
 
 
 def confusion(records: DataFrame) -> DataFrame:
@@ -228,6 +228,42 @@ def class_bins(records: DataFrame) -> DataFrame:
     return records.groupBy("true_label", F.when(s < 0, -1).otherwise(F.least(F.floor(s * 10), F.lit(9))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def class_cube(records: DataFrame) -> DataFrame:
+    """class_bins by verdict with all their totals, from one pass: true_label, bin and hybrid_verdict (null where summed over), level, n and wrong.
+
+    level is grouping_id(): 0 for a class, bin and verdict, 1 for a class and bin, 3 for a class, 5 for a bin and 7 for all, so a null that
+    stands for a total is told from any other.
+    """
+    s = F.col("gnn_score")
+    rows = records.select("true_label", F.when(s < 0, -1).otherwise(F.least(F.floor(s * 10), F.lit(9))).cast("int").alias("bin"), "hybrid_verdict")
+    label, tenth, verdict = F.col("true_label"), F.col("bin"), F.col("hybrid_verdict")
+    wrong = F.count_if(predicted(verdict) != label)
+    sets = [[label, tenth, verdict], [label, tenth], [label], [tenth], []]
+    return rows.groupingSets(sets, label, tenth, verdict).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), wrong.alias("wrong"))
+
+
+def metric_table(records: DataFrame) -> DataFrame:
+    """run, metric and a column for each system: the metrics of both runs (column run) side by side, from one pass over the records."""
+    each = rates(systems(records, "run").groupBy("run", "system").agg(*cells(F.col("true_label"), F.col("guess"))))
+    names = ["tp", "fp", "fn", "tn", "precision", "recall", "f1"]
+    long = each.select("run", "system", *[F.col(m).cast("double").alias(m) for m in names]).unpivot(["run", "system"], names, "metric", "value")
+    return long.groupBy("run", "metric").pivot("system", ["gnn", "rules", "hybrid"]).agg(F.first("value"))
+
+
+def run_metadata(records: DataFrame) -> DataFrame:
+    """name and value: what an evaluation's own pass over the records saw (packages, malicious, failures, covered, verdicts), and its metrics.
+
+    The counts are observed by the job that computes the metrics, so they cost no other pass and are of the very rows that were evaluated.
+    """
+    seen, s = Observation("evaluation"), F.col("gnn_score")
+    counts = {"packages": F.count(F.lit(1)), "malicious": F.count_if(F.col("true_label") == 1), "failures": F.count_if(s < 0), "covered": F.count_if(s >= 0)}
+    counts |= {f"{v}_verdicts": F.count_if(F.col("hybrid_verdict") == v) for v in ("clean", "suspicious", "malicious")}
+    watched = records.observe(seen, *[c.alias(k) for k, c in counts.items()])
+    metrics = {f"{r['system']}.{m}": r[m] for r in confusion(watched).collect() for m in ("precision", "recall", "f1")}  # three rows
+    told = {k: float(seen.get[k]) for k in counts} | metrics
+    return fixed_table(records.sparkSession, list(told.items()), "name string, value double")
+
+
 def histogram(records: DataFrame, bins: int = 50) -> DataFrame:
     s = F.col("gnn_score")
     return records.where(s >= 0).groupBy("true_label", F.least(F.floor(s * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -487,3 +487,25 @@ ORACLE_SQL["odd_manifests"] = f"""WITH m AS (SELECT package_id, CAST(raw AS JSON
            coalesce(json_type(j, '$.scripts.preinstall'), json_type(j, '$.scripts.postinstall')) IN ('VARCHAR', 'ARRAY') AS install_hook FROM m)
     SELECT package_id, has_license, has_repository, CASE WHEN has_description THEN length(said) ELSE 0 END AS description_length, install_hook,
            CAST(CAST(0.35 AS DECIMAL(4, 2)) + CASE WHEN has_repository THEN 0 ELSE 0.10 END + CASE WHEN has_license THEN 0 ELSE 0.05 END + CASE WHEN kind = 'VARCHAR' AND length(said) >= 20 THEN 0 ELSE 0.05 END AS DOUBLE) AS risk FROM t"""
+
+BIN = "CAST(CASE WHEN gnn_score < 0 THEN -1 ELSE least(floor(gnn_score * 10), 9) END AS INT)"
+ORACLE_SQL["class_cube"] = rec(f"""SELECT true_label, bin, hybrid_verdict, CAST(grouping_id(true_label, bin, hybrid_verdict) AS INT) AS level, count(*) AS n, count(*) FILTER (WHERE (hybrid_verdict = 'malicious') <> (true_label = 1)) AS wrong
+    FROM (SELECT *, {BIN} AS bin FROM rec) GROUP BY GROUPING SETS ((true_label, bin, hybrid_verdict), (true_label, bin), (true_label), (bin), ())""")
+ORACLE_SQL["metric_table"] = rec(
+    f"""SELECT run, metric, max(v) FILTER (WHERE system = 'gnn') AS gnn, max(v) FILTER (WHERE system = 'rules') AS rules, max(v) FILTER (WHERE system = 'hybrid') AS hybrid FROM (
+    SELECT run, system, unnest(['tp', 'fp', 'fn', 'tn', 'precision', 'recall', 'f1']) AS metric, unnest([tp, fp, fn, tn, precision, recall, f1]) AS v FROM (SELECT *, {RATES} FROM c)) GROUP BY run, metric""",
+    f"{SYSTEMS}, c AS (SELECT run, system, {CELLS} FROM sys GROUP BY run, system)",
+)
+ORACLE_SQL["run_metadata"] = rec(
+    f"""SELECT unnest(['packages', 'malicious', 'failures', 'covered', 'clean_verdicts', 'suspicious_verdicts', 'malicious_verdicts']) AS name, CAST(unnest([count(*), sum(true_label), count(*) FILTER (WHERE gnn_score < 0), count(*) FILTER (WHERE gnn_score >= 0),
+    count(*) FILTER (WHERE hybrid_verdict = 'clean'), count(*) FILTER (WHERE hybrid_verdict = 'suspicious'), count(*) FILTER (WHERE hybrid_verdict = 'malicious')]) AS DOUBLE) AS value FROM rec
+    UNION ALL SELECT system || '.' || unnest(['precision', 'recall', 'f1']), unnest([precision, recall, f1]) FROM (SELECT *, {RATES} FROM c)""",
+    f"{SYSTEMS}, c AS (SELECT system, {CELLS} FROM sys GROUP BY system)",
+)
+NEWTON = ", ".join(f"b{k + 1} AS (SELECT b - sum((1 / (1 + exp(-b * z)) - y) * z) / sum(1 / (1 + exp(-b * z)) * (1 - 1 / (1 + exp(-b * z))) * z * z) AS b FROM lg, b{k} GROUP BY b)" for k in range(12))
+LOSS = "avg(greatest(z * {0}, 0) - z * {0} * y + ln(1 + exp(-abs(z * {0}))))"
+ORACLE_SQL["temperature"] = rec(
+    f"SELECT count(*) AS n, round(1 / any_value(b), 6) AS temperature, round({LOSS.format(1)}, 6) AS loss_before, round({LOSS.format('b')}, 6) AS loss_after, abs(avg((1 / (1 + exp(-b * z)) - y) * z)) < 1e-9 AS settled FROM lg, b12",
+    f"""lg AS MATERIALIZED (SELECT ln(p / (1 - p)) AS z, CASE WHEN (seq % 97) / 97 < 0.25 + gnn_score / 2 THEN 1 ELSE 0 END AS y FROM (SELECT *, greatest(CAST(1e-7 AS DOUBLE), least(1 - CAST(1e-7 AS DOUBLE), gnn_score)) AS p FROM rec WHERE gnn_score >= 0)),
+    b0 AS (SELECT CAST(1 AS DOUBLE) AS b), {NEWTON}""",
+)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import dataset, decide, evaluate, flow, graph, model, rules, serve, signals, sweep
+from sievework.operators import calibrate, dataset, decide, evaluate, flow, graph, model, rules, serve, signals, sweep
 from sievework.operators.catalog import LIVE_WEIGHT, REPLAY_HARD, REPLAY_WEIGHT
 from sievework.plans.testbed import records, view
 from sievework.sources import packages
@@ -203,6 +203,14 @@ def odd_manifests(spark: SparkSession, sf: str) -> DataFrame:
     return seen.join(hook, "package_id").join(rules.metadata_risk(raw), "package_id")
 
 
+def temperature(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose labels depend on their scores, less than the scores say."""
+    rows = records(spark, sf).where("gnn_score >= 0")
+    label = ((F.col("seq") % 97) / 97 < F.lit(0.25) + F.col("gnn_score") / 2).cast("int")
+    found = calibrate.temperature(rows.select(calibrate.logit(F.col("gnn_score")).alias("z"), label.alias("y")))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("temperature", "loss_before", "loss_after")], (F.abs("gradient") < 1e-9).alias("settled"))
+
+
 def lockfiles(spark: SparkSession, sf: str) -> DataFrame:
     """Lockfiles of version 1 or 2 as JSON, one for each of the orders' customers, read back."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", F.concat(F.lit("pkg"), (F.col("o_orderkey") % 50).cast("string")).alias("k")).distinct()
@@ -254,6 +262,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ranking_metrics": lambda s, d: sweep.ranking_metrics(records(s, d)),
     "score_histogram": lambda s, d: evaluate.histogram(records(s, d)),
     "class_bins": lambda s, d: evaluate.class_bins(records(s, d)),
+    "class_cube": lambda s, d: evaluate.class_cube(records(s, d)),
+    "metric_table": lambda s, d: evaluate.metric_table(records(s, d)),
+    "run_metadata": lambda s, d: evaluate.run_metadata(records(s, d)),
+    "temperature": temperature,
     "class_score_stats": lambda s, d: evaluate.class_stats(records(s, d)),
     "fn_bands": lambda s, d: evaluate.missed_bands(records(s, d)),
     "signal_impact": lambda s, d: signals.impact(records(s, d), signals.context_signals()),

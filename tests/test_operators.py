@@ -4,6 +4,7 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -98,13 +99,56 @@ def run(df, name, tmp_path, mode="append"):
     return df.sparkSession.table(name).collect()
 
 
-def test_streamed_cache_agrees_with_batch(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name, value = proxy.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_streamed_cache_agrees_with_batch(spark, tmp_path, rocksdb):
     (tmp_path / "in").mkdir()
     got = {r["event_id"]: r["cached"] for r in run(proxy.cached(stream(spark, tmp_path / "in")), "cached", tmp_path)}
     batch = spark.createDataFrame(EVENTS, "event_id long, ts string, key string, verdict string").withColumn("ts", F.to_timestamp("ts"))
     assert got == {r["event_id"]: r["cached"] for r in serve.cache_hits(batch).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
+def test_parts_of_a_key_are_read_in_order(spark, tmp_path, rocksdb):
+    """Rows of one key in many Arrow parts, latest first, then a second micro-batch that needs the state."""
+    rows = [(i, f"2024-01-01T{i // 60:02d}:{i % 60:02d}:00Z", "k", ["clean", "error"][i % 7 == 0]) for i in range(200)]
+    batch = spark.createDataFrame(rows, "event_id long, ts string, key string, verdict string").withColumn("ts", F.to_timestamp("ts"))
+    want = {r["event_id"]: r["cached"] for r in serve.cache_hits(batch, 1000).collect()}
+    (tmp_path / "in").mkdir()
+    for part, lines in enumerate([rows[:120][::-1], rows[120:][::-1]]):
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({"event_id": e, "ts": ts, "key": k, "kind": "tarball", "verdict": v, "size": 1}) for e, ts, k, v in lines))
+    source = spark.readStream.schema(proxy.REQUEST).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {r["event_id"]: r["cached"] for r in run(proxy.cached(source, 1000), "parts", tmp_path)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_streamed_dashboard_equals_batch(spark, tmp_path):
+    """After late and repeated lines the newest row is what the batch dashboard counts."""
+    rows = [(i, f"2024-01-01T{(i * 7) % 24:02d}:00:00Z", f"k{i % 5}", "tarball" if i % 3 else "metadata", ["clean", "malicious", "suspicious", "error"][i % 4], i) for i in range(60)]
+    names = ["event_id", "ts", "key", "kind", "verdict", "size"]
+    (tmp_path / "in").mkdir()
+    for part in range(4):
+        lines = [r for r in rows if r[0] % 3 == part % 3]  # the last part repeats the first
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in lines))
+    source = spark.readStream.schema(proxy.REQUEST).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    proxy.write_dashboard(proxy.dashboard(proxy.actions(source)), str(tmp_path / "out"), str(tmp_path / "c"), None).awaitTermination()
+    got = spark.read.json(str(tmp_path / "out" / "latest")).first()
+    log = spark.createDataFrame(rows, names).withColumn("action", serve.action(F.col("kind"), F.col("verdict"), F.col("size"), 50 << 20))
+    log = log.withColumn("event", F.when(F.col("action") == "block", "block").when(F.col("action") == "forward", "scan_complete").otherwise("other"))
+    want = serve.dashboard(log).first()
+    assert {c: got[c] for c in want.asDict()} == want.asDict() and got["batch"] >= 3
+
+
 def test_streamed_windows_and_repeats(spark, tmp_path):
     (tmp_path / "in").mkdir()
     source = stream(spark, tmp_path / "in")
