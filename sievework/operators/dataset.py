@@ -68,6 +68,28 @@ def graph_filter(graphs: DataFrame, least: int = 2, most: int = 50_000) -> DataF
     return graphs.agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(kept, mark)), F.lit(0)).cast("string").alias("fingerprint"))
 
 
+def split_summary(graphs: DataFrame, least: int = 2, most: int = 50_000) -> DataFrame:
+    """A row for each split of graph files (split, graph_id, name, size, mtime, nodes, label): raw_files, total (kept), skipped, malicious, benign, avg_nodes, max_nodes and fingerprint.
+
+    A file is kept with `least` to `most` nodes. The fingerprint is a SHA-256 of kept files in the order of graph_id: their name, size, time, nodes and label
+    are joined for each WIDTH files in a row and hashed, and those hashes in order are hashed again, so no task reads a whole split. A null counts as an
+    empty text. Without a kept file it is that of an empty text, avg_nodes and max_nodes are 0.
+    """
+    kept = F.coalesce(F.col("nodes").between(least, most), F.lit(False))
+    n = F.when(kept, F.col("nodes"))
+    counts = graphs.groupBy("split").agg(
+        F.count("*").alias("raw_files"), F.count_if(kept).alias("total"), F.count_if(~kept).alias("skipped"), F.count_if(kept & (F.col("label") == 1)).alias("malicious"),
+        F.coalesce(F.round(F.avg(n), 6), F.lit(0.0)).alias("avg_nodes"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_nodes"),
+    )
+    said = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "size", "mtime", "nodes", "label")])
+    rows = ranked(graphs.where(kept).select("split", "graph_id", said.alias("said")), ["split"], ["graph_id", "said"], "i")
+    digest = lambda parts: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda x: x["said"]), "\n").cast("binary"), 256)
+    blocks = rows.groupBy("split", F.floor(F.col("i") / WIDTH).alias("block")).agg(digest(F.struct("i", "said")).alias("said"))
+    marks = blocks.groupBy("split").agg(digest(F.struct("block", "said")).alias("mark"))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return counts.join(marks, "split", "left").select("*", (F.col("total") - F.col("malicious")).alias("benign"), F.coalesce("mark", none).alias("fingerprint")).drop("mark")
+
+
 def budget_batches(graphs: DataFrame, budget: int = 30_000) -> DataFrame:
     """graph_id, nodes and batch: graphs in order of graph_id fill a batch until the next would exceed the budget; one above it is alone.
 

@@ -50,8 +50,8 @@ def obfuscated(kind: Column, text: Column, one_line: Column) -> Column:
     return ((kind == "string") & long) | has(text, "hex_esc") | has(text, "uni_esc") | (one_line & long) | F.coalesce(name, F.lit(False))
 
 
-def node_flags(nodes: DataFrame) -> DataFrame:
-    """package_id, node_id and twelve flags of each node (type, text, start_line, end_line)."""
+def node_flags(nodes: DataFrame, *more: str) -> DataFrame:
+    """package_id, node_id and twelve flags of each node (type, text, start_line, end_line), with further columns of the node first."""
     kind, text = F.col("type"), F.coalesce("text", F.lit(""))
     call = kind == "call_expression"
     inner = F.regexp_replace(text, "^[\"'`]+|[\"'`]+$", "")
@@ -61,7 +61,16 @@ def node_flags(nodes: DataFrame) -> DataFrame:
         "obfuscated": obfuscated(kind, text, F.col("start_line") == F.col("end_line")), "env_access": F.contains(text, F.lit("process.env")), "dangerous_import": call & has(text, "n_import"),
         "dynamic_require": call & has(text, "n_dynamic"), "crypto_call": call & has(text, "n_crypto"), "timer_callback": call & has(text, "n_timer"), "string_manip": has(text, "n_string"),
     }
-    return nodes.select("package_id", "node_id", *[c.alias(n) for n, c in flags.items()])
+    return nodes.select("package_id", "node_id", *more, *[c.alias(n) for n, c in flags.items()])
+
+
+def node_features(nodes: DataFrame) -> DataFrame:
+    """package_id, node_id and the 35 numbers that a model gets of a node: its type among 22 known ones and one for all others, then its twelve flags."""
+    flags = node_flags(nodes.withColumn("_type", F.col("type")), "_type")
+    at = type_index(F.col("_type"))
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(len(NODE_TYPES))), lambda k: (k == at).cast("double"))
+    names = [c for c in flags.columns if c not in ("package_id", "node_id", "_type")]
+    return flags.select("package_id", "node_id", F.concat(one_hot, F.array(*[F.coalesce(F.col(c), F.lit(False)).cast("double") for c in names])).alias("features"))
 
 
 def package_vector(files: DataFrame, manifests: DataFrame, flags: DataFrame) -> DataFrame:

@@ -250,19 +250,39 @@ def described(raw: Column) -> Column:
     return F.coalesce(parts, F.length(F.when(F.try_parse_json(raw).isNull(), text)), F.lit(0)) >= 20
 
 
-def metadata_risk(manifests: DataFrame, popular: list[str] = ()) -> DataFrame:
-    """package_id and risk in [0, 1], summed in decimals."""
+def near(names: DataFrame, others: DataFrame) -> DataFrame:
+    """name and other for distinct names of both sides (column name) that differ by one or two edits.
+
+    Two such names are equal after at most two deletions from each, so names meet at what deletions leave of them, some length squared
+    / 2 short rows for each; lists of any length meet like this.
+    """
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    less = F.when(F.length("name") > 0, one(F.col("name"))).otherwise(F.array().cast("array<string>"))
+    least = F.flatten(F.transform(less, lambda x: F.when(F.length(x) > 0, one(x)).otherwise(F.array(x))))
+    cut = lambda df: df.where("name is not null").select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(F.array("name"), less, least))).alias("cut"))
+    pairs = cut(names).join(cut(others).withColumnRenamed("name", "other"), "cut").where("name <> other").select("name", "other").distinct()
+    return pairs.where(T.distance_within(F.col("name"), F.col("other")).between(1, 2))
+
+
+def metadata_risk(manifests: DataFrame, popular: DataFrame | None = None) -> DataFrame:
+    """package_id and risk in [0, 1], summed in decimals.
+
+    popular (name) is a list of any length; a name without scope that isn't on it but is at most two edits from one that is adds 0.30.
+    """
     raw = F.col("raw")
     part = lambda when, x: F.when(F.coalesce(when, F.lit(False)), F.lit(x).cast("decimal(4,2)")).otherwise(F.lit(0).cast("decimal(4,2)"))
     name, keys = F.get_json_object(raw, "$.name"), T.json_keys(raw, "$.scripts")
     some = lambda *h: F.arrays_overlap(keys, F.array(*map(F.lit, h)))
-    known = F.array(*map(F.lit, popular)) if popular else F.array().cast("array<string>")
-    squat = ~F.startswith(name, F.lit("@")) & ~F.array_contains(known, name) & F.exists(known, lambda p: T.distance_within(name, p) >= 0)
+    rows, squat = manifests.withColumn("_name", name), F.lit(False)
+    if popular is not None:
+        asked = rows.select(F.col("_name").alias("name")).where(~F.startswith("name", F.lit("@"))).distinct().join(popular.select("name"), "name", "left_anti")
+        close = near(asked, popular).select(F.col("name").alias("_name")).distinct().withColumn("_close", F.lit(True))
+        rows, squat = rows.join(close, "_name", "left"), F.col("_close")
     total = (
         part(squat, "0.30") + part(~T.truthy(raw, "$.repository"), "0.10") + part(~T.truthy(raw, "$.license"), "0.05") + part(~described(raw), "0.05")
         + part(some(*LIFECYCLE), "0.20") + part((F.size(T.json_keys(raw, "$.dependencies")) == 0) & some("preinstall", "postinstall"), "0.15")
     )
-    return manifests.select("package_id", F.least(total.cast("double"), F.lit(1.0)).alias("risk"))
+    return rows.select("package_id", F.least(total.cast("double"), F.lit(1.0)).alias("risk"))
 
 
 def first_by_path(files: DataFrame) -> DataFrame:

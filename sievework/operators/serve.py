@@ -21,6 +21,18 @@ def lockfile_audit(dependencies: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.select("*", (F.col("suspicious") + F.col("malicious")).alias("flagged"), (F.col("malicious") > 0).alias("fail_high"), (F.col("malicious") + F.col("suspicious") > 0).alias("fail_medium"), (F.col("suspicious") + F.col("malicious") > 0).alias("fail_any"))
 
 
+def lockfile_results(dependencies: DataFrame, scanned: DataFrame) -> DataFrame:
+    """name, version, verdict, error_msg, asked and scans: each package that lockfiles (lockfile_id, name, version) ask for, once.
+
+    scanned has name, verdict and error_msg (null unless the scan failed); a package without a row couldn't be downloaded. Only results are remembered: a package
+    with one is scanned once, however many lockfiles ask, and a failure is tried again for each.
+    """
+    asked = dependencies.select("lockfile_id", "name", "version").distinct().groupBy("name", "version").agg(F.count("*").alias("asked"))
+    rows = asked.join(scanned.select("name", "verdict", "error_msg"), "name", "left")
+    error = F.when(F.col("verdict").isNull(), "Download failed").otherwise(F.col("error_msg"))
+    return rows.select("name", "version", F.when(error.isNull(), F.col("verdict")).otherwise("error").alias("verdict"), error.alias("error_msg"), "asked", F.when(error.isNull(), 1).otherwise(F.col("asked")).cast("long").alias("scans"))
+
+
 def action(kind: Column, verdict: Column, size: Column, limit: int, closed: bool = False) -> Column:
     """What a proxy does with a request; real verdicts only are cached, so an error never forwards in closed mode."""
     return (

@@ -509,3 +509,27 @@ ORACLE_SQL["temperature"] = rec(
     f"""lg AS MATERIALIZED (SELECT ln(p / (1 - p)) AS z, CASE WHEN (seq % 97) / 97 < 0.25 + gnn_score / 2 THEN 1 ELSE 0 END AS y FROM (SELECT *, greatest(CAST(1e-7 AS DOUBLE), least(1 - CAST(1e-7 AS DOUBLE), gnn_score)) AS p FROM rec WHERE gnn_score >= 0)),
     b0 AS (SELECT CAST(1 AS DOUBLE) AS b), {NEWTON}""",
 )
+
+ORACLE_SQL["metadata_risk_popular"] = """WITH p AS (SELECT p_partkey, replace(p_name, ' ', '-') AS name FROM part), l AS (SELECT DISTINCT name FROM p WHERE p_partkey % 2 = 0),
+    m AS (SELECT p_partkey AS package_id, CASE p_partkey % 5 WHEN 0 THEN '@s/' || name WHEN 1 THEN name || 's' WHEN 2 THEN substr(name, 3) ELSE name END AS name FROM p),
+    c AS (SELECT n.name FROM (SELECT DISTINCT name FROM m WHERE name NOT LIKE '@%' AND name NOT IN (SELECT name FROM l)) n WHERE EXISTS (SELECT 1 FROM l WHERE levenshtein(l.name, n.name) <= 2))
+    SELECT package_id, CASE WHEN name IN (SELECT name FROM c) THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS risk FROM m"""
+ORACLE_SQL["naive_split_leaks"] = f"WITH {ITEMS} SELECT campaign, count(DISTINCT item_id % 3) AS splits FROM items WHERE label = 1 GROUP BY campaign HAVING count(DISTINCT item_id % 3) > 1"
+ORACLE_SQL["split_summary"] = f"""WITH {ITEMS}, g AS (SELECT ['train', 'val', 'test'][CAST(item_id % 3 + 1 AS INT)] AS split, item_id, nodes, label, nodes BETWEEN 2 AND 50000 AS kept FROM items),
+    k AS (SELECT split, concat_ws(':', item_id || '.pt', nodes * 8 + 100, 1700000000 + item_id, nodes, label) AS said, row_number() OVER (PARTITION BY split ORDER BY item_id) - 1 AS i FROM g WHERE kept),
+    b AS (SELECT split, i // 65536 AS block, sha256(string_agg(said, chr(10) ORDER BY i)) AS said FROM k GROUP BY ALL), f AS (SELECT split, sha256(string_agg(said, chr(10) ORDER BY block)) AS fingerprint FROM b GROUP BY split)
+    SELECT split, count(*) AS raw_files, count(*) FILTER (WHERE kept) AS total, count(*) FILTER (WHERE NOT kept) AS skipped, count(*) FILTER (WHERE kept AND label = 1) AS malicious, count(*) FILTER (WHERE kept AND label = 0) AS benign,
+           round(avg(nodes) FILTER (WHERE kept), 6) AS avg_nodes, max(nodes) FILTER (WHERE kept) AS max_nodes, any_value(fingerprint) AS fingerprint FROM g JOIN f USING (split) GROUP BY split"""
+ORACLE_SQL["lockfile_results"] = f"""WITH dp AS ({cte("dependencies")}), pv AS ({cte("part_verdicts")}), a AS (SELECT name, version, count(DISTINCT lockfile_id) AS asked FROM dp GROUP BY ALL),
+    e AS (SELECT a.*, verdict, CASE WHEN verdict IS NULL THEN 'Download failed' WHEN CAST(substr(name, 4) AS BIGINT) % 7 = 0 THEN 'timeout' END AS error_msg FROM a LEFT JOIN pv USING (name))
+    SELECT name, version, CASE WHEN error_msg IS NULL THEN verdict ELSE 'error' END AS verdict, error_msg, asked, CASE WHEN error_msg IS NULL THEN 1 ELSE asked END AS scans FROM e"""
+FLAGS = ["eval_call", "exec_call", "network_call", "file_op", "base64", "obfuscated", "env_access", "dangerous_import", "dynamic_require", "crypto_call", "timer_callback", "string_manip"]
+ORACLE_SQL["node_features"] = f"""WITH f AS ({ORACLE_SQL["node_flags"]}), t AS (SELECT *, CAST(regexp_extract(node_id, '[0-9]+$') AS BIGINT) % 3 AS kind FROM f),
+    x AS (SELECT package_id, unnest(range(35)) AS k, unnest(list_concat(list_transform(range(23), lambda i: CASE WHEN i = CASE kind WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 3 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), [{", ".join(f"CAST({c} AS INT)::DOUBLE" for c in FLAGS)}])) AS v FROM t)
+    SELECT package_id, k, sum(v) AS total FROM x GROUP BY ALL"""
+ORACLE_SQL["manifest_snippets"] = pkg(
+    """SELECT m.package_id, rule_id, m.hook, CASE WHEN rule_id = 'HIGH_MANIFEST_SUSPICIOUS_URL' THEN o.u ELSE left(replace(command, chr(10), '\\n'), 220) END AS snippet
+    FROM man_hits m JOIN mhook h ON h.package_id = m.package_id AND h.hook = m.hook LEFT JOIN outside o ON o.package_id = m.package_id AND o.hook = m.hook""",
+    f"""each AS (SELECT package_id, hook, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(command, {q(PATTERN["m_url"])}) AS l FROM mhook)),
+    outside AS (SELECT package_id, hook, arg_min(u, i) AS u FROM (SELECT *, lower(regexp_extract(u, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h FROM each) WHERE NOT {WHITE} GROUP BY ALL)""",
+)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import calibrate, dataset, decide, evaluate, flow, graph, model, rules, serve, signals, sweep
+from sievework.operators import calibrate, dataset, decide, evaluate, flow, graph, rules, serve, signals, sweep
 from sievework.operators.catalog import LIVE_WEIGHT, REPLAY_HARD, REPLAY_WEIGHT
 from sievework.plans.testbed import records, view
 from sievework.sources import packages
@@ -97,17 +97,32 @@ def spec_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names within two edits of another name, among distinct names.
+    """Part names within two edits of another name."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name"))
+    return rules.near(names, names)
 
-    Two such names are equal after at most two deletions from each, so names meet at what deletions leave of them.
-    """
-    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")).distinct()
-    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
-    less = F.when(F.length("name") > 0, one(F.col("name"))).otherwise(F.array().cast("array<string>"))
-    least = F.flatten(F.transform(less, lambda x: F.when(F.length(x) > 0, one(x)).otherwise(F.array(x))))
-    cut = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), less, least))).alias("cut"))
-    pairs = cut.join(cut.select(F.col("name").alias("other"), "cut"), "cut").where("name <> other").select("name", "other").distinct()
-    return pairs.where(T.distance_within(F.col("name"), F.col("other")).between(1, 2))
+
+def risk_of_near_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests named like parts, some misspelt or with a scope, against the list of every second part's name."""
+    k, name = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", name.alias("name"))
+    listed = packages.popular_names(part.where(k % 2 == 0).select("name", k.alias("position")))
+    wrong = F.when(k % 5 == 0, F.concat(F.lit("@s/"), "name")).when(k % 5 == 1, F.concat("name", F.lit("s"))).when(k % 5 == 2, F.substr("name", F.lit(3))).otherwise(F.col("name"))
+    return rules.metadata_risk(part.select(k.alias("package_id"), F.concat(F.lit('{"name":"'), wrong, F.lit('","license":"MIT"}')).alias("raw")), listed)
+
+
+def lockfile_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of packages, of which some failed, for the lockfiles that ask for them."""
+    known = view(spark, sf, "part_verdicts")
+    failed = F.when(F.substr("name", F.lit(4)).cast("long") % 7 == 0, F.lit("timeout"))
+    return serve.lockfile_results(view(spark, sf, "dependencies"), known.withColumn("error_msg", failed))
+
+
+def graph_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Graphs of the items, as files of three splits."""
+    split = F.element_at(F.array(*map(F.lit, ["train", "val", "test"])), (F.col("item_id") % 3 + 1).cast("int"))
+    size, at = F.col("nodes") * 8 + 100, F.lit(1_700_000_000) + F.col("item_id")
+    return view(spark, sf, "items").select(split.alias("split"), F.col("item_id").alias("graph_id"), "nodes", "label", F.concat(F.col("item_id").cast("string"), F.lit(".pt")).alias("name"), size.alias("size"), at.alias("mtime"))
 
 
 def dealt(text: list[str], by: str) -> Column:
@@ -236,6 +251,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hook_relation": lambda s, d: rules.hook_relation(view(s, d, "files"), view(s, d, "manifests")).select("package_id", "hook", "command", F.size("sources").cast("long").alias("n_sources"), F.length(F.array_join("sources", "")).cast("long").alias("n_chars")),
     "manifest_hits": lambda s, d: rules.manifest_hits(view(s, d, "files"), view(s, d, "manifests")).select("package_id", "rule_id", F.col("file_path").alias("hook")),
     "metadata_risk": lambda s, d: rules.metadata_risk(view(s, d, "manifests")),
+    "metadata_risk_popular": risk_of_near_names,
+    "manifest_snippets": lambda s, d: rules.manifest_hits(view(s, d, "files"), view(s, d, "manifests")).where("snippet is not null").select("package_id", "rule_id", F.col("file_path").alias("hook"), "snippet"),
     "manifest_context": lambda s, d: signals.manifest_context(view(s, d, "manifests")).select("package_id", F.array_join("hooks", ",").alias("hooks"), "has_license", "has_repository", F.col("description_length").cast("long").alias("description_length"), F.col("dependencies").cast("long").alias("dependencies"), F.col("scripts").cast("long").alias("scripts")),
     "lifecycle_context": lambda s, d: signals.lifecycle_context(view(s, d, "files"), view(s, d, "manifests")),
     "evidence_lines": lambda s, d: decide.evidence(hits(s, d), decided(s, d)).groupBy("text").agg(F.count("*").alias("n")),
@@ -280,6 +297,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "campaign_split": lambda s, d: dataset.campaign_split(view(s, d, "items")),
     "split_stats": lambda s, d: dataset.split_stats(dataset.campaign_split(view(s, d, "items"))),
     "split_leaks": lambda s, d: dataset.leaks(dataset.campaign_split(view(s, d, "items"))),
+    "naive_split_leaks": lambda s, d: dataset.leaks(view(s, d, "items").withColumn("split", F.col("item_id") % 3)),
+    "split_summary": lambda s, d: dataset.split_summary(graph_files(s, d)),
     "graph_filter_summary": lambda s, d: dataset.graph_filter(view(s, d, "items").select(F.col("item_id").alias("graph_id"), "nodes", "label")),
     "node_budget_batches": lambda s, d: dataset.budget_batches(view(s, d, "items").select(F.col("item_id").alias("graph_id"), "nodes")),
     "focal_loss": lambda s, d: dataset.focal_loss(records(s, d).where("gnn_score >= 0").select(F.col("gnn_score").alias("p"), F.col("true_label").alias("y"))),
@@ -296,9 +315,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_hist": lambda s, d: graph.edge_histogram(view(s, d, "edges")),
     "message_pass_1hop": lambda s, d: graph.message_pass(one_package(s, d), inner_edges(s, d)).select("node_id", F.posexplode("h").alias("k", "x")).select("node_id", F.col("k").cast("long").alias("k"), (F.round("x", 4) + F.lit(0.0)).alias("x")),
     "graph_pooling": lambda s, d: graph.pooled(nodes(s, d)).select("package_id", F.col("k").cast("long").alias("k"), *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("mean", "total", "most")]),
-    "gnn_scores": lambda s, d: model.score_graphs(nodes(s, d), view(s, d, "edges").select("package_id", "src", "dst", "edge_type")),
     "node_cap": lambda s, d: graph.cap_nodes(view(s, d, "files").select("package_id", "path", T.lines(F.col("code")).cast("long").alias("nodes")), 40),
     "lockfile_audit": lambda s, d: serve.lockfile_audit(view(s, d, "dependencies"), view(s, d, "part_verdicts")),
+    "lockfile_results": lockfile_results,
     "lockfile_dependencies": lockfiles,
     "proxy_actions": lambda s, d: proxy_log(s, d).groupBy("kind", "action").agg(F.count("*").alias("n")),
     "ttl_cache_hits": lambda s, d: serve.cache_hits(view(s, d, "requests")),
@@ -338,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "build_queue": queue,
     "packages_with_code": lambda s, d: packages.with_code(view(s, d, "manifests").select("package_id"), view(s, d, "files").where("path <> 'index.js'")),
     "node_flags": lambda s, d: graph.node_flags(code_nodes(s, d)),
+    "node_features": lambda s, d: graph.node_features(code_nodes(s, d)).select("package_id", F.posexplode("features").alias("k", "x")).groupBy("package_id", F.col("k").cast("long").alias("k")).agg(F.sum("x").alias("total")),
     "package_vectors": vectors,
     "graph_states": graph_states,
 }

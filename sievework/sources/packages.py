@@ -34,9 +34,15 @@ def members(name: str, data: bytes) -> Iterator[tuple]:
         yield name, None, None, None, "corrupt"
 
 
-def read_archives(spark: SparkSession, folder: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """Files of all .tgz below a folder, read by Spark; archives above most_bytes become a `too_large` row."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tgz").option("recursiveFileLookup", "true").load(folder)
+def read_archives(spark: SparkSession, folder: str, most_bytes: int = 50 << 20, uploads: bool = False) -> DataFrame:
+    """Files of all .tgz below a folder, read by Spark; archives above most_bytes become a `too_large` row.
+
+    uploads: all files below the folder are taken for archives; one whose name ends neither in .tgz nor in .tar.gz becomes an `invalid` row, whatever its size.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    every = (reader if uploads else reader.option("pathGlobFilter", "*.tgz")).load(folder)
+    named = F.endswith("path", F.lit(".tgz")) | F.endswith("path", F.lit(".tar.gz"))
+    found = every.where(named)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -44,7 +50,8 @@ def read_archives(spark: SparkSession, folder: str, most_bytes: int = 50 << 20)
                 yield pd.DataFrame(list(members(posixpath.basename(path), data)), columns=["package_id", "path", "size_bytes", "content", "status"])
 
     name = F.regexp_extract("path", "[^/]*$", 0).alias("package_id")
-    large = found.where(F.col("length") > most_bytes).select(name, F.lit(None).cast("string").alias("path"), F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("status"))
+    marked = lambda df, status: df.select(name, F.lit(None).cast("string").alias("path"), F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content"), F.lit(status).alias("status"))
+    large = marked(found.where(F.col("length") > most_bytes), "too_large").unionByName(marked(every.where(~named), "invalid"))
     return found.where(F.col("length") <= most_bytes).select("path", "content").mapInPandas(unpack, ARCHIVE).unionByName(large)
 
 
@@ -149,8 +156,9 @@ def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Decision log lines; bad lines go."""
-    return spark.read.schema(LOG + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("timestamp is not null").drop("_bad")
+    """Decision log lines, newest first: by their time, and of equal times the later line of a file first; bad lines go."""
+    rows = spark.read.schema(LOG + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("timestamp is not null").drop("_bad")
+    return rows.orderBy(F.desc("timestamp"), F.desc(F.monotonically_increasing_id()))
 
 
 def payload(verdicts: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Sources, service, graph and streaming operators on small inputs."""
 
+import hashlib
 import io
 import json
+import math
+import os
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import dataset, evaluate, graph, serve, signals
+from sievework.operators import calibrate, dataset, evaluate, graph, rules, serve, signals
 from sievework.sources import packages
 from sievework.streaming import proxy
 
@@ -123,6 +126,7 @@ def test_parts_of_a_key_are_read_in_order(spark, tmp_path, rocksdb):
     (tmp_path / "in").mkdir()
     for part, lines in enumerate([rows[:120][::-1], rows[120:][::-1]]):
         (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({"event_id": e, "ts": ts, "key": k, "kind": "tarball", "verdict": v, "size": 1}) for e, ts, k, v in lines))
+        os.utime(tmp_path / "in" / f"{part}.json", (1e9 + part, 1e9 + part))  # files go by their time
     source = spark.readStream.schema(proxy.REQUEST).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
@@ -157,3 +161,72 @@ def test_streamed_windows_and_repeats(spark, tmp_path):
     assert {r["key"] for r in run(proxy.first_scans(source), "firsts", tmp_path)} == {"a", "b"}
     proxy.write_batches(proxy.actions(source), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_uploads_by_extension(spark, tmp_path):
+    for name in ("a.tgz", "b.tar.gz", "c.zip"):
+        (tmp_path / name).write_bytes(archive([("package/index.js", b"1")]))
+    got = {r["package_id"]: (r["status"], r["path"]) for r in packages.read_archives(spark, str(tmp_path), uploads=True).collect()}
+    assert got == {"a.tgz": ("ok", "index.js"), "b.tar.gz": ("ok", "index.js"), "c.zip": ("invalid", None)}
+    assert {r["package_id"] for r in packages.read_archives(spark, str(tmp_path)).collect()} == {"a.tgz"}
+
+
+def test_newest_lines_first(spark, tmp_path):
+    lines = [("2024-01-01T00:00:00Z", "a"), ("2024-01-03T00:00:00Z", "b"), ("2024-01-02T00:00:00Z", "c"), ("2024-01-03T00:00:00Z", "d")]
+    (tmp_path / "a.jsonl").write_text("\n".join(["{broken", *(json.dumps({"timestamp": t, "event": e}) for t, e in lines)]))
+    assert [r["event"] for r in packages.read_log(spark, str(tmp_path)).collect()] == ["d", "b", "c", "a"]
+
+
+def test_failed_scans_are_tried_again(spark):
+    asks = spark.createDataFrame([(k, n, "1") for k in range(3) for n in "abc"] + [(0, "a", "1")], "lockfile_id long, name string, version string")
+    known = spark.createDataFrame([("a", "clean", None), ("b", "clean", "timeout")], "name string, verdict string, error_msg string")
+    got = {r["name"]: (r["verdict"], r["error_msg"], r["asked"], r["scans"]) for r in serve.lockfile_results(asks, known).collect()}
+    assert got == {"a": ("clean", None, 3, 1), "b": ("error", "timeout", 3, 3), "c": ("error", "Download failed", 3, 3)}
+
+
+def test_names_at_most_two_edits_from_popular_ones(spark):
+    listed = spark.createDataFrame([("lodash",), ("react",), ("ab",), (None,)], "name string")
+    names = ["lodash", "lodahs", "lodas", "@s/lodahs", "vue", "reactxyz", "b", "", None]
+    raw = [(i, json.dumps({"name": n, "license": "MIT", "repository": "x", "description": "d" * 20})) for i, n in enumerate(names)]
+    got = {names[r["package_id"]]: r["risk"] for r in rules.metadata_risk(spark.createDataFrame(raw, "package_id long, raw string"), listed).collect()}
+    assert got == {"lodash": 0.0, "lodahs": 0.3, "lodas": 0.3, "@s/lodahs": 0.0, "vue": 0.0, "reactxyz": 0.0, "b": 0.3, "": 0.3, None: 0.0}
+
+
+def test_split_summary(spark, monkeypatch):
+    schema = "split string, graph_id long, name string, size long, mtime long, nodes long, label int"
+    files = [("a", i, f"{i}.pt", 10, 1, n, i % 2) for i, n in enumerate([5, 1, 60_000, 7, None])] + [("b", 9, None, None, None, 1, 1)]
+    df = spark.createDataFrame(files, schema)
+    got = {r["split"]: r.asDict() for r in dataset.split_summary(df).collect()}
+    inner = hashlib.sha256(b"0.pt:10:1:5:0\n3.pt:10:1:7:1").hexdigest()
+    assert got["a"] == {"split": "a", "raw_files": 5, "total": 2, "skipped": 3, "malicious": 1, "benign": 1, "avg_nodes": 6.0, "max_nodes": 7, "fingerprint": hashlib.sha256(inner.encode()).hexdigest()}
+    assert (got["b"]["total"], got["b"]["avg_nodes"], got["b"]["max_nodes"], got["b"]["fingerprint"]) == (0, 0.0, 0, hashlib.sha256(b"").hexdigest())
+    monkeypatch.setattr(dataset, "WIDTH", 1)  # the same files in blocks of one
+    assert {r["fingerprint"] for r in dataset.split_summary(df.repartition(5)).where("split = 'a'").collect()} != {got["a"]["fingerprint"]}
+    changed = spark.createDataFrame([(*f[:4], 2, *f[5:]) if f[1] == 3 else f for f in files], schema)
+    assert dataset.split_summary(changed).where("split = 'a'").first()["fingerprint"] != got["a"]["fingerprint"]
+
+
+def test_temperature(spark):
+    """Labels drawn from softened scores: the optimum is found, its gradient is nothing, and no neighbour has less loss."""
+    rows = [(z / 4, int((k * 37) % 100 < 100 / (1 + 2.718281828 ** (-z / 12)))) for z in range(-20, 21) for k in range(100)]
+    got = calibrate.temperature(spark.createDataFrame([*rows, (None, 1), (1.0, None)], "z double, y int")).first()
+    loss = lambda t: sum(max(z / t, 0) - z / t * y + math.log1p(math.exp(-abs(z / t))) for z, y in rows) / len(rows)
+    assert got["n"] == len(rows) and got["settled"] and abs(got["gradient"]) <= 1e-9 and 2.5 < got["temperature"] < 3.5
+    assert abs(got["loss_after"] - loss(got["temperature"])) < 1e-9 < min(loss(got["temperature"] * f) - got["loss_after"] for f in (0.99, 1.01)) and got["loss_before"] > got["loss_after"]
+
+
+def test_temperature_without_an_optimum(spark):
+    of = lambda rows, **kw: calibrate.temperature(spark.createDataFrame(rows, "z double, y int"), **kw).first()
+    assert of([])["temperature"] is None and of([])["n"] == 0
+    assert of([(1.0, 0), (-1.0, 1)])["temperature"] is None  # wrong way round
+    apart = of([(1.0, 1), (-1.0, 0)], rounds=8)
+    assert apart["temperature"] < 1 and not apart["settled"] and apart["rounds"] == 8
+
+
+def test_observed_counts_are_of_the_evaluated_rows(spark):
+    rows = [(1, 0.9, "malicious"), (0, -1.0, "clean"), (1, 0.1, "suspicious"), (0, 0.2, "clean")]
+    df = spark.createDataFrame([(*r, r[2]) for r in rows], "true_label int, gnn_score double, hybrid_verdict string, rules_verdict string")
+    got = {r["name"]: r["value"] for r in evaluate.run_metadata(df).collect()}
+    assert (got["packages"], got["malicious"], got["failures"], got["covered"], got["clean_verdicts"], got["hybrid.precision"], got["hybrid.recall"]) == (4, 2, 1, 3, 2, 1.0, 0.5)
+    cube = {tuple(r)[:4]: (r["n"], r["wrong"]) for r in evaluate.class_cube(df).collect()}
+    assert cube[None, None, None, 7] == (4, 1) and cube[1, None, None, 3] == (2, 1) and cube[None, -1, None, 5] == (1, 0) and cube[0, 2, "clean", 0] == (1, 0)
