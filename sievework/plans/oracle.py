@@ -507,7 +507,7 @@ LOSS = "avg(greatest(z * {0}, 0) - z * {0} * y + ln(1 + exp(-abs(z * {0}))))"
 ORACLE_SQL["temperature"] = rec(
     f"SELECT count(*) AS n, round(1 / any_value(b), 6) AS temperature, round({LOSS.format(1)}, 6) AS loss_before, round({LOSS.format('b')}, 6) AS loss_after, abs(avg((1 / (1 + exp(-b * z)) - y) * z)) < 1e-9 AS settled FROM lg, b12",
     f"""lg AS MATERIALIZED (SELECT ln(p / (1 - p)) AS z, CASE WHEN (seq % 97) / 97 < 0.25 + gnn_score / 2 THEN 1 ELSE 0 END AS y FROM (SELECT *, greatest(CAST(1e-7 AS DOUBLE), least(1 - CAST(1e-7 AS DOUBLE), gnn_score)) AS p FROM rec WHERE gnn_score >= 0)),
-    b0 AS (SELECT CAST(1 AS DOUBLE) AS b), {NEWTON}""",
+    b0 AS (SELECT CAST(0 AS DOUBLE) AS b), {NEWTON}""",
 )
 
 ORACLE_SQL["metadata_risk_popular"] = """WITH p AS (SELECT p_partkey, replace(p_name, ' ', '-') AS name FROM part), l AS (SELECT DISTINCT name FROM p WHERE p_partkey % 2 = 0),
