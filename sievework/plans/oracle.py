@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sievework.operators.catalog import BUILD_ERRORS, BUILD_TERMS, DECISION_LABELS, FAILED_STEPS, HARD, HOOK_NETWORK_WORDS, IDEAS, LIVE_WEIGHT, NETWORK_TERMS, NODE_TYPES, OBFUSCATION_TERMS, PATTERN, REPLAY_HARD, REPLAY_WEIGHT, SECRET_TERMS, SHELL_TERMS, SWEEP, TOP_NAMES, TWIN, UNKNOWN_WEIGHT, score, severity
 from sievework.plans.flow_oracle import FLOW_SQL
+from sievework.plans.network_oracle import NETWORK_SQL
 from sievework.plans.queries import GOALS, MESSAGES, PHRASES, PRECISIONS, RECALLS, STACKS
 from sievework.plans.testbed import RULES, cte
 
@@ -479,7 +480,7 @@ ORACLE_SQL |= {
         CAST(CASE WHEN status = 'success' THEN coalesce(n, 1) ELSE 0 END AS BIGINT) AS num_nodes, CAST(CASE WHEN status = 'success' AND n IS NOT NULL THEN coalesce(m, 0) ELSE 0 END AS BIGINT) AS num_edges FROM c""",
     "payload_json": pkg("SELECT package_id, CAST(to_json({'package_id': package_id, 'verdict': verdict, 'path': path, 'confidence': confidence}) AS VARCHAR) AS body FROM dd", f"dd AS ({live()})"),
 }
-ORACLE_SQL |= FLOW_SQL
+ORACLE_SQL |= FLOW_SQL | NETWORK_SQL
 
 TRUE = "coalesce(CASE json_type(j, '{0}') WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN j->>'{0}' = 'true' WHEN 'VARCHAR' THEN j->>'{0}' <> '' WHEN 'ARRAY' THEN json_array_length(j, '{0}') > 0 WHEN 'OBJECT' THEN len(json_keys(j, '{0}')) > 0 ELSE CAST(j->>'{0}' AS DOUBLE) <> 0 END, false)"
 ORACLE_SQL["odd_manifests"] = f"""WITH m AS (SELECT package_id, CAST(raw AS JSON) AS j FROM ({cte("odd_manifests")})), t AS (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import calibrate, dataset, decide, evaluate, flow, graph, rules, serve, signals, sweep
+from sievework.operators import calibrate, dataset, decide, evaluate, flow, graph, network, rules, serve, signals, sweep
 from sievework.operators.catalog import LIVE_WEIGHT, REPLAY_HARD, REPLAY_WEIGHT
 from sievework.plans.testbed import records, view
 from sievework.sources import packages
@@ -111,6 +111,27 @@ def risk_of_near_names(spark: SparkSession, sf: str) -> DataFrame:
     return rules.metadata_risk(part.select(k.alias("package_id"), F.concat(F.lit('{"name":"'), wrong, F.lit('","license":"MIT"}')).alias("raw")), listed)
 
 
+#: Width and layers of the network that queries run, with weights by rule: no trained ones are published.
+NETWORK_WIDTH, NETWORK_LAYERS = 8, 4
+
+
+def network_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors by label as packages of nodes, and edges inside and across them."""
+    return nodes(spark, sf).withColumnRenamed("h", "features"), view(spark, sf, "edges").select("package_id", "src", "dst", F.col("edge_type").cast("long").alias("edge_type"))
+
+
+def graph_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    found = network.graph_vectors(*network_input(spark, sf), network.ruled_weights(64, NETWORK_WIDTH, NETWORK_LAYERS), NETWORK_LAYERS)
+    return found.select("package_id", F.posexplode("vector").alias("k", "x")).select("package_id", F.col("k").cast("long").alias("k"), (F.round("x", 4) + F.lit(0.0)).alias("x"))
+
+
+def network_scores(spark: SparkSession, sf: str) -> DataFrame:
+    weights = network.ruled_weights(64, NETWORK_WIDTH, NETWORK_LAYERS)
+    vectors_ = network.graph_vectors(*network_input(spark, sf), weights, NETWORK_LAYERS)
+    metadata = nodes(spark, sf).groupBy("package_id").agg(F.array(*[F.avg(F.col("node_id") % (k + 2)) for k in range(8)]).alias("metadata"))
+    return network.network_scores(vectors_, metadata, weights)
+
+
 def lockfile_results(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts of packages, of which some failed, for the lockfiles that ask for them."""
     known = view(spark, sf, "part_verdicts")
@@ -315,6 +336,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_hist": lambda s, d: graph.edge_histogram(view(s, d, "edges")),
     "message_pass_1hop": lambda s, d: graph.message_pass(one_package(s, d), inner_edges(s, d)).select("node_id", F.posexplode("h").alias("k", "x")).select("node_id", F.col("k").cast("long").alias("k"), (F.round("x", 4) + F.lit(0.0)).alias("x")),
     "graph_pooling": lambda s, d: graph.pooled(nodes(s, d)).select("package_id", F.col("k").cast("long").alias("k"), *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("mean", "total", "most")]),
+    "graph_vectors": graph_vectors,
+    "network_scores": network_scores,
     "node_cap": lambda s, d: graph.cap_nodes(view(s, d, "files").select("package_id", "path", T.lines(F.col("code")).cast("long").alias("nodes")), 40),
     "lockfile_audit": lambda s, d: serve.lockfile_audit(view(s, d, "dependencies"), view(s, d, "part_verdicts")),
     "lockfile_results": lockfile_results,
