@@ -230,3 +230,20 @@ def test_observed_counts_are_of_the_evaluated_rows(spark):
     assert (got["packages"], got["malicious"], got["failures"], got["covered"], got["clean_verdicts"], got["hybrid.precision"], got["hybrid.recall"]) == (4, 2, 1, 3, 2, 1.0, 0.5)
     cube = {tuple(r)[:4]: (r["n"], r["wrong"]) for r in evaluate.class_cube(df).collect()}
     assert cube[None, None, None, 7] == (4, 1) and cube[1, None, None, 3] == (2, 1) and cube[None, -1, None, 5] == (1, 0) and cube[0, 2, "clean", 0] == (1, 0)
+
+
+def test_sinks(spark, tmp_path):
+    built = spark.createDataFrame([("a", "failure", "x", "no, \"js\" files", 0), ("b", "success", "", "", 2)], "package_path string, status string, error_type string, error_message string, num_js_files int")
+    for _ in range(2):
+        packages.write_failures(built, str(tmp_path / "failed"))
+    got = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "failed"))
+    assert got.columns == ["package_path", "error_type", "error_message", "num_js_files"] and [r["package_path"] for r in got.collect()] == ["a", "a"]
+    graphs = spark.range(30).select(F.col("id").alias("graph_id"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"))
+    packages.write_splits(graphs, str(tmp_path / "splits"))
+    assert spark.read.parquet(str(tmp_path / "splits")).where("split = 'val'").count() == 10 and (tmp_path / "splits" / "split=val").is_dir()
+
+
+def test_log_keeps_its_order_of_levels(spark):
+    log = spark.createDataFrame([("k", "malicious", "block"), ("k", "clean", "forward"), ("k", "error", "fail_open")], "key string, verdict string, action string")
+    assert sorted((r["event"], r["level"]) for r in serve.log_events(log, "warn").collect()) == [("block", "warn"), ("fail_open", "warn"), ("scan_complete", "warn")]
+    assert serve.log_events(log).count() == 5
