@@ -159,7 +159,7 @@ def test_embedding_blocks_count_each_pair_once(spark):
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "node long, embedding array<float>, n long")
     n = sum(r["n"] for r in embed.near_links(df, block=20).where("b is null").collect())
     assert n == sum(x[1] for x in brute_links(rows))
-    cut = embed.candidate_groups(df, embed.COSINE, block=20).collect()
+    cut = embed.candidate_groups(embed.candidates(df, embed.COSINE, embed.table_plan(150), block=20)).collect()
     assert {r["grp"] for r in cut} == {0} and len(cut) == 150
 
 
@@ -185,6 +185,32 @@ def test_embedding_recall_against_all_pairs(spark):
     assert pairs > 300 and 0.97 * pairs <= found <= pairs
 
 
+def test_embeddings_that_chain(spark):
+    """A walk of near but mostly unlinked vectors is one group: it goes to buckets, and gives the same counts as all pairs."""
+    rng = np.random.default_rng(28)
+    walk = [rng.standard_normal(48)]
+    while len(walk) < 900:  # neighbours have cosines of 0.9 to 0.98
+        step = rng.standard_normal(48) * rng.uniform(0.2, 0.48) / np.sqrt(48)
+        walk.append(walk[-1] / np.linalg.norm(walk[-1]) + step)
+    x = np.concatenate([walk, rng.standard_normal((300, 48)) + 1.9 * rng.standard_normal(48)])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    near = (cos >= embed.COSINE).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "node long, embedding array<double>, n long")
+    tables = embed.table_plan(len(x), typical=embed.typical_distance(df))
+    assert abs(embed.typical_distance(df) - np.sqrt(2 - 2 * cos.mean())) < 0.001
+    links = embed.candidates(df, embed.COSINE, tables)
+    groups = embed.candidate_groups(links)
+    places = links.selectExpr("explode(array(a, b)) node", "bucket").distinct().join(groups, "node")
+    assert embed.scattered(places, 16).count() >= 1
+    counts = {}
+    for r in embed.near_links(df, block=16).where("b is null").groupBy("a").sum("n").collect():
+        counts[r[0]] = r[1]
+    got = np.array([counts.get(i, 0) for i in range(len(x))])
+    assert (got <= near).all() and got.sum() >= 0.98 * near.sum() > 0
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = np.random.default_rng(9)
     calm = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
