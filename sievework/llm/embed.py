@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing with exact cosine checks.
 
 1. Equal vectors are one class. The unit vector of each class gets a bucket in every table, from quantised random
-   projections, and a sketch of 256 bits: whether its step on finer projections is odd.
+   projections, and a sketch of 512 bits: whether its step on finer projections is odd.
 2. Only numbers, buckets and sketches go to the buckets. Members whose sketches differ in no more bits than those of a
    pair at the threshold are candidates; a bucket gives back links that span them, at most one for a member.
 3. What these links connect is a group. A group goes to one place, where all its pairs are compared by exact cosines in
@@ -29,7 +29,7 @@ from sievework.llm.simhash import spanning
 
 COSINE, WIDTH, SEED = 0.95, 2.0, 42
 #: Chance that a pair of just COSINE meets in no table; chance that its sketches differ too much.
-MISS, SKETCH_MISS, BITS = 0.01, 1e-3, 256
+MISS, SKETCH_MISS, BITS = 0.01, 1e-3, 512
 SKETCH = [f"s{k}" for k in range(BITS // 64)]
 #: Comparisons of sketches that cost about as much as sending a row to a bucket.
 ROW_COST = 2000
