@@ -31,12 +31,31 @@ TEMPLATES = [
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-3.0", "General Public License as published by the Free Software Foundation, either version 3"),
+    ("GPL-2.0", "General Public License as published by the Free Software Foundation; either version 2"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "Affero General Public License as published by the Free Software Foundation, either version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "Lesser General Public License as published by the Free Software Foundation, either version 3"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "Lesser General Public License as published by the Free Software Foundation; version 2.1"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("Zlib", "The origin of this software must not be misrepresented; you must not claim"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
+#: Licenses whose text, or a line of whose header, another license's holds: where both are found, it is the other.
+HELD_BY = {"BSD-2-Clause": "BSD-3-Clause", "GPL-2.0": "LGPL-2.1"}
+#: Terms without which nothing is that license's, as near as the rest may be.
+NEEDED = {"AGPL-3.0": ["affero", "3"], "GPL-2.0": ["2"], "GPL-3.0": ["3"], "LGPL-2.1": ["lesser", "2", "1"], "LGPL-3.0": ["lesser", "3"]}
 SIMILAR = 0.6
 GAP = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
-#: A file that states its license by identifier.
-TAG = r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+)"
+#: A file that states its license by an expression of identifiers, at a line's start or after comment signs.
+NAME = r"[(]*[A-Za-z0-9.+-]+[)]*"
+TAG = rf"(?im)^[ \t]*(?:[^0-9A-Za-z\s]{{1,4}}[ \t]*|(?:rem|dnl)[ \t]+)?SPDX-License-Identifier:[ \t]*({NAME}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{NAME})*)"
 
 
 def terms(text: Column) -> Column:
@@ -52,6 +71,10 @@ def inverse(n: int, df: Column) -> Column:
     return F.log((1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
 
 
+def text_map(of: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+
+
 def template_weights(seen: DataFrame, n: int, templates: DataFrame) -> DataFrame:
     """template, term, tf, weight (unit length for each template) and idf of every template term; seen counts all n files.
 
@@ -138,9 +161,11 @@ def notices(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) ->
     """path, license and score of the best notice of each file that has one, from path and text.
 
     Compared are every line of the whole text, every run of lines that a wrapped notice can fill, and license files as
-    a whole. All terms weigh by the files that have them. Equal scores go to the license first in order. A file that
-    states an SPDX identifier has that license, with score 1; of several the first stated. A license's whole text is found
-    by its sentences, which are templates of their own.
+    a whole. All terms weigh by the files that have them. Equal scores go to the license first in order. A license in
+    HELD_BY gives way to the one whose text holds its own, if that is found too, whatever the scores; one in NEEDED is found only where its
+    terms are. A file that states an SPDX
+    expression at a line's start (after comment signs) has that expression as its license, with score 1; of several
+    the first stated. A license's whole text is found by its sentences, which are templates of their own.
     """
     n = files.count()
     at = f"{shared_folder(files.sparkSession)}/terms-{uuid.uuid4()}"
@@ -152,13 +177,20 @@ def notices(files: DataFrame, templates: DataFrame, similar: float = SIMILAR) ->
     of = weights.groupBy("term").agg(F.collect_list(F.struct("template", "weight")).alias("of"))
     both = tf.join(seen, "term").withColumn("x", F.col("tf") * inverse(n, F.col("df"))).join(F.broadcast(of), "term", "left")
     length = F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("path", "part")))
-    dots = both.withColumn("length", length).where("of is not null").select("path", "part", "x", "length", F.explode("of").alias("o"))
-    dots = dots.groupBy("path", "part", "o.template").agg(F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9).alias("score")).where(F.col("score") >= similar)
-    named = dots.join(F.broadcast(templates.select("template", "license")), "template").select("path", "license", "score")  # a row for each template
+    dots = both.withColumn("length", length).where("of is not null").select("path", "part", "term", "x", "length", F.explode("of").alias("o"))
+    names = templates.select("template", "license", F.try_element_at(text_map(NEEDED), F.col("license")).alias("needed"))
+    dots = dots.withColumn("template", F.col("o.template")).join(F.broadcast(names), "template")
+    has_needed = F.count_if(F.array_contains("needed", F.col("term"))) == F.coalesce(F.array_size(F.first("needed")), F.lit(0))
+    score = F.round(F.sum(F.col("x") * F.col("o.weight")) / F.first("length"), 9)
+    named = dots.groupBy("path", "part", "template", "license").agg(score.alias("score"), has_needed.alias("ok")).where((F.col("score") >= similar) & F.col("ok"))
     tag = F.regexp_extract("text", TAG, 1)
     stated = files.select("path", tag.alias("license"), F.lit(1.0).alias("score")).where("license <> ''")
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license")))
-    return named.unionByName(stated).groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    each = named.groupBy("path", "license").agg((-F.max("score")).alias("s")).unionByName(stated.select("path", "license", (-F.col("score")).alias("s")))
+    holder = F.try_element_at(text_map(HELD_BY), F.col("license"))
+    ranked = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("s", "license", holder.alias("holder")))).alias("found"))  # a row for each license
+    names = F.transform("found", lambda x: x["license"])
+    first = F.get(F.filter("found", lambda x: ~F.coalesce(F.array_contains(names, x["holder"]), F.lit(False))), F.lit(0))
+    return ranked.select("path", first.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def folder(path: Column) -> Column:

@@ -313,10 +313,13 @@ def brute_notices(files, similar=0.6):
     vector = lambda x: {t: k * idf(t) for t, k in Counter(low(x)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     made = [(name, vector(notice)) for name, notice in license.TEMPLATES]
-    most, out = max(len(low(x)) for _, x in license.TEMPLATES), {}
+    most, found = max(len(low(x)) for _, x in license.TEMPLATES), {}
     for path, text in files:
-        if tag := re.search(r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+)", text or ""):
-            out[path] = (-1.0, tag[1])
+        found[path] = {}
+        for line in (text or "").split("\n"):
+            if tag := re.match(r"(?i)\s*(?:\W{1,4}|rem |dnl )?\s*SPDX-License-Identifier: *((?:[\w.+()-]+|(?<=\S) +(?=\S))+)", line):
+                found[path][tag[1].strip()] = -1.0
+                break
     for path, text in files:
         lines = [x for x in (text or "").splitlines() if low(x)]
         parts = ["\n".join(lines[i : i + k]) for i in range(len(lines)) for k in range(1, most + 1) if i + k <= len(lines)]
@@ -325,9 +328,15 @@ def brute_notices(files, similar=0.6):
         for v in map(vector, parts):
             for name, w in made:
                 score = round(sum(x * v.get(t, 0) for t, x in w.items()) / norm(v) / norm(w), 9)
-                if score >= similar:
-                    out[path] = min(out.get(path, (0, "")), (-score, name))
-    return {p: (name, -s) for p, (s, name) in out.items()}
+                needed = {"AGPL-3.0": "affero 3", "GPL-2.0": "2", "GPL-3.0": "3", "LGPL-2.1": "lesser 2 1", "LGPL-3.0": "lesser 3"}.get(name, "")
+                if score >= similar and all(t in v for t in needed.split()):
+                    found[path][name] = min(found[path].get(name, 0), -score)
+    for names in found.values():
+        for held, by in (("BSD-2-Clause", "BSD-3-Clause"), ("GPL-2.0", "LGPL-2.1")):
+            if by in names:
+                names.pop(held, None)
+    best = {p: min((s, name) for name, s in names.items()) for p, names in found.items() if names}
+    return {p: (name, -s) for p, (s, name) in best.items()}
 
 
 def test_license_scores_equal_brute_force(spark):
@@ -341,9 +350,35 @@ def test_license_scores_equal_brute_force(spark):
     files += [("spdx/a.c", "/* SPDX-License-Identifier: Zlib */\nReleased under the BSD License, more or less"), ("spdx/b.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)")]
     files.append(("long/LICENSE", "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including\nwithout limitation the rights"))
     want = brute_notices(files)
-    assert want["spdx/a.c"] == ("Zlib", 1.0) and want["spdx/b.c"][0] == "MIT" and want["long/LICENSE"][0] == "MIT"
+    assert want["spdx/a.c"] == ("Zlib", 1.0) and want["spdx/b.c"][0] == "(MIT OR Apache-2.0)" and want["long/LICENSE"][0] == "MIT"
     assert {"n1/one.txt", "n0/wrapped.txt", "n2/LICENSE"} <= set(want) and not any(p.startswith("p/") for p in want)
     got = {r["path"]: (r["license"], r["score"]) for r in license.notices(spark.createDataFrame(files, "path string, text string"), license.template_table(spark)).collect()}
     assert set(got) == set(want)
     for p, (name, score) in want.items():
         assert got[p][1] == pytest.approx(score, abs=2e-9) and got[p][0] == name, p
+
+
+#: The usual headers and heads of licenses, and tags, with the names they stand for.
+LICENSED = [
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse"),
+    ("Zlib", "1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy"),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main;"),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"),
+    (None, "Put the tag SPDX-License-Identifier: MIT into each file, as all others do."),
+]
+
+
+def test_usual_license_texts_are_named(spark):
+    files = [(f"t/{i:02}.txt", text) for i, (_, text) in enumerate(LICENSED)] + [(f"f/{i}.txt", f"the version {i} of it and all that is in the work, as it was then") for i in range(400)]
+    got = {r["path"]: r["license"] for r in license.scan(spark.createDataFrame(files, "path string, text string"), license.template_table(spark)).collect()}
+    assert [got[f"t/{i:02}.txt"] for i in range(len(LICENSED))] == [name for name, _ in LICENSED]
+    assert not any(got[f"f/{i}.txt"] for i in range(400))
