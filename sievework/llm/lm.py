@@ -6,21 +6,22 @@ a class words have the probability (count) / (class count + 1), and the 1 is lef
 probability 1. The classes bound the model's size, which every task gets (STATES numbers for each class); the counts of
 words don't fit in a bound and are joined.
 
-Texts are cut into runs of RUN tokens. What a run does to the states is a matrix, so numpy works on many runs at once, and the exact
-vectors at their borders follow from one product for each run. Each task adds up its expected counts, Spark sums them by class, and a round ends
+Long texts are cut into runs. What a run does to the states is a matrix, so numpy works on many runs at once, and the exact
+vectors at their borders follow from one product for each run. A matrix costs more than the vectors do, so runs are as long as leaves enough of
+them, and a text of one run needs none. Each task adds up its expected counts, Spark sums them by class, and a round ends
 with new parameters.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,18 @@ CLASSES = FREQUENT + ENDINGS
 #: Share of the corpus' class shares in every state's emissions, and of other states in the first transitions.
 BACKGROUND, LEAVING = 0.05, 0.1
 SEED = 7
-RUN, RUNS = 128, 2_048
+#: Tokens of a run: so many that a batch has about RUNS of them, but no fewer than RUN and no more than LONGEST; tokens that are worked on at once.
+RUN, LONGEST, RUNS, TOKENS = 128, 2_048, 2_048, 1 << 19
+#: Steps between two scalings of vectors.
+SCALED = 8
 END = b" "
-#: Distinct words that a task counts before it gives them on.
-COUNTED = 400_000
+#: Bytes of text that are cut into words at once, about.
+PIECE = 1 << 24
+
+
+def sums(place: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The sums of x by place, of n places."""
+    return np.bincount(place, x, n).astype(float)
 
 
 def shared_out(columns: np.ndarray) -> np.ndarray:
@@ -64,31 +73,72 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+class Words(NamedTuple):
+    """The words of several texts. named: distinct ones, the last is END; at: the place in named of each token; sizes: tokens by text."""
+
+    named: pa.Array
+    at: np.ndarray
+    sizes: np.ndarray
+
+
+def cut(texts: pa.Array) -> Words:
+    """What words() gives for each text, with Arrow's hash table for distinct words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    named, at, sizes = coded.dictionary, coded.indices.to_numpy(), np.diff(parts.offsets.to_numpy())
+    full = pc.binary_length(named).to_numpy() > 0  # white space at a text's ends leaves an empty part
+    if not full.all():
+        real = full[at]
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        named, at = named.filter(pa.array(full)), (np.cumsum(full) - 1)[at[real]]
+    at = np.insert(at, np.cumsum(sizes), len(named))
+    return Words(pa.concat_arrays([named.cast(pa.binary()), pa.array([END], pa.binary())]), at, sizes + 1)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (column text), as many at a time as have about PIECE bytes of text."""
+    upto, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PIECE, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (bytes) and n over all texts (column text)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(words(text))
-                if len(seen) > COUNTED:
-                    yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-                    seen = Counter()
-        yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+            for piece in pieces(batch):
+                w = cut(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([w.named, pa.array(np.bincount(w.at, minlength=len(w.named)), pa.int64())], ["word", "n"])
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ending(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-3:]) % ENDINGS
 
 
-class Places(dict):
-    """The classes of frequent words; those of others are reckoned when they are asked for."""
+def crc_table() -> np.ndarray:
+    """The CRC-32 of each byte, before and after the inversions: what a step of it looks up."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
 
-    def __missing__(self, word: bytes) -> int:
-        return ending(word)
+def endings(named: pa.Array) -> np.ndarray:
+    """ending() of each word."""
+    if not len(named):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(named.buffers()[1], np.int32, len(named) + 1, named.offset * 4)
+    data, table = np.frombuffer(named.buffers()[2] or b"", np.uint8), crc_table()
+    size, crc = np.minimum(np.diff(offsets), 3), np.full(len(named), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        has = np.flatnonzero(size >= k)
+        crc[has] = table[(crc[has] ^ data[offsets[1:][has] - k]) & 0xFF] ^ (crc[has] >> 8)
+    return FREQUENT + (~crc % ENDINGS).astype(np.int64)
 
 
 class Classes(NamedTuple):
@@ -129,59 +179,70 @@ def encoded(docs: DataFrame, held: Column, known: Classes) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, tokens, distinct = shared.value
-        place = Places(zip(frequent, range(len(frequent)), strict=True))
+        frequent, names = pa.array(frequent, pa.binary()), [x.split()[0] for x in ENCODED.split(", ")]
         base = np.log10((counts + 1) / (tokens + distinct + 1))
         inner = -np.log10(np.maximum(counts, 0) + 1.0)
-        names = [x.split()[0] for x in ENCODED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-        for batch in batches:
-            out: list[tuple] = []
-            for row, doc_id, text, held in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "held_out")), strict=True):
-                said = words(text)
-                at = np.fromiter(map(place.__getitem__, said), dtype=np.int64, count=len(said))
-                others = np.flatnonzero(at >= FREQUENT)
-                rare = Counter([said[i] for i in others])
-                mine, within = at[at < FREQUENT], inner[at[others]].sum()
-                packed = zlib.compress(at.astype("<u2").tobytes(), 1)
-                out.append((row, doc_id, held, len(said), len(mine), base[mine].sum(), within, packed, list(rare.keys()), list(rare.values())))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for piece in (p for batch in batches for p in pieces(batch)):
+            w, n = cut(piece.column("text")), piece.num_rows
+            place = pc.fill_null(pc.index_in(w.named, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.where(place < 0, endings(w.named), place)
+            text, at = np.repeat(np.arange(n), w.sizes), place[w.at]
+            others = at >= FREQUENT
+            mine, both = text[~others], np.sort(text[others] * len(w.named) + w.at[others])
+            new = np.flatnonzero(np.diff(both, prepend=-1))
+            in_text, word = np.divmod(both[new], len(w.named))
+            upto = pa.array(np.searchsorted(in_text, np.arange(n + 1)), pa.int32())
+            packed = np.ascontiguousarray(at.astype("<u2"))
+            borders = np.concatenate([[0], 2 * np.cumsum(w.sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(piece.column(c) for c in ("row", "doc_id", "held_out")),
+                    pa.array(w.sizes, pa.int64()), pa.array(np.bincount(mine, minlength=n), pa.int64()),
+                    pa.array(sums(mine, base[at[~others]], n)), pa.array(sums(text[others], inner[at[others]], n)),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(borders), pa.py_buffer(packed)]),
+                    pa.ListArray.from_arrays(upto, w.named.take(pa.array(word))),
+                    pa.ListArray.from_arrays(upto, pa.array(np.diff(new, append=len(both)), pa.int32())),
+                ],
+                names,
+            )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     return rows.mapInArrow(encode, ENCODED)
 
 
 def unpacked(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(x), dtype="<u2").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x.as_buffer(), dtype="<u2") for x in column]
 
 
 class Runs:
     """The runs of several texts with the exact vectors at their borders. A row of an array is a state, a column a run or a token.
 
     pred: probabilities of the state before a run's first token is seen; rest: how likely what follows the run is, by the state
-    that would come next (up to a factor).
+    that would come next (up to a factor). Emissions are divided by their class' mean, so that SCALED steps stay far from what
+    single precision can hold.
     """
 
     def __init__(self, texts: list[np.ndarray], model: Model, backward: bool) -> None:
-        lengths = np.array([len(x) for x in texts])
+        self.lengths = lengths = np.array([len(x) for x in texts])
         self.x, self.model, self.forth = np.concatenate(texts), model, np.ascontiguousarray(model.move.T)
-        self.emit = np.ascontiguousarray(model.emit.T)
-        self.even = (self.emit / np.maximum(self.emit.mean(axis=0), 1e-300)).astype(np.float32)
-        n = -(-lengths // RUN)
+        self.mean = np.maximum(model.emit.mean(axis=1), 1e-300)
+        self.even = np.ascontiguousarray(model.emit.T) / self.mean
+        run = int(np.clip(lengths.sum() // RUNS, RUN, LONGEST))
+        n = -(-lengths // run)
         first = np.cumsum(n) - n
         self.text = np.repeat(np.arange(len(texts)), n)
         inside = np.arange(n.sum()) - first[self.text]
-        self.start = (np.cumsum(lengths) - lengths)[self.text] + inside * RUN
-        self.size = np.minimum(RUN, lengths[self.text] - inside * RUN)
+        self.start = (np.cumsum(lengths) - lengths)[self.text] + inside * run
+        self.size = np.minimum(run, lengths[self.text] - inside * run)
         self.opens, self.ends = inside == 0, inside == n[self.text] - 1
         k = len(model.first)
         self.pred, self.rest = np.tile(model.first[:, None], len(self.text)), np.ones((k, len(self.text)))
-        several = np.flatnonzero(~(self.opens & self.ends))
-        if not len(several):
+        several = ~(self.opens & self.ends)
+        if not several.any():
             return
         matrix = np.zeros((k, k, len(self.text)))
-        for at in range(0, len(several), RUNS):
-            matrix[:, :, several[at : at + RUNS]] = self.effect(several[at : at + RUNS])
+        for runs in self.slices(np.flatnonzero(several)):
+            matrix[:, :, runs] = self.effect(runs)
         order = np.argsort(-n, kind="stable")
         first, n = first[order], n[order]
         for j in range(1, n[0]):
@@ -191,42 +252,45 @@ class Runs:
             here = first[: np.searchsorted(-n, -j)] + j
             self.rest[:, here - 1] = shared_out(np.einsum("kln,ln->kn", matrix[:, :, here], self.rest[:, here]))
 
+    def slices(self, runs: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """All runs, or these, from the longest to the shortest, as many at a time as have about TOKENS tokens."""
+        runs = np.arange(len(self.text)) if runs is None else runs
+        runs = runs[np.argsort(-self.size[runs], kind="stable")]
+        upto, begin = np.cumsum(self.size[runs]), 0
+        while begin < len(runs):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + TOKENS)))
+            yield runs[begin:end]
+            begin = end
+
     def steps(self, runs: np.ndarray) -> Iterator[np.ndarray]:
         """The classes of the runs' first tokens, of their second ones, and so on; runs go from the longest to the shortest."""
-        for t in range(int(self.size[runs[0]])):
-            yield self.x[self.start[runs[: np.searchsorted(-self.size[runs], -t)]] + t]
+        start, size = self.start[runs], self.size[runs]
+        for t, n in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):
+            yield self.x[start[:n] + t].astype(np.intp)
 
     def effect(self, runs: np.ndarray) -> np.ndarray:
-        """For each run the matrix from the state before its first token to the one after its last, up to a factor.
-
-        Emissions are divided by their class' mean here, so that eight steps stay far from what single precision can hold.
-        """
-        order = np.argsort(-self.size[runs], kind="stable")
-        k, forth = len(self.model.first), self.forth.astype(np.float32)
+        """For each run the matrix from the state before its first token to the one after its last, up to a factor."""
+        k, forth, even = len(self.model.first), self.forth.astype(np.float32), self.even.astype(np.float32)
         m = np.tile(np.eye(k, dtype=np.float32)[:, :, None], len(runs))
-        for t, x in enumerate(self.steps(runs[order])):
-            m[:, :, : len(x)] = forth @ (m[:, :, : len(x)] * self.even[:, x])
-            if t % 8 == 7:
+        for t, x in enumerate(self.steps(runs)):
+            m[:, :, : len(x)] = forth @ (m[:, :, : len(x)] * even.take(x, axis=1))
+            if t % SCALED == SCALED - 1:
                 m[:, :, : len(x)] /= m[:, :, : len(x)].sum(axis=(0, 1))
-        back = np.empty(m.shape)
-        back[:, :, order] = m
-        return back
-
-    def slices(self) -> Iterator[np.ndarray]:
-        for at in range(0, len(self.text), RUNS):
-            runs = np.arange(at, min(at + RUNS, len(self.text)))
-            yield runs[np.argsort(-self.size[runs], kind="stable")]
+        return m
 
     def log10(self) -> np.ndarray:
         """The logarithm of each text's probability: the scaled forward recursion's factors."""
-        out = np.zeros(self.text[-1] + 1)
+        out = np.add.reduceat(np.log10(self.mean)[self.x], np.cumsum(self.lengths) - self.lengths)
         for runs in self.slices():
-            p, logs = self.pred[:, runs], np.zeros(len(runs))
-            for x in self.steps(runs):
-                f = p[:, : len(x)] * self.emit[:, x]
-                s = f.sum(axis=0)
-                logs[: len(x)] += np.log10(s)
-                p = self.forth @ (f / s)
+            p, logs, size = self.pred[:, runs], np.zeros(len(runs)), self.size[runs]
+            for t, x in enumerate(self.steps(runs)):
+                f = p[:, : len(x)] * self.even.take(x, axis=1)
+                left = len(x) if t % SCALED == SCALED - 1 else int(size[len(x) - 1] == t + 1) and len(x) - int(np.searchsorted(-size, -t - 1))
+                if left:  # all runs, or those that end here
+                    s = f[:, -left:].sum(axis=0)
+                    logs[len(x) - left : len(x)] += np.log10(s)
+                    f[:, -left:] /= s
+                p = self.forth @ f
             np.add.at(out, self.text[runs], logs)
         return out
 
@@ -236,25 +300,32 @@ class Runs:
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(self.model.emit.shape)
         for runs in self.slices():
             p, held = self.pred[:, runs], []
-            for x in self.steps(runs):
-                e = self.emit[:, x]
-                f = shared_out(p[:, : len(x)] * e)
-                held.append((x, e, f))
+            for t, x in enumerate(self.steps(runs)):
+                f = p[:, : len(x)] * self.even.take(x, axis=1)
+                if t % SCALED == SCALED - 1:
+                    f /= f.sum(axis=0)
+                held.append((x, f))
                 p = self.forth @ f
-            rest, size, ends, seen = self.rest[:, runs], self.size[runs], self.ends[runs], []
+            rest, size, ends = self.rest[:, runs], self.size[runs], self.ends[runs]
+            seen, upto = np.empty((k, size.sum())), size.sum()
             for t in range(len(held) - 1, -1, -1):
-                x, e, f = held.pop()
+                x, f = held[t]
                 n, after = len(x), rest[:, : len(x)]
                 back = self.model.move @ after
                 state = f * back
                 weight = 1 / state.sum(axis=0)
-                seen.append((x, state * weight))
-                move += (f * (weight * ((size[:n] > t + 1) | ~ends[:n]))) @ after.T
-                rest[:, :n] = shared_out(e * back)
-            first += seen[-1][1][:, self.opens[runs]].sum(axis=1)
-            x, states = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen], axis=1)
+                np.multiply(state, weight, out=seen[:, upto - n : upto])
+                upto -= n
+                if size[n - 1] == t + 1:  # no move follows a text's last token
+                    weight[(size[:n] == t + 1) & ends[:n]] = 0
+                move += (f * weight) @ after.T
+                rest[:, :n] = self.even.take(x, axis=1) * back
+                if t % SCALED == 0:
+                    rest[:, :n] /= rest[:, :n].sum(axis=0)
+            first += seen[:, : len(runs)][:, self.opens[runs]].sum(axis=1)
+            x = np.concatenate([h[0] for h in held])
             for j in range(k):
-                emit[:, j] += np.bincount(x, states[j], minlength=len(emit))
+                emit[:, j] += np.bincount(x, seen[j], minlength=len(emit))
         return first, move * self.model.move, emit
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from sievework.llm import lm, queries
 
@@ -120,3 +121,45 @@ def test_nothing_to_learn_from(spark):
 def test_held_out_texts_gain(spark):
     rows = queries.op13_lm_score(spark, "/root/testdata/sf0.001").where("held_out").toPandas()
     assert len(rows) and (rows["score"] > rows["base_score"]).mean() > 0.9
+
+
+def test_arrow_cuts_the_same_words(monkeypatch):
+    rng = np.random.default_rng(4)
+    marks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "　", "a", "B", "Z", "é", "É", "İ", "漢", "\x00", "."]
+    texts = [None, "", " ", "\n x  ", *("".join(rng.choice(marks, n)) for n in rng.integers(0, 30, 500))]
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    w, p = lm.cut(column), 0
+    named = w.named.to_pylist()
+    assert len(set(named)) == len(named) and lm.endings(w.named).tolist() == [lm.ending(x) for x in named]
+    for n, text in zip(w.sizes, texts, strict=True):
+        assert [named[i] for i in w.at[p : p + n]] == lm.words(text)
+        p += n
+    assert p == len(w.at)
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE", size)
+        parts = [x.column("text").to_pylist() for x in lm.pieces(batch)]
+        assert sum(parts, []) == texts and max(sum(len((t or "").encode()) for t in x[:-1]) for x in parts) <= size
+
+
+def test_many_texts_need_no_matrices(monkeypatch):
+    """Texts of some hundred tokens are one run each where a batch holds many of them; cut or not, in few tokens at a time or many, they give the same."""
+    rng = np.random.default_rng(5)
+    move, emit = np.full((3, 3), 0.02) + 0.94 * np.eye(3), rng.random((20, 3)) ** 8
+    model = lm.Model(np.full(3, 1 / 3), move, emit / emit.sum(axis=0))
+    texts = [rng.integers(0, 20, n) for n in rng.integers(1, 400, 60)]
+    monkeypatch.setattr(lm, "RUNS", 60)
+    cut = lm.Runs(texts, model, True)  # runs of some 200 tokens
+    assert len(cut.text) > 60
+    monkeypatch.setattr(lm, "RUNS", 20)  # of some 600
+    want = [recursion(x, model) for x in texts]
+    with monkeypatch.context() as m:
+        m.setattr(lm.Runs, "effect", None)
+        whole = lm.Runs(texts, model, True)
+    assert len(whole.text) == 60
+    for tokens in (1, 1000, 1 << 19):
+        monkeypatch.setattr(lm, "TOKENS", tokens)
+        for runs in (cut, whole):
+            assert np.allclose(runs.log10(), [w[0] for w in want])
+            for got, i in zip(runs.expected(), (1, 2, 3), strict=True):
+                assert np.allclose(got, sum(w[i] for w in want))
