@@ -163,3 +163,19 @@ def test_many_texts_need_no_matrices(monkeypatch):
             assert np.allclose(runs.log10(), [w[0] for w in want])
             for got, i in zip(runs.expected(), (1, 2, 3), strict=True):
                 assert np.allclose(got, sum(w[i] for w in want))
+
+
+def test_few_words_reach_the_driver(spark, monkeypatch):
+    """Of many partitions' words only those go to the driver that may be among the most frequent."""
+    rows = [(f"w{i}".encode(), 3_000_000 // (i + 1) ** 2 + 1) for i in range(3000)]
+    counts = spark.createDataFrame(rows, "word binary, n long").repartition(20)
+    for most in (1, 50, 200, 100_000):
+        n = lm.least_count(counts, most)
+        got, all_ = sum(r[1] >= n for r in rows), sum(r[1] >= lm.LEAST for r in rows)
+        assert min(most, all_) <= got <= min(1.1 * most + 1, all_)
+    assert lm.least_count(counts.where("false"), 5) == lm.LEAST
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    monkeypatch.setattr(lm, "CLASSES", 50 + lm.ENDINGS)
+    known = lm.word_classes(counts)
+    assert known.frequent == [w for w, _ in rows[:50]] and known.counts[:50].tolist() == [n for _, n in rows[:50]]
+    assert (known.counts >= 0).all() and known.counts.sum() == known.tokens == sum(n for _, n in rows) and known.distinct == 3000
