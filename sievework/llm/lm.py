@@ -40,7 +40,7 @@ RUN, LONGEST, RUNS, TOKENS = 128, 2_048, 2_048, 1 << 19
 SCALED = 8
 END = b" "
 #: Bytes of text that are cut into words at once, about.
-PIECE = 1 << 24
+PIECE = 1 << 22
 
 
 def sums(place: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
