@@ -211,6 +211,28 @@ def test_embeddings_that_chain(spark):
     assert (got <= near).all() and got.sum() >= 0.98 * near.sum() > 0
 
 
+def test_embeddings_that_chain_at_512_bits(spark):
+    """Steps that the longer sketches still follow: the walk's groups go to buckets, and give the same counts as all pairs."""
+    rng = np.random.default_rng(28)
+    walk = [rng.standard_normal(48)]
+    while len(walk) < 900:  # neighbours have cosines of 0.93 to 0.98
+        step = rng.standard_normal(48) * rng.uniform(0.2, 0.34) / np.sqrt(48)
+        walk.append(walk[-1] / np.linalg.norm(walk[-1]) + step)
+    x = np.concatenate([walk, rng.standard_normal((300, 48)) + 1.9 * rng.standard_normal(48)])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= embed.COSINE).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "node long, embedding array<double>, n long")
+    links = embed.candidates(df, embed.COSINE, embed.table_plan(len(x), typical=embed.typical_distance(df)))
+    places = links.selectExpr("explode(array(a, b)) node", "bucket").distinct().join(embed.candidate_groups(links), "node")
+    wide = {r["wide"] for r in embed.scattered(places, 16).collect()}
+    sizes = {r["grp"]: r["count"] for r in places.select("grp", "node").distinct().groupBy("grp").count().collect()}
+    assert wide and max(sizes, key=sizes.get) in wide
+    counts = {r[0]: r[1] for r in embed.near_links(df, block=16).where("b is null").groupBy("a").sum("n").collect()}
+    got = np.array([counts.get(i, 0) for i in range(len(x))])
+    assert (got <= near).all() and got.sum() >= 0.98 * near.sum() > 0
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = np.random.default_rng(9)
     calm = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
