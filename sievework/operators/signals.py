@@ -29,19 +29,35 @@ def manifest_context(manifests: DataFrame) -> DataFrame:
     )
 
 
-def package_context(records: DataFrame) -> DataFrame:
-    """The 28 traits of a record and its manifest (raw; null: there is none), which context signals choose from."""
-    raw, rules = F.col("raw"), F.coalesce("rules_matched", F.array().cast("array<string>"))
+def manifest_traits(manifests: DataFrame) -> DataFrame:
+    """manifests with `traits`: what package_context() needs of the manifest in raw."""
+    raw = F.col("raw")
     text = lambda k: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit(""))
     keys, said = T.json_keys(raw, "$.scripts"), F.when(T.truthy(raw, "$.description"), text("description")).otherwise("")
-    hooks = F.filter(F.array(*map(F.lit, HOOKS)), lambda h: F.array_contains(keys, h))
-    name = F.coalesce(F.nullif(text("name"), F.lit("")), F.col("package_name"))
+    traits = {
+        "name": F.nullif(text("name"), F.lit("")), "keys": F.coalesce(F.size(F.json_object_keys(raw)), F.lit(0)), "repository": T.truthy(raw, "$.repository"), "license": T.truthy(raw, "$.license"), "described": F.trim(said) != "", "description_length": F.length(said),
+        "scripts": F.size(keys), "hooks": F.filter(F.array(*map(F.lit, HOOKS)), lambda h: F.array_contains(keys, h)), "dependencies": F.size(T.json_keys(raw, "$.dependencies")), "dev_dependencies": F.size(T.json_keys(raw, "$.devDependencies")),
+    }
+    return manifests.withColumn("traits", F.struct(*[c.alias(k) for k, c in traits.items()]))
+
+
+def package_context(records: DataFrame) -> DataFrame:
+    """The 28 traits of a record and its manifest, which context signals choose from.
+
+    records have manifest_traits()'s traits (null: there is no manifest), or else raw (null too). JSON is what costs here, so where records
+    share manifests, join them to their traits.
+    """
+    if "traits" not in records.columns:
+        records = manifest_traits(records)
+    rules = F.coalesce("rules_matched", F.array().cast("array<string>"))
+    of = lambda k, none: F.coalesce(F.col(f"traits.{k}"), none if isinstance(none, Column) else F.lit(none))
+    name, hooks = of("name", F.col("package_name")), of("hooks", F.array().cast("array<string>"))
     count = lambda names: F.size(F.filter(rules, lambda r: r.isin(names)))
     noisy, good, n = count(NOISY), count(RELIABLE), F.size(rules)
     traits = {
-        "has_package_json": F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False)), "scoped": F.startswith(name, F.lit("@")), "has_repository": T.truthy(raw, "$.repository"), "has_license": T.truthy(raw, "$.license"),
-        "has_description": F.trim(said) != "", "description_length": F.length(said), "scripts_count": F.size(keys), "lifecycle_hooks": hooks, "has_lifecycle_hook": F.size(hooks) > 0,
-        "dependency_count": F.size(T.json_keys(raw, "$.dependencies")), "dev_dependency_count": F.size(T.json_keys(raw, "$.devDependencies")),
+        "has_package_json": of("keys", 0) > 0, "scoped": F.startswith(name, F.lit("@")), "has_repository": of("repository", False), "has_license": of("license", False),
+        "has_description": of("described", False), "description_length": of("description_length", 0), "scripts_count": of("scripts", 0), "lifecycle_hooks": hooks, "has_lifecycle_hook": F.size(hooks) > 0,
+        "dependency_count": of("dependencies", 0), "dev_dependency_count": of("dev_dependencies", 0),
         "gnn_score": F.coalesce("gnn_score", F.lit(-1.0)), "metadata_risk": F.coalesce("metadata_risk", F.lit(0.0)), "num_js_files": F.coalesce("num_js_files", F.lit(0)), "num_nodes": F.coalesce("num_nodes", F.lit(0)), "num_edges": F.coalesce("num_edges", F.lit(0)),
         "rule_ids": rules, "rules_count": n, "has_rules": n > 0, "noisy_rule_count": noisy, "high_reliability_rule_count": good, "rules_noisy_only": (n > 0) & (noisy == n) & (good == 0), "rules_none": n == 0,
         "has_med_install_hook_rule": F.array_contains(rules, "MED_INSTALL_HOOK_EXISTS"), "has_structural_rule": F.array_contains(rules, "MED_SUSPICIOUS_PACKAGE_STRUCTURE"),

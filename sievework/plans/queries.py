@@ -16,6 +16,8 @@ from sievework.sources import packages
 #: Floors that policies over the given tables reach, beside those of production.
 PRECISIONS, RECALLS = [0.25, 0.30, 0.33, 0.96, 0.97, 0.98, 0.99], [0.2, 0.4, 0.6, 0.88, 0.89, 0.90, 0.92]
 GOALS = [(0.3, 0.2), (0.34, 0.2), (0.96, 0.88), (0.97, 0.88), (0.98, 0.88), (0.99, 0.88)]
+#: Records are dealt as many manifests.
+MANIFESTS = 2111
 #: Texts of decision paths, dealt to records by number.
 PHRASES = [
     "GNN unavailable; rules clean", "Confident clean", "v2 install-hook recall block", "V2 direct GNN block", "v2 GNN + weighted rules block", "v2 high-reliability rules block", "critical behavioral rule matched", "very high confidence",
@@ -150,12 +152,17 @@ def dealt(text: list[str], by: str) -> Column:
     return F.element_at(F.array(*map(F.lit, text)), (F.pmod(F.col(by), F.lit(len(text))) + 1).cast("int"))
 
 
-def with_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with the manifest of a package, some without, some cut off, and with the text of a decision path."""
-    raw = view(spark, sf, "manifests").select(F.col("package_id").alias("m"), "raw")
-    rows = records(spark, sf).join(raw, F.pmod("seq", F.lit(2111)) == F.col("m"), "left")
-    cut = F.when(F.col("seq") % 17 == 0, F.left("raw", F.lit(12))).otherwise(F.col("raw"))
-    return rows.withColumns({"raw": cut, "decision_path": dealt(PHRASES, "seq"), "num_edges": F.col("num_nodes") * 2})
+def given_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """m, cut and raw: the manifests that records are dealt (their numbers are below MANIFESTS), each whole and cut off."""
+    found = view(spark, sf, "manifests").select(F.col("package_id").alias("m"), "raw").where((F.col("m") >= 0) & (F.col("m") < MANIFESTS))
+    return found.withColumn("cut", F.lit(False)).unionByName(found.select("m", F.left("raw", F.lit(12)).alias("raw"), F.lit(True).alias("cut")))
+
+
+def with_manifest(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    """Records with the manifest of a package, some without, some cut off, and with the text of a decision path; given: other columns by m and cut in place of raw."""
+    given = given_manifests(spark, sf) if given is None else given
+    rows = records(spark, sf).withColumns({"m": F.pmod("seq", F.lit(MANIFESTS)), "cut": F.coalesce(F.col("seq") % 17 == 0, F.lit(False))}).join(F.broadcast(given), ["m", "cut"], "left")
+    return rows.withColumns({"decision_path": dealt(PHRASES, "seq"), "num_edges": F.col("num_nodes") * 2})
 
 
 def builds(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,7 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phase_labels": lambda s, d: evaluate.diagnostic_records(with_manifest(s, d)).groupBy("true_label", "phase_label").agg(F.count("*").alias("n")),
     "diagnostic_records": lambda s, d: evaluate.diagnostic_records(with_manifest(s, d)).withColumn("rules_matched", F.array_join("rules_matched", ",")),
     "replayed_records": lambda s, d: decide.replayed(records(s, d)).select("package_name", "hybrid_verdict", "confidence", "decision_bucket", "decision_path", "v2_weighted_rule_score", "v2_hard_rule_score"),
-    "package_context": lambda s, d: signals.package_context(with_manifest(s, d)).withColumns({"lifecycle_hooks": F.array_join("lifecycle_hooks", ","), "rule_ids": F.array_join("rule_ids", ",")}),
+    "package_context": lambda s, d: signals.package_context(with_manifest(s, d, signals.manifest_traits(given_manifests(s, d)).drop("raw"))).withColumns({"lifecycle_hooks": F.array_join("lifecycle_hooks", ","), "rule_ids": F.array_join("rule_ids", ",")}),
     "error_shapes": lambda s, d: evaluate.manifest_shape(evaluate.errors(with_manifest(s, d), "raw")).select("package_name", "kind", "has_package_json", "package_json_error", F.array_join("script_hooks", ",").alias("script_hooks"), "dependency_count", "has_repository", "has_license", "description_length"),
     "evaluation_summary": lambda s, d: evaluate.summary(records(s, d)),
     "evaluation_report": lambda s, d: evaluate.report(records(s, d)),
