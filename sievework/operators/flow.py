@@ -5,10 +5,16 @@ Nodes have package_id, node_id (in pre-order: a parent before its children), par
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from sievework.functions.cluster import last_before, lookup, settle
 from sievework.operators.graph import TERMINAL, is_statement
@@ -19,6 +25,11 @@ BLOCKS = ["program", "statement_block"]
 LOOPS = ["for_statement", "while_statement", "do_statement", "for_in_statement", "for_of_statement"]
 #: A place beyond every node, twice which is still a long.
 BEYOND = 1 << 60
+#: Definitions and uses of a package of at most WHOLE nodes meet in one task, which takes some CHUNK nodes at a time; at most FEW ids of larger packages are broadcast.
+WHOLE, CHUNK, FEW = 1 << 16, 1 << 17, 500_000
+#: What nodes are to definitions and uses, in the tables that such a task reads; from FUNCTION on they open a scope.
+IDENTIFIER, DECLARATOR, PARAMETERS, FUNCTION, DECLARATION = range(1, 6)
+ROLES = {"identifier": IDENTIFIER, "variable_declarator": DECLARATOR, "formal_parameters": PARAMETERS, "arrow_function": FUNCTION, "function_expression": FUNCTION, "function_declaration": DECLARATION}
 
 
 def climb(nodes: DataFrame, marked: Column) -> DataFrame:
@@ -70,9 +81,134 @@ def def_use_scopes(nodes: DataFrame) -> DataFrame:
 
     What a name means changes only where it is defined and where a scope that defines it ends; there it means again what it meant right before
     that scope. So each (scope, name) adds one end, which points to the change before the scope's start, and pointers are doubled until they
-    are at a definition or at nothing. Uses and pointers both look for the last change before a place. Nothing
-    is a product of definitions and uses, and a name's rows are spread over many tasks (last_before).
+    are at a definition or at nothing. Uses and pointers both look for the last change before a place. Nothing is a product of definitions and uses.
+    Packages of at most WHOLE nodes are shuffled once and resolved where they are; those with more are spread over tasks and take a round of tables for each doubling.
     """
+    nodes = nodes.where("package_id is not null and node_id is not null")
+    large = settle(nodes.groupBy("package_id").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("package_id"))
+    if not (n := large.count()):
+        return def_use_whole(nodes)
+    large = F.broadcast(large) if n <= FEW else large
+    return def_use_whole(nodes.join(large, "package_id", "left_anti")).unionByName(def_use_spread(nodes.join(large, "package_id", "left_semi")))
+
+
+def def_use_whole(nodes: DataFrame) -> DataFrame:
+    """def_use_scopes() of packages that each fit in a task. A parent that isn't there counts as none; of nodes with one id one counts."""
+    role = reduce(lambda other, x: F.when(F.col("type") == x[0], x[1]).otherwise(other), ROLES.items(), F.lit(0)).cast("byte")
+    rows = nodes.select("package_id", F.col("node_id").cast("long"), F.col("parent_id").cast("long"), role.alias("role"), F.when(F.col("type") == "identifier", F.col("text")).alias("name"))
+    package = S.StructField("package_id", rows.schema["package_id"].dataType)
+    schema = S.StructType([package, S.StructField("src", S.LongType()), S.StructField("dst", S.LongType())])
+    return rows.repartition("package_id").sortWithinPartitions(*rows.columns).mapInArrow(resolved, schema)
+
+
+def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src and dst of rows that are sorted by package and node, some CHUNK rows at a time; a package's rows stay together."""
+    held, size = [], 0
+    for b in chain(batches, [None]):
+        if b is not None:
+            held, size = [*held, b], size + b.num_rows
+        if not size or (b is not None and size < CHUNK):
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        package = rows["package_id"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        end = size if b is None else int(np.searchsorted(package, package[-1]))  # the last package may go on
+        held, size = rows.slice(end).to_batches(), size - end
+        if not end:
+            continue
+        rows, package = rows.slice(0, end), package[:end]
+        node, role = rows["node_id"].to_numpy(), rows["role"].to_numpy()
+        up = parents(package, node, pc.fill_null(rows["parent_id"], 0).to_numpy(), rows["parent_id"].is_valid().to_numpy())
+        name = pc.fill_null(rows["name"].combine_chunks().dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+        src, dst = def_use_rows(package, up, role, name)
+        yield pa.RecordBatch.from_arrays([rows["package_id"].combine_chunks().take(pa.array(dst)), pa.array(node[src]), pa.array(node[dst])], names=["package_id", "src", "dst"])
+
+
+def parents(package: np.ndarray, node: np.ndarray, parent: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The row of each row's parent in the same package, or -1; -2 for a row whose node has been before."""
+    ids, rank = np.unique(np.concatenate([node, parent]), return_inverse=True)
+    own, above = (package * len(ids) + r for r in np.split(rank, 2))
+    at = np.minimum(np.searchsorted(own, above), len(own) - 1)
+    return np.where(np.append(False, own[1:] == own[:-1]), -2, np.where(has & (own[at] == above), at, -1))
+
+
+def doubled(jump: np.ndarray, rows: np.ndarray, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Follows pointers (-1: none) from rows, doubling them in each round: take(i, j) has rows i and j, where they point to, share what they know. Ends on cycles too."""
+    for _ in range(len(jump).bit_length() + 1):
+        i = rows[jump[rows] >= 0]
+        if not len(i):
+            return
+        far = jump[jump[i]]
+        take(i, jump[i])
+        jump[i] = far
+
+
+def def_use_rows(package: np.ndarray, up: np.ndarray, role: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of definitions and of the uses that mean them, from the rows of parents, roles and numbers of names (-1: none) in rows that are sorted by package and node."""
+    n, every = len(up), np.arange(len(up))
+    alone, role = up > -2, np.where(up > -2, role, 0)
+    is_scope = role >= FUNCTION
+    mark, jump = np.where(is_scope, every, -1), np.where(is_scope, -1, np.maximum(up, -1))  # the nearest scope above or at a node
+
+    def find(i: np.ndarray, j: np.ndarray) -> None:
+        mark[i] = mark[j]
+
+    doubled(jump, every, find)
+    scopes = np.flatnonzero(is_scope)
+    last, within = every.copy(), alone & (mark >= 0)
+    np.maximum.at(last, mark[within], every[within])
+    outer = np.full(n, -1)
+    outer[scopes] = np.where(up[scopes] >= 0, mark[up[scopes]], -1)
+
+    def widen(i: np.ndarray, j: np.ndarray) -> None:
+        np.maximum.at(last, j, last[i])
+
+    doubled(outer, scopes, widen)
+
+    named = np.flatnonzero((role == IDENTIFIER) & (up >= 0))
+    owner, first = np.unique(up[named], return_index=True)
+    own = (role[owner] == DECLARATOR) | (role[owner] == DECLARATION)
+    declared, name_at = owner[own], named[first[own]]
+    low = np.where(up[declared] >= 0, mark[up[declared]], -1)
+    lists = np.flatnonzero((role == PARAMETERS) & (up >= 0))
+    lists = lists[np.unique(up[lists], return_index=True)[1]]
+    listed = named[role[up[named]] == PARAMETERS]
+    given = listed[np.isin(up[listed], lists[is_scope[up[lists]]])]
+    into = up[up[given]]
+    used = (role == IDENTIFIER) & (name >= 0)
+    used[name_at] = used[listed] = False
+    uses = np.flatnonzero(used)
+
+    # Places are doubled: a parameter holds from right after its function's node, a scope ends right after its last one.
+    defs, names, low, start = (np.concatenate(x) for x in ((declared, given), (name[name_at], name[given]), (low, into), (declared * 2, into * 2 + 1)))
+    defs, names, low, start = (x[names >= 0] for x in (defs, names, low, start))
+    width = int(name.max(initial=0)) + 1
+    closed, of = np.divmod(np.unique(low[low >= 0] * width + names[low >= 0]), width)
+    d, c, beyond = len(defs), len(closed), 4 * n
+    group = np.concatenate([package[defs] * width + names, *[package[closed] * width + of] * 2, package[uses] * width + name[uses]])
+    at = np.concatenate([start, last[closed] * 2 + 1, closed * 2, uses * 2])
+    tie = np.concatenate([defs, beyond - closed, np.full(c + len(uses), beyond)])
+    change = np.concatenate([np.arange(d + c), np.full(c + len(uses), -1)])
+    order = np.lexsort((tie, at, group))
+    before = np.maximum.accumulate(np.append(-1, np.where(change[order] >= 0, np.arange(len(order)), -1))[:-1])
+    begins = np.maximum.accumulate(np.where(np.append(True, group[order][1:] != group[order][:-1])[: len(order)], np.arange(len(order)), 0))
+    seen = np.empty(len(order), dtype=np.int64)
+    seen[order] = np.where(before >= begins, change[order][before], -1)
+
+    # What each end means: a definition (its number), nothing (-1), or what the end that it points to means.
+    probe, use = seen[d + c : d + 2 * c], seen[d + 2 * c :]
+    means = np.where(probe < d, probe, -1)
+
+    def settle_end(i: np.ndarray, j: np.ndarray) -> None:
+        means[i] = means[j]
+
+    doubled(np.where(probe >= d, probe - d, -1), np.arange(c), settle_end)
+    found = np.append(np.arange(d), means)[use] if d + c else use
+    kept = (use >= 0) & (found >= 0)
+    return defs[found[kept]], uses[kept]
+
+
+def def_use_spread(nodes: DataFrame) -> DataFrame:
+    """def_use_scopes() of packages of any size: a name's rows are spread over many tasks (last_before)."""
     is_scope = F.col("type").isin(SCOPES)
     reach = climb(nodes, is_scope)
     defs = definitions(nodes)

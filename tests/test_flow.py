@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,51 @@ def test_a_name_used_everywhere(spark):
     assert got.agg(inside, outside, F.count("*")).first()[:] == (n, n, 2 * n)
 
 
+def sql_def_use(rows):
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["package_id", "node_id", "parent_id", "type", "text"]).astype({"parent_id": "Int64"}))
+    found = con.execute("SELECT package_id, src, dst FROM (" + flow_oracle.FLOW_SQL["def_use_scopes"].replace(flow_oracle.TREE, "tree AS MATERIALIZED (SELECT * FROM given)") + ")")
+    return sorted(found.fetchall())
+
+
+def test_packages_that_fit_a_task_are_shuffled_once(spark, trees):
+    """One exchange of nodes, no join and no window."""
+    nodes = spark.createDataFrame(trees, NODES)
+    plan = flow.def_use_scopes(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_large_packages_are_spread(spark, monkeypatch, trees, most):
+    monkeypatch.setattr(flow, "WHOLE", most)
+    got = flow.def_use_scopes(spark.createDataFrame(trees, NODES).repartition(5)).select("package_id", "src", "dst")
+    assert sorted(map(tuple, got.collect())) == sql_def_use(trees)
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 10_000])
+def test_packages_over_several_batches(monkeypatch, chunk):
+    """A package's rows stay together wherever batches end; deep nesting, names in other packages, and nodes without names change nothing."""
+    monkeypatch.setattr(flow, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    trees = [r for p in range(30) for r in random_tree(rng, p * 7, rng.randrange(1, 90))]
+    level = lambda i: [(1, max(4 * i - 3, 0), "function_declaration", ""), (2, 4 * i + 1, "identifier", "ab"[i % 2]), (3, 4 * i + 1, "identifier", "abc"[i % 3]), (4, 4 * i + 1, "variable_declarator", "")]
+    trees += [(999, 0, None, "program", "")] + [(999, 4 * i + o, up, kind, text) for i in range(100) for o, up, kind, text in level(i)]
+    table = pa.table({c: pa.array([r[i] for r in trees], k) for i, (c, k) in enumerate([("package_id", pa.int64()), ("node_id", pa.int64()), ("parent_id", pa.int64())])} | {"role": pa.array([flow.ROLES.get(r[3], 0) for r in trees], pa.int8()), "name": pa.array([r[4] if r[3] == "identifier" else None for r in trees], pa.string())})
+    got = sorted(tuple(r.values()) for b in flow.resolved(iter(table.to_batches(max_chunksize=17))) for r in b.to_pylist())
+    assert len(got) > 50 and got == sql_def_use(trees)
+
+
+def test_odd_nodes_of_small_packages(spark):
+    """Null names and ids define and mean nothing, a parent that is missing or in a cycle counts as none, a repeated row counts once."""
+    rows = [
+        (1, 0, None, "program", ""), (1, 1, 0, "variable_declarator", ""), (1, 2, 1, "identifier", "x"), (1, 3, 0, "identifier", "x"), (1, 3, 0, "identifier", "x"), (1, 4, 0, "identifier", None), (1, 5, 77, "identifier", "x"),
+        (None, 3, 0, "identifier", "x"), (1, None, 0, "identifier", "x"), (2, 3, None, "identifier", "x"), (3, 1, 2, "function_declaration", ""), (3, 2, 1, "comment", ""), (3, 3, 2, "identifier", "x"), (4, 1, None, "identifier", None),
+    ]
+    assert sorted(map(tuple, flow.def_use_scopes(spark.createDataFrame(rows, NODES)).collect())) == [(1, 1, 3), (1, 1, 5)]
+    words = spark.createDataFrame([(str(r[0]), *r[1:]) for r in rows if r[0]], NODES.replace("package_id long", "package_id string"))
+    assert sorted(map(tuple, flow.def_use_scopes(words).collect())) == [("1", 1, 3), ("1", 1, 5)]
+
+
 SHAPES = {
     "sequence": ([("expression_statement", 0), ("lexical_declaration", 0), ("return_statement", 0), ("expression_statement", 0)], {(1, 2, "cfg_next"), (2, 3, "cfg_next")}),
     "if with else": (
