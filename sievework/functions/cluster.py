@@ -27,6 +27,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A settled table without Spark's guess of its size, which outlives checkpoints.
+
+    A join's is the product of its sides', so in rounds of joins the guess's digits double each time, and soon the driver multiplies them for minutes.
+    """
+    spark = df.sparkSession
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Inner join of about n rows to the one row of table that has their key.
 

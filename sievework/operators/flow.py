@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from sievework.functions.cluster import last_before, lookup, settle
+from sievework.functions.cluster import last_before, lookup, settle, unsized
 from sievework.operators.graph import TERMINAL, is_statement
 
 # Node types that open scopes, blocks and branches.
@@ -26,7 +26,7 @@ LOOPS = ["for_statement", "while_statement", "do_statement", "for_in_statement",
 #: A place beyond every node, twice which is still a long.
 BEYOND = 1 << 60
 #: Definitions and uses of a package of at most WHOLE nodes meet in one task, which takes some CHUNK nodes at a time; at most FEW ids of larger packages are broadcast.
-WHOLE, CHUNK, FEW = 1 << 16, 1 << 17, 500_000
+WHOLE, CHUNK, FEW = 1 << 19, 1 << 17, 500_000
 #: What nodes are to definitions and uses, in the tables that such a task reads; from FUNCTION on they open a scope.
 IDENTIFIER, DECLARATOR, PARAMETERS, FUNCTION, DECLARATION = range(1, 6)
 ROLES = {"identifier": IDENTIFIER, "variable_declarator": DECLARATOR, "formal_parameters": PARAMETERS, "arrow_function": FUNCTION, "function_expression": FUNCTION, "function_declaration": DECLARATION}
@@ -210,7 +210,7 @@ def def_use_rows(package: np.ndarray, up: np.ndarray, role: np.ndarray, name: np
 def def_use_spread(nodes: DataFrame) -> DataFrame:
     """def_use_scopes() of packages of any size: a name's rows are spread over many tasks (last_before)."""
     is_scope = F.col("type").isin(SCOPES)
-    reach = climb(nodes, is_scope)
+    reach = unsized(climb(nodes, is_scope))
     defs = definitions(nodes)
     scope = lookup(defs.where("node_id is not null"), reach.select("package_id", "node_id", F.col("mark_id").alias("low")), ["package_id", "node_id"], nodes.count())
     scope = scope.unionByName(defs.where("node_id is null").withColumn("low", F.lit(None).cast("long")))
@@ -233,11 +233,11 @@ def def_use_spread(nodes: DataFrame) -> DataFrame:
     # What each end means: a definition, nothing, or what the end of scope `jump` means.
     key = ["package_id", "name", "low"]
     at_end = F.col("change.kind") == "end"
-    state = settle(seen.where("kind = 'probe'").select(*key, F.when(at_end, F.col("change.low")).alias("jump"), F.when(~at_end, F.col("change.id")).alias("def_id")))
+    state = unsized(settle(seen.where("kind = 'probe'").select(*key, F.when(at_end, F.col("change.low")).alias("jump"), F.when(~at_end, F.col("change.id")).alias("def_id"))))
     while n := state.where("jump is not null").count():
         farther = state.select("package_id", "name", F.col("low").alias("jump"), F.col("jump").alias("next"), F.col("def_id").alias("found"))
         moved = lookup(state.where("jump is not null").drop("def_id"), farther, ["package_id", "name", "jump"], n)
-        state = settle(state.where("jump is null").unionByName(moved.select(*key, F.col("next").alias("jump"), F.col("found").alias("def_id"))))
+        state = unsized(settle(state.where("jump is null").unionByName(moved.select(*key, F.col("next").alias("jump"), F.col("found").alias("def_id")))))
 
     wanted = seen.where("kind = 'use' and change is not null").select("package_id", "name", F.col("id").alias("dst"), F.col("change.id").alias("src"), F.col("change.low").alias("low"))
     after = wanted.where("low is not null").drop("src")

@@ -119,6 +119,16 @@ def test_odd_nodes_of_small_packages(spark):
     assert sorted(map(tuple, flow.def_use_scopes(words).collect())) == [("1", 1, 3), ("1", 1, 5)]
 
 
+def test_guesses_of_size_stay_short(spark, monkeypatch):
+    """Spark's guess of a joined table's size is a product; its digits don't double with each round of pointers."""
+    digits, settled = [], flow.settle
+    monkeypatch.setattr(flow, "settle", lambda df: digits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()) or settled(df))
+    level = lambda i: [(4 * i + 1, 0, "function_declaration", ""), (4 * i + 2, 4 * i + 1, "variable_declarator", ""), (4 * i + 3, 4 * i + 2, "identifier", "x"), (4 * i + 4, 0, "identifier", "x")]
+    rows = [(1, 0, None, "program", ""), (1, -2, 0, "variable_declarator", ""), (1, -1, -2, "identifier", "x")] + [(1, *r) for i in range(300) for r in level(i)]
+    assert flow.def_use_spread(spark.createDataFrame(rows, NODES)).where("src = -2").count() == 300
+    assert len(digits) > 12 and max(digits[-6:]) < 200
+
+
 SHAPES = {
     "sequence": ([("expression_statement", 0), ("lexical_declaration", 0), ("return_statement", 0), ("expression_statement", 0)], {(1, 2, "cfg_next"), (2, 3, "cfg_next")}),
     "if with else": (
